@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, token_files
+from . import near_dups, packing, token_files, vectors
 from .common import table
 from .tokens import default_path
 
@@ -15,15 +15,27 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), default_path("byte_bpe_50k.json"), capacity=1024, end_id=2)
 
 
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document."""
+    return near_dups.classes(table(spark, sf_dir, "documents"), threshold=0.8)
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents written as token files and read back."""
     manifest = token_files.write(table(spark, sf_dir, "documents"), default_path("word_bpe_49k.json"), end_id=2)
     return token_files.read(manifest).select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings linked within their label at cosine 0.98."""
+    return vectors.link(table(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op8_token_files": op8_token_files,
+    "op9_embedding_near_dedup": op9_embedding_near_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
