@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import near_dups, packing, token_files, vectors
+from . import archives, near_dups, packing, quality, token_files, vectors
 from .common import table
 from .tokens import default_path
 
@@ -15,11 +15,33 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), default_path("byte_bpe_50k.json"), capacity=1024, end_id=2)
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents."""
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate class of every document."""
     return near_dups.classes(table(spark, sf_dir, "documents"), threshold=0.8)
 
 
+def op5_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC bundles and read back."""
+    index = archives.write(archives.classify(table(spark, sf_dir, "pages"), least=1000))
+    return archives.read(index).drop("url", "payload")
+
+
+OP5_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+r AS (SELECT page_id, n, sha1(html) AS digest FROM p),
+m AS (SELECT digest, max(page_id) AS response FROM r WHERE n >= 1000 GROUP BY digest)
+SELECT r.page_id, CAST(r.n AS BIGINT) AS payload_bytes, r.digest AS payload_digest,
+  CASE WHEN m.response <> r.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN m.response <> r.page_id THEN m.response END AS refers_to
+FROM r LEFT JOIN m ON r.digest = m.digest
+"""
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents written as token files and read back."""
     manifest = token_files.write(table(spark, sf_dir, "documents"), default_path("word_bpe_49k.json"), end_id=2)
@@ -33,9 +55,13 @@ def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_quality_classifier": op2_quality_classifier,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op5_warc_bundles": op5_warc_bundles,
     "op8_token_files": op8_token_files,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_warc_bundles": OP5_SQL,
+}
