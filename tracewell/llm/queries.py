@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archives, near_dups, packing, quality, token_files, vectors
+from . import archives, decontaminate, near_dups, packing, quality, token_files, vectors
 from .common import table
 from .tokens import default_path
 
@@ -42,6 +42,11 @@ FROM r LEFT JOIN m ON r.digest = m.digest
 """
 
 
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of a document and a benchmark item whose passage it holds."""
+    return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents written as token files and read back."""
     manifest = token_files.write(table(spark, sf_dir, "documents"), default_path("word_bpe_49k.json"), end_id=2)
@@ -58,6 +63,7 @@ QUERIES = {
     "op2_quality_classifier": op2_quality_classifier,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op5_warc_bundles": op5_warc_bundles,
+    "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_token_files": op8_token_files,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
 }
