@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archives, decontaminate, near_dups, packing, quality, token_files, vectors
+from . import archives, decontaminate, near_dups, packing, private_data, quality, token_files, url_rules, vectors
 from .common import table
 from .tokens import default_path
 
@@ -25,6 +25,17 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.classes(table(spark, sf_dir, "documents"), threshold=0.8)
 
 
+#: Given host and path rules (fixed values).
+RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
+def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's url judged by given rules, then by rules mined from the labels of pages of poor quality."""
+    pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
+    labelled = pages.select(F.col("page_id").alias("doc_id"), "url").join(labels, "doc_id").select("url", (F.col("quality") == 0).alias("bad"))
+    return url_rules.judge(pages, labelled, RULES, support=0.01, confidence=0.5, most=2)
+
+
 def op5_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written as WARC bundles and read back."""
     index = archives.write(archives.classify(table(spark, sf_dir, "pages"), least=1000))
@@ -42,6 +53,13 @@ FROM r LEFT JOIN m ON r.digest = m.digest
 """
 
 
+def op6_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents."""
+    found = private_data.spans(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, private_data.KINDS[:4]), F.sha2(private_data.listed("base").cast("binary"), 256).alias("base_sha256"), private_data.listed("spans").alias("spans"))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every pair of a document and a benchmark item whose passage it holds."""
     return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -62,7 +80,9 @@ QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op4_url_rules": op4_url_rules,
     "op5_warc_bundles": op5_warc_bundles,
+    "op6_private_data": op6_private_data,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_token_files": op8_token_files,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
