@@ -10,7 +10,7 @@
 
 Cases: null text counts as empty; texts without words are equal to each other; a null doc_id stays its own class unless
 its text is a copy, and never names a class that has other members; repeated rows are copies; an empty table gives an
-empty result; further columns are ignored.
+empty result; further columns are ignored by classes() and kept by keep().
 """
 
 from __future__ import annotations
@@ -190,3 +190,15 @@ def classes(docs: DataFrame, threshold: float = 0.8, bands: int = 12, rows: int
     label = materialize(texts.select("f1", "f2", "rep", "n_copies").join(named.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", "n_copies", F.coalesce("component", "rep").alias("class_id")), "labels")
     drop_materialized(spark, pivots, candidates, sizes, wanted, links)
     return sketches.select("doc_id", "f1", "f2").join(label, ["f1", "f2"]).select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"), "n_copies")
+
+
+def keep(docs: DataFrame, **options) -> DataFrame:
+    """One document of each class, with all columns. Rows without a doc_id stay, as no class is named by them; of rows
+    that repeat a kept doc_id and text one stays."""
+    found = materialize(classes(docs, **options), "classes")
+    kept = found.where("kept and doc_id is not null").select("doc_id")
+    several = kept.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
+    named = docs.join(kept.distinct().hint("merge"), "doc_id", "left_semi")
+    if several:
+        named = named.dropDuplicates(["doc_id", "text"])
+    return named.select(docs.columns).union(docs.where("doc_id is null").select(docs.columns))
