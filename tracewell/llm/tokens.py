@@ -9,15 +9,21 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 #: Code points with Unicode's White_Space property (fixed values).
 WHITE_SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Letters after which a following ASCII mark or digit starts a chunk of its own.
 LETTERS = "A-Za-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\xff"
-CHUNK = re.compile(f"[{WHITE_SPACE}]*+[{LETTERS}]++(?=[!-@\\[-`{{-~])|[{WHITE_SPACE}]*+[^{WHITE_SPACE}]++|[{WHITE_SPACE}]++")
+_SPACE, _WORD = f"[{WHITE_SPACE}]", f"[{LETTERS}]++(?=[!-@\\[-`{{-~])|[^{WHITE_SPACE}]++"
+CHUNK = re.compile(f"{_SPACE}*+(?:{_WORD})|{_SPACE}++")
+#: For vocabularies that drop white space.
+BARE_CHUNK = re.compile(_WORD)
+#: Chunks that are one word to the pre-tokenizers: a space and letters, or letters alone.
+PLAIN, BARE_PLAIN = re.compile(f" [{LETTERS}]++").fullmatch, re.compile(f"[{LETTERS}]++").fullmatch
 
-#: Characters that the memo may hold before it starts afresh.
-MEMO_CHARS = 4_000_000
+#: Chunks up to this length are kept, as longer ones seldom recur, and so many of their characters before a fresh start.
+MEMO_LENGTH, MEMO_CHARS = 10, 1_500_000
 
 
 def default_path(name: str) -> str:
@@ -40,6 +46,19 @@ class ChunkEncoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.memo: dict[str, bytes] = {}
         self.held = 0
+        self._prepare()
+
+    def _prepare(self) -> None:
+        """Tell apart vocabularies that drop white space and end words with </w> from byte-level ones that start words
+        with the mark of a space; `edge` has the ids that can only end or start a word."""
+        import numpy as np
+
+        self.bare = not self.tokenizer.encode(" \n ", add_special_tokens=False).ids
+        self.chunks, self.plain = (BARE_CHUNK.findall, BARE_PLAIN) if self.bare else (CHUNK.findall, PLAIN)
+        vocabulary = self.tokenizer.get_vocab()
+        self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
+        for token, i in vocabulary.items():
+            self.edge[i] = token.endswith("</w>") if self.bare else token.startswith("\u0120")
 
     @classmethod
     def of(cls, path: str) -> "ChunkEncoder":
@@ -50,20 +69,35 @@ class ChunkEncoder:
 
     def encode(self, text: str) -> bytes:
         """The ids of a whole text; lone surrogates are replaced, as they have no UTF-8 form."""
-        import numpy as np
-
-        chunks = CHUNK.findall(text)
-        memo = self.memo
-        try:
-            return b"".join([memo[c] for c in chunks])
-        except KeyError:
-            pass
-        missing = [c for c in dict.fromkeys(chunks) if c not in memo]
-        for c, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)):
-            memo[c] = np.array(e.ids, dtype="<u4").tobytes()
-            self.held += len(c)
+        chunks, memo = self.chunks(text), self.memo
+        missing = set(chunks).difference(memo)
+        if missing:
+            found = self._together([c for c in missing if self.plain(c)])
+            apart = [c for c in missing if c not in found]
+            encodings = self.tokenizer.encode_batch_fast(apart, add_special_tokens=False) if apart else []
+            found |= {c: array("I", e.ids).tobytes() for c, e in zip(apart, encodings)}
+            memo.update(found)
         out = b"".join([memo[c] for c in chunks])
+        for c in missing:
+            if len(c) > MEMO_LENGTH:
+                del memo[c]
+            else:
+                self.held += len(c)
         if self.held > MEMO_CHARS:
             memo.clear()
             self.held = 0
         return out
+
+    def _together(self, words: list[str]) -> dict[str, bytes]:
+        """Encode words as one text, which is cheaper, and part the ids at word edges; nothing if the counts differ."""
+        import numpy as np
+
+        if len(words) < 2:
+            return {}
+        joined = (" " if self.bare else "").join(words)
+        ids = array("I", self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids).tobytes()
+        at = np.nonzero(self.edge[np.frombuffer(ids, "<u4")])[0]
+        if len(at) != len(words):
+            return {}
+        cuts = [0, *(4 * (at + 1)).tolist()] if self.bare else [*(4 * at).tolist(), len(ids)]
+        return {w: ids[a:b] for w, a, b in zip(words, cuts, cuts[1:])}
