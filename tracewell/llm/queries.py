@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archives, decontaminate, near_dups, packing, private_data, quality, token_files, url_rules, vectors
+from . import archives, decontaminate, near_dups, packing, private_data, quality, token_files, url_rules, vectors, verbatim
 from .common import table
 from .tokens import default_path
 
@@ -76,6 +76,11 @@ def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.link(table(spark, sf_dir, "embeddings"), cosine=0.98)
 
 
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the bytes that smaller ones hold in strings of 50."""
+    return verbatim.remove(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_quality_classifier": op2_quality_classifier,
@@ -86,6 +91,7 @@ QUERIES = {
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_token_files": op8_token_files,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
+    "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
