@@ -184,7 +184,7 @@ def classes(docs: DataFrame, threshold: float = 0.8, bands: int = 12, rows: int
     candidates = materialize(candidates, "candidates")
     sizes = materialize(candidates.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "sizes")
     wanted = materialize(candidates.join(sizes, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("comp"), "blocks"), "wanted")
-    bodies = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).join(wanted, "doc_id")
+    bodies = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).join(wanted.hint("merge"), "doc_id")
     links = materialize(verify(bodies, table, threshold), "links")
     named = components(links)
     label = materialize(texts.select("f1", "f2", "rep", "n_copies").join(named.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", "n_copies", F.coalesce("component", "rep").alias("class_id")), "labels")
