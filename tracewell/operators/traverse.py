@@ -6,6 +6,7 @@ counts reach the driver. Edges are kept partitioned by the end that a traversal
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame
@@ -20,7 +21,7 @@ def checkpoint(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if folder is None:
-            if not sc.master.startswith("local"):
+            if not re.match(r"local(\[|$)", sc.master):
                 raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             folder = tempfile.mkdtemp(prefix="tracewell-")
         sc.setCheckpointDir(folder)

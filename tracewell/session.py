@@ -14,10 +14,13 @@ from pyspark.sql import SparkSession
 _shipped: set[str] = set()
 
 
-def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
-    """A session for tests and single-machine runs."""
+def local_session(cores: str = "*", shuffle_partitions: int = 8, **settings: str) -> SparkSession:
+    """A session for tests and single-machine runs; further settings by name, underscores for dots."""
+    builder = SparkSession.builder
+    for k, v in settings.items():
+        builder = builder.config(k.replace("_", "."), v)
     return (
-        SparkSession.builder.master(f"local[{cores}]")
+        builder.master(f"local[{cores}]")
         .appName("tracewell")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
