@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,6 +13,8 @@ from ..session import ship
 
 #: Rows in an Arrow batch handed to Python; documents are wide, so batches stay small.
 BATCH_ROWS = 500
+#: Folders made for local applications that name none.
+_local: dict[str, str] = {}
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -23,12 +26,11 @@ def configure(spark: SparkSession) -> SparkSession:
 
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir; in local mode a temporary one if unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or _local.get(spark.sparkContext.applicationId)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="tracewell-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _local[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="tracewell-")
     return root.rstrip("/")
 
 

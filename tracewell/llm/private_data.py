@@ -38,9 +38,9 @@ ISSUERS = r"^(4|5[1-5]|2[2-7]|3[47]|6)"
 AROUND = 24
 
 
-def find(text: Column, pattern: str, kind: str) -> Column:
-    """All matches as array<struct<start, rank, end, kind, value>>, in code points, end exclusive. Lengths of what stands
-    between matches and of the matches add up to places."""
+def find(text: Column, pattern: str, kind: str, valid=None) -> Column:
+    """The matches that are valid as array<struct<start, rank, end, kind, value>>, in code points, end exclusive. Lengths of
+    what stands between matches and of the matches add up to places; only valid ones are gathered."""
     pairs = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda gap, hit: F.struct(F.length(gap).alias("gap"), hit.alias("hit")))
     empty = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,value:string>>")
 
@@ -48,7 +48,10 @@ def find(text: Column, pattern: str, kind: str) -> Column:
         start = acc["at"] + x["gap"]
         end = start + F.length(x["hit"])
         span = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), x["hit"].alias("value"))
-        return F.when(x["hit"].isNull(), acc).otherwise(F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out")))
+        out = F.concat(acc["out"], F.array(span))
+        if valid is not None:
+            out = F.when(valid(x["hit"]), out).otherwise(acc["out"])
+        return F.when(x["hit"].isNull(), acc).otherwise(F.struct(end.alias("at"), out.alias("out")))
 
     return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
 
@@ -71,9 +74,9 @@ def base(text: Column) -> Column:
     """Base spans by start, then kind."""
     none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,value:string>>")
     email = F.when(F.contains(text, F.lit("@")), find(text, EMAIL, "email")).otherwise(none)
-    ip = F.filter(find(text, IP, "ip"), lambda s: s["value"].rlike(IP_PARTS))
-    card = F.filter(find(text, CARD, "card"), lambda s: F.when(F.length(_digits(s["value"])).between(14, 19), luhn(_digits(s["value"]))).otherwise(False))
-    phone = F.filter(F.when(F.contains(text, F.lit("+")), find(text, PHONE, "phone")).otherwise(none), lambda s: F.length(_digits(s["value"])).between(10, 15))
+    ip = find(text, IP, "ip", lambda v: v.rlike(IP_PARTS))
+    card = find(text, CARD, "card", lambda v: F.when(F.length(v).between(14, 37) & F.length(_digits(v)).between(14, 19), luhn(_digits(v))).otherwise(False))
+    phone = F.when(F.contains(text, F.lit("+")), find(text, PHONE, "phone", lambda v: F.length(_digits(v)).between(10, 15))).otherwise(none)
     return F.array_sort(F.concat(email, ip, card, phone))
 
 
@@ -149,15 +152,15 @@ def _score(model: dict, f: Column) -> Column:
     return total
 
 
-def _with_spans(docs: DataFrame, model: dict, name: str = "text") -> DataFrame:
-    """Adds `base` and `spans`, arrays of struct<start, rank, end, kind, value>."""
-    text = text_or_empty(name)
-    rows = docs.withColumn("_base", base(text)).withColumn("_more", F.transform(candidates(text, F.col("_base")), lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["value"].alias("value"), features(c).alias("f"))))
+def _with_spans(rows: DataFrame, model: dict) -> DataFrame:
+    """Adds `base` and `spans`, arrays of struct<start, rank, end, kind, value>, to rows with `body`."""
+    text = F.col("body")
+    rows = rows.withColumn("base", base(text)).withColumn("more", F.transform(candidates(text, F.col("base")), lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["value"].alias("value"), features(c).alias("f"))))
     added = F.transform(
-        F.filter("_more", lambda m: _score(model, m["f"]) >= 0),
+        F.filter("more", lambda m: _score(model, m["f"]) >= 0),
         lambda m: F.struct(m["start"].alias("start"), F.when(m["f"]["number"] == 1, 5).otherwise(4).alias("rank"), m["end"].alias("end"), F.when(m["f"]["number"] == 1, "number").otherwise("secret").alias("kind"), m["value"].alias("value")),
     )
-    return rows.withColumn("_spans", F.array_sort(F.concat("_base", added)))
+    return rows.withColumn("spans", F.array_sort(F.concat("base", added)))
 
 
 def listed(spans: str) -> Column:
@@ -168,24 +171,23 @@ def listed(spans: str) -> Column:
 def spans(docs: DataFrame) -> DataFrame:
     """doc_id, base and spans (arrays of struct<start, rank, end, kind, value>) for every document."""
     configure(docs.sparkSession)
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return _with_spans(plain, train(docs)).select("doc_id", F.col("_base").alias("base"), F.col("_spans").alias("spans"))
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("body"))
+    return _with_spans(plain, train(docs)).select("doc_id", "base", "spans")
 
 
 def redact(docs: DataFrame) -> DataFrame:
     """The documents with each span replaced by its kind in brackets; all columns stay, n_chars follows the text."""
     configure(docs.sparkSession)
-    names = docs.columns
-    rows = _with_spans(docs, train(docs))
-    text = text_or_empty()
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text_or_empty().alias("body"))
+    rows = _with_spans(own, train(docs))
+    text = F.col("body")
 
     def step(acc, s):
         gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
         return F.when(s["start"] < acc["at"], F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))).otherwise(F.struct(s["end"].alias("at"), F.concat(acc["out"], F.array(gap, F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))).alias("out")))
 
-    done = F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")), step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
-    cleaned = rows.withColumn("_clean", F.when(F.size("_spans") > 0, done).otherwise(F.col("text")))
-    out = cleaned.withColumn("text", F.col("_clean"))
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.size("_spans") > 0, F.length("_clean").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(names)
+    done = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")), step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
+    any_ = F.size("spans") > 0
+    cleaned = rows.withColumn("clean", F.when(any_, done).otherwise(F.col("row.text")))
+    new = {"text": F.col("clean"), "n_chars": F.when(any_, F.length("clean").cast("long")).otherwise(F.col("row.n_chars") if "n_chars" in docs.columns else F.lit(None))}
+    return cleaned.select(*[(new[c] if c in new else F.col("row").getField(c)).alias(c) for c in docs.columns])
