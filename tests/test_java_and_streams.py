@@ -125,7 +125,9 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.mark.skipif(not __import__("os").path.isdir(SF), reason="needs the driver's tables")
 def test_queries_equal_sql(spark, tmp_path):
-    from tracewell.plans import catalog
+    from tracewell.plans import catalog, catalog_more
+
+    assert catalog_more.query is catalog.query
 
     con = duckdb.connect()
     for t in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split():
