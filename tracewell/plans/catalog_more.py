@@ -9,9 +9,11 @@ from ..functions import names, predicates
 from ..operators import chains, dependence, impact, ingest, knowledge, localize, ranking, stats, traverse
 from ..sources import facts, graph, sinks, text
 from . import derived as d
-from .catalog import PG, SIG, query
+from .catalog import ORACLE_SQL, PG, QUERIES, SIG, query
 from .derived import table
 
+__all__ = ["ORACLE_SQL", "QUERIES"]
+
 
 @query("SELECT p_partkey, string_split(p_type, ' ')[-1] AS last_word, regexp_replace(p_name, '[^A-Za-z0-9_]', '_', 'g') AS ident, CASE WHEN length(p_name) > 12 THEN substr(p_name, 1, 11) || '…' ELSE p_name END AS short, (length(p_name) + 3) // 4 AS tokens FROM part")
 def part_names(spark, sf):
