@@ -156,7 +156,7 @@ def brute_classes(rows):
     for x in w.values():
         df[np.unique(s.bucket(s.shingles(x)))] += 1
     weight = s.weights(df, len(rows)).astype(float)
-    sets = {k: dict(zip(e.tolist(), weight[s.bucket(h)])) for k, x in w.items() for e, h in [s.elements(s.shingles(x))]}
+    sets = {k: dict(zip(e.tolist(), tf * weight[s.bucket(e)])) for k, x in w.items() for e, tf in [s.elements(s.shingles(x))]}
     root = list(range(len(rows)))
 
     def find(x):
@@ -166,7 +166,7 @@ def brute_classes(rows):
 
     for a in w:
         for b in range(a):
-            shared = sum(sets[a][e] for e in sets[a].keys() & sets[b].keys())
+            shared = sum(min(sets[a][e], sets[b][e]) for e in sets[a].keys() & sets[b].keys())
             both = sum(sets[a].values()) + sum(sets[b].values()) - shared
             if w[a].tobytes() == w[b].tobytes() or (both and shared >= 0.8 * both - 1e-9):
                 root[find(a)] = find(b)

@@ -81,8 +81,8 @@ def sketch(docs: DataFrame, table, bands: int, rows: int) -> DataFrame:
                 raw = words.tobytes()
                 f1.append(xxhash.xxh64_intdigest(raw, 1) - (1 << 63))
                 f2.append(xxhash.xxh64_intdigest(raw, 2) - (1 << 63))
-                e, h = elements(shingles(words))
-                s = sampler.samples(e, w[bucket(h)]).reshape(bands, rows)
+                e, tf = elements(shingles(words))
+                s = sampler.samples(e, tf * w[bucket(e)]).reshape(bands, rows)
                 key = np.arange(bands, dtype="uint64")
                 with np.errstate(over="ignore"):
                     for j in range(rows):
@@ -104,11 +104,11 @@ def verify(texts: DataFrame, table, threshold: float) -> DataFrame:
 
         for batch in batches:
             e = [elements(shingles(word_hashes(t))) for t in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array([x[0].tobytes() for x in e], pa.binary()), pa.array([x[1].tobytes() for x in e], pa.binary())], names=["comp", "blocks", "doc_id", "e", "h"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array([x[0].tobytes() for x in e], pa.binary()), pa.array([x[1].tobytes() for x in e], pa.binary())], names=["comp", "blocks", "doc_id", "e", "tf"])
 
-    profiles = texts.select("comp", "blocks", "doc_id", "text").mapInArrow(profile, "comp long, blocks int, doc_id long, e binary, h binary")
+    profiles = texts.select("comp", "blocks", "doc_id", "text").mapInArrow(profile, "comp long, blocks int, doc_id long, e binary, tf binary")
     dealt = profiles.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = dealt.select("comp", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "doc_id", "e", "h")
+    cells = dealt.select("comp", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "doc_id", "e", "tf")
     cells = cells.repartition("comp", "lo", "hi").sortWithinPartitions("comp", "lo", "hi", "doc_id")
 
     def compare(batches) -> Iterator:
@@ -124,11 +124,12 @@ def verify(texts: DataFrame, table, threshold: float) -> DataFrame:
                 return
             sets = [np.frombuffer(r[2], "uint64") for r in rows]
             which = np.repeat(np.arange(len(rows)), [len(s) for s in sets])
-            shared, inverse = np.unique(np.concatenate(sets), return_inverse=True)
-            weight = w[bucket(np.concatenate([np.frombuffer(r[3], "uint64") for r in rows]))]
+            every = np.concatenate(sets)
+            shared, inverse = np.unique(every, return_inverse=True)
+            weight = w[bucket(every)] * np.concatenate([np.frombuffer(r[3], "float32") for r in rows])
             total = np.bincount(which, weight, len(rows))
             order = np.argsort(inverse, kind="stable")
-            posting = which[order]
+            posting, posted = which[order], weight[order]
             ends = np.r_[0, np.cumsum(np.bincount(inverse, minlength=len(shared)))]
             by_row = np.split(np.arange(len(which)), np.cumsum([len(s) for s in sets])[:-1])
             side = np.array([r[0] for r in rows])
@@ -141,7 +142,7 @@ def verify(texts: DataFrame, table, threshold: float) -> DataFrame:
                     continue
                 n = ends[el + 1] - ends[el]
                 at = np.repeat(ends[el] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-                overlap = np.bincount(posting[at], np.repeat(own, n), len(rows))
+                overlap = np.bincount(posting[at], np.minimum(np.repeat(own, n), posted[at]), len(rows))
                 near = overlap >= (threshold - 1e-12) * (total[a] + total - overlap)
                 near[: a + 1] = False
                 if name[1] != name[2]:

@@ -1,12 +1,12 @@
 """Word shingles as weighted sets, and consistent weighted samples of them.
 
 Words are compared in lower case without marks at their edges. A shingle is five words in a row (a shorter text is one
-shingle). A shingle that occurs n times gives n elements, (shingle, 1) to (shingle, n), each weighing its inverse
-document frequency, so sums of minima over elements are those of TF-IDF weights.
+shingle). Its weight is a saturating term frequency, 2 n / (n + 1) for n occurrences, times an inverse document frequency.
 
 Document frequencies are exact counts over all documents for each of 2^18 hash buckets, so the table has one size
-whatever the corpus holds. The weight of an element is 1 + ln(N / df) / ln(2^18): frequent passages count for less, but
-near copies of a text that a third of all documents hold stay near.
+whatever the corpus holds. The inverse frequency is 1 + ln(N / df) / (2 ln(2^18)): frequent passages count for less, but
+near copies of a text that a third of all documents hold stay near, and a line repeated a hundred times doesn't outweigh
+the rest of a text.
 """
 
 from __future__ import annotations
@@ -76,26 +76,18 @@ def bucket(h):
 
 
 def elements(h):
-    """(elements, shingle of each) of the multiset, in order of element."""
+    """(distinct shingles in order, saturating term frequency of each)."""
     import numpy as np
 
-    h = np.sort(h)
-    first = np.r_[True, h[1:] != h[:-1]] if len(h) else np.zeros(0, bool)
-    if first.all():
-        return h, h
-    starts = np.nonzero(first)[0]
-    nth = np.arange(len(h)) - np.repeat(starts, np.diff(np.r_[starts, len(h)]))
-    with np.errstate(over="ignore"):
-        e = np.where(nth == 0, h, mix(h + nth.astype("uint64") * np.uint64(0xD6E8FEB86659FD93)))
-    order = np.argsort(e)
-    return e[order], h[order]
+    e, n = np.unique(h, return_counts=True)
+    return e, (2 * n / (n + 1.0)).astype("float32")
 
 
 def weights(df, n: int):
     """Weights by bucket from document frequencies and the number of documents."""
     import numpy as np
 
-    return (1 + np.maximum(0.0, np.log(max(1, n) / np.maximum(1, df))) / np.log(BUCKETS)).astype("float32")
+    return (1 + np.maximum(0.0, np.log(max(1, n) / np.maximum(1, df))) / (2 * np.log(BUCKETS))).astype("float32")
 
 
 class Sampler:
