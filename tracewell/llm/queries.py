@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from . import archives, decontaminate, near_dups, packing, private_data, quality, token_files, url_rules, vectors, verbatim
 from .common import table
+from .oracles import ORACLE_SQL
 from .tokens import default_path
 
+__all__ = ["ORACLE_SQL", "QUERIES"]
+
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 1024 tokens."""
@@ -42,17 +45,6 @@ def op5_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archives.read(index).drop("url", "payload")
 
 
-OP5_SQL = """
-WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
-r AS (SELECT page_id, n, sha1(html) AS digest FROM p),
-m AS (SELECT digest, max(page_id) AS response FROM r WHERE n >= 1000 GROUP BY digest)
-SELECT r.page_id, CAST(r.n AS BIGINT) AS payload_bytes, r.digest AS payload_digest,
-  CASE WHEN m.response <> r.page_id THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN m.response <> r.page_id THEN m.response END AS refers_to
-FROM r LEFT JOIN m ON r.digest = m.digest
-"""
-
-
 def op6_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in all documents."""
     found = private_data.spans(table(spark, sf_dir, "documents"))
@@ -93,7 +85,3 @@ QUERIES = {
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
-
-ORACLE_SQL: dict[str, str] = {
-    "op5_warc_bundles": OP5_SQL,
-}
