@@ -75,10 +75,10 @@ def bfs(edges: DataFrame, seeds: DataFrame, *, src: str = "src", dst: str = "dst
     return seen
 
 
-def reverse_chains(calls: DataFrame, target: str, tests: DataFrame, max_depth: int = 100) -> DataFrame:
+def reverse_chains(calls: DataFrame, target: str, tests: DataFrame, max_depth: int = 100, most: int = 100_000) -> DataFrame:
     """Chains from tests to the target: the reverse breadth-first tree from the target, never left through a test, and
     for each edge from a test into the tree that edge followed by the tree path. (chain_id, test, depth, virtual_steps,
-    steps) in order of depth, virtual steps and discovery. `calls` has (caller, callee, virtual, ord), `tests` (node)."""
+    steps), the first `most` in order of depth, virtual steps and discovery. `calls` has (caller, callee, virtual, ord), `tests` (node)."""
     spark = calls.sparkSession
     seed = spark.createDataFrame([(target,)], "node string").select(F.col("node").cast(calls.schema["callee"].dataType).alias("node"))
     tree = bfs(calls.select("caller", "callee", "virtual", "ord"), seed, src="callee", dst="caller", order=["virtual", "ord"], stop=tests, max_depth=max_depth)
@@ -96,7 +96,9 @@ def reverse_chains(calls: DataFrame, target: str, tests: DataFrame, max_depth: i
     entry = calls.select("caller", "callee", "virtual").distinct().join(tests.select(F.col("node").alias("caller")).distinct(), "caller", "left_semi").where(F.col("caller") != F.col("callee"))
     found = entry.join(all_paths.select(F.col("node").alias("callee"), "seq", "steps"), "callee").select(F.col("caller").alias("test"), "seq", F.col("virtual"), F.concat(F.array(step), "steps").alias("steps"))
     found = found.withColumns({"depth": F.size("steps"), "virtual_steps": F.size(F.filter("steps", lambda s: s["virtual"]))})
-    rank = Window.orderBy("depth", "virtual_steps", "seq", "test", "virtual")
+    order = ["depth", "virtual_steps", "seq", "test", "virtual"]
+    rank = Window.orderBy(*order)
+    found = found.orderBy(*order).limit(most)  # a distributed top-n, so numbering sees no more rows than that
     return found.withColumn("chain_id", F.row_number().over(rank).cast("long") - 1).select("chain_id", "test", "depth", "virtual_steps", "steps")
 
 
