@@ -77,6 +77,32 @@ def test_resolution_and_snippets():
     assert "9" in java.replaced_body(SOURCE, "add", "return 9;")
 
 
+def test_chop_and_requirements(spark, files):
+    from tracewell.operators.chains import implied_requirements
+    from tracewell.plans.reports import chop_report
+
+    calls = spark.createDataFrame([("p.Tbl.checks", "p.Tbl.put", False), ("p.Tbl.twice", "p.Tbl.put", False), ("p.Tbl.put", "p.Tbl.add", False)], "caller string, callee string, virtual boolean")
+    out = chop_report(files, calls, "p.Tbl.put")
+    assert {r["method"] for r in out["methods"].collect()} == {"p.Tbl.put", "p.Tbl.checks", "p.Tbl.twice"}
+    assert {r["layer"] for r in out["edges"].collect()} == {"CFG", "CDG", "DDG", "CG", "ARG_PASS", "RETURN_BIND"}
+    reach = {(r["stmt"], r["node"]) for r in out["touched"].collect()}
+    assert ("p.Tbl.put#5", "p.Tbl.put#0") in reach and ("p.Tbl.put#2", "p.Tbl.put#1") in reach
+    assert out["cytoscape"].count() > 10
+    need = {tuple(r) for r in implied_requirements(java.usages_table(files, "put"), java.catches_table(files, "put")).collect()}
+    assert ("p.Tbl.add", "only side effects are observed") in need and ("p.Tbl.twice", "exceptions are caught: IllegalStateException, RuntimeException") in need
+    b = {r["method"]: r for r in java.bodies_table(files, "put").collect()}
+    assert "t.put(7" in b["p.Tbl.twice"]["consumer_body"] and "p.Tbl.put" not in b
+    assert java.consumer_body(SOURCE, "put", "add", whole=2).count("// ...") == 2 and java.test_region(SOURCE, "put", whole=1).endswith("return row * limit")
+
+
+def test_strip_sections(spark):
+    from tracewell.sources import text
+
+    doc = "# A\n\n\nx\n## Drop me\ny\n### Below\nz\n## Keep\nw"
+    got = [r["text"] for r in text.strip_sections(text.numbered(spark, doc).withColumnRenamed("value", "text"), "Drop").orderBy("n").collect()]
+    assert got == ["# A", "", "x", "## Keep", "w"]
+
+
 def test_streams(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.tsv").write_text("m\tt\touter\nm\tt\touter\nm\tu\tinner\n")

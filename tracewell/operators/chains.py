@@ -146,3 +146,22 @@ def test_command_classes(tests: DataFrame) -> DataFrame:
 def display(column: str) -> Column:
     """Class and method for people."""
     return class_and_method(column)
+
+
+def implied_requirements(usages: DataFrame, catches: DataFrame) -> DataFrame:
+    """(consumer, requirement) that callers' usages (consumer, kind, field) and handlers (consumer, type) put on the target."""
+    per = usages.groupBy("consumer").agg(F.collect_set("kind").alias("kinds"), F.array_sort(F.collect_set("field")).alias("fields"))
+    handled = catches.groupBy("consumer").agg(F.array_sort(F.collect_set("type")).alias("types"))
+    rows = per.join(handled, "consumer", "left")
+    has = lambda *k: F.arrays_overlap("kinds", F.lit(list(k)))
+    fields = F.array_join("fields", ", ")
+    texts = F.array(
+        F.when(has("FIELD_READ", "METHOD_CALL_ON_RESULT"), F.concat(F.lit("result is never null: "), F.when(F.size("fields") > 0, fields).otherwise("it is dereferenced"))),
+        F.when(F.size("fields") > 0, F.concat(F.lit("fields of the result are observed: "), fields)),
+        F.when(has("USED_IN_CONDITION", "USED_IN_LOOP"), F.lit("result steers the caller's control flow")),
+        F.when(has("RETURNED_UNCHANGED"), F.lit("result is the caller's result")),
+        F.when(has("PASSED_AS_ARG"), F.lit("result goes on to another method")),
+        F.when(has("DISCARDED") & (F.size("kinds") == 1), F.lit("only side effects are observed")),
+        F.when(F.size("types") > 0, F.concat(F.lit("exceptions are caught: "), F.array_join("types", ", "))).otherwise(F.lit("exceptions reach the caller")),
+    )
+    return rows.select("consumer", F.explode(F.array_compact(texts)).alias("requirement"))

@@ -45,7 +45,7 @@ def control_flow(statements: DataFrame) -> DataFrame:
             return entries
 
         link(blocks.get((-1, "body"), []), [])
-        return pd.DataFrame({"method": [rows[0]["method"]] * len(out), "src": [a for a, _ in sorted(out)], "dst": [b for _, b in sorted(out)]})
+        return pd.DataFrame({"method": pd.Series([rows[0]["method"]] * len(out), dtype=object), "src": [a for a, _ in sorted(out)], "dst": [b for _, b in sorted(out)]})
 
     return statements.groupBy("method").applyInPandas(build, "method string, src int, dst int")
 
@@ -93,7 +93,7 @@ def control_dependence(cfg: DataFrame) -> DataFrame:
                         if at != a:
                             out.add((a, at))
                         at = nearest[at]
-        return pd.DataFrame({"method": [pdf["method"].iloc[0]] * len(out), "src": [a for a, _ in sorted(out)], "dst": [b for _, b in sorted(out)]})
+        return pd.DataFrame({"method": pd.Series([pdf["method"].iloc[0]] * len(out), dtype=object), "src": [a for a, _ in sorted(out)], "dst": [b for _, b in sorted(out)]})
 
     return cfg.groupBy("method").applyInPandas(build, "method string, src int, dst int")
 

@@ -29,7 +29,7 @@ def bootstrap(runs: DataFrame, resamples: int = 1000, level: float = 0.95, seed:
                 means = np.random.default_rng(seed).binomial(n, k / n, resamples) / n if n else np.zeros(1)
                 low.append(float(np.quantile(means, (1 - level) / 2)))
                 high.append(float(np.quantile(means, 1 - (1 - level) / 2)))
-            yield pdf.assign(low=low, high=high)[["arm", "low", "high"]]
+            yield pdf.assign(low=low, high=high)[["arm", "low", "high"]].astype({"arm": object})
 
     counts = runs.groupBy("arm").agg(F.count("passed").alias("n"), F.count(F.when(F.col("passed"), 1)).alias("k"))
     return counts.mapInPandas(draw, "arm string, low double, high double")

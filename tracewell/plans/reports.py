@@ -149,3 +149,29 @@ def pool(target: str, values: DataFrame, coverage: DataFrame, failures: DataFram
     nodes, edges = kg.build(target, values, coverage, failures, covering, kg.exemplars(covering))
     sinks.write_tables(folder, kg_nodes=nodes, kg_edges=edges, universe=kg.universe_by_class(covering))
     sinks.write_failures(failures, f"{folder}/failures")
+
+
+def chop_report(files: DataFrame, calls: DataFrame, target: str, max_methods: int = 500, layers: list[str] | None = None) -> dict:
+    """The chop of a target from sources (file, content) and named calls (caller, callee, virtual): callers by reverse
+    search, each one's control flow and dependences, their composition, and what each target statement touches."""
+    from ..functions.predicates import layers as checked
+    from ..operators import dependence as dp
+    from ..operators.traverse import reachable_callers
+    from ..sources import java
+
+    near = reachable_callers(calls, calls.sparkSession.createDataFrame([(target,)], "node string"), max_methods=max_methods).select(F.col("node").alias("method"))
+    inside = lambda df: df.join(near, "method", "left_semi")
+    statements, exprs = inside(java.statements_table(files)).cache(), inside(java.expressions_table(files)).cache()
+    flow = dp.control_flow(statements).cache()
+    node = lambda c: F.concat_ws("#", "method", F.col(c).cast("string"))
+    layer = lambda df, name: df.select(F.lit(name).alias("layer"), node("src").alias("src"), node("dst").alias("dst"))
+    pdg = layer(flow, "CFG").union(layer(dp.control_dependence(flow), "CDG")).union(layer(dp.data_dependence(exprs), "DDG"))
+    sites = exprs.where("kind = 'CALLSITE'").select("method", F.col("name").alias("callee_name"), node("stmt_ordinal").alias("node")).distinct()
+    params = exprs.where("kind = 'PARAM'").select("method", node("stmt_ordinal").alias("node")).distinct()
+    returns = exprs.where("kind = 'RETURN_VALUE'").select("method", node("stmt_ordinal").alias("node")).distinct()
+    known = calls.join(near.select(F.col("method").alias("caller")), "caller", "left_semi").join(near.select(F.col("method").alias("callee")), "callee", "left_semi")
+    edges = dp.compose(pdg, known, sites, params, returns).cache()
+    own = statements.where(F.col("method") == target).select(node("ordinal").alias("stmt"), node("ordinal").alias("node"))
+    bridge = dp.touched(edges, own)
+    shown = dp.view(edges, layers=checked(layers) if layers else None)
+    return {"methods": near, "statements": statements, "edges": shown, "touched": bridge, "cytoscape": sinks.cytoscape(statements.select(node("ordinal").alias("id"), "kind", F.col("text").alias("label")), shown)}

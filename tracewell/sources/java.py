@@ -387,7 +387,7 @@ def _table(files: DataFrame, schema: str, rows) -> DataFrame:
             for file, text in zip(pdf["file"], pdf["content"]):
                 text = text or ""
                 out += rows(file, text, masked(text), scan_methods(text))
-            yield pd.DataFrame(out, columns=names)
+            yield pd.DataFrame(out, columns=names, dtype=object)
 
     return files.select("file", "content").mapInPandas(read, schema)
 
@@ -532,7 +532,7 @@ def snippets_table(files: DataFrame, wanted: DataFrame, most: int = 12) -> DataF
     def read(batches) -> Iterator:
         for pdf in batches:
             found = [snippet(t or "", int(n), most) for t, n in zip(pdf["content"], pdf["line"])]
-            yield pdf.assign(code=[a for a, _ in found], cut=[b for _, b in found])[["key", "code", "cut"]]
+            yield pdf.assign(code=[a for a, _ in found], cut=[b for _, b in found])[["key", "code", "cut"]].astype(object)
 
     return wanted.join(files, "file").select("key", "content", "line").mapInPandas(read, "key string, code string, cut boolean")
 
@@ -553,3 +553,37 @@ def replaced_body(text: str, name: str, body: str) -> str:
     if m is None:
         raise ValueError(f"no method {name}")
     return text[: m["open"] + 1] + "\n" + body.rstrip() + "\n" + text[m["end"] :]
+
+
+def consumer_body(text: str, name: str, callee: str, whole: int = 30) -> str:
+    """A caller's body: in full up to `whole` statements, else the statements that call, return, throw or break."""
+    mask = masked(text)
+    m = next((m for m in scan_methods(text) if m["name"] == name), None)
+    if m is None:
+        return ""
+    own = statements(text, mask, m["open"] + 1, m["end"])
+    if len(own) <= whole:
+        return text[m["start"] : m["end"] + 1]
+    kept = [s for s in own if s["kind"] in ("RETURN", "THROW", "BREAK") or re.search(rf"\b{callee}\s*\(", mask[s["start"] : s["end"]])]
+    return "\n// ...\n".join(text[s["start"] : s["end"]].strip() for s in kept)
+
+
+def test_region(text: str, name: str, whole: int = 20) -> str:
+    """A test's body: in full up to `whole` statements, else the last ones."""
+    mask = masked(text)
+    m = next((m for m in scan_methods(text) if m["name"] == name), None)
+    if m is None:
+        return ""
+    own = statements(text, mask, m["open"] + 1, m["end"])
+    if len(own) <= whole:
+        return text[m["start"] : m["end"] + 1]
+    return "// ...\n" + "\n".join(text[s["start"] : s["end"]].strip() for s in own[-whole:])
+
+
+def bodies_table(files: DataFrame, callee: str) -> DataFrame:
+    """(method, consumer_body, test_region) of methods that call a name."""
+
+    def rows(file, text, mask, ms):
+        return [(m["fqn"], consumer_body(text, m["name"], callee), test_region(text, m["name"])) for m in ms if any(c["name"] == callee for c in calls(text, mask, m["open"], m["end"]))]
+
+    return _table(files, "method string, consumer_body string, test_region string", rows)

@@ -117,3 +117,23 @@ def redacted(source_lines: DataFrame, member: str, marker: str = "    // body re
     rows = source_lines.withColumn("island", island)
     hit = F.max(F.col("text").rlike(rf"[\s.]{member}\(") & starts).over(Window.partitionBy("file", "island"))
     return rows.withColumn("hit", hit).select("file", "line", F.when(F.col("hit") & ~starts, F.lit(marker)).otherwise(F.col("text")).alias("text"))
+
+
+def strip_sections(document: DataFrame, drop: str) -> DataFrame:
+    """Markdown lines (n, text) without sections whose heading fits a pattern, sub-sections included; runs of blank lines
+    become one."""
+    level = F.length(F.regexp_extract("text", r"^(#+) ", 1))
+    by = Window.orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = document.withColumns({"level": level, "hit": (level > 0) & F.col("text").rlike(drop)})
+    rows = rows.withColumn("part", F.sum((F.col("level") > 0).cast("int")).over(by))
+    heads = rows.where("level > 0").select("part", "level", "hit")
+    # A section goes if it, or the nearest heading above it of a lesser level that was dropped, is still open.
+    opened = F.last(F.when(F.col("hit"), F.struct("part", "level")), ignorenulls=True).over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    heads = heads.withColumn("open", opened)
+    shut = heads.select(F.col("part").alias("p2"), F.col("level").alias("l2"))
+    ended = heads.join(shut, (F.col("p2") > F.col("open.part")) & (F.col("p2") <= F.col("part")) & (F.col("l2") <= F.col("open.level")), "left").groupBy("part").agg(F.first("open").alias("open"), F.count("p2").alias("n_shut"))
+    gone = ended.where("open is not null and n_shut = 0").select("part")
+    kept = rows.join(gone, "part", "left_anti")
+    blank = F.trim("text") == ""
+    again = blank & F.coalesce(F.trim(F.lag("text").over(Window.orderBy("n"))) == "", F.lit(False))
+    return kept.withColumn("again", again).where("not again").select("n", "text")

@@ -34,7 +34,7 @@ def capped_values(rows: DataFrame, most: int = 6, most_throws: int = 2) -> DataF
             thrown = pdf["throws"].astype(bool)
             keep = ((~thrown).cumsum() + returns <= most) & ~thrown | (thrown.cumsum() + throws <= most_throws) & thrown
             returns, throws = min(most, returns + int((~thrown).sum())), min(most_throws, throws + int(thrown.sum()))
-            yield pdf[keep][["method", "test", "args", "result", "throws"]]
+            yield pdf[keep][["method", "test", "args", "result", "throws"]].astype(object)
         state.update((returns, throws))
 
     schema = "method string, test string, args string, result string, throws boolean"
