@@ -23,7 +23,7 @@ BARE_CHUNK = re.compile(_WORD)
 PLAIN, BARE_PLAIN = re.compile(f" [{LETTERS}]++").fullmatch, re.compile(f"[{LETTERS}]++").fullmatch
 
 #: Chunks up to this length are kept, as longer ones seldom recur, and so many of their characters before a fresh start.
-MEMO_LENGTH, MEMO_CHARS = 10, 1_500_000
+MEMO_LENGTH, MEMO_CHARS = 12, 2_500_000
 
 
 def default_path(name: str) -> str:
