@@ -127,7 +127,7 @@ def _decode(text: str) -> Solution:
     return {tuple(p): n for p, n in json.loads(text)}
 
 
-def search(spark, counts: dict[int, int], capacity: int, islands: int = 4, epochs: int = 3, generations: int = 12, size: int = 6, seed: int = 7) -> Solution:
+def search(spark, counts: dict[int, int], capacity: int, islands: int = 4, epochs: int = 3, generations: int = 100, size: int = 8, seed: int = 7) -> Solution:
     """Islands as Spark tasks with ring migration of elites; what moves is bounded by the number of lengths."""
     if not counts:
         return {}
