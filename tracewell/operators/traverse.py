@@ -43,6 +43,9 @@ def bfs(edges: DataFrame, seeds: DataFrame, *, src: str = "src", dst: str = "dst
     arcs = edges.where(F.col(src) != F.col(dst)).withColumnsRenamed({src: "_from", dst: "_to"}).select("_from", "_to", *(order or [])).distinct()
     if blocked is not None:
         arcs = arcs.withColumnRenamed("_to", dst).where(~blocked).withColumnRenamed(dst, "_to")
+    first = arcs  # seeds are left even where they are stops
+    if stop is not None:
+        arcs = arcs.join(stop.select(F.col("node").alias("_from")).distinct(), "_from", "left_anti")
     arcs = arcs.repartition("_from").persist(StorageLevel.MEMORY_AND_DISK)  # recomputed from its source if an executor is lost
     number = lambda *by: F.row_number().over(Window.partitionBy(*keys).orderBy(*by) if keys else Window.orderBy(*by)).cast("long")
     start = seeds.select(*keys, "node").distinct()
@@ -50,10 +53,7 @@ def bfs(edges: DataFrame, seeds: DataFrame, *, src: str = "src", dst: str = "dst
     seen, depth, met = level, 0, level.count() if max_nodes else 0
     while max_depth is None or depth < max_depth:
         depth += 1
-        open_ = level
-        if stop is not None and depth > 1:
-            open_ = open_.join(stop.select("node").distinct(), "node", "left_anti")
-        found = open_.select(*keys, F.col("node").alias("_from"), F.col("seq").alias("_seq")).join(arcs, "_from")
+        found = level.select(*keys, F.col("node").alias("_from"), F.col("seq").alias("_seq")).join(first if depth == 1 else arcs, "_from")
         pick = found.groupBy(*keys, F.col("_to").alias("node")).agg(F.min(F.struct("_seq", *(order or []), F.col("_from").alias("parent"))).alias("x"))
         fresh = pick.join(seen.select(*keys, "node"), [*keys, "node"], "left_anti")
         # Numbers follow each other within a level; levels are kept apart by a stride, so no count of earlier ones is needed.
