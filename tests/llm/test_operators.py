@@ -467,6 +467,16 @@ def test_verbatim(spark, docs, none, monkeypatch):
     assert verbatim.remove(none).count() == 0
 
 
+def test_verbatim_templated_rows(spark):
+    rng = random.Random(21)
+    fields = rng.sample(range(100_000, 1_000_000), 300)
+    before, after = "station report, the meter reads now ", " units, checked and signed by the desk.\n"
+    rows = [(1, "".join(f"{before}{x}{after}" for x in fields))]
+    rows += [(2 + i, words(rng, 8) + before[-24:] + str(x) + after[:24] + words(rng, 8)) for i, x in enumerate(rng.sample(fields, 100))]
+    got = verbatim.remove(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("h")).collect()
+    assert {r["doc_id"]: {tuple(r)[1:]} for r in got} == brute_removed(rows)
+
+
 # -- shared ---------------------------------------------------------------------------------------
 
 
