@@ -353,6 +353,35 @@ def test_decontamination(spark, docs, none):
     assert decontaminate.overlaps(none, bench).count() == 0 and decontaminate.overlaps(df, bench.limit(0)).count() == 0
 
 
+def test_altered_short_items_are_verified_whole():
+    from tracewell.llm.shingles import word_hashes
+
+    rng = random.Random(31)
+    hit = missed = 0
+    for n in range(13, 21):
+        for changed in (1, 2, 3):
+            for _ in range(30):
+                item = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+                copy = list(item)
+                for j in rng.sample(range(n), changed):
+                    copy[j] = "other"
+                text = " ".join(["before"] * 9 + copy + ["after"] * 9)
+                seeds = decontaminate.Seeds([(1, " ".join(item))])
+                own, doc = word_hashes(" ".join(item)), word_hashes(text)
+                whole = lambda d: [own[j] == doc[j + d] if 0 <= j + d < len(doc) else None for j in range(n)]
+                want = False
+                for _, d in seeds.hits(doc):
+                    same = [x for x in whole(d) if x is not None]
+                    want |= any(sum(same[s:e]) * 5 >= (e - s) * 4 for s in range(len(same)) for e in range(s + 13, len(same) + 1))
+                got = seeds.overlaps(text, 13, 0.8)
+                assert bool(got) == want
+                for _, ds, de, s, e, equal, _ in got:
+                    assert de - ds == e - s >= 13 and equal == sum(own[j] == doc[j + ds - s] for j in range(s, e)) and equal * 5 >= (e - s) * 4
+                if (n - changed) * 5 >= n * 4:
+                    hit, missed = hit + bool(got), missed + (not got)
+    assert missed < 0.1 * (hit + missed)  # by the seeds
+
+
 def test_large_benchmarks_go_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 100)
     rng = random.Random(9)

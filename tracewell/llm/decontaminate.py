@@ -3,7 +3,8 @@
 Each fixed mask looks at some positions of a window of words and ignores the others, so a seed still hits where ignored
 words differ. Seeds of the benchmark are hashed into a table; documents are streamed past it, and around each hit the
 two texts are aligned word by word without gaps: the segment that scores best with +1 for equal and -3 for different
-words is a verified overlap if it is long enough and enough of its words are equal.
+words is a verified overlap if it is long enough and enough of its words are equal. Where it isn't, as in short items with
+changes near an edge, the best stretch of the least length or more on the same diagonal is held to the same similarity.
 
 The table is a broadcast of benchmark items that hold about half of BLOCK_WORDS words; a larger benchmark is worked off
 in several such blocks, each a pass over the documents, so memory is bounded and nothing is left out. No step shuffles documents.
@@ -102,11 +103,27 @@ class Seeds:
             end = int(np.argmax(total - low))
             start = int(np.argmin(total[: end + 1]))
             equal, n = int(same[start:end].sum()), end - start
-            if n >= min(least, len(own)) and equal >= similarity * n and (item not in best or equal > best[item][5]):
+            need = min(least, len(own))
+            if (n < need or equal < similarity * n) and len(same) >= need:
+                start, end = _stretch(same, need, similarity)
+                equal, n = int(same[start:end].sum()), end - start
+            if n >= need and equal >= similarity * n and (item not in best or equal > best[item][5]):
                 best[item] = (self.words[item][0], lo + start + diagonal, lo + end + diagonal, lo + start, lo + end, equal, equal / n)
         return list(best.values())
 
 
+def _stretch(same, need: int, similarity: float) -> tuple[int, int]:
+    """(start, end) of the stretch of at least `need` words whose equal words are most above the similarity; the longest on ties."""
+    import numpy as np
+
+    above = np.r_[0, np.cumsum(same)] - similarity * np.arange(len(same) + 1)
+    above = np.round(above, 9)
+    low = np.minimum.accumulate(above[: len(same) - need + 1])
+    over = np.round(above[need:] - low, 9)
+    end = need + len(over) - 1 - int(np.argmax(over[::-1]))
+    return int(np.argmin(above[: end - need + 1])), end
+
+
 def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
     """Benchmark items in blocks of about half of BLOCK_WORDS words; only one block is held at a time."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_or_empty().alias("text"))
