@@ -260,6 +260,26 @@ def test_url_rules(spark):
     assert url_rules.judge(pages.limit(0), labelled, rules, support=0.2).count() == 0
 
 
+def test_rules_of_any_length_equal_brute_force(spark):
+    from itertools import combinations, product
+
+    urls = [f"http://{h}/{p}?{q}=1" for h, p, q in product(("a", "b"), ("c", "d"), ("e", "f"))]
+    labelled = [(u, u == "http://a/c?e=1") for u in urls for _ in range(4)] + [("http://a/c?f=1", False), ("http://a/d?e=1", False), ("http://b/c?e=1", False)]
+    tokens = {u: frozenset(f"{k}:{x}" for k, x in zip("hpq", re.findall(r"[a-f](?=[/?=])", u))) for u in urls}
+    best: dict = {}
+    for n in (1, 2, 3):
+        for rule in {frozenset(c) for t in tokens.values() for c in combinations(sorted(t), n)}:
+            told = [bad for u, bad in labelled if rule <= tokens[u]]
+            if sum(told) >= 0.1 * len(labelled) and sum(told) >= 0.5 * len(told):
+                for u in urls:
+                    if rule <= tokens[u]:
+                        best[u] = max(best.get(u, 0), sum(told) / len(told))
+    assert best == {"http://a/c?e=1": 1.0}
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = url_rules.judge(pages, spark.createDataFrame(labelled, "url string, bad boolean"), [], support=0.1, confidence=0.5).collect()
+    assert {(urls[r["page_id"]], r["verdict"], r["confidence"]) for r in got} == {(u, "block" if u in best else "allow", best.get(u)) for u in urls}
+
+
 # -- 5: archives ----------------------------------------------------------------------------------
 
 

@@ -52,13 +52,13 @@ def given_rule(rules: list[tuple[str, str, str]], h: Column, p: Column) -> Colum
     return F.array_max(F.array_compact(F.array(*fits)))
 
 
-def mine(labelled: DataFrame, support: float = 0.01, confidence: float = 0.5, most: int = 2) -> DataFrame:
+def mine(labelled: DataFrame, support: float = 0.01, confidence: float = 0.5) -> DataFrame:
     """(rule_id, antecedent, confidence) of rules that conclude "block", from rows (url, bad)."""
     from pyspark.ml.fpm import FPGrowth
 
     baskets = labelled.where("bad is not null and url is not null").select(F.concat(tokens(), F.when(F.col("bad"), F.array(F.lit("=block"))).otherwise(F.array().cast("array<string>"))).alias("items")).where("size(items) > 0")
     rules = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets).associationRules
-    kept = rules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == "=block") & (F.size("antecedent") <= most))
+    kept = rules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == "=block"))
     return kept.select(F.array_join(F.array_sort("antecedent"), " ").alias("rule_id"), "antecedent", "confidence")
 
 
