@@ -49,7 +49,7 @@ def given_rule(rules: list[tuple[str, str, str]], h: Column, p: Column) -> Colum
         F.when(((h == rh) | h.endswith("." + rh)) & p.startswith(rp), F.struct(F.lit(len(rh + rp)).alias("n"), F.lit(rh + rp).alias("rule"), F.lit(verdict).alias("verdict")))
         for verdict, rh, rp in rules
     ]
-    return F.array_max(F.array_compact(F.array(*fits)))
+    return F.array_max(F.array_compact(F.array(*fits).cast("array<struct<n:int,rule:string,verdict:string>>")))
 
 
 def mine(labelled: DataFrame, support: float = 0.01, confidence: float = 0.5) -> DataFrame:
