@@ -168,6 +168,20 @@ def test_queries_equal_sql(spark, tmp_path):
         assert _rows(got[cols]) == _rows(want[cols]), name
 
 
+def test_leak_runs_equal_brute_force(spark, tmp_path):
+    from tracewell.plans import catalog
+
+    words = [f"w{i}" for i in range(20)]
+    items = {1: words, 2: words[:9], 3: ["x", "y", "z"], 4: ["solo"], 5: []}
+    docs = {1: words[1:], 2: ["a", *words[12:], "b"], 3: words[13:], 4: ["a", "x", "y", "z"], 5: ["x", "y", "a", "z"], 6: words[:8], 7: ["solo"], 8: ["xx", "y", "z"], 9: []}
+    for name, key, rows in (("benchmark", "item_id", items), ("documents", "doc_id", docs)):
+        spark.createDataFrame([(k, " ".join(v)) for k, v in rows.items()], f"{key} long, text string").write.parquet(str(tmp_path / f"{name}.parquet"))
+    runs = lambda ws, n: {tuple(ws[i : i + n]) for i in range(len(ws) - n + 1)}
+    want = {(i, d) for i, a in items.items() for d, b in docs.items() if a and runs(a, min(8, len(a))) & runs(b, min(8, len(a)))}
+    got = [(r["item_id"], r["doc_id"]) for r in catalog.leak_runs(spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want) and {(1, 1), (1, 2), (3, 4), (4, 7)} <= want
+
+
 def _rows(df):
     """Rows as sorted text, numbers rounded, nulls alike."""
     import pandas as pd

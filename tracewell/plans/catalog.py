@@ -276,10 +276,14 @@ def collapse_repeats(spark, sf):
 s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 7], ' ') AS g FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 7)) AS i FROM w WHERE len(ws) >= 8))
 SELECT item_id, doc_id FROM b JOIN s ON s.g = array_to_string(head, ' ') WHERE len(head) = 8""")
 def leak_runs(spark, sf):
-    head = F.slice(F.split("text", " ", -1), 1, 8)
-    items = table(spark, sf, "benchmark").select("item_id", head.alias("head")).where("size(head) = 8").select("item_id", F.array_join("head", " ").alias("g"))
-    words = table(spark, sf, "documents").select("doc_id", F.split("text", " ", -1).alias("ws")).where("size(ws) >= 8")
-    grams = words.select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("ws") - 7), lambda i: F.array_join(F.slice("ws", i, 8), " "))).alias("g"))
+    """Pairs of which the document holds any eight words in a row of the item, or the whole of a shorter item."""
+    runs = lambda n: F.transform(F.sequence(F.lit(1), F.size("ws") - n + 1), lambda i: F.array_join(F.slice("ws", i, n), " "))
+    items = table(spark, sf, "benchmark").where("text != ''").select("item_id", F.split("text", " ", -1).alias("ws")).withColumn("n", F.least(F.size("ws"), F.lit(8)))
+    lengths = [r["n"] for r in items.select("n").distinct().collect()]
+    items = items.select("item_id", F.explode(F.array_distinct(runs(F.col("n")))).alias("g"))
+    words = table(spark, sf, "documents").select("doc_id", F.split("text", " ", -1).alias("ws"))
+    found = [F.when(F.size("ws") >= n, runs(F.lit(n))).otherwise(F.array().cast("array<string>")) for n in sorted(lengths)]
+    grams = words.select("doc_id", F.explode(F.concat(F.array().cast("array<string>"), *found)).alias("g"))
     return grams.join(items, "g").select("item_id", "doc_id").distinct()
 
 
