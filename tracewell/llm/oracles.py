@@ -3,17 +3,20 @@
 ASCII = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 OP4 = f"""
-WITH u AS (SELECT page_id, url, translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's'), {ASCII}) AS host, regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path,
+WITH RECURSIVE u AS (SELECT page_id, url, translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's'), {ASCII}) AS host, regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path,
   regexp_extract(coalesce(url, ''), '://[^?#]*\\?([^#]*)', 1, 's') AS qs FROM pages),
 t AS (SELECT DISTINCT url, unnest(list_concat(list_transform(string_split(host, '.'), lambda x: 'h:' || x), list_transform(string_split(path, '/'), lambda x: 'p:' || translate(x, {ASCII})), list_transform(string_split(qs, '&'), lambda x: 'q:' || string_split(x, '=')[1]))) AS tok FROM u WHERE url IS NOT NULL),
 tok AS (SELECT url, tok FROM t WHERE length(tok) > 2),
-train AS (SELECT row_number() OVER () AS id, p.url, l.quality = 0 AS bad FROM labels l JOIN pages p ON p.page_id = l.doc_id WHERE l.quality IS NOT NULL AND p.url IN (SELECT url FROM tok)),
-least AS (SELECT ceil(0.01 * count(*)) AS n FROM train),
-it AS (SELECT id, bad, tok FROM train JOIN tok ON tok.url = train.url),
-r1 AS (SELECT tok AS a, tok AS b, count(*) FILTER (WHERE bad) / CAST(count(*) AS DOUBLE) AS conf FROM it GROUP BY tok HAVING count(*) FILTER (WHERE bad) >= (SELECT n FROM least) AND count(*) FILTER (WHERE bad) / CAST(count(*) AS DOUBLE) >= 0.5 AND count(*) FILTER (WHERE bad) > 0),
-r2 AS (SELECT x.tok AS a, y.tok AS b, count(*) FILTER (WHERE x.bad) / CAST(count(*) AS DOUBLE) AS conf FROM it x JOIN it y ON x.id = y.id AND x.tok < y.tok GROUP BY x.tok, y.tok
-  HAVING count(*) FILTER (WHERE x.bad) >= (SELECT n FROM least) AND count(*) FILTER (WHERE x.bad) / CAST(count(*) AS DOUBLE) >= 0.5 AND count(*) FILTER (WHERE x.bad) > 0),
-f AS (SELECT m.url, max(conf) AS conf FROM (SELECT * FROM r1 UNION ALL SELECT * FROM r2) r JOIN tok m ON m.tok = r.a JOIN tok k ON k.url = m.url AND k.tok = r.b GROUP BY m.url),
+bag AS (SELECT url, list_sort(list(tok)) AS ts FROM tok GROUP BY url),
+train AS (SELECT row_number() OVER () AS id, bag.ts, l.quality = 0 AS bad FROM labels l JOIN pages p ON p.page_id = l.doc_id JOIN bag ON bag.url = p.url WHERE l.quality IS NOT NULL),
+rate AS (SELECT count(*) FILTER (WHERE bad) AS bad, count(*) AS n, greatest(3, CAST(ceil(0.0005 * count(*) FILTER (WHERE bad)) AS BIGINT)) AS least FROM train),
+s(id, ts, chosen, last) AS (SELECT id, ts, CAST([] AS VARCHAR[]), 0 FROM train WHERE bad UNION ALL
+  SELECT id, ts, list_append(chosen, ts[j]), j FROM (SELECT id, ts, chosen, unnest(generate_series(last + 1, len(ts))) AS j FROM s)),
+sets AS (SELECT chosen, count(*) AS bad FROM s WHERE len(chosen) > 0 GROUP BY chosen HAVING count(*) >= (SELECT least FROM rate)),
+held AS (SELECT chosen, any_value(sets.bad) AS k, CAST(count(*) AS DOUBLE) AS n FROM sets JOIN train ON list_has_all(train.ts, sets.chosen) GROUP BY chosen),
+rules AS (SELECT chosen, k / n AS conf FROM held WHERE k / n >= 0.5
+  AND round((k / n + 1.96 * 1.96 / (2 * n) - 1.96 * sqrt(k / n * (1 - k / n) / n + 1.96 * 1.96 / (4 * n * n))) / (1 + 1.96 * 1.96 / n), 12) > (SELECT round(bad / CAST(n AS DOUBLE), 12) FROM rate)),
+f AS (SELECT bag.url, max(conf) AS conf FROM bag JOIN rules ON list_has_all(bag.ts, rules.chosen) GROUP BY bag.url),
 g(verdict, h, p) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
 b AS (SELECT host, path, max_by(h || p, length(h || p)) AS rule, max_by(verdict, length(h || p)) AS verdict FROM (SELECT DISTINCT host, path FROM u) x JOIN g ON (x.host = g.h OR ends_with(x.host, '.' || g.h)) AND starts_with(x.path, g.p) GROUP BY host, path)
 SELECT u.page_id, u.host, u.path, b.rule, coalesce(b.verdict, CASE WHEN f.conf IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict, CASE WHEN b.rule IS NULL THEN f.conf END AS confidence

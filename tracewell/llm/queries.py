@@ -36,7 +36,7 @@ def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's url judged by given rules, then by rules mined from the labels of pages of poor quality."""
     pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
     labelled = pages.select(F.col("page_id").alias("doc_id"), "url").join(labels, "doc_id").select("url", (F.col("quality") == 0).alias("bad"))
-    return url_rules.judge(pages, labelled, RULES, support=0.01, confidence=0.5)
+    return url_rules.judge(pages, labelled, RULES)
 
 
 def op5_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,23 +1,33 @@
 """URL filters by association rules, with DataFrame functions alone.
 
-A url's tokens are its host's labels, its path's segments and its query's keys. FP-growth mines token combinations from
-labelled urls; rules that conclude "block" are pruned by support and confidence. They match through an inverted index from
-token to rule: a rule fires where as many distinct tokens of a url lead to it as it has. Given host and path rules go
-first: the longest that fits decides.
+A url's tokens are its host's labels, its path's segments and its query's keys. FP-growth mines the token combinations of
+the labelled urls that are bad; how many labelled urls hold a combination at all gives its confidence. Rules that
+conclude "block" are pruned by
 
-What FP-growth hands on is bounded by the support threshold: an item set needs `support` of the labelled urls.
+* support: at least `least` bad urls, and at least `share` of all bad ones, which bounds what FP-growth hands on;
+* confidence: at least `confidence` of the urls that hold the combination are bad;
+* chance: the lower end of the score interval (`z` standard errors) of that share lies above the share of bad urls among
+  all labelled ones, so that a combination seen three times needs more than one seen a thousand times.
+
+Rules have any number of tokens. They match through an inverted index from a rule's rarest token to the rule: a url looks
+up its tokens and is held against the other tokens of the rules it meets. Given host and path rules go first: the longest
+that fits decides.
 
 Cases: a null url, or one without "://", has an empty host and path and no tokens, so no rule fits it and it is allowed;
-repeated rows are judged each; without labels no rules are mined; an empty table gives an empty result; further columns
-are ignored.
+a very long url is read whole; of given rules of one length the first in order of (rule, verdict) from the end decides; of
+mined rules that fire the best confidence is reported, ties are equal; repeated rows are judged each and repeated labelled
+urls count each; without labels, or without bad ones, no rules are mined; an empty table gives an empty result; further
+columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import configure, materialize
+from .common import configure, drop_materialized, materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows of the rule index up to which it is broadcast; a larger one is joined by shuffle.
@@ -52,23 +62,55 @@ def given_rule(rules: list[tuple[str, str, str]], h: Column, p: Column) -> Colum
     return F.array_max(F.array_compact(F.array(*fits).cast("array<struct<n:int,rule:string,verdict:string>>")))
 
 
-def mine(labelled: DataFrame, support: float = 0.01, confidence: float = 0.5) -> DataFrame:
-    """(rule_id, antecedent, confidence) of rules that conclude "block", from rows (url, bad)."""
+def lower_bound(hits: Column, n: Column, z: float) -> Column:
+    """The lower end of the score interval of a share of hits among n."""
+    p, zz = hits / n, z * z
+    return (p + zz / (2 * n) - z * F.sqrt(p * (1 - p) / n + zz / (4 * n * n))) / (1 + zz / n)
+
+
+def keyed(rules: DataFrame, counts: DataFrame) -> DataFrame:
+    """The inverted index: each rule under its token that fewest urls hold. `counts` has (token, n)."""
+    flat = rules.select("rule_id", F.explode("antecedent").alias("token")).join(counts, "token")
+    rarest = flat.groupBy("rule_id").agg(F.min(F.struct("n", "token"))["token"].alias("token"))
+    return rules.join(rarest, "rule_id")
+
+
+def matches(urls: DataFrame, index: DataFrame) -> DataFrame:
+    """Rows of (url, tokens, ...) with each rule of the index whose tokens the url has."""
+    small = index.count() <= BROADCAST_ROWS
+    looked = urls.withColumn("token", F.explode("tokens"))
+    return looked.join(F.broadcast(index) if small else index, "token").where(F.size(F.array_except("antecedent", "tokens")) == 0).drop("token")
+
+
+def mine(labelled: DataFrame, least: int = 3, share: float = 0.0005, confidence: float = 0.5, z: float = 1.96) -> DataFrame:
+    """(rule_id, antecedent, token, bad, n, confidence) of rules that conclude "block", from rows (url, bad); `token` is
+    the one to look a rule up by."""
     from pyspark.ml.fpm import FPGrowth
 
-    baskets = labelled.where("bad is not null and url is not null").select(F.concat(tokens(), F.when(F.col("bad"), F.array(F.lit("=block"))).otherwise(F.array().cast("array<string>"))).alias("items")).where("size(items) > 0")
-    rules = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets).associationRules
-    kept = rules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == "=block"))
-    return kept.select(F.array_join(F.array_sort("antecedent"), " ").alias("rule_id"), "antecedent", "confidence")
+    spark = labelled.sparkSession
+    known = labelled.where("bad is not null and url is not null").select("bad", tokens().alias("tokens")).where("size(tokens) > 0")
+    known = materialize(known.groupBy("tokens").agg(F.count("*").alias("n"), F.count(F.when(F.col("bad"), 1)).alias("bad")), "labelled-urls")
+    total, bad = known.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("bad"), F.lit(0))).first()
+    if not bad:
+        return spark.createDataFrame([], "rule_id string, antecedent array<string>, token string, bad long, n long, confidence double")
+    support = max(least, math.ceil(share * bad))
+    baskets = known.where("bad > 0").select(F.explode(F.array_repeat("tokens", F.col("bad").cast("int"))).alias("items"))
+    sets = FPGrowth(itemsCol="items", minSupport=min(1.0, (support - 0.5) / bad)).fit(baskets).freqItemsets
+    sets = materialize(sets.where(F.col("freq") >= support).select(F.array_sort("items").alias("antecedent"), F.col("freq").alias("bad")).withColumn("rule_id", F.array_join("antecedent", " ")), "item-sets")
+    counts = known.select("n", F.explode("tokens").alias("token")).groupBy("token").agg(F.sum("n").alias("n"))
+    index = materialize(keyed(sets, counts), "item-index")
+    held = matches(known.select("tokens", F.col("n").alias("times")), index.select("token", "rule_id", "antecedent")).groupBy("rule_id").agg(F.sum("times").alias("n"))
+    rules = index.join(held, "rule_id").withColumn("confidence", F.col("bad") / F.col("n"))
+    fit = (F.col("confidence") >= confidence) & (F.round(lower_bound(F.col("bad"), F.col("n"), z), 12) > F.round(F.lit(bad / total), 12))
+    done = materialize(rules.where(fit).select("rule_id", "antecedent", "token", "bad", "n", "confidence"), "rules")
+    drop_materialized(spark, known, sets, index)
+    return done
 
 
 def fired(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """(url, confidence) of the distinct urls for which a mined rule fires; confidence is the best rule's."""
-    index = materialize(rules.select(F.explode("antecedent").alias("token"), "rule_id", "confidence", F.size("antecedent").alias("size")), "rule-index")
-    small = index.count() <= BROADCAST_ROWS
-    own = urls.where("url is not null").distinct().select("url", F.explode(tokens()).alias("token"))
-    met = own.join(F.broadcast(index) if small else index, "token").groupBy("url", "rule_id").agg(F.count("*").alias("met"), F.first("size").alias("size"), F.first("confidence").alias("confidence"))
-    return met.where("met = size").groupBy("url").agg(F.max("confidence").alias("confidence"))
+    own = urls.where("url is not null").distinct().select("url", tokens().alias("tokens"))
+    return matches(own, rules.select("token", "antecedent", "confidence")).groupBy("url").agg(F.max("confidence").alias("confidence"))
 
 
 def judge(pages: DataFrame, labelled: DataFrame, rules: list[tuple[str, str, str]], **options) -> DataFrame:
