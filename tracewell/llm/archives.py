@@ -5,8 +5,12 @@ public seekable format), and an index beside each bundle maps record ids to a fr
 fetches the footer, then the one frame that holds a record. Equal payloads of at least `least` bytes are stored once: the
 record with the largest page_id is the response, others revisit it.
 
-Cases: null html is an empty payload, a null url an empty target; a null page_id never is the response while another
-page has the payload; repeated rows of the response's page_id are responses each; an empty table gives no bundles and an
+Each bundle starts with a record that describes it. A record id is the page's id, the bundle's and a number, so repeated
+rows of a page have ids of their own; a revisit names the page that it refers to.
+
+Cases: null html is an empty payload, a null url an empty target; a payload of any length is one record, and a frame of its
+own where it is longer than a frame; a null page_id never is the response while another page has the payload; of equal
+payloads the largest page_id decides, and repeated rows of it are responses each; an empty table gives no bundles and an
 empty result; further columns are ignored.
 """
 
@@ -45,18 +49,26 @@ def classify(pages: DataFrame, least: int = 1000) -> DataFrame:
     return joined.select("page_id", "url", "html", "bytes", "digest", F.when(refers.isNotNull(), "revisit").otherwise("response").alias("record_type"), refers.alias("refers_to"))
 
 
-def record_id(page_id) -> str:
-    return f"<urn:page:{'none' if page_id is None else page_id}>"
+def page_name(page_id) -> str:
+    """What a record id starts with, and what a revisit refers to."""
+    return f"urn:page:{'none' if page_id is None else page_id}"
+
+
+def described(bundle: str) -> bytes:
+    """The record that starts a bundle."""
+    block = b"software: seekable Zstandard bundles\r\nformat: WARC File Format 1.1\r\n"
+    fields = [("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:bundle:{bundle}>"), ("WARC-Date", DATE), ("Content-Type", "application/warc-fields"), ("Content-Length", str(len(block)))]
+    return "\r\n".join([VERSION, *(f"{k}: {v}" for k, v in fields)]).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def record(page_id, url: str, html: bytes, n: int, digest: str, kind: str, refers_to) -> bytes:
+def record(name: str, url: str, html: bytes, n: int, digest: str, kind: str, refers_to) -> bytes:
     """One WARC record; a revisit has the HTTP head but no payload."""
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {n}\r\n\r\n".encode()
     block = head if kind == "revisit" else head + html
     target = url.replace("\r", "%0D").replace("\n", "%0A")
-    fields = [("WARC-Type", kind), ("WARC-Record-ID", record_id(page_id)), ("WARC-Date", DATE), ("WARC-Target-URI", target), ("WARC-Payload-Digest", f"sha1:{digest}"), ("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))]
+    fields = [("WARC-Type", kind), ("WARC-Record-ID", f"<{name}>"), ("WARC-Date", DATE), ("WARC-Target-URI", target), ("WARC-Payload-Digest", f"sha1:{digest}"), ("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))]
     if kind == "revisit":
-        fields[4:4] = [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", record_id(refers_to))]
+        fields[4:4] = [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", f"<{page_name(refers_to)}>")]
     return "\r\n".join([VERSION, *(f"{k}: {v}" for k, v in fields)]).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -71,7 +83,7 @@ def parse(data: memoryview | bytes, at: int = 0) -> tuple[dict[str, str], bytes,
     start = end + 4
     stop = start + int(fields["Content-Length"])
     block = data[start:stop]
-    cut = block.index(b"\r\n\r\n") + 4
+    cut = block.index(b"\r\n\r\n") + 4 if fields["WARC-Type"] != "warcinfo" else 0
     return fields, block[:cut], block[cut:], stop + 4
 
 
@@ -143,7 +155,7 @@ class BundleReader:
         return parse(self.frame(k), offset)
 
 
-INDEX = "page_id long, bundle string, frame int, offset long"
+INDEX = "page_id long, record_id string, bundle string, frame int, offset long"
 
 
 def write(classified: DataFrame, folder: str | None = None, frame_bytes: int = 1 << 20) -> DataFrame:
@@ -158,15 +170,21 @@ def write(classified: DataFrame, folder: str | None = None, frame_bytes: int = 1
         import pyarrow as pa
         from pyspark import TaskContext
 
-        uri, writer = f"{folder}/bundle-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.zst", None
+        own = uuid.uuid4().hex
+        uri, writer = f"{folder}/bundle-{TaskContext.get().partitionId():06d}-{own}.warc.zst", None
+        n = 0
         for batch in batches:
             places = []
-            for row in zip(*(batch.column(i).to_pylist() for i in range(7))):
-                writer = writer or BundleWriter(uri, frame_bytes)
-                places.append((row[0], uri, *writer.add(record(*row))))
+            for page_id, *row in zip(*(batch.column(i).to_pylist() for i in range(7))):
+                if writer is None:
+                    writer = BundleWriter(uri, frame_bytes)
+                    writer.add(described(own))
+                name = f"{page_name(page_id)}:{own}:{n}"
+                places.append((page_id, name, uri, *writer.add(record(name, *row))))
+                n += 1
             if places:
-                columns = list(zip(*places))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.string(), pa.int32(), pa.int64()))], names=["page_id", "bundle", "frame", "offset"])
+                kinds = (pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*places), kinds)], names=[x.split()[0] for x in INDEX.split(", ")])
         if writer:
             writer.close()
 
@@ -177,14 +195,17 @@ def write(classified: DataFrame, folder: str | None = None, frame_bytes: int = 1
 def read(index: DataFrame) -> DataFrame:
     """Every record from the bundles: page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to.
     Frames are dealt out to tasks; digests of stored payloads are computed anew and held against the record's."""
-    frames = index.groupBy("bundle", "frame").agg(F.count("*").cast("int").alias("records"))
+    frames = materialize(index.groupBy("bundle", "frame").agg(F.count("*").cast("int").alias("records")), "frames")
+    n = max(1, frames.count())
+    n = min(n, max(1000, n // 16))  # stated, as adaptive execution would merge tasks for their small input
+    frames = frames.repartitionByRange(n, "bundle", "frame")
 
     def records(batches) -> Iterator:
         import hashlib
 
         import pyarrow as pa
 
-        number = lambda x: None if x == "none" else int(x)
+        number = lambda x: None if x.strip("<>").split(":")[2] == "none" else int(x.strip("<>").split(":")[2])
         readers: dict[str, BundleReader] = {}
         for batch in batches:
             for row in batch.to_pylist():
@@ -193,12 +214,14 @@ def read(index: DataFrame) -> DataFrame:
                 data, at, out = readers[row["bundle"]].frame(row["frame"]), 0, []
                 while at < len(data):
                     fields, head, payload, at = parse(data, at)
+                    if fields["WARC-Type"] == "warcinfo":
+                        continue
                     stated = fields["WARC-Payload-Digest"].removeprefix("sha1:")
                     n = int(dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:] if x)["Content-Length"])
                     if fields["WARC-Type"] == "response" and (len(payload), hashlib.sha1(payload).hexdigest()) != (n, stated):
                         raise ValueError(f"damaged record {fields['WARC-Record-ID']}")
                     ref = fields.get("WARC-Refers-To")
-                    out.append((number(fields["WARC-Record-ID"][10:-1]), fields["WARC-Target-URI"], payload if fields["WARC-Type"] == "response" else None, n, stated, fields["WARC-Type"], number(ref[10:-1]) if ref else None))
+                    out.append((number(fields["WARC-Record-ID"]), fields["WARC-Target-URI"], payload if fields["WARC-Type"] == "response" else None, n, stated, fields["WARC-Type"], number(ref) if ref else None))
                 if len(out) != row["records"]:
                     raise ValueError(f"frame {row['frame']} of {row['bundle']} has {len(out)} records, not {row['records']}")
                 columns = list(zip(*out))
