@@ -1,12 +1,16 @@
 """Token files: equal-length id sequences and masks as fixed-size lists in Arrow's random-access file format.
 
 Documents are dealt out by ranges of doc_id, so the files in order hold all documents in ascending order. Each file has
-record batches of `rows` sequences of `length` ids (unsigned 16-bit if the vocabulary allows) with a mask that marks real
-ids; only the last sequence of a file is padded. A second file gives each document's place. Readers map the file and
-take any sequence, or any document, without decoding or copying others.
+record batches of `rows` sequences of `length` ids (unsigned 16-bit if the vocabulary allows) with a mask of as many bytes,
+1 for real ids; only the last sequence of a file is padded. A second file gives each document's place. Readers map the
+file and take any sequence with its mask, or any document, as views, without decoding or copying others.
 
-Cases: null text is empty and is written as the end id alone; null doc_ids come first; rows with one doc_id follow each
-other in order of text; an empty table gives no files and an empty result; further columns are ignored.
+Ranges end inside a doc_id too, by the place of a row in the input, so rows without one, or with the same one, spread over
+as many files as they need.
+
+Cases: null text is empty and is written as the end id alone; a text of any length is one document, held once while it is
+encoded; null doc_ids come first; rows with one doc_id follow each other in the order of the input; an empty table gives no
+files and an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +37,7 @@ class ShardWriter:
         self.fs.create_dir(self.path.rpartition("/")[0], recursive=True)
         self.length, self.rows, self.kind = length, rows, np.dtype("<u4" if wide else "<u2")
         ids = pa.list_(pa.uint32() if wide else pa.uint16(), length)
-        self.schema = pa.schema([("ids", ids), ("mask", pa.list_(pa.bool_(), length))])
+        self.schema = pa.schema([("ids", ids), ("mask", pa.list_(pa.uint8(), length))])
         self.index_schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
         self.out = self.fs.open_output_stream(self.path)
         self.writer = pa.ipc.new_file(self.out, self.schema)
@@ -70,8 +74,9 @@ class ShardWriter:
             n = -(-len(own) // self.length)
             padded = np.zeros(n * self.length, self.kind)
             padded[: len(own)] = own
-            mask = np.arange(n * self.length) < len(own)
-            self.writer.write_batch(pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(padded), self.length), pa.FixedSizeListArray.from_arrays(pa.array(mask), self.length)], schema=pa.schema([self.schema.field("ids"), self.schema.field("mask")])))
+            mask = (np.arange(n * self.length) < len(own)).astype("uint8")
+            columns = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (padded, mask)]
+            self.writer.write_batch(pa.RecordBatch.from_arrays(columns, schema=self.schema))
         self.held, self.n_held = [rest], len(rest)
 
     def _flush_places(self) -> None:
@@ -103,24 +108,26 @@ class ShardReader:
         self.rows = self.file.get_batch(0).num_rows if self.batches else 0
 
     def batch(self, k: int):
-        """(ids, mask) of a batch; ids as a two-dimensional view."""
+        """(ids, mask) of a batch as two-dimensional views."""
         b = self.file.get_batch(k)
-        return b.column(0).flatten().to_numpy().reshape(b.num_rows, self.length), b.column(1)
+        return tuple(c.flatten().to_numpy(zero_copy_only=True).reshape(b.num_rows, self.length) for c in b.columns)
 
     def sequence(self, k: int):
         """The k-th sequence and its mask."""
         ids, mask = self.batch(k // self.rows)
-        return ids[k % self.rows], mask[k % self.rows].values.to_numpy(zero_copy_only=False)
+        return ids[k % self.rows], mask[k % self.rows]
 
     def tokens(self, start: int, n: int):
-        """Ids start to start + n of the shard, padding apart."""
+        """Ids start to start + n of the shard; the mask must call all of them real."""
         import numpy as np
 
         size, out = self.rows * self.length, []
         while n > 0:
-            ids = self.batch(start // size)[0].reshape(-1)
+            ids, mask = (x.reshape(-1) for x in self.batch(start // size))
             at = start % size
             own = ids[at : at + n]
+            if not len(own) or not mask[at : at + n].all():
+                raise ValueError(f"ids {start} to {start + n} are not all in the file")
             out.append(own)
             start, n = start + len(own), n - len(own)
         return out[0] if len(out) == 1 else np.concatenate(out or [np.zeros(0, "<u2")])
@@ -152,10 +159,10 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 2, length: int = 1024,
             writer.close()
             yield pa.RecordBatch.from_pylist([{"part": part, "path": uri, "documents": writer.documents, "tokens": writer.tokens}], schema=pa.schema([("part", pa.int32()), ("path", pa.string()), ("documents", pa.int64()), ("tokens", pa.int64())]))
 
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), F.monotonically_increasing_id().alias("at"))
     parts = max(1, plain.rdd.getNumPartitions())
-    ordered = plain.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    return materialize(ordered.mapInArrow(shard, MANIFEST), "token-manifest")
+    ordered = plain.repartitionByRange(parts, "doc_id", "at").sortWithinPartitions("doc_id", "at")
+    return materialize(ordered.select("doc_id", "text").mapInArrow(shard, MANIFEST), "token-manifest")
 
 
 def read(manifest: DataFrame) -> DataFrame:

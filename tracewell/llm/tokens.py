@@ -2,7 +2,11 @@
 
 No rule of the supported tokenizers spans a change from non-space to space, or from a letter to ASCII punctuation or
 digits: their pre-tokenizers cut there and their normalisers (NFC, lower case, white space) act within a chunk. So the
-ids of a text are the ids of its chunks in a row, and a chunk seen before needs no second encoding. Tests hold this against encoding whole texts.
+ids of a text are the ids of its chunks in a row, and a chunk seen before needs no second encoding. Tests hold this against
+encoding whole texts with a fresh tokenizer.
+
+The strings of special tokens in a text are ordinary text, as the notes that come with the vocabulary files set it
+(`encode_special_tokens = True`); with `special_text=False` they become the special ids, as in the library's bare call.
 """
 
 from __future__ import annotations
@@ -36,14 +40,16 @@ def default_path(name: str) -> str:
 class ChunkEncoder:
     """Encodes texts to little-endian unsigned 32-bit ids, as bytes."""
 
-    _made: dict[str, "ChunkEncoder"] = {}
+    _made: dict[tuple[str, bool], "ChunkEncoder"] = {}
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_text: bool = True):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = special_text
+        added = [] if special_text else [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(added), re.IGNORECASE).search if added else None
         self.memo: dict[str, bytes] = {}
         self.held = 0
         self._prepare()
@@ -61,14 +67,16 @@ class ChunkEncoder:
             self.edge[i] = token.endswith("</w>") if self.bare else token.startswith("\u0120")
 
     @classmethod
-    def of(cls, path: str) -> "ChunkEncoder":
-        """One encoder for each worker process and vocabulary."""
-        if path not in cls._made:
-            cls._made[path] = cls(path)
-        return cls._made[path]
+    def of(cls, path: str, special_text: bool = True) -> "ChunkEncoder":
+        """One encoder for each worker process, vocabulary and setting."""
+        if (path, special_text) not in cls._made:
+            cls._made[path, special_text] = cls(path, special_text)
+        return cls._made[path, special_text]
 
     def encode(self, text: str) -> bytes:
         """The ids of a whole text; lone surrogates are replaced, as they have no UTF-8 form."""
+        if self.special and self.special(text):
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         chunks, memo = self.chunks(text), self.memo
         missing = set(chunks).difference(memo)
         if missing:
