@@ -13,6 +13,8 @@ from ..session import ship
 
 #: Rows in an Arrow batch handed to Python; documents are wide, so batches stay small.
 BATCH_ROWS = 500
+#: First-level groups of sum_vectors.
+SUBS = 64
 #: Folders made for local applications that name none.
 _local: dict[str, str] = {}
 
@@ -61,6 +63,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def sum_vectors(parts: DataFrame, kind: str) -> DataFrame:
+    """(at, v): sums of vectors (at int, sub int, v binary of `kind`) by `at`, first by `sub` within it. Tasks take them one
+    after another, so none holds more than a vector, however many meet there."""
+
+    def add(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        names = ["at", "sub", "v"]
+        now, total = None, None
+        for batch in batches:
+            for at, sub, v in zip(*(batch.column(c).to_pylist() for c in range(3))):
+                if (at, sub) != now:
+                    if now is not None:
+                        yield pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int32()), pa.array([now[1]], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=names)
+                    now, total = (at, sub), np.frombuffer(v, kind).copy()
+                else:
+                    total += np.frombuffer(v, kind)
+        if now is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int32()), pa.array([now[1]], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=names)
+
+    schema = "at int, sub int, v binary"
+    some = parts.select("at", "sub", "v").repartition("at", "sub").sortWithinPartitions("at", "sub").mapInArrow(add, schema)
+    whole = some.select("at", F.lit(0).alias("sub"), "v").repartition("at").sortWithinPartitions("at").mapInArrow(add, schema)
+    return whole.select("at", "v")
+
+
 def filesystem(uri: str):
     """The Arrow file system and path of a URI; local paths may come without a scheme."""
     from pyarrow import fs

@@ -1,13 +1,15 @@
 """Quality classifier: random Fourier features of document statistics, ridge scores, isotonic calibration.
 
-Statistics of whole texts are mapped to random Fourier features, which approximate a Gaussian kernel. Each partition sums
-its part of the normal equations; the sums meet by matrix row, so no task or driver sees a row a document. The ridge
-solution's raw scores are calibrated on labels apart from those that fit it: counts in fixed score bins, again summed by
-partition, give an isotonic curve. Every labelled row counts; there is no sample.
-
-Cases: null text counts as empty and is scored like any; a null doc_id counts as held out; a document with several
-labels counts with each; rows with a null label are left out of the fit; without labels every score is 0.5; an empty
-table gives an empty result; further columns are ignored by score() and kept by keep().
+Statistics of whole texts are mapped to random Fourier features, which approximate a Gaussian kernel, and a constant; the
+statistics themselves are no features. Each partition sums its part of the normal equations; the sums meet by matrix row
+in two levels, so no task or driver sees a row a document or a vector a partition at once. The ridge solution's raw scores
+are calibrated on labels apart from those that fit it: counts in fixed score bins, summed alike, give an isotonic curve.
+Every labelled row counts; there is no sample.
+
+Cases: null text counts as empty and is scored like any; a text of any length is read whole; a null doc_id counts as held
+out; a document with several labels counts with each; rows with a null label are left out of the fit; documents with equal
+texts have equal scores, and a score at the threshold is accepted; without labels every score is 0.5; an empty table gives
+an empty result; further columns are ignored by score() and kept by keep().
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import configure, materialize, text_or_empty
+from .common import SUBS, configure, drop_materialized, materialize, sum_vectors, text_or_empty
 
 #: Document statistics, in order.
 STATISTICS = [
@@ -59,26 +61,32 @@ def statistics(text: str) -> list[float]:
 
 
 def waves(x, mean, scale):
-    """Random Fourier features, the scaled statistics themselves and a constant."""
+    """Random Fourier features of the scaled statistics, and a constant."""
     import numpy as np
 
     z = np.clip((x - mean) / scale, -6, 6)
     rng = np.random.default_rng(SEED)
     w = rng.standard_normal((z.shape[1], WAVES)) / np.sqrt(z.shape[1])
     phase = rng.random(WAVES) * 2 * np.pi
-    return np.hstack([np.sqrt(2 / WAVES) * np.cos(z @ w + phase), z / 10, np.ones((len(z), 1))])
+    return np.hstack([np.sqrt(2 / WAVES) * np.cos(z @ w + phase), np.ones((len(z), 1))])
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """doc_id and the statistics as a vector of doubles."""
+    """The documents with their statistics as a vector of doubles in a further last column."""
+    from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+
+    at, name = docs.columns.index("text"), "statistics"
+    while name in docs.columns:
+        name += "_"
 
     def rows(batches) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([statistics(t) for t in batch.column(1).to_pylist()], pa.list_(pa.float64()))], names=["doc_id", "x"])
+            found = pa.array([statistics(t or "") for t in batch.column(at).to_pylist()], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, name])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(rows, "doc_id long, x array<double>")
+    return docs.mapInArrow(rows, StructType([*docs.schema.fields, StructField(name, ArrayType(DoubleType()))]))
 
 
 def fold(doc_id="doc_id"):
@@ -86,22 +94,28 @@ def fold(doc_id="doc_id"):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 5
 
 
-def _sum_rows(parts: DataFrame) -> dict:
-    """Add up binary vectors of doubles by key; as many keys as the model has rows."""
+def _sums(parts: DataFrame) -> dict:
+    """Vectors of doubles added up by key, on the driver; as many keys as the model has rows."""
+    import numpy as np
 
-    def add(key, pdf):
-        import numpy as np
-        import pandas as pd
+    return {r["at"]: np.frombuffer(r["v"]) for r in sum_vectors(parts, "f8").collect()}
 
-        return pd.DataFrame({"at": [key[0]], "v": [np.sum([np.frombuffer(x) for x in pdf["v"]], axis=0).tobytes()]})
 
-    import numpy as np
+def _rows_of(matrix):
+    """A batch of a task's part of a sum, by row."""
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    sub = TaskContext.get().partitionId() % SUBS
+    n = len(matrix)
+    return pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array([sub] * n, pa.int32()), pa.array([r.tobytes() for r in matrix], pa.binary())], names=["at", "sub", "v"])
 
-    return {r["at"]: np.frombuffer(r["v"]) for r in parts.groupBy("at").applyInPandas(add, "at int, v binary").collect()}
+
+PART = "at int, sub int, v binary"
 
 
 def fit(described: DataFrame, labels: DataFrame, ridge: float = 1e-2) -> dict | None:
-    """The model from statistics and (doc_id, quality): folds 1 to 3 fit, fold 4 calibrates, fold 0 is never seen."""
+    """The model from (doc_id, x) and (doc_id, quality): folds 1 to 3 fit, fold 4 calibrates, fold 0 is never seen."""
     import numpy as np
 
     known = labels.where("quality is not null").select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("quality") > 0).cast("double").alias("y"))
@@ -114,7 +128,6 @@ def fit(described: DataFrame, labels: DataFrame, ridge: float = 1e-2) -> dict |
 
     def equations(batches) -> Iterator:
         import numpy as np
-        import pyarrow as pa
 
         total = None
         for batch in batches:
@@ -123,9 +136,9 @@ def fit(described: DataFrame, labels: DataFrame, ridge: float = 1e-2) -> dict |
                 both = np.hstack([z, batch.column(1).to_numpy()[:, None]])
                 total = both.T @ both if total is None else total + both.T @ both
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array([r.tobytes() for r in total], pa.binary())], names=["at", "v"])
+            yield _rows_of(total)
 
-    rows = _sum_rows(train.where("fold < 4").select("x", "y").mapInArrow(equations, "at int, v binary"))
+    rows = _sums(train.where("fold < 4").select("x", "y").mapInArrow(equations, PART))
     if not rows:
         return None
     total = np.array([rows[i] for i in range(len(rows))])
@@ -134,16 +147,16 @@ def fit(described: DataFrame, labels: DataFrame, ridge: float = 1e-2) -> dict |
 
     def bins(batches) -> Iterator:
         import numpy as np
-        import pyarrow as pa
 
         total = np.zeros((2, BINS))
         for batch in batches:
             if batch.num_rows:
                 k = _bin(raw(model, np.array(batch.column(0).to_pylist())))
                 total += [np.bincount(k, minlength=BINS), np.bincount(k, batch.column(1).to_numpy(), BINS)]
-        yield pa.RecordBatch.from_arrays([pa.array([0, 1], pa.int32()), pa.array([r.tobytes() for r in total], pa.binary())], names=["at", "v"])
+        yield _rows_of(total)
 
-    seen = _sum_rows(train.where("fold = 4").select("x", "y").mapInArrow(bins, "at int, v binary"))
+    seen = _sums(train.where("fold = 4").select("x", "y").mapInArrow(bins, PART))
+    drop_materialized(labels.sparkSession, train)
     return model | {"curve": isotonic(seen.get(0, np.zeros(BINS)), seen.get(1, np.zeros(BINS)))}
 
 
@@ -187,7 +200,8 @@ def apply(model: dict | None, x):
 def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score and predicted for every document."""
     configure(docs.sparkSession)
-    described = materialize(describe(docs), "statistics")
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    described = materialize(describe(plain).drop("text").toDF("doc_id", "x"), "statistics")
     model = fit(described, labels)
 
     def rows(batches) -> Iterator:
@@ -203,11 +217,11 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFra
 
 
 def keep(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The documents that the classifier accepts, with all their columns."""
+    """The documents that the classifier accepts, with all their columns. Statistics are made once and written beside them."""
     configure(docs.sparkSession)
-    model = fit(materialize(describe(docs), "statistics"), labels)
-    names = docs.columns
-    at = names.index("text")
+    described = materialize(describe(docs), "statistics")
+    model = fit(described.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(described.columns[-1]).alias("x")), labels)
+    n = len(docs.columns)
 
     def rows(batches) -> Iterator:
         import numpy as np
@@ -215,7 +229,7 @@ def keep(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFram
 
         for batch in batches:
             if batch.num_rows:
-                x = np.array([statistics(t or "") for t in batch.column(at).to_pylist()])
-                yield batch.filter(pa.array(apply(model, x) >= threshold))
+                x = np.array(batch.column(n).to_pylist())
+                yield pa.RecordBatch.from_arrays(batch.columns[:n], names=batch.schema.names[:n]).filter(pa.array(apply(model, x) >= threshold))
 
-    return docs.mapInArrow(rows, docs.schema)
+    return described.mapInArrow(rows, docs.schema)
