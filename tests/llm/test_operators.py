@@ -10,6 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from tracewell.llm import archives, decontaminate, near_dups, packing, private_data, quality, token_files, url_rules, vectors, verbatim
 from tracewell.llm.common import materialize
@@ -46,9 +47,15 @@ def none(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
+def fresh(path, special_text=True):
+    """A tokenizer of its own, set as the notes beside the vocabulary files do."""
+    t = Tokenizer.from_file(path)
+    t.encode_special_tokens = special_text
+    return t
+
+
 def ids(path, text):
-    e = ChunkEncoder.of(path)
-    return e.tokenizer.encode(text or "", add_special_tokens=False).ids + [2]
+    return fresh(path).encode(text or "", add_special_tokens=False).ids + [2]
 
 
 # -- tokens ---------------------------------------------------------------------------------------
@@ -58,9 +65,19 @@ def ids(path, text):
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.one_of(st.text(max_size=12), st.sampled_from(["don't", " we'll", "A,b", "x9y", "  \n", "\u00a0", "\u3000", "\x1c", "<|endoftext|>", "Éa.", "ΑΣ Σ", "n\u0303", " the", "the", ", "])), max_size=12).map("".join))
 def test_chunks_encode_as_whole_texts(path, text):
-    e = ChunkEncoder.of(path)
     text = text.encode("utf-8", "ignore").decode()
-    assert np.frombuffer(e.encode(text), "<u4").tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
+    for special in (True, False):
+        whole = _FRESH.setdefault((path, special), fresh(path, special)).encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(ChunkEncoder.of(path, special).encode(text), "<u4").tolist() == whole
+
+
+_FRESH: dict = {}
+
+
+def test_special_strings_are_text_unless_asked():
+    text = "hi <|endoftext|> there"
+    assert np.frombuffer(ChunkEncoder.of(BYTE).encode(text), "<u4").tolist() == fresh(BYTE).encode(text, add_special_tokens=False).ids
+    assert 50256 in np.frombuffer(ChunkEncoder.of(BYTE, False).encode(text), "<u4")
 
 
 # -- 1: packing -----------------------------------------------------------------------------------
@@ -242,7 +259,7 @@ def test_url_rules(spark):
     urls = ["http://A.Example.ORG/es/x?q", "http://example.org/es/ok#f", "http://notexample.org", "https://x.com/a b/c?k=1", None, "no scheme", "://", "http://h?x", "x://y://z/p", "http://org/é\n/q"]
     pages = spark.createDataFrame([(i, u, "x", 1) for i, u in enumerate(urls)] + [(0, urls[0], "x", 1)], "page_id long, url string, host string, fit int")
     labelled = spark.createDataFrame([("http://bad.com/spam/%d" % i, True) for i in range(30)] + [("http://good.com/news/%d" % i, False) for i in range(30)] + [("http://x.com/spam/1", False)] * 2, "url string, bad boolean")
-    got = url_rules.judge(pages, labelled, rules, support=0.2, confidence=0.6).orderBy("page_id").collect()
+    got = url_rules.judge(pages, labelled, rules, least=12, confidence=0.6).orderBy("page_id").collect()
 
     def host_path(u):
         if u is None or "://" not in u:
@@ -255,9 +272,9 @@ def test_url_rules(spark):
     by = {r["page_id"]: (r["rule"], r["verdict"]) for r in got}
     assert by[0] == ("example.org/es/", "block") and by[1] == ("example.org/es/ok", "allow") and by[2] == (None, "allow") and by[4] == (None, "allow")
     fresh = spark.createDataFrame([(1, "http://q.net/SPAM/x"), (2, "http://q.net/news/x")], "page_id long, url string")
-    assert {r["page_id"]: r["verdict"] for r in url_rules.judge(fresh, labelled, rules, support=0.2, confidence=0.6).collect()} == {1: "block", 2: "allow"}
+    assert {r["page_id"]: r["verdict"] for r in url_rules.judge(fresh, labelled, rules, least=12, confidence=0.6).collect()} == {1: "block", 2: "allow"}
     assert url_rules.judge(fresh, labelled.limit(0), rules).where("verdict = 'block'").count() == 0
-    assert url_rules.judge(pages.limit(0), labelled, rules, support=0.2).count() == 0
+    assert url_rules.judge(pages.limit(0), labelled, rules).count() == 0
 
 
 def test_rules_of_any_length_equal_brute_force(spark):
@@ -267,19 +284,35 @@ def test_rules_of_any_length_equal_brute_force(spark):
     labelled = [(u, u == "http://a/c?e=1") for u in urls for _ in range(4)] + [("http://a/c?f=1", False), ("http://a/d?e=1", False), ("http://b/c?e=1", False)]
     tokens = {u: frozenset(f"{k}:{x}" for k, x in zip("hpq", re.findall(r"[a-f](?=[/?=])", u))) for u in urls}
     best: dict = {}
+    base = sum(bad for _, bad in labelled) / len(labelled)
+
+    def bound(k, n, z=1.96):
+        p = k / n
+        return (p + z * z / (2 * n) - z * (p * (1 - p) / n + z * z / (4 * n * n)) ** 0.5) / (1 + z * z / n)
+
     for n in (1, 2, 3):
         for rule in {frozenset(c) for t in tokens.values() for c in combinations(sorted(t), n)}:
             told = [bad for u, bad in labelled if rule <= tokens[u]]
-            if sum(told) >= 0.1 * len(labelled) and sum(told) >= 0.5 * len(told):
+            if sum(told) >= 3 and sum(told) >= 0.5 * len(told) and bound(sum(told), len(told)) > base:
                 for u in urls:
                     if rule <= tokens[u]:
                         best[u] = max(best.get(u, 0), sum(told) / len(told))
     assert best == {"http://a/c?e=1": 1.0}
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
-    got = url_rules.judge(pages, spark.createDataFrame(labelled, "url string, bad boolean"), [], support=0.1, confidence=0.5).collect()
+    got = url_rules.judge(pages, spark.createDataFrame(labelled, "url string, bad boolean"), []).collect()
     assert {(urls[r["page_id"]], r["verdict"], r["confidence"]) for r in got} == {(u, "block" if u in best else "allow", best.get(u)) for u in urls}
 
 
+def test_chance_makes_no_rules(spark):
+    rng = random.Random(4)
+    urls = [f"http://h{rng.randrange(40)}.com/p{rng.randrange(20)}" for _ in range(3000)]
+    rows = [(u, rng.random() < 0.15) for u in urls] + [(f"http://farm.com/x{i}", i % 5 > 0) for i in range(20)]
+    labelled = spark.createDataFrame(rows, "url string, bad boolean")
+    found = url_rules.mine(labelled, confidence=0.0, z=4.0).collect()
+    assert {tuple(r["antecedent"]) for r in found} >= {("h:farm",)} and all("h:farm" in r["antecedent"] for r in found)
+    assert [(r["bad"], r["n"]) for r in found if r["rule_id"] == "h:farm"] == [(16, 20)]
+
+
 # -- 5: archives ----------------------------------------------------------------------------------
 
 
@@ -300,7 +333,10 @@ def test_archives(spark, tmp_path):
     at = index.where("page_id = 5").first()
     reader = archives.BundleReader(at["bundle"])
     fields, head, payload, _ = reader.record(at["frame"], at["offset"])
-    assert fields["WARC-Record-ID"] == archives.record_id(5) and payload == b"small" and b"Content-Length: 5" in head
+    assert fields["WARC-Record-ID"] == f"<{at['record_id']}>" and at["record_id"].startswith("urn:page:5:") and payload == b"small" and b"Content-Length: 5" in head
+    assert index.select("record_id").distinct().count() == index.count() == len(rows)
+    assert archives.read(index).rdd.getNumPartitions() == index.select("bundle", "frame").distinct().count()
+    assert archives.parse(reader.frame(0))[0]["WARC-Type"] == "warcinfo"
     import zstandard
 
     raw = open(at["bundle"].removeprefix("file://"), "rb").read()
@@ -419,7 +455,8 @@ def test_token_files(docs, none):
     manifest = token_files.write(docs, WORD, length=64, rows=4)
     got = token_files.read(manifest).collect()
     assert len(got) == docs.count()
-    order = sorted(((r["doc_id"] is not None, r["doc_id"] or 0, r["text"] or "") for r in docs.collect()))
+    rows = docs.withColumn("at", F.monotonically_increasing_id()).collect()
+    order = [(k, i, t) for k, i, _, t in sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["at"], r["text"] or "") for r in rows)]
     start = 0
     for (known, i, text), r in zip(order, sorted(got, key=lambda r: (r["start"]))):
         want = np.array(ids(WORD, text), "<u4")
@@ -427,15 +464,39 @@ def test_token_files(docs, none):
         start += len(want)
     reader = token_files.ShardReader(manifest.orderBy("part").first()["path"])
     seq, mask = reader.sequence(0)
-    assert len(seq) == 64 and seq.dtype == np.uint16 and not seq.flags.owndata and mask[:5].all()
+    assert len(seq) == len(mask) == 64 and seq.dtype == np.uint16 and mask.dtype == np.uint8 and mask[:5].all()
+    assert not seq.flags.owndata and not mask.flags.owndata
+    last = reader.sequence(sum(reader.file.get_batch(k).num_rows for k in range(reader.batches)) - 1)[1]
+    assert last.sum() == (manifest.orderBy("part").first()["tokens"] - 1) % 64 + 1
+    with pytest.raises(ValueError):
+        reader.tokens(manifest.orderBy("part").first()["tokens"], 1)
     assert token_files.read(token_files.write(none, WORD)).count() == 0
 
 
+def test_one_doc_id_fills_many_files(spark):
+    df = spark.createDataFrame([(7, f"text {i}") for i in range(400)] + [(None, "x")] * 200, "doc_id long, text string").repartition(6)
+    manifest = token_files.write(df, WORD)
+    assert manifest.count() > 3 and manifest.agg(F.max("documents")).first()[0] < 400
+    assert sorted(r["start"] for r in token_files.read(manifest).collect())[0] == 0
+
+
 # -- 9: embeddings --------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("block", [1024, 8])
-def test_vectors(spark, monkeypatch, block):
+def test_groups_of_pairs():
+    rng = np.random.default_rng(2)
+    for n in (2, 30, 200):
+        a, b = rng.integers(0, n, (2, n // 2))
+        label = vectors.grouped(n, a, b)
+        want = np.arange(n)
+        for _ in range(n):
+            for x, y in zip(a, b):
+                want[x] = want[y] = min(want[x], want[y])
+        assert (label == want).all()
+
+
+@pytest.mark.parametrize(("block", "kind"), [(1024, "double"), (8, "double"), (8, "float")])
+def test_vectors(spark, monkeypatch, block, kind):
     monkeypatch.setattr(vectors, "BLOCK", block)
     rng = np.random.default_rng(3)
     rows, n = [], 0
@@ -447,7 +508,8 @@ def test_vectors(spark, monkeypatch, block):
     rows += [(n + k, rows[0][1], rows[0][2], "z") for k in range(30)]
     n = len(rows)
     rows += [(n, None, 1, "z"), (n + 1, [0.0] * 16, 1, "z"), (n + 2, [float("nan")] * 16, 1, "z"), (n + 3, [None] * 16, 1, "z"), (n + 4, rows[0][1], None, "z"), (n + 5, [], 1, "z"), (n + 6, [float("inf")] + [1.0] * 15, 1, "z"), (n + 7, [1e-300] * 16, 1, "z"), (n + 8, [1e300] * 16, 1, "z"), (n + 9, [1.0] * 3, 1, "z")]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, copies string")
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, copies string").withColumn("embedding", F.col("embedding").cast(f"array<{kind}>"))
+    rows = [tuple(r) for r in df.collect()]
     ok = [r for r in rows if r[2] is not None and r[1] and all(x is not None and np.isfinite(x) for x in r[1]) and any(r[1])]
     unit = {r[0]: np.array(r[1]) / np.abs(r[1]).max() for r in ok}
     links = {r[0]: set() for r in rows}
