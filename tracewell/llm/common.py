@@ -63,26 +63,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def sum_vectors(parts: DataFrame, kind: str) -> DataFrame:
+def packed(v) -> bytes:
+    """A vector of small whole numbers, compressed byte plane by byte plane."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(v.view("uint8").reshape(len(v), -1).T.tobytes())
+
+
+def unpacked(data: bytes, kind: str):
+    """The vector that packed() was given."""
+    import numpy as np
+    import zstandard
+
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), "uint8").reshape(size, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+def sum_vectors(parts: DataFrame, kind: str, small: bool = False) -> DataFrame:
     """(at, v): sums of vectors (at int, sub int, v binary of `kind`) by `at`, first by `sub` within it. Tasks take them one
-    after another, so none holds more than a vector, however many meet there."""
+    after another, so none holds more than a vector, however many meet there. `small` ones come and go packed."""
 
     def add(batches):
         import numpy as np
         import pyarrow as pa
 
-        names = ["at", "sub", "v"]
+        def out(at, sub, total):
+            columns = [pa.array([at], pa.int32()), pa.array([sub], pa.int32()), pa.array([packed(total) if small else total.tobytes()], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=["at", "sub", "v"])
+
         now, total = None, None
         for batch in batches:
-            for at, sub, v in zip(*(batch.column(c).to_pylist() for c in range(3))):
-                if (at, sub) != now:
-                    if now is not None:
-                        yield pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int32()), pa.array([now[1]], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=names)
-                    now, total = (at, sub), np.frombuffer(v, kind).copy()
+            for at, sub, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                v = unpacked(v.as_py(), kind) if small else np.frombuffer(v.as_py(), kind)
+                if (at, sub) == now:
+                    total += v
                 else:
-                    total += np.frombuffer(v, kind)
+                    if now is not None:
+                        yield out(*now, total)
+                    now, total = (at, sub), v.copy()
         if now is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int32()), pa.array([now[1]], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=names)
+            yield out(*now, total)
 
     schema = "at int, sub int, v binary"
     some = parts.select("at", "sub", "v").repartition("at", "sub").sortWithinPartitions("at", "sub").mapInArrow(add, schema)
@@ -90,6 +111,32 @@ def sum_vectors(parts: DataFrame, kind: str) -> DataFrame:
     return whole.select("at", "v")
 
 
+class SharedBytes:
+    """A byte table of fixed size as workers see it: slices (start long, data binary) in the shared folder, which each
+    worker reads once."""
+
+    _held: dict = {}
+
+    def __init__(self, slices: DataFrame, size: int):
+        self.files, self.size = tuple(slices.inputFiles()), size
+
+    @property
+    def value(self):
+        import numpy as np
+        import pyarrow.parquet as pq
+
+        if self.files not in SharedBytes._held:
+            table = np.zeros(self.size, "uint8")
+            for file in self.files:
+                fs, path = filesystem(file)
+                rows = pq.read_table(path, filesystem=fs, partitioning=None)
+                for start, data in zip(rows.column("start").to_pylist(), rows.column("data").to_pylist()):
+                    table[start : start + len(data)] |= np.frombuffer(data, "uint8")
+            SharedBytes._held.clear()
+            SharedBytes._held[self.files] = table
+        return SharedBytes._held[self.files]
+
+
 def filesystem(uri: str):
     """The Arrow file system and path of a URI; local paths may come without a scheme."""
     from pyarrow import fs

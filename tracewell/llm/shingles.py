@@ -3,16 +3,21 @@
 Words are compared in lower case without marks at their edges. A shingle is five words in a row (a shorter text is one
 shingle). Its weight is a saturating term frequency, 2 n / (n + 1) for n occurrences, times an inverse document frequency.
 
-Document frequencies are exact counts over all documents for each of 2^18 hash buckets, so the table has one size
-whatever the corpus holds. The inverse frequency is 1 + ln(N / df) / (2 ln(2^18)): frequent passages count for less, but
-near copies of a text that a third of all documents hold stay near, and a line repeated a hundred times doesn't outweigh
-the rest of a text.
+Inverse document frequencies are 1 + ln(1 / s) / (2 ln(1 / FLOOR)) for a shingle in a share s of all documents, FLOOR at
+least: 1 for what all documents hold, 1.5 for what at most one in 16,384 does. So they depend on shares alone and are alike
+at every size of a corpus. Frequent passages count for less, but near copies of a text that a third of all documents hold
+stay near. Documents are counted in 2^24 hash buckets, all of them. Other shingles that fall into a bucket add a share of
+(distinct shingles a document) / 2^24 on average, again whatever the corpus holds: up to a thousand shingles a document that
+lies below FLOOR, where shares aren't told apart anyway. A table of one byte a bucket holds the share in sixteenths of a
+binary order of magnitude.
 """
 
 from __future__ import annotations
 
 WIDTH = 5
-BUCKETS = 1 << 18
+BUCKETS = 1 << 24
+#: The least share of documents that is told apart, as a power of two, and steps of an order of magnitude.
+OCTAVES, STEPS = 14, 16
 POOL = 1 << 16
 
 _MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»„“”‘’…–—¡¿"
@@ -72,7 +77,7 @@ def bucket(h):
     """The document-frequency bucket of a shingle."""
     import numpy as np
 
-    return (h >> np.uint64(46)).astype("int64")
+    return (h >> np.uint64(40)).astype("int64")
 
 
 def elements(h):
@@ -83,17 +88,35 @@ def elements(h):
     return e, (2 * n / (n + 1.0)).astype("float32")
 
 
-def weights(df, n: int):
-    """Weights by bucket from document frequencies and the number of documents."""
+def levels(df, n: int):
+    """Shares by bucket as bytes, from document frequencies and the number of documents: 0 for all documents."""
     import numpy as np
 
-    return (1 + np.maximum(0.0, np.log(max(1, n) / np.maximum(1, df))) / (2 * np.log(BUCKETS))).astype("float32")
+    orders = np.log2(max(1, n) / np.maximum(1, df))
+    return np.round(np.clip(orders, 0, OCTAVES) * STEPS).astype("uint8")
+
+
+def weights(levels_, h):
+    """Inverse document frequencies of shingles."""
+    import numpy as np
+
+    return _WEIGHT[levels_[bucket(h)]] if len(h) else np.zeros(0, "float32")
+
+
+def _weight_table():
+    import numpy as np
+
+    return (1 + np.arange(256) / (2 * OCTAVES * STEPS)).astype("float32")
+
+
+_WEIGHT = _weight_table()
 
 
 class Sampler:
     """Improved consistent weighted sampling: k samples of a weighted set, equal for two sets in each place with a
     probability of their weighted Jaccard similarity. The variates r, c ~ Gamma(2, 1) and beta ~ U(0, 1) of an element
-    and place come from a fixed pool that a hash of both addresses."""
+    and place come from a fixed pool of 65,536 that a hash of both addresses; where a very long text has two elements on
+    one of them, the smaller hash goes first in every text."""
 
     def __init__(self, k: int, seed: int = 11):
         import numpy as np
