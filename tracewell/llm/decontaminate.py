@@ -1,17 +1,20 @@
 """Benchmark decontamination by spaced seeds.
 
 Each fixed mask looks at some positions of a window of words and ignores the others, so a seed still hits where ignored
-words differ. Seeds of the benchmark are hashed into a table; documents are streamed past it, and around each hit the
-two texts are aligned word by word without gaps: the segment that scores best with +1 for equal and -3 for different
-words is a verified overlap if it is long enough and enough of its words are equal. Where it isn't, as in short items with
-changes near an edge, the best stretch of the least length or more on the same diagonal is held to the same similarity.
-
-The table is a broadcast of benchmark items that hold about half of BLOCK_WORDS words; a larger benchmark is worked off
-in several such blocks, each a pass over the documents, so memory is bounded and nothing is left out. No step shuffles documents.
-
-Cases: null and empty texts hit nothing; items of fewer than five words are left out, and items shorter than the masks
-are sought whole; a null doc_id or item_id is reported as such; repeated rows are reported each; an empty table on either
-side gives an empty result; further columns are ignored by overlaps() and kept by clean().
+words differ. Seeds of the benchmark are hashed into a table; around each hit of a document the two texts are aligned word
+by word without gaps: the segment that scores best with +1 for equal and -3 for different words is a verified overlap if
+it is long enough and enough of its words are equal. Where it isn't, as in short items with changes near an edge, the best
+stretch of the least length or more on the same diagonal is held to the same similarity. Items shorter than the masks are
+sought whole, whatever their length.
+
+A benchmark of up to BLOCK_WORDS words is broadcast, and documents are streamed past it without a shuffle. A larger one is
+joined: seeds of documents that pass a bit table of fixed size meet the benchmark's seeds by hash, and each (text, item)
+that met is verified once, with the very same rules. Both ways give the same rows.
+
+Cases: null and empty texts hit nothing, on either side; a text of any length is read whole; a null doc_id or item_id is
+reported as such; repeated documents are reported each, repeated benchmark rows once; of overlaps with one item the one
+with most equal words is reported, on ties any; an empty table on either side gives an empty result; further columns are
+ignored by overlaps() and kept by clean().
 """
 
 from __future__ import annotations
@@ -21,28 +24,32 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import configure, text_or_empty
+from .common import SharedBytes, configure, materialize, text_or_empty
 
 #: Masks (fixed values): 1 looks at a word, 0 ignores it.
-MASKS = ("111111", "1101100111", "1110010101001", "10110010010011")
-SHORTEST = 5
+MASKS = ("110111", "11010011", "1100101011", "111000100011")
+#: Words of a benchmark up to which it is broadcast.
 BLOCK_WORDS = 1_000_000
-TABLE_BITS = 22
+#: Bits of the table of seeds in a broadcast, and of the one that documents pass before a join, as powers of two.
+TABLE_BITS, JOIN_BITS = 22, 28
+WIDEST = max(map(len, MASKS))
+
+
+def masks(lengths: set[int]) -> list[list[int]]:
+    """The positions that each mask looks at; then a whole window for each length of items that masks don't fit into."""
+    return [[j for j, c in enumerate(m) if c == "1"] for m in MASKS] + [list(range(n)) for n in sorted(lengths) if 0 < n < WIDEST]
 
 
 class Seeds:
-    """The seeds of a block of benchmark items."""
+    """The seeds of benchmark items."""
 
     def __init__(self, items: list[tuple[int, str]]):
         import numpy as np
 
         from .shingles import word_hashes
 
-        self.words = [(i, w) for i, w in ((i, word_hashes(t or "")) for i, t in items) if len(w) >= SHORTEST]
-        self.masks = [[j for j, c in enumerate(m) if c == "1"] for m in MASKS]
-        widest = max(m[-1] for m in self.masks) + 1
-        short = sorted({len(w) for _, w in self.words if len(w) < widest})
-        self.masks += [list(range(n)) for n in short]
+        self.words = [(i, w) for i, w in ((i, word_hashes(t or "")) for i, t in items) if len(w)]
+        self.masks = masks({len(w) for _, w in self.words})
         self.tables = []
         for k, mask in enumerate(self.masks):
             whole = k >= len(MASKS)
@@ -88,30 +95,37 @@ class Seeds:
 
     def overlaps(self, text: str, least: int, similarity: float) -> list[tuple]:
         """(item_id, doc_start, doc_end, item_start, item_end, equal, similarity) of the best overlap with each item, in words."""
-        import numpy as np
-
         from .shingles import word_hashes
 
         words = word_hashes(text)
         best: dict[int, tuple] = {}
         for item, diagonal in self.hits(words):
-            own = self.words[item][1]
-            lo, hi = max(0, -diagonal), min(len(own), len(words) - diagonal)
-            same = own[lo:hi] == words[lo + diagonal : hi + diagonal]
-            total = np.r_[0, np.cumsum(np.where(same, 1, -3))]
-            low = np.minimum.accumulate(total)
-            end = int(np.argmax(total - low))
-            start = int(np.argmin(total[: end + 1]))
-            equal, n = int(same[start:end].sum()), end - start
-            need = min(least, len(own))
-            if (n < need or equal < similarity * n) and len(same) >= need:
-                start, end = _stretch(same, need, similarity)
-                equal, n = int(same[start:end].sum()), end - start
-            if n >= need and equal >= similarity * n and (item not in best or equal > best[item][5]):
-                best[item] = (self.words[item][0], lo + start + diagonal, lo + end + diagonal, lo + start, lo + end, equal, equal / n)
+            item_id, own = self.words[item]
+            if (found := aligned(own, words, diagonal, least, similarity)) and (item not in best or found[4] > best[item][5]):
+                best[item] = (item_id, *found)
         return list(best.values())
 
 
+def aligned(own, words, diagonal: int, least: int, similarity: float) -> tuple | None:
+    """(doc_start, doc_end, item_start, item_end, equal, similarity) of the overlap of an item with a text on a diagonal."""
+    import numpy as np
+
+    lo, hi = max(0, -diagonal), min(len(own), len(words) - diagonal)
+    same = own[lo:hi] == words[lo + diagonal : hi + diagonal]
+    total = np.r_[0, np.cumsum(np.where(same, 1, -3))]
+    low = np.minimum.accumulate(total)
+    end = int(np.argmax(total - low))
+    start = int(np.argmin(total[: end + 1]))
+    equal, n = int(same[start:end].sum()), end - start
+    need = min(least, len(own))
+    if (n < need or equal < similarity * n) and len(same) >= need:
+        start, end = _stretch(same, need, similarity)
+        equal, n = int(same[start:end].sum()), end - start
+    if n < need or equal < similarity * n:
+        return None
+    return lo + start + diagonal, lo + end + diagonal, lo + start, lo + end, equal, equal / n
+
+
 def _stretch(same, need: int, similarity: float) -> tuple[int, int]:
     """(start, end) of the stretch of at least `need` words whose equal words are most above the similarity; the longest on ties."""
     import numpy as np
@@ -124,66 +138,148 @@ def _stretch(same, need: int, similarity: float) -> tuple[int, int]:
     return int(np.argmin(above[: end - need + 1])), end
 
 
-def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """Benchmark items in blocks of about half of BLOCK_WORDS words; only one block is held at a time."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_or_empty().alias("text"))
-    total = items.agg(F.sum(F.size(F.split("text", "\\s+")).cast("long"))).first()[0] or 0
-    n = max(1, -(-2 * total // BLOCK_WORDS))
-    for k in range(n):
-        own = [(r["item_id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()]
-        if own:
-            yield own
+OVERLAP = "doc_id long, item_id long, doc_start int, doc_end int, item_start int, item_end int, equal_words int, similarity double"
 
 
-OVERLAP = "doc_id long, item_id long, doc_start int, doc_end int, item_start int, item_end int, equal_words int, similarity double"
+def _batch(found: list):
+    import pyarrow as pa
+
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.float64())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), kinds)], names=[x.split()[0] for x in OVERLAP.split(", ")])
+
+
+def _items(benchmark: DataFrame) -> tuple[DataFrame, int]:
+    """Distinct items with words, and how many words they have."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_or_empty().alias("text")).distinct()
+    return items, items.agg(F.sum(F.size(F.split("text", "\\s+")).cast("long"))).first()[0] or 0
+
+
+def seeds_of(texts: DataFrame, lengths: list[int], whole: bool, table: SharedBytes | None = None) -> DataFrame:
+    """(seed, th) of texts (th, text): hashes of all masks at all places, once each; of items (`whole`) windows of a length
+    only from items of that length. With a table, what it lets through."""
+
+    def rows(batches) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        from .shingles import word_hashes
+
+        every = masks(set(lengths))
+        for batch in batches:
+            for th, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                words = word_hashes(text.as_py())
+                some = [Seeds.hash(words, m) for k, m in enumerate(every) if len(words) > m[-1] and not (whole and k >= len(MASKS) and len(words) != len(m))]
+                h = np.unique(np.concatenate(some)) if some else np.zeros(0, "uint64")
+                if table is not None:
+                    slot = h >> np.uint64(64 - JOIN_BITS)
+                    h = h[(table.value[(slot >> np.uint64(3)).astype("int64")] >> (slot & np.uint64(7)).astype("uint8")) & 1 == 1]
+                if len(h):
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view("int64")), pa.array([th] * len(h), pa.int64())], names=["seed", "th"])
+
+    return texts.select("th", "text").mapInArrow(rows, "seed long, th long")
+
+
+def _seed_table(seeds: DataFrame) -> SharedBytes:
+    """The bits of seeds, by slices of the table."""
+    size = 1 << 15  # bytes in a slice
+    at = seeds.select(F.shiftrightunsigned("seed", 64 - JOIN_BITS).alias("at"))
+    keyed = at.selectExpr("shiftright(at, 18) as slice", "shiftright(at, 3) as byte", "shiftleft(1, cast(at & 7 as int)) as bit")
+    some = keyed.groupBy("slice", "byte").agg(F.bit_or("bit").alias("bit"))
+
+    def slices(key, pdf):
+        import numpy as np
+        import pandas as pd
+
+        data = np.zeros(size, "uint8")
+        data[pdf["byte"].to_numpy() - key[0] * size] = pdf["bit"].to_numpy().astype("uint8")
+        return pd.DataFrame({"start": [key[0] * size], "data": [data.tobytes()]})
+
+    done = materialize(some.groupBy("slice").applyInPandas(slices, "start long, data binary"), "seed-bits")
+    return SharedBytes(materialize(done.coalesce(8), "seed-table"), 1 << (JOIN_BITS - 3))
+
+
+def _joined(plain: DataFrame, items: DataFrame, least: int, similarity: float) -> DataFrame:
+    """Overlaps by a join of seeds: (text, item) pairs that share one are verified once for each document with the text."""
+    keyed = materialize(items.withColumn("th", F.xxhash64("item_id", "text")), "items")
+    size = F.size(F.filter(F.split("text", "\\s+"), lambda w: w != ""))
+    lengths = [r["n"] for r in keyed.select(size.alias("n")).where(F.col("n") < WIDEST).distinct().collect()]  # under WIDEST of them
+    own = materialize(seeds_of(keyed, lengths, True), "seeds")
+    docs = plain.withColumn("th", F.xxhash64("text"))
+    theirs = seeds_of(docs, lengths, False, _seed_table(own))
+    met = materialize(theirs.withColumnRenamed("th", "doc_th").join(own.withColumnRenamed("th", "item_th"), "seed").select("doc_th", "item_th").distinct(), "met")
+    pairs = met.join(keyed.select(F.col("th").alias("item_th"), "item_id", F.col("text").alias("item")), "item_th").select(F.col("doc_th").alias("th"), "item_id", "item")
+
+    def verify(batches) -> Iterator:
+        for batch in batches:
+            found = []
+            for doc_id, text, item_id, item in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                found += [(doc_id, *x) for x in _kept((item_id, item)).overlaps(text, least, similarity)]
+            if found:
+                yield _batch(found)
+
+    return docs.join(pairs, "th").select("doc_id", "text", "item_id", "item").mapInArrow(verify, OVERLAP)
+
+
+def _kept(item: tuple, held: dict = {}) -> Seeds:  # noqa: B006
+    """The seeds of an item; a worker keeps those that it used last."""
+    if item not in held:
+        if len(held) > 1000:
+            held.clear()
+        held[item] = Seeds([item])
+    return held[item]
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = 13, similarity: float = 0.8) -> DataFrame:
     """The best verified overlap of each document with each benchmark item it holds a passage of."""
     spark = configure(docs.sparkSession)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    out = spark.createDataFrame([], OVERLAP)
-    for items in blocks(benchmark):
-        shared = spark.sparkContext.broadcast(items)
-
-        def rows(batches, shared=shared) -> Iterator:
-            import pyarrow as pa
+    items, total = _items(benchmark)
+    if total > BLOCK_WORDS:
+        return _joined(plain, items, least, similarity)
+    shared = spark.sparkContext.broadcast([tuple(r) for r in items.collect()])  # BLOCK_WORDS words at most
 
-            seeds = _seeds(shared)
-            for batch in batches:
-                found = [(i, *x) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for x in seeds.overlaps(t, least, similarity)]
-                if found:
-                    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.float64())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), kinds)], names=[x.split()[0] for x in OVERLAP.split(", ")])
+    def rows(batches) -> Iterator:
+        seeds = _seeds(shared)
+        for batch in batches:
+            found = [(i, *x) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for x in seeds.overlaps(t, least, similarity)]
+            if found:
+                yield _batch(found)
 
-        out = out.union(plain.mapInArrow(rows, OVERLAP))
-    return out
+    return plain.mapInArrow(rows, OVERLAP)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, least: int = 13, similarity: float = 0.8) -> DataFrame:
     """The documents without a verified overlap, with all their columns."""
     spark = configure(docs.sparkSession)
+    items, total = _items(benchmark)
+    if total > BLOCK_WORDS:
+        # Documents are told apart by a hash of their text, which is what an overlap depends on.
+        name = "text_hash"
+        while name in docs.columns:
+            name += "_"
+        keyed = docs.withColumn(name, F.xxhash64(text_or_empty()))
+        plain = keyed.select(F.col(name).alias("doc_id"), text_or_empty().alias("text"))
+        dirty = materialize(_joined(plain, items, least, similarity).select(F.col("doc_id").alias(name)).distinct(), "contaminated")
+        return keyed.join(dirty, name, "left_anti").select(docs.columns)
     at = docs.columns.index("text")
-    for items in blocks(benchmark):
-        shared = spark.sparkContext.broadcast(items)
+    shared = spark.sparkContext.broadcast([tuple(r) for r in items.collect()])  # BLOCK_WORDS words at most
 
-        def rows(batches, shared=shared) -> Iterator:
-            import pyarrow as pa
+    def rows(batches) -> Iterator:
+        import pyarrow as pa
 
-            seeds = _seeds(shared)
-            for batch in batches:
-                if batch.num_rows:
-                    yield batch.filter(pa.array([not seeds.overlaps(t or "", least, similarity) for t in batch.column(at).to_pylist()]))
+        seeds = _seeds(shared)
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array([not seeds.overlaps(t or "", least, similarity) for t in batch.column(at).to_pylist()]))
 
-        docs = docs.mapInArrow(rows, docs.schema)
-    return docs
+    return docs.mapInArrow(rows, docs.schema)
 
 
 _made: list = [None, None]
 
 
 def _seeds(shared) -> Seeds:
-    """The seeds of a broadcast block, made once for each worker and block."""
+    """The seeds of a broadcast benchmark, made once for each worker."""
     if _made[0] is not shared.value:
         _made[:] = shared.value, Seeds(shared.value)
     return _made[1]
