@@ -168,12 +168,17 @@ def test_isotonic_is_monotone_and_calibrated():
 def brute_classes(rows):
     from tracewell.llm import shingles as s
 
+    import math
+
     w = {k: s.word_hashes(t or "") for k, (_, t) in enumerate(rows)}
-    df = np.zeros(s.BUCKETS, int)
-    for x in w.values():
-        df[np.unique(s.bucket(s.shingles(x)))] += 1
-    weight = s.weights(df, len(rows)).astype(float)
-    sets = {k: dict(zip(e.tolist(), tf * weight[s.bucket(e)])) for k, x in w.items() for e, tf in [s.elements(s.shingles(x))]}
+    grams = {k: [tuple(x[i : i + 5].tolist()) for i in range(max(1, len(x) - 4))] if len(x) else [] for k, x in w.items()}
+    df: dict = {}
+    for own in grams.values():
+        for g in set(own):
+            df[g] = df.get(g, 0) + 1
+    # Weights from exact counts by their definition, in sixteenths of a binary order.
+    weight = {g: 1 + min(14 * 16, round(16 * math.log2(len(rows) / n))) / (2 * 14 * 16) for g, n in df.items()}
+    sets = {k: {g: 2 * own.count(g) / (own.count(g) + 1) * weight[g] for g in set(own)} for k, own in grams.items()}
     root = list(range(len(rows)))
 
     def find(x):
@@ -184,6 +189,8 @@ def brute_classes(rows):
     for a in w:
         for b in range(a):
             shared = sum(min(sets[a][e], sets[b][e]) for e in sets[a].keys() & sets[b].keys())
+            if w[a].tobytes() != w[b].tobytes() and not shared:
+                continue
             both = sum(sets[a].values()) + sum(sets[b].values()) - shared
             if w[a].tobytes() == w[b].tobytes() or (both and shared >= 0.8 * both - 1e-9):
                 root[find(a)] = find(b)
@@ -214,11 +221,49 @@ def test_near_duplicates(spark, docs, none):
 
 def test_blocks_split_large_groups(spark, monkeypatch):
     monkeypatch.setattr(near_dups, "BLOCK", 4)
+    monkeypatch.setattr(near_dups, "STREAM", 3)
     rng = random.Random(2)
     base = words(rng, 150).split()
     rows = [(i, " ".join(w if k != i else "x%d" % i for k, w in enumerate(base))) for i in range(30)]
-    got = near_dups.classes(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert {r["class_id"] for r in got.collect()} == {0}
+    for i in range(60):  # templates: far from each other, with some close pairs among them
+        own = [w if rng.random() < 0.93 else "y%d" % rng.randrange(99) for w in base]
+        rows += [(100 + 2 * i, " ".join(own)), (101 + 2 * i, " ".join(own[:-2] + ["z"]))]
+    got = {r["doc_id"]: r["class_id"] for r in near_dups.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    first: dict = {}
+    for (i, _), c in zip(rows, brute_classes(rows)):
+        first.setdefault(c, i)
+    assert got == {i: first[c] for (i, _), c in zip(rows, brute_classes(rows))}
+
+
+def test_repeated_ids_with_other_texts(spark):
+    rng = random.Random(5)
+    a, b = words(rng, 100), words(rng, 100)
+    near = lambda t: " ".join(t.split()[:-1] + ["end"])
+    rows = [(1, a), (1, b), (2, near(a)), (3, near(b)), (3, near(b)), (4, words(rng, 50))]
+    got = {(r["doc_id"], r["class_id"]) for r in near_dups.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (4, 4)}
+
+
+def test_recall_near_the_threshold(spark):
+    """Pairs of a plain weighted similarity of 0.80 to 0.85, of which banding may miss a few."""
+    from tracewell.llm import shingles as s
+
+    rng = random.Random(12)
+    rows, pairs = [], []
+    for k in range(150):
+        own = words(rng, 120).split()
+        other = list(own)
+        for j in rng.sample(range(0, 120, 6), 2):  # each touches five shingles of either text
+            other[j] = "changed%d" % k
+        rows += [(2 * k, " ".join(own)), (2 * k + 1, " ".join(other))]
+        x, y = (set(s.shingles(s.word_hashes(t)).tolist()) for _, t in rows[-2:])
+        pairs.append(len(x & y) / len(x | y))
+    assert 0.78 < np.mean(pairs) < 0.88
+    got = {r["doc_id"]: r["class_id"] for r in near_dups.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute_classes(rows)
+    linked = [k for k in range(150) if want[2 * k] == want[2 * k + 1]]
+    found = [k for k in linked if got[2 * k] == got[2 * k + 1]]
+    assert len(linked) > 100 and len(found) >= 0.97 * len(linked) and all(got[2 * k + 1] == 2 * k + 1 for k in range(150) if k not in linked)
 
 
 def test_samples_estimate_weighted_similarity():
@@ -438,14 +483,51 @@ def test_altered_short_items_are_verified_whole():
     assert missed < 0.1 * (hit + missed)  # by the seeds
 
 
-def test_large_benchmarks_go_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 100)
+def test_large_benchmarks_are_joined(spark, docs, monkeypatch):
     rng = random.Random(9)
-    items = [(i, words(rng, 30)) for i in range(12)]
-    bench = spark.createDataFrame(items, "item_id long, text string")
-    assert len(list(decontaminate.blocks(bench))) > 3
-    df = spark.createDataFrame([(100 + i, t) for i, t in items], "doc_id long, text string")
-    assert {(r["doc_id"] - 100, r["item_id"]) for r in decontaminate.overlaps(df, bench).collect()} == {(i, i) for i in range(12)}
+    items = [(i, words(rng, rng.choice((2, 3, 9, 20, 30)))) for i in range(30)] + [(30, None), (31, "")]
+    rows = []
+    for i, t in items:
+        own = (t or "").split()
+        for j in range(5, len(own), 9):
+            own[j] = "other"
+        rows += [(100 + i, words(rng, 9) + " " + " ".join(own) + " " + words(rng, 9)), (None, t), (200 + i, words(rng, 30))]
+    bench = spark.createDataFrame(items + items[:4], "item_id long, text string")
+    df = docs.select("doc_id", "text", "lang", "part").union(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "'x'", "1L")).withColumnRenamed("part", "th")
+    key = ["doc_id", "item_id", "doc_start", "doc_end", "item_start", "item_end", "equal_words"]
+    small, kept = sorted(map(str, decontaminate.overlaps(df, bench).select(key).collect())), decontaminate.clean(df, bench).count()
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 100)
+    assert sorted(map(str, decontaminate.overlaps(df, bench).select(key).collect())) == small and len(small) >= 60
+    left = decontaminate.clean(df, bench)
+    assert left.columns == df.columns and left.count() == kept < df.count()
+
+
+def test_overlaps_equal_brute_force(spark):
+    """All diagonals of all pairs; items of thirteen words or more that keep a run of five words are never missed."""
+    from tracewell.llm.shingles import word_hashes
+
+    rng = random.Random(17)
+    vocabulary = [f"w{i}" for i in range(60)]
+    text = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [(i, text(rng.choice((3, 8, 15, 30)))) for i in range(12)]
+    docs_ = []
+    for i in range(40):
+        own = list(items[i % 12][1])
+        for _ in range(rng.randrange(3)):
+            own[rng.randrange(len(own))] = "other"
+        docs_.append((i, text(rng.randrange(20)) + own[rng.randrange(2) :] + text(rng.randrange(20))))
+    want, sure = set(), set()
+    for i, d in docs_:
+        for j, b in items:
+            x, y = word_hashes(" ".join(b)), word_hashes(" ".join(d))
+            for diagonal in range(-len(b) + 1, len(d)):
+                if found := decontaminate.aligned(x, y, diagonal, 13, 0.8):
+                    want.add((i, j))
+                    same = x[found[2] : found[3]] == y[found[0] : found[1]]
+                    if len(b) >= 15 and "1" * 12 in "".join("01"[int(v)] for v in same) or (len(b) < 12 and same.all()):
+                        sure.add((i, j))
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.overlaps(spark.createDataFrame([(i, " ".join(d)) for i, d in docs_], "doc_id long, text string"), spark.createDataFrame([(i, " ".join(b)) for i, b in items], "item_id long, text string")).collect()}
+    assert sure <= got <= want and len(got) >= 0.95 * len([p for p in want if len(items[p[1]][1]) >= 15 or p in sure])
 
 
 # -- 8: token files -------------------------------------------------------------------------------
