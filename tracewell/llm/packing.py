@@ -6,7 +6,12 @@ tasks; between epochs each hands its elite to the next island. The best solution
 length takes the k-th slot of that length, found by binary search in a table of slot ranges, so no step collects
 documents or holds a group in one task.
 
-Cases: null text is empty and packs as the end id alone; a null doc_id is kept; repeated rows are packed each; an empty
+Crossover injects whole well-filled bins of the donor, drops what they repeat from the host, breaks up emptier bins and a few
+full ones, and best-fits the displaced pieces. It beats plain best-fit where lengths fit each other badly; on large corpora
+best-fit is already within a few sequences of the bound that total length sets, and the search stops at that bound.
+
+Cases: a text longer than a sequence is cut, whatever its length; of solutions with equally many sequences the one whose fills
+differ most stands, on ties the first; null text is empty and packs as the end id alone; a null doc_id is kept; repeated rows are packed each; an empty
 table gives an empty result; further columns are ignored.
 """
 
@@ -92,11 +97,15 @@ def crossover(host: Solution, donor: Solution, counts: dict[int, int], capacity:
                     left[length] -= k * times
 
     child: Solution = {}
-    filled = sorted(donor, key=lambda p: (-sum(p), p))
-    take(donor, [p for p in filled if sum(p) >= capacity - 2 and rng.random() < 0.5], child)
-    spare = rng.choice((1, 4, 16, 64))  # emptier bins of the host are broken up
-    take(host, [p for p in sorted(host, key=lambda p: (-sum(p), p)) if sum(p) >= capacity - spare], child)
-    return best_fit(left, capacity, child)
+    by_fill = lambda s: sorted(s, key=lambda p: (-sum(p), p))
+    slack = max(2, capacity // 50)
+    take(donor, [p for p in by_fill(donor) if sum(p) >= capacity - slack and rng.random() < 0.5], child)
+    spare = rng.choice((1, capacity // 64, capacity // 16, capacity // 4))  # emptier bins of the host are broken up
+    broken = rng.choice((0.0, 0.1, 0.4))  # and some of the full ones, so that their pieces can meet others
+    take(host, [p for p in by_fill(host) if sum(p) >= capacity - spare and rng.random() >= broken], child)
+    spread = rng.choice((0.0, 0.1, 0.5))  # displaced pieces go largest first, or nearly so
+    order = sorted(left, key=lambda n: -n * (1 + rng.uniform(-spread, spread)))
+    return best_fit(left, capacity, child, order)
 
 
 def evolve(counts: dict[int, int], capacity: int, population: list[Solution], generations: int, size: int, seed: int) -> list[Solution]:
