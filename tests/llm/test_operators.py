@@ -118,6 +118,18 @@ def test_search_beats_or_equals_best_fit(spark):
     assert sum(len(p) * n for p, n in child.items()) == sum(counts.values())
 
 
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_crossover_beats_best_fit(seed):
+    rng = random.Random(seed)
+    counts: dict = {}
+    for _ in range(200):  # two or three to a sequence, so that it matters which ones meet
+        n = rng.randint(200, 500)
+        counts[n] = counts.get(n, 0) + 1
+    plain = sum(packing.best_fit(counts, 1024).values())
+    start, end = (sum(packing.evolve(counts, 1024, [], g, 8, seed)[0].values()) for g in (0, 100))
+    assert end < start <= plain and end <= plain - 2
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(1, 20), max_size=60))
 def test_best_fit_equals_item_by_item(lengths):
