@@ -94,8 +94,11 @@ def test_impact_documents(spark, tmp_path):
     spans = spark.createDataFrame([("A.m", "A.java", 1, 40)], "fqn string, file string, line_start int, line_end int")
     out = reports.impact_report(lines(spark, DIFF), spans, cov, kil, reg, 10)
     assert "Affected tests: 3 of 10; 2 verify, 1 only run." in out["markdown"]
-    sinks.write_facts(str(tmp_path / "out"), spans, cov, kil)
-    assert facts.coverage(spark, str(tmp_path / "out/coverage.json")).count() == 4
+    sinks.write_facts(str(tmp_path / "out"), spans, cov, kil, reg)
+    assert facts.coverage(spark, str(tmp_path / "out/coverage.jsonl")).count() == 4
+    again = facts.mutation(spark, str(tmp_path / "out/mutation.jsonl"))
+    same = lambda a, b: sorted(map(str, a.collect())) == sorted(map(str, b.select(a.columns).collect()))
+    assert same(again[0], kil) and same(again[1], reg) and same(facts.spans(spark, str(tmp_path / "out/methods.jsonl")), spans)
 
 
 def test_suspects(spark):
@@ -123,12 +126,15 @@ def test_assertion_boundary(spark):
     assert {(r["method"], r["label"]) for r in got.collect()} == {("p.Tbl.get", "actual-side"), ("p.Tbl.add", "prior-call")}
 
 
+CELL = r"Cell\{column=(\d+), row=(\d+)\}"
+
+
 def test_knowledge_graph(spark):
     values = spark.createDataFrame([("A.m", "p.T.a", ["1", "2", "abc"], "Cell{column=3, row=1}", False, 0), ("A.m", "p.T.b", ["1", "2", "x"], "throws E: no", True, 1), ("A.m", None, ["9", "9", ""], "else", False, 2)], "method string, test string, args array<string>, result string, throws boolean, ord long")
     cov = spark.createDataFrame([("A.m", "p.T.a"), ("A.m", "p.T.b"), ("A.n", "p.T.a")], "method string, test string")
     fails = spark.createDataFrame([("p.T.b", "org.junit.ComparisonFailure", "expected:<" + "x" * 40 + "\\n y> but was:<z>")], "test string, type string, message string")
     covering = impact.covering(cov, "A.m")
-    nodes, edges = knowledge.build("A.m", values, cov, fails, covering, knowledge.exemplars(covering))
+    nodes, edges = knowledge.build("A.m", values, cov, fails, covering, knowledge.exemplars(covering), CELL)
     ids = {r["id"] for r in nodes.collect()}
     assert {r["type"] for r in nodes.collect()} == {"Method", "Test", "FailureMode", "BehaviorClass", "InputProfile", "GoldenOutput"}
     assert all(r["src"] in ids and r["dst"] in ids for r in edges.collect())

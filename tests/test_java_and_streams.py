@@ -125,14 +125,15 @@ def test_streams(spark, tmp_path):
 
 def test_capped_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
-    rows = [{"method": "m", "test": "t", "args": str(i), "result": "r", "throws": i % 2 == 1} for i in range(20)]
-    (tmp_path / "in/a.json").write_text("\n".join(map(json.dumps, rows)))
-    stream = spark.readStream.schema("method string, test string, args string, result string, throws boolean").json(str(tmp_path / "in"))
+    rows = [{"method": "m", "test": "t", "args": str(i), "result": "r", "throws": i % 2 == 1, "ord": i} for i in range(20)]
+    (tmp_path / "in/a.json").write_text("\n".join(map(json.dumps, reversed(rows))))
+    stream = spark.readStream.schema("method string, test string, args string, result string, throws boolean, ord long").json(str(tmp_path / "in"))
     q = capture.capped_values(stream).writeStream.format("memory").queryName("capped").outputMode("append").start()
     q.processAllAvailable()
     q.stop()
     got = spark.table("capped").groupBy("throws").count().collect()
     assert {r["throws"]: r["count"] for r in got} == {False: 6, True: 2}
+    assert {int(r["args"]) for r in spark.table("capped").where("not throws").collect()} == set(range(0, 12, 2))
 
 
 def test_cli(spark, tmp_path, capsys):

@@ -12,27 +12,38 @@ from .ranking import first_per_key
 
 def clusters(chains: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """Chains of two or more steps grouped by their sequence of callees: (signature, n, entry, consumer, depth, tests,
-    first_chain, members), most first. `names` (node, fqn) turns nodes into names."""
+    first_chain). `names` (node, fqn) turns nodes into names. Members are rows of their own, see members()."""
+    rows = _signed(chains, names)
+    out = rows.groupBy("signature").agg(F.count("*").alias("n"), F.count_distinct("test").alias("tests"), F.min("chain_id").alias("first_chain"))
+    return out.select("signature", "n", F.col("signature")[0].alias("entry"), F.element_at("signature", -2).alias("consumer"), F.size("signature").alias("depth"), "tests", "first_chain")
+
+
+def members(chains: DataFrame, found: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """(first_chain, chain_id, test): the chains of each cluster, under its first one."""
+    return _signed(chains, names).select("signature", "chain_id", "test").join(found.select("signature", "first_chain"), "signature").select("first_chain", "chain_id", "test")
+
+
+def _signed(chains: DataFrame, names: DataFrame | None) -> DataFrame:
+    """Chains of two or more steps with their signature."""
     rows = chains.where("depth >= 2")
     sequence = F.transform("steps", lambda s: s["callee"])
     if names is not None:
         flat = rows.select("chain_id", F.posexplode("steps").alias("i", "s")).join(names.select(F.col("node").alias("callee"), "fqn"), F.col("s.callee") == F.col("callee"), "left")
         flat = flat.groupBy("chain_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", F.coalesce("fqn", F.col("s.callee").cast("string")).alias("f")))), lambda x: x["f"]).alias("signature"))
-        rows = rows.join(flat, "chain_id")
-    else:
-        rows = rows.withColumn("signature", sequence)
-    out = rows.groupBy("signature").agg(F.count("*").alias("n"), F.count_distinct("test").alias("tests"), F.min("chain_id").alias("first_chain"), F.array_sort(F.collect_list(F.struct("chain_id", "test"))).alias("members"))
-    return out.select("signature", "n", F.col("signature")[0].alias("entry"), F.element_at("signature", -2).alias("consumer"), F.size("signature").alias("depth"), "tests", "first_chain", "members")
+        return rows.join(flat, "chain_id")
+    return rows.withColumn("signature", sequence)
 
 
 def capped(found: DataFrame, cap: int = 10, coverage: int = 90, order: str = "first_chain") -> DataFrame:
-    """Adds `selected`: clusters of two or more, largest first, until they cover a share of all chains or reach the cap."""
+    """Adds `selected`: clusters of two or more, largest first, until they cover a share of all chains or reach the cap; with
+    the `rank` of those that the cap lets in. Only these are numbered in one place."""
     by = Window.orderBy(F.desc("n"), order)
     total = found.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     enough = -(-total * coverage // 100)
-    several = found.where("n > 1").withColumns({"rank": F.row_number().over(by), "before": F.coalesce(F.sum("n").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
-    picked = several.withColumn("selected", (F.col("before") < enough) & (F.col("rank") <= cap))
-    return picked.unionByName(found.where("n = 1").withColumns({"rank": F.lit(None).cast("int"), "before": F.lit(None).cast("long"), "selected": F.lit(False)}))
+    first = found.where("n > 1").orderBy(F.desc("n"), order).limit(cap)
+    before = F.coalesce(F.sum("n").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = first.select(order, F.row_number().over(by).alias("rank"), (before < enough).alias("selected"))
+    return found.join(F.broadcast(first), order, "left").withColumn("selected", F.coalesce("selected", F.lit(False)))  # `cap` rows
 
 
 def consumers(found: DataFrame) -> DataFrame:
@@ -134,8 +145,9 @@ def nearest_edges(chains: DataFrame, most: int = 16) -> DataFrame:
     there are."""
     flat = chains.select("depth", F.posexplode("steps").alias("i", "s")).select("s.caller", "s.callee", (F.col("depth") - F.col("i")).alias("dist"))
     edges = flat.groupBy("caller", "callee").agg(F.min("dist").alias("dist"))
+    more = max(0, edges.count() - most)
     by = Window.orderBy("dist", "caller", "callee")
-    return edges.withColumns({"rank": F.row_number().over(by), "more": F.greatest(F.count("*").over(Window.partitionBy()) - most, F.lit(0))}).where(F.col("rank") <= most)
+    return edges.orderBy("dist", "caller", "callee").limit(most).withColumns({"rank": F.row_number().over(by), "more": F.lit(more).cast("long")})
 
 
 def test_command_classes(tests: DataFrame) -> DataFrame:

@@ -9,18 +9,15 @@ from pyspark.sql.window import Window
 from ..functions.names import last_dotted, test_class
 from .ranking import first_per_key
 
-#: How results name a cell of a table (a fixed value; pass another for other projects).
-CELL = r"Cell\{column=(\d+), row=(\d+)\}"
-
-
 def upper_median(values: Column) -> Column:
     """The element at position n div 2 of the sorted array."""
     return F.get(F.array_sort(values), (F.size(values) / 2).cast("int"))
 
 
-def behaviour_classes(values: DataFrame, pattern: str = CELL) -> DataFrame:
+def behaviour_classes(values: DataFrame, pattern: str) -> DataFrame:
     """Captured calls (method, test, args, result, throws, ord) with row, col and their behaviour class; calls whose first
-    two arguments are no integers are left out."""
+    two arguments are no integers are left out. `pattern` tells how a project's results name a place: its two groups are
+    the second and the first coordinate."""
     rows = values.withColumns({"row": F.get("args", F.lit(0)).try_cast("int"), "col": F.get("args", F.lit(1)).try_cast("int"), "value": F.array_join(F.slice("args", 3, F.greatest(F.size("args") - 2, F.lit(0))), " | ")}).where("row is not null and col is not null")
     dcol = F.regexp_extract("result", "^" + pattern, 1).try_cast("int") - F.col("col")
     drow = F.regexp_extract("result", "^" + pattern, 2).try_cast("int") - F.col("row")
@@ -29,6 +26,16 @@ def behaviour_classes(values: DataFrame, pattern: str = CELL) -> DataFrame:
     return rows.withColumns({"class": cls, "length": F.length("value")})
 
 
+def median_of(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """(keys, name): the element at position n div 2 of each key's sorted values, nulls left out. Values are counted first, so
+    a hot key costs one row for each distinct value."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    by = Window.partitionBy(*keys)
+    upto = F.sum("_n").over(by.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    counts = counts.withColumns({"_upto": upto, "_all": F.sum("_n").over(by)}).where("_upto > floor(_all / 2)")
+    return counts.groupBy(*keys).agg(F.min(value).alias(name))
+
+
 def class_summary(classed: DataFrame, first: int = 5) -> DataFrame:
     """(class, count, length_min, length_max, representatives), most frequent first."""
     shown = F.struct("ord", "row", "col", F.substring("value", 1, 70).alias("value"), F.substring("result", 1, 70).alias("result"), "test")
@@ -93,7 +100,7 @@ def focus_set(calls: DataFrame, target: str, methods: DataFrame, words: list[str
     return direct.union(named)
 
 
-def build(target: str, values: DataFrame, coverage: DataFrame, failures: DataFrame, covering: DataFrame, examples: DataFrame, pattern: str = CELL) -> tuple[DataFrame, DataFrame]:
+def build(target: str, values: DataFrame, coverage: DataFrame, failures: DataFrame, covering: DataFrame, examples: DataFrame, pattern: str) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges): nodes (id, type, label, props, ev), edges (src, rel, dst, props); props are JSON text. No edge has an
     unknown end."""
     props = lambda *c: F.to_json(F.struct(*c))

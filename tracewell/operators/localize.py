@@ -48,13 +48,14 @@ def boundary_suspects(boundary: DataFrame, calls: DataFrame, production: DataFra
     direct callees among production methods, each with its caller's score."""
     own = boundary.groupBy("method").agg(F.count_distinct("test").cast("double").alias("score")).withColumns({"direct": F.lit(True), "via": F.lit(None).cast("string")})
     by = Window.orderBy(F.desc("score"), "method")
-    ranked = own.withColumn("place", F.row_number().over(by))
+    # Beyond the first `most` boundary methods none is shown, and where they are fewer all callees' callers are among them.
+    ranked = own.orderBy(F.desc("score"), "method").limit(most).withColumn("place", F.row_number().over(by))
     callee = calls.select("caller", F.col("callee").alias("method")).distinct().join(production.select("method").distinct(), "method", "left_semi").join(own.select("method"), "method", "left_anti")
     callee = callee.join(ranked.select(F.col("method").alias("caller"), "score", "place"), "caller")
     callee = first_per_key(callee, ["method"], ["place", "caller"]).select("method", "score", F.lit(False).alias("direct"), F.col("caller").alias("via"), "place")
     both = ranked.select("method", "score", "direct", "via", "place").unionByName(callee)
-    order = Window.orderBy(F.desc("direct"), "place", "method")
-    return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).drop("place")
+    order = [F.desc("direct"), "place", "method"]
+    return both.orderBy(*order).limit(most).withColumn("rank", F.row_number().over(Window.orderBy(*order))).drop("place")
 
 
 def aggregate_boundary(boundary: DataFrame) -> DataFrame:

@@ -108,6 +108,13 @@ def bucketed_range_join(points: DataFrame, spans: DataFrame, at: str, low: str,
     return a.join(b, "_b").where(F.col(at).between(F.col(low), F.col(high))).drop("_b")
 
 
+def in_any_range(points: DataFrame, spans: DataFrame, at: str, low: str, high: str, width: int) -> DataFrame:
+    """Points that lie in any of the spans, once each: the same buckets, as a semi join."""
+    a = points.withColumn("_b", F.floor(F.col(at) / width))
+    b = spans.withColumn("_b", F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width)))).withColumnRenamed("_b", "_bucket")
+    return a.join(b, (F.col("_b") == F.col("_bucket")) & F.col(at).between(F.col(low), F.col(high)), "left_semi").drop("_b")
+
+
 def longest_prefix(rows: DataFrame, prefixes: DataFrame, text: str, prefix: str) -> DataFrame:
     """The longest prefix that fits each text. A text looks up each of its own beginnings, so the join is on equality."""
     lengths = [r[0] for r in prefixes.select(F.length(prefix)).distinct().collect()]

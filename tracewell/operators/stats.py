@@ -7,13 +7,13 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .knowledge import upper_median
+from .knowledge import median_of
 
 
 def by_arm(runs: DataFrame) -> DataFrame:
     """(arm, n, pass_at_one, cycles_median, convergence) from (arm, target, seed, passed, cycles)."""
-    out = runs.groupBy("arm").agg(F.count("*").alias("n"), F.avg(F.col("passed").cast("double")).alias("pass_at_one"), F.collect_list(F.when(F.col("passed"), F.col("cycles"))).alias("_c"), F.avg((F.col("passed") & F.col("cycles").isNotNull()).cast("double")).alias("convergence"))
-    return out.select("arm", "n", "pass_at_one", upper_median(F.col("_c")).alias("cycles_median"), "convergence")
+    out = runs.groupBy("arm").agg(F.count("*").alias("n"), F.avg(F.col("passed").cast("double")).alias("pass_at_one"), F.avg((F.col("passed") & F.col("cycles").isNotNull()).cast("double")).alias("convergence"))
+    return out.join(median_of(runs.where("passed"), ["arm"], "cycles", "cycles_median"), "arm", "left").select("arm", "n", "pass_at_one", "cycles_median", "convergence")
 
 
 def bootstrap(runs: DataFrame, resamples: int = 1000, level: float = 0.95, seed: int = 0) -> DataFrame:
@@ -21,12 +21,14 @@ def bootstrap(runs: DataFrame, resamples: int = 1000, level: float = 0.95, seed:
     so only two counts an arm are needed; no outcomes give 0 to 0."""
 
     def draw(pdf_iter):
+        import zlib
+
         import numpy as np
 
         for pdf in pdf_iter:
             low, high = [], []
-            for n, k in zip(pdf["n"], pdf["k"]):
-                means = np.random.default_rng(seed).binomial(n, k / n, resamples) / n if n else np.zeros(1)
+            for arm, n, k in zip(pdf["arm"], pdf["n"], pdf["k"]):
+                means = np.random.default_rng([seed, zlib.crc32(str(arm).encode())]).binomial(n, k / n, resamples) / n if n else np.zeros(1)
                 low.append(float(np.quantile(means, (1 - level) / 2)))
                 high.append(float(np.quantile(means, 1 - (1 - level) / 2)))
             yield pdf.assign(low=low, high=high)[["arm", "low", "high"]].astype({"arm": object})
@@ -89,10 +91,10 @@ def signed_rank(pairs: DataFrame) -> float:
 
 def lifts(summary: DataFrame, baseline: str, least: float = 0.05) -> DataFrame:
     """(arm, diff, confirmed) against a baseline, from (arm, pass_at_one, low, high): by at least `least`, intervals apart."""
-    base = summary.where(F.col("arm") == baseline).select(F.col("pass_at_one").alias("_p"), F.col("high").alias("_h"), F.lit(1).alias("_k"))
-    rows = summary.where(F.col("arm") != baseline).withColumn("_k", F.lit(1)).join(F.broadcast(base), "_k")  # one row
-    diff = F.col("pass_at_one") - F.col("_p")
-    return rows.select("arm", diff.alias("diff"), ((diff >= least) & (F.col("low") > F.col("_h"))).alias("confirmed"))
+    base = summary.where(F.col("arm") == baseline).select("pass_at_one", "high").first()
+    diff = F.col("pass_at_one") - F.lit(base["pass_at_one"] if base else None)
+    apart = F.col("low") > F.lit(base["high"] if base else None)
+    return summary.where((F.col("arm") != baseline) & F.lit(base is not None)).select("arm", diff.alias("diff"), ((diff >= least) & apart).alias("confirmed"))
 
 
 def additive(summary: DataFrame, both: str, parts: list[str]) -> DataFrame:

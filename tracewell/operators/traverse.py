@@ -8,26 +8,40 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from pyspark.storagelevel import StorageLevel
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """An eager reliable checkpoint; in local mode a temporary folder serves if none is set."""
-    sc = df.sparkSession.sparkContext
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A path that nothing else uses in the folder that driver and executors share; in local mode a temporary folder serves
+    if none is set."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
             if not re.match(r"local(\[|$)", sc.master):
                 raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             folder = tempfile.mkdtemp(prefix="tracewell-")
         sc.setCheckpointDir(folder)
+    return f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """An eager reliable checkpoint."""
+    shared_path(df.sparkSession, "checkpoint")  # sets the folder
     return df.checkpoint()
 
 
+def in_order(df: DataFrame, *by, name: str = "seq") -> DataFrame:
+    """Adds numbers that grow in an order but have gaps: rows are dealt out by ranges and sorted there, so no task sees all
+    of them. Checkpoint the result, as the ranges come from a sample."""
+    return df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn(name, F.monotonically_increasing_id())
+
+
 class TooMany(ValueError):
     """A traversal that met more nodes than allowed."""
 
@@ -37,8 +51,8 @@ def bfs(edges: DataFrame, seeds: DataFrame, *, src: str = "src", dst: str = "dst
 
     `key` separates searches: seeds and results carry it, and each runs on its own. `stop` has nodes (node) that are
     reached but not left, unless they are seeds. `blocked` is a condition on dst not to go on through. `order` are edge
-    columns that break ties between parents of one rank. Over max_nodes the result keeps the first by (depth, seq), or
-    fails with TooMany."""
+    columns that break ties between parents of one rank; `seq` then grows in order of discovery within a depth. Over
+    max_nodes the result keeps the first by (depth, seq), or fails with TooMany."""
     keys = [key] if key else []
     arcs = edges.where(F.col(src) != F.col(dst)).withColumnsRenamed({src: "_from", dst: "_to"}).select("_from", "_to", *(order or [])).distinct()
     if blocked is not None:
@@ -47,18 +61,18 @@ def bfs(edges: DataFrame, seeds: DataFrame, *, src: str = "src", dst: str = "dst
     if stop is not None:
         arcs = arcs.join(stop.select(F.col("node").alias("_from")).distinct(), "_from", "left_anti")
     arcs = arcs.repartition("_from").persist(StorageLevel.MEMORY_AND_DISK)  # recomputed from its source if an executor is lost
-    number = lambda *by: F.row_number().over(Window.partitionBy(*keys).orderBy(*by) if keys else Window.orderBy(*by)).cast("long")
+    numbered = lambda df, by: in_order(df, *keys, by) if order else df.withColumn("seq", F.lit(0).cast("long"))
     start = seeds.select(*keys, "node").distinct()
-    level = checkpoint(start.select(*keys, "node", F.lit(0).alias("depth"), F.lit(None).cast(seeds.schema["node"].dataType).alias("parent"), (number("node") if order else F.lit(0).cast("long")).alias("seq")))
+    start = start.select(*keys, "node", F.lit(0).alias("depth"), F.lit(None).cast(seeds.schema["node"].dataType).alias("parent"))
+    level = checkpoint(numbered(start, "node"))
     seen, depth, met = level, 0, level.count() if max_nodes else 0
     while max_depth is None or depth < max_depth:
         depth += 1
         found = level.select(*keys, F.col("node").alias("_from"), F.col("seq").alias("_seq")).join(first if depth == 1 else arcs, "_from")
         pick = found.groupBy(*keys, F.col("_to").alias("node")).agg(F.min(F.struct("_seq", *(order or []), F.col("_from").alias("parent"))).alias("x"))
         fresh = pick.join(seen.select(*keys, "node"), [*keys, "node"], "left_anti")
-        # Numbers follow each other within a level; levels are kept apart by a stride, so no count of earlier ones is needed.
-        seq = F.lit(depth << 40) + number("x", "node") if order else F.lit(depth).cast("long")
-        level = checkpoint(fresh.select(*keys, "node", F.lit(depth).alias("depth"), F.col("x.parent").alias("parent"), seq.alias("seq")))
+        fresh = fresh.select(*keys, "node", F.lit(depth).alias("depth"), F.col("x.parent").alias("parent"), F.struct("x", "node").alias("by"))
+        level = checkpoint(numbered(fresh, "by").drop("by"))
         if level.isEmpty():
             break
         seen = seen.unionByName(level)
@@ -70,15 +84,19 @@ def bfs(edges: DataFrame, seeds: DataFrame, *, src: str = "src", dst: str = "dst
                 break
     arcs.unpersist()
     if max_nodes is not None:
-        rank = Window.partitionBy(*keys).orderBy("depth", "seq", "node") if keys else Window.orderBy("depth", "seq", "node")
-        seen = seen.withColumn("_n", F.row_number().over(rank)).where(F.col("_n") <= max_nodes).drop("_n") if met > max_nodes or keys else seen
+        if keys:
+            rank = Window.partitionBy(*keys).orderBy("depth", "seq", "node")
+            seen = seen.withColumn("_n", F.row_number().over(rank)).where(F.col("_n") <= max_nodes).drop("_n")
+        elif met > max_nodes:
+            seen = seen.orderBy("depth", "seq", "node").limit(max_nodes)
     return seen
 
 
-def reverse_chains(calls: DataFrame, target: str, tests: DataFrame, max_depth: int = 100, most: int = 100_000) -> DataFrame:
+def reverse_chains(calls: DataFrame, target: str, tests: DataFrame, max_depth: int | None = 100, most: int | None = 100_000) -> DataFrame:
     """Chains from tests to the target: the reverse breadth-first tree from the target, never left through a test, and
     for each edge from a test into the tree that edge followed by the tree path. (chain_id, test, depth, virtual_steps,
-    steps), the first `most` in order of depth, virtual steps and discovery. `calls` has (caller, callee, virtual, ord), `tests` (node)."""
+    steps), the first `most`, or all, in order of depth, virtual steps and discovery; with `most`, chain_id counts from 0, else it
+    grows in that order. `calls` has (caller, callee, virtual, ord), `tests` (node)."""
     spark = calls.sparkSession
     seed = spark.createDataFrame([(target,)], "node string").select(F.col("node").cast(calls.schema["callee"].dataType).alias("node"))
     tree = bfs(calls.select("caller", "callee", "virtual", "ord"), seed, src="callee", dst="caller", order=["virtual", "ord"], stop=tests, max_depth=max_depth)
@@ -97,12 +115,15 @@ def reverse_chains(calls: DataFrame, target: str, tests: DataFrame, max_depth: i
     found = entry.join(all_paths.select(F.col("node").alias("callee"), "seq", "steps"), "callee").select(F.col("caller").alias("test"), "seq", F.col("virtual"), F.concat(F.array(step), "steps").alias("steps"))
     found = found.withColumns({"depth": F.size("steps"), "virtual_steps": F.size(F.filter("steps", lambda s: s["virtual"]))})
     order = ["depth", "virtual_steps", "seq", "test", "virtual"]
-    rank = Window.orderBy(*order)
-    found = found.orderBy(*order).limit(most)  # a distributed top-n, so numbering sees no more rows than that
-    return found.withColumn("chain_id", F.row_number().over(rank).cast("long") - 1).select("chain_id", "test", "depth", "virtual_steps", "steps")
+    if most is None:
+        found = checkpoint(in_order(found, *order, name="chain_id"))
+    else:
+        found = found.orderBy(*order).limit(most)  # a distributed top-n, so numbering sees no more rows than that
+        found = found.withColumn("chain_id", F.row_number().over(Window.orderBy(*order)).cast("long") - 1)
+    return found.select("chain_id", "test", "depth", "virtual_steps", "steps")
 
 
-def entry_depths(calls: DataFrame, target, tests: DataFrame, max_depth: int = 100) -> DataFrame:
+def entry_depths(calls: DataFrame, target, tests: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(test, entry, depth) of the same chains without their steps, for graphs too large to spell paths out."""
     seed = target if isinstance(target, DataFrame) else calls.sparkSession.createDataFrame([(target,)], ["node"])
     tree = bfs(calls, seed.select("node"), src="callee", dst="caller", stop=tests, max_depth=max_depth)
@@ -159,7 +180,7 @@ def literal_closure(nodes: DataFrame, literals: DataFrame, ddg: DataFrame) -> Da
     return nodes.select("node").union(literals.join(used, "id", "left_semi").select(F.col("id").alias("node"))).distinct()
 
 
-def simple_paths(spark, edges: DataFrame, start: DataFrame, end: DataFrame, max_depth: int = 25, most: int = 5000) -> DataFrame:
+def simple_paths(spark, edges: DataFrame, start: DataFrame, end: DataFrame, max_depth: int = 25, most: int | None = 5000) -> DataFrame:
     """(path, depth) of all paths without repeats from start to end nodes, shortest first. Each level is a join that
     carries the path; paths that end are set aside."""
     arcs = edges.select("src", "dst").where("src != dst").distinct()
@@ -170,7 +191,8 @@ def simple_paths(spark, edges: DataFrame, start: DataFrame, end: DataFrame, max_
         if live.isEmpty():
             break
         done = done.union(live.join(end.select(F.col("node").alias("at")), "at", "left_semi").select("path"))
-    return done.select("path", (F.size("path") - 1).alias("depth")).orderBy("depth", "path").limit(most)
+    done = done.select("path", (F.size("path") - 1).alias("depth"))
+    return done if most is None else done.orderBy("depth", "path").limit(most)
 
 
 def katz(edges: DataFrame, nodes: DataFrame, alpha: float = 0.01, tolerance: float = 1e-8, rounds: int = 100) -> DataFrame:

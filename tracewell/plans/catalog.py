@@ -29,7 +29,7 @@ def query(sql: str | None = None):
 
 
 PG = """pg AS (SELECT DISTINCT src, dst FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS dst
-  FROM lineitem WHERE l_orderkey % 16 = 0) WHERE dst IS NOT NULL AND src <> dst),
+  FROM lineitem) WHERE dst IS NOT NULL AND src <> dst),
 tests AS (SELECT p_partkey AS node FROM part WHERE p_size <= 5),
 target AS (SELECT dst AS node FROM pg WHERE dst NOT IN (SELECT node FROM tests) GROUP BY dst ORDER BY count(*) DESC, dst LIMIT 1)"""
 
@@ -62,7 +62,7 @@ inner_ AS (SELECT node, min(depth) AS depth FROM b GROUP BY node)"""
 @query(BACK.format(most=60) + """ SELECT pg.src AS test, pg.dst AS entry, i.depth + 1 AS depth FROM pg JOIN inner_ i ON i.node = pg.dst
 WHERE pg.src IN (SELECT node FROM tests) AND (i.depth = 0 OR pg.dst NOT IN (SELECT node FROM tests))""")
 def chains_part_graph(spark, sf):
-    return traverse.entry_depths(d.part_calls(spark, sf), d.busiest(spark, sf), d.part_tests(spark, sf), max_depth=60)
+    return traverse.entry_depths(d.part_calls(spark, sf), d.busiest(spark, sf), d.part_tests(spark, sf))
 
 
 @query(f"""WITH {PG}, h1 AS (SELECT DISTINCT src AS node FROM pg JOIN target ON dst = node), h2 AS (SELECT DISTINCT src AS node FROM pg JOIN h1 ON dst = node), h3 AS (SELECT DISTINCT src AS node FROM pg JOIN h2 ON dst = node)
@@ -73,7 +73,7 @@ def reach_bounded(spark, sf):
 
 @query(f"WITH RECURSIVE {PG}, r(node, depth) AS (SELECT node, 0 FROM target UNION SELECT pg.src, r.depth + 1 FROM r JOIN pg ON pg.dst = r.node WHERE r.depth < 40) SELECT node, min(depth) AS depth FROM r GROUP BY node")
 def reach_callers(spark, sf):
-    return traverse.reachable_callers(d.part_calls(spark, sf), d.busiest(spark, sf), max_depth=40, max_methods=10_000_000)
+    return traverse.reachable_callers(d.part_calls(spark, sf), d.busiest(spark, sf), max_methods=1_000_000_000)
 
 
 @query(f"WITH RECURSIVE {PG}, r(node, depth) AS (SELECT node, 0 FROM target UNION SELECT pg.dst, r.depth + 1 FROM r JOIN pg ON pg.src = r.node WHERE r.depth < 3) SELECT node, min(depth) AS depth FROM r GROUP BY node")
@@ -93,12 +93,12 @@ def chop_intersection(spark, sf):
     return traverse.chop(d.part_edges(spark, sf), d.busiest(spark, sf), d.part_tests(spark, sf), max_depth=4, max_nodes=10_000_000)
 
 
-@query(f"""WITH RECURSIVE {PG}, start AS (SELECT DISTINCT src AS node FROM pg JOIN target ON dst = node), p(cur, path) AS (SELECT node, [node] FROM start UNION ALL SELECT pg.dst, list_append(p.path, pg.dst) FROM p JOIN pg ON pg.src = p.cur WHERE len(p.path) <= 4 AND NOT list_contains(p.path, pg.dst))
+@query(f"""WITH RECURSIVE {PG}, start AS (SELECT DISTINCT src AS node FROM pg JOIN target ON dst = node), p(cur, path) AS (SELECT node, [node] FROM start UNION ALL SELECT pg.dst, list_append(p.path, pg.dst) FROM p JOIN pg ON pg.src = p.cur WHERE len(p.path) <= 2 AND NOT list_contains(p.path, pg.dst))
 SELECT array_to_string(path, '>') AS path, len(path) - 1 AS depth FROM p WHERE cur IN (SELECT node FROM target)""")
 def simple_paths_bounded(spark, sf):
     edges, target = d.part_edges(spark, sf), d.busiest(spark, sf)
     start = edges.join(target.withColumnRenamed("node", "dst"), "dst", "left_semi").select(F.col("src").alias("node")).distinct()
-    found = traverse.simple_paths(spark, edges, start, target, max_depth=4, most=100_000_000)
+    found = traverse.simple_paths(spark, edges, start, target, max_depth=2, most=None)
     return found.select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), F.col("depth").cast("long").alias("depth"))
 
 
@@ -187,14 +187,14 @@ def region_strength(spark, sf):
 
 @query("""WITH changed AS (SELECT p_partkey AS k FROM part WHERE p_size = 7) SELECT 'uncovered' AS kind, CAST(k AS VARCHAR) AS subject FROM changed WHERE k NOT IN (SELECT l_partkey FROM lineitem)
 UNION ALL SELECT 'unverified', CAST(l_partkey AS VARCHAR) || ': line ' || CAST(l_linenumber AS VARCHAR) FROM lineitem WHERE l_partkey IN (SELECT k FROM changed) GROUP BY l_partkey, l_linenumber HAVING count(*) FILTER (WHERE l_returnflag = 'R') = 0
-UNION ALL SELECT 'mismatch', CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_partkey IN (SELECT k FROM changed))""")
+UNION ALL SELECT 'mismatch', CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderpriority = '1-URGENT' AND o_custkey IN (SELECT k FROM changed) AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_partkey IN (SELECT k FROM changed))""")
 def blind_spots(spark, sf):
     changed = table(spark, sf, "part").where("p_size = 7").select(F.col("p_partkey").cast("string").alias("method"))
     mutants = d.mutants(spark, sf)
     regions = impact.regions(mutants).withColumn("label", F.concat(F.lit("line "), F.col("line").cast("string")))
     coverage = mutants.select("method", "test").distinct()
-    one = changed.limit(1)  # urgent orders stand for tests that notice a mutant of one changed part
-    kills = table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").cast("string").alias("test")).withColumn("_k", F.lit(1)).join(one.withColumn("_k", F.lit(1)), "_k").select("method", "test")
+    # Urgent orders stand for tests that notice a mutant of the part with the customer's number.
+    kills = table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").cast("string").alias("method"), F.col("o_orderkey").cast("string").alias("test"))
     return impact.blind_spots(changed, coverage, regions, impact.tiers(changed, coverage, kills))
 
 
@@ -272,19 +272,16 @@ def collapse_repeats(spark, sf):
     return found.groupBy("user_id", F.col("island").cast("long").alias("island")).agg(F.min("event_type").alias("event_type"), F.count("*").alias("n"))
 
 
-@query("""WITH b AS (SELECT item_id, string_split(text, ' ')[1:8] AS head FROM benchmark), w AS (SELECT doc_id, string_split(text, ' ') AS ws FROM documents),
-s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 7], ' ') AS g FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 7)) AS i FROM w WHERE len(ws) >= 8))
-SELECT item_id, doc_id FROM b JOIN s ON s.g = array_to_string(head, ' ') WHERE len(head) = 8""")
+@query("""WITH b AS (SELECT item_id, string_split(text, ' ') AS ws FROM benchmark WHERE text <> ''), n AS (SELECT item_id, ws, least(len(ws), 8) AS n FROM b),
+bg AS (SELECT DISTINCT item_id, array_to_string(ws[i:i + n - 1], ' ') AS g FROM (SELECT item_id, ws, n, unnest(generate_series(1, len(ws) - n + 1)) AS i FROM n)),
+w AS (SELECT doc_id, string_split(text, ' ') AS ws FROM documents), k AS (SELECT doc_id, ws, n FROM w JOIN (SELECT DISTINCT n FROM n) ON len(ws) >= n),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + n - 1], ' ') AS g FROM (SELECT doc_id, ws, n, unnest(generate_series(1, len(ws) - n + 1)) AS i FROM k))
+SELECT DISTINCT item_id, doc_id FROM bg JOIN s ON s.g = bg.g""")
 def leak_runs(spark, sf):
     """Pairs of which the document holds any eight words in a row of the item, or the whole of a shorter item."""
-    runs = lambda n: F.transform(F.sequence(F.lit(1), F.size("ws") - n + 1), lambda i: F.array_join(F.slice("ws", i, n), " "))
-    items = table(spark, sf, "benchmark").where("text != ''").select("item_id", F.split("text", " ", -1).alias("ws")).withColumn("n", F.least(F.size("ws"), F.lit(8)))
-    lengths = [r["n"] for r in items.select("n").distinct().collect()]
-    items = items.select("item_id", F.explode(F.array_distinct(runs(F.col("n")))).alias("g"))
-    words = table(spark, sf, "documents").select("doc_id", F.split("text", " ", -1).alias("ws"))
-    found = [F.when(F.size("ws") >= n, runs(F.lit(n))).otherwise(F.array().cast("array<string>")) for n in sorted(lengths)]
-    grams = words.select("doc_id", F.explode(F.concat(F.array().cast("array<string>"), *found)).alias("g"))
-    return grams.join(items, "g").select("item_id", "doc_id").distinct()
+    from ..operators.leaks import word_runs
+
+    return word_runs(table(spark, sf, "documents"), table(spark, sf, "benchmark"), 8)
 
 
 @query("SELECT source, doc_id, CAST(running AS BIGINT) AS running FROM (SELECT source, doc_id, sum((length(text) + 3) // 4) OVER (PARTITION BY source ORDER BY doc_id) AS running FROM documents) WHERE running <= 20000")
@@ -311,7 +308,8 @@ def trace_like_regex(spark, sf):
 SELECT class, CAST(sum(n) AS BIGINT) AS n, min(k) AS low, max(k) AS high, (SELECT list_sort(list(v.k))[count(v.k) // 2 + 1] FROM v WHERE v.class = c.class) AS median FROM c GROUP BY class""")
 def json_props_classes(spark, sf):
     rows = table(spark, sf, "events").select(F.col("event_type").alias("class"), F.get_json_object("props", "$.k").cast("long").alias("k"))
-    return rows.groupBy("class").agg(F.count("*").alias("n"), F.min("k").alias("low"), F.max("k").alias("high"), knowledge.upper_median(F.collect_list("k")).alias("median"))
+    out = rows.groupBy("class").agg(F.count("*").alias("n"), F.min("k").alias("low"), F.max("k").alias("high"))
+    return out.join(knowledge.median_of(rows, ["class"], "k", "median"), "class", "left")
 
 
 @query("SELECT page_id, len(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS links, coalesce(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)[1], '') AS first_link FROM pages")

@@ -38,9 +38,9 @@ def source_lines(spark, sf):
     return rows.groupBy(F.col("file").alias("doc_id")).agg(F.count("*").alias("lines"), F.count(F.when(F.trim("text") == "", 1)).alias("blank"), F.max(F.length("text")).cast("long").alias("longest"))
 
 
-@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents WHERE source = 'src1') SELECT doc_id, string_agg(t, chr(10) ORDER BY n) AS text FROM l WHERE n <= 4 GROUP BY doc_id""")
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents) SELECT doc_id, string_agg(t, chr(10) ORDER BY n) AS text FROM l WHERE n <= 4 GROUP BY doc_id""")
 def source_fragments(spark, sf):
-    docs = table(spark, sf, "documents").where("source = 'src1'")
+    docs = table(spark, sf, "documents")
     rows = text.lines(docs.select(F.col("doc_id").alias("file"), F.col("text").alias("content")))
     wanted = docs.select(F.col("doc_id").alias("key"), F.col("doc_id").alias("file"), F.lit(1).alias("line"))
     return text.fragment(rows, text.around(wanted, 3, 3)).select(F.col("key").alias("doc_id"), "text")
@@ -150,17 +150,18 @@ def boundary_aggregation(spark, sf):
     return localize.aggregate_boundary(rows)
 
 
-BOUNDARY = """b AS (SELECT l_suppkey AS m, count(DISTINCT l_orderkey) AS n FROM lineitem WHERE l_suppkey <= 3 GROUP BY 1), r AS (SELECT m, n, row_number() OVER (ORDER BY n DESC, CAST(m AS VARCHAR)) AS place FROM b),
-c AS (SELECT l_partkey AS m, min((r.place, CAST(r.m AS VARCHAR))) AS x FROM lineitem JOIN r ON l_suppkey = r.m WHERE l_linenumber = 1 AND l_partkey > 3 AND l_partkey <= 200 GROUP BY 1)"""
+BOUNDARY = """b AS (SELECT l_suppkey AS m, count(DISTINCT l_orderkey) AS n FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_nationkey = 7) GROUP BY 1), r AS (SELECT m, n, row_number() OVER (ORDER BY n DESC, CAST(m AS VARCHAR)) AS place FROM b),
+c AS (SELECT l_partkey AS m, min((r.place, CAST(r.m AS VARCHAR))) AS x FROM lineitem JOIN r ON l_suppkey = r.m WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size > 25) AND l_partkey NOT IN (SELECT m FROM b) GROUP BY 1)"""
 
 
 @query(f"""WITH {BOUNDARY}, u AS (SELECT CAST(m AS VARCHAR) AS method, CAST(n AS DOUBLE) AS score, true AS direct, place FROM r UNION ALL SELECT CAST(c.m AS VARCHAR), CAST(r.n AS DOUBLE), false, r.place FROM c JOIN r ON r.place = c.x[1])
 SELECT method, score, direct, CAST(row_number() OVER (ORDER BY direct DESC, place, method) AS INTEGER) AS rank FROM u QUALIFY row_number() OVER (ORDER BY direct DESC, place, method) <= 12""")
 def suspects_boundary_only(spark, sf):
     items = table(spark, sf, "lineitem")
-    boundary = items.where("l_suppkey <= 3").select(F.col("l_orderkey").cast("string").alias("test"), F.col("l_suppkey").cast("string").alias("method"))
-    calls = items.where("l_linenumber = 1").select(F.col("l_suppkey").cast("string").alias("caller"), F.col("l_partkey").cast("string").alias("callee"))
-    production = table(spark, sf, "part").where("p_partkey <= 200").select(F.col("p_partkey").cast("string").alias("method"))
+    near = table(spark, sf, "supplier").where("s_nationkey = 7").select(F.col("s_suppkey").alias("l_suppkey"))
+    boundary = items.join(near, "l_suppkey", "left_semi").select(F.col("l_orderkey").cast("string").alias("test"), F.col("l_suppkey").cast("string").alias("method"))
+    calls = items.select(F.col("l_suppkey").cast("string").alias("caller"), F.col("l_partkey").cast("string").alias("callee"))
+    production = table(spark, sf, "part").where("p_size > 25").select(F.col("p_partkey").cast("string").alias("method"))
     return localize.boundary_suspects(boundary, calls, production, 12).select("method", "score", "direct", "rank")
 
 
@@ -174,7 +175,7 @@ def universe_by_class(spark, sf):
 def behaviour_classes(spark, sf):
     result = F.when(F.col("event_type") == "error", "throws E: no").when(F.col("value") > 50, "Cell{column=3, row=1}").otherwise("else")
     rows = table(spark, sf, "events").select(F.lit("m").alias("method"), F.col("user_id").cast("string").alias("test"), F.array(F.lit("1"), F.lit("2"), "props").alias("args"), result.alias("result"), (F.col("event_type") == "error").alias("throws"), F.col("event_id").alias("ord"))
-    return knowledge.class_summary(knowledge.behaviour_classes(rows)).select("class", "count", F.col("length_min").cast("long").alias("length_min"), F.col("length_max").cast("long").alias("length_max"))
+    return knowledge.class_summary(knowledge.behaviour_classes(rows, r"Cell\{column=(\d+), row=(\d+)\}")).select("class", "count", F.col("length_min").cast("long").alias("length_min"), F.col("length_max").cast("long").alias("length_max"))
 
 
 @query("""WITH v AS (SELECT length(props) AS n FROM events) SELECT count(*) AS n, count(*) FILTER (WHERE event_type <> 'error') AS non_throwing, min(length(props)) AS length_min, (SELECT list_sort(list(n))[count(*) // 2 + 1] FROM v) AS length_median, max(length(props)) AS length_max FROM events""")
@@ -198,21 +199,26 @@ def virtual_call_edges(spark, sf):
     return ingest.virtual_calls(direct, overrides).select("caller", "callee", "virtual")
 
 
-@query(f"""WITH RECURSIVE {PG}, st AS (SELECT node AS stmt, node FROM tests WHERE node <= 40 AND node IN (SELECT src FROM pg)), b(stmt, node, n) AS (SELECT stmt, node, 0 FROM st UNION SELECT b.stmt, pg.src, b.n + 1 FROM b JOIN pg ON pg.dst = b.node WHERE b.n < 40),
-f(stmt, node, n) AS (SELECT stmt, node, 0 FROM st UNION SELECT f.stmt, pg.dst, f.n + 1 FROM f JOIN pg ON pg.src = f.node WHERE f.n < 40) SELECT stmt, node FROM b UNION SELECT stmt, node FROM f""")
+@query(f"""WITH RECURSIVE {PG}, own AS (SELECT CAST(a.l_orderkey AS VARCHAR) AS m, a.l_linenumber AS src, b.l_linenumber AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_returnflag = b.l_returnflag),
+e AS (SELECT DISTINCT m || '#' || src AS src, m || '#' || dst AS dst FROM own), st AS (SELECT DISTINCT CAST(l_orderkey AS VARCHAR) || '#' || l_linenumber AS s FROM lineitem WHERE l_linestatus = 'F' AND l_linenumber = 3),
+b(stmt, node) AS (SELECT s, s FROM st UNION SELECT b.stmt, e.src FROM b JOIN e ON e.dst = b.node), f(stmt, node) AS (SELECT s, s FROM st UNION SELECT f.stmt, e.dst FROM f JOIN e ON e.src = f.node) SELECT stmt, node FROM b UNION SELECT stmt, node FROM f""")
 def statement_bridge(spark, sf):
-    edges = d.part_edges(spark, sf).withColumn("layer", F.lit("DDG"))
-    starts = d.part_tests(spark, sf).where("node <= 40").join(edges.select(F.col("src").alias("node")), "node", "left_semi").select(F.col("node").alias("stmt"), "node")
-    return dependence.touched(edges, starts)
+    """Lines of an order are statements; one flows into the next where both were returned alike."""
+    items = table(spark, sf, "lineitem")
+    line = lambda n: F.concat_ws("#", F.col("l_orderkey").cast("string"), n.cast("string"))
+    here = items.select("l_orderkey", "l_returnflag", F.col("l_linenumber").alias("a"))
+    following = items.select("l_orderkey", "l_returnflag", (F.col("l_linenumber") - 1).alias("a"))
+    edges = here.join(following, ["l_orderkey", "l_returnflag", "a"]).select(F.lit("DDG").alias("layer"), line(F.col("a")).alias("src"), line(F.col("a") + 1).alias("dst")).distinct()
+    starts = items.where("l_linestatus = 'F' and l_linenumber = 3").select(line(F.col("l_linenumber")).alias("stmt")).distinct()
+    return dependence.touched(edges, starts.select("stmt", F.col("stmt").alias("node")))
 
 
-@query("""WITH x AS (SELECT l_orderkey AS m, l_linenumber AS line, l_partkey AS c, l_suppkey AS o, 'v' || l_returnflag AS name, l_linestatus = 'O' AS is_def FROM lineitem QUALIFY count(*) OVER (PARTITION BY l_orderkey, l_returnflag, l_linenumber, l_partkey) = 1),
-w AS (SELECT *, last_value(CASE WHEN is_def THEN line END IGNORE NULLS) OVER (PARTITION BY m, name ORDER BY line, c, NOT is_def ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS src FROM x)
+@query("""WITH x AS (SELECT l_orderkey AS m, l_linenumber AS line, l_partkey AS c, l_suppkey AS o, 'v' || l_returnflag AS name, l_linestatus = 'O' AS is_def FROM lineitem ),
+w AS (SELECT *, last_value(CASE WHEN is_def THEN line END IGNORE NULLS) OVER (PARTITION BY m, name ORDER BY line, c, NOT is_def, line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS src FROM x)
 SELECT DISTINCT CAST(m AS VARCHAR) AS method, name, src, line AS dst FROM w WHERE NOT is_def AND src IS NOT NULL""")
 def last_definitions(spark, sf):
     rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").cast("string").alias("method"), F.col("l_linenumber").alias("stmt_ordinal"), F.when(F.col("l_linestatus") == "O", "LOCAL_DEF").otherwise("LOCAL_USE").alias("kind"), F.concat(F.lit("v"), "l_returnflag").alias("name"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("col"))
-    once = rows.withColumn("k", F.count("*").over(Window.partitionBy("method", "name", "line", "col"))).where("k = 1").drop("k")
-    return dependence.data_dependence(once)
+    return dependence.data_dependence(rows)
 
 
 @query("""SELECT o_orderpriority AS cls, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1""")
@@ -246,11 +252,11 @@ def literal_closure(spark, sf):
     return traverse.literal_closure(nodes, literals, d.part_edges(spark, sf))
 
 
-@query(f"""WITH {PG} SELECT 1 AS part, '  p' || CAST(p_partkey AS VARCHAR) || ' [label="' || p_name || '", shape=box];' AS line FROM part WHERE length(p_name) <= 40 AND p_size = 9
+@query(f"""WITH {PG} SELECT 1 AS part, '  p' || CAST(p_partkey AS VARCHAR) || ' [label="' || CASE WHEN length(p_name) > 40 THEN substr(p_name, 1, 39) || '…' ELSE p_name END || '", shape=box];' AS line FROM part
 UNION ALL SELECT 2, '  p' || CAST(src AS VARCHAR) || ' -> p' || CAST(dst AS VARCHAR) || ' [color=blue];' FROM pg""")
 def dot_graph(spark, sf):
     pid = lambda c: F.concat(F.lit("p"), F.col(c).cast("string"))
-    nodes = table(spark, sf, "part").where("length(p_name) <= 40 and p_size = 9").select(pid("p_partkey").alias("id"), F.lit("METHOD").alias("kind"), F.col("p_name").alias("label"))
+    nodes = table(spark, sf, "part").select(pid("p_partkey").alias("id"), F.lit("METHOD").alias("kind"), F.col("p_name").alias("label"))
     edges = d.part_edges(spark, sf).select(pid("src").alias("src"), pid("dst").alias("dst"), F.lit("DDG").alias("kind"))
     return sinks.dot_lines(nodes, edges)
 

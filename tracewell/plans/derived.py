@@ -6,17 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Orders that make the derived graph.
-MODULUS = 16
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(src, dst): a part and the next one in an order, loops left out."""
-    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").where(F.col("l_orderkey") % MODULUS == 0)
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     following = F.lead("l_partkey").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
     return items.select(F.col("l_partkey").alias("src"), following.alias("dst")).where("dst is not null and src != dst").distinct()
 

@@ -143,10 +143,10 @@ def suspects_report(boundary: DataFrame, coverage: DataFrame | None, failing: Da
     return {"suspects": ranked, "boundary": lo.aggregate_boundary(boundary), "by_class": lo.failures_by_class(failing), "markdown": "# Suspects\n\n" + sinks.markdown_table(ranked.orderBy("rank").withColumn("method", class_and_method("method")))}
 
 
-def pool(target: str, values: DataFrame, coverage: DataFrame, failures: DataFrame, folder: str) -> None:
+def pool(target: str, values: DataFrame, coverage: DataFrame, failures: DataFrame, folder: str, pattern: str) -> None:
     """Knowledge graph, failures and universe of a target, written below a folder."""
     covering = im.covering(coverage, target)
-    nodes, edges = kg.build(target, values, coverage, failures, covering, kg.exemplars(covering))
+    nodes, edges = kg.build(target, values, coverage, failures, covering, kg.exemplars(covering), pattern)
     sinks.write_tables(folder, kg_nodes=nodes, kg_edges=edges, universe=kg.universe_by_class(covering))
     sinks.write_failures(failures, f"{folder}/failures")
 

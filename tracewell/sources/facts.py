@@ -11,7 +11,8 @@ from pyspark.sql.window import Window
 
 
 def _map(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    return spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", f"map<string,{kind}>", {"mode": "FAILFAST"})).alias("method", "x"))
+    """A document of one object, or, in a folder that ends in .jsonl, an object a line."""
+    return spark.read.text(path, wholetext=not path.rstrip("/").endswith(".jsonl")).select(F.explode(F.from_json("value", f"map<string,{kind}>", {"mode": "FAILFAST"})).alias("method", "x"))
 
 
 def coverage(spark: SparkSession, path: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 #: Words that start no method (fixed values).
 KEYWORDS = {"if", "for", "while", "switch", "catch", "return", "new", "else", "do", "try", "throw", "synchronized", "assert", "case", "super", "this"}
 #: Calls that pass their only argument through (fixed values).
-WRAPPERS = {"String.valueOf", "Integer.valueOf", "Long.valueOf", "Integer.parseInt", "Objects.requireNonNull", "Optional.of"}
+WRAPPERS = {"String.valueOf", "Integer.valueOf", "Long.valueOf", "Integer.parseInt", "Long.parseLong", "Double.parseDouble", "Boolean.parseBoolean", "Objects.requireNonNull", "Optional.of"}
 KINDS = [("return", "RETURN"), ("throw", "THROW"), ("if", "IF"), ("else", "ELSE"), ("for", "FOR"), ("while", "WHILE"), ("do", "DO"), ("switch", "SWITCH"), ("try", "TRY"), ("catch", "CATCH"), ("break", "BREAK"), ("continue", "CONTINUE")]
 DEPTH, BRANCHES = 15, 3
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import subprocess
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -41,9 +41,12 @@ def around(wanted: DataFrame, before: int = 3, after: int = 2) -> DataFrame:
 
 
 def fingerprint(files: DataFrame, salt: str = "") -> DataFrame:
-    """One digest over all (file, content) in order of file; it changes with any name or content, and with the salt."""
-    each = files.select("file", F.sha2(F.concat_ws("\0", "file", F.sha2("content", 256)), 256).alias("h"))
-    return each.agg(F.sha2(F.concat(F.lit(salt), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("file", "h"))), lambda x: x["h"]), "")), 256).alias("digest"))
+    """One digest over all (file, content), whatever their order; it changes with any name or content, and with the salt.
+    Digests of files meet in up to 65,536 groups, and the groups' digests in one row."""
+    each = files.select(F.sha2(F.concat_ws("\0", "file", F.sha2("content", 256)), 256).alias("h"))
+    joined = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), ""), 256)
+    groups = each.groupBy(F.substring("h", 1, 4).alias("g")).agg(joined("h").alias("h"))
+    return groups.agg(F.sha2(F.concat(F.lit(salt), joined("h")), 256).alias("digest"))
 
 
 def short_digest(column: str):
@@ -51,15 +54,28 @@ def short_digest(column: str):
     return F.substring(F.sha2(F.col(column), 256), 1, 16)
 
 
+def new_name(line: str) -> Column:
+    """The file that a "+++ " line of a unified diff names, without the prefix of its side and a time after a tab; else null."""
+    name = F.rtrim(F.substring_index(F.substring(line, 5, 1 << 20), "\t", 1))
+    own = F.when(name.startswith("b/"), F.substring(name, 3, 1 << 20)).otherwise(name)
+    return F.when(F.col(line).startswith("+++ ") & (own != ""), own)
+
+
+def old_start(line: str) -> Column:
+    """The first line on the old side that a hunk's head "@@ -a,b +c,d @@" states; else null."""
+    words = F.split(line, " ")
+    old, new, end = (F.get(words, F.lit(i)) for i in (1, 2, 3))
+    first = F.substring_index(F.substring(old, 2, 20), ",", 1).try_cast("int")
+    return F.when(F.col(line).startswith("@@ ") & old.startswith("-") & new.startswith("+") & (end == "@@"), first)
+
+
 def deleted_lines(diff: DataFrame) -> DataFrame:
     """(file, line) that a unified diff touches on its base side, from lines (n, value) or (diff_id, n, value): deleted
     lines, and the anchor of a hunk that deletes none."""
     keys = ["diff_id"] if "diff_id" in diff.columns else []
     order = Window.partitionBy(*keys).orderBy("n") if keys else Window.orderBy("n")
     so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    name = F.regexp_extract("value", r"^\+\+\+ (?:b/)?(.+?)\s*$", 1)
-    start = F.regexp_extract("value", r"^@@ -(\d+)(?:,\d+)? \+\d+(?:,\d+)? @@", 1)
-    rows = diff.withColumns({"name": F.when(name != "", name), "start": F.when(start != "", start.cast("int"))})
+    rows = diff.withColumns({"name": new_name("value"), "start": old_start("value")})
     rows = rows.withColumns({"file": F.last("name", ignorenulls=True).over(so_far), "hunk": F.sum(F.when(F.col("start").isNotNull() | F.col("name").isNotNull(), 1).otherwise(0)).over(so_far)})
     v = F.col("value")
     gone = v.startswith("-") & ~v.startswith("---")
@@ -88,19 +104,31 @@ def numbered(spark: SparkSession, text: str) -> DataFrame:
 def frames(traces: DataFrame) -> DataFrame:
     """(trace_id, cause_ix, exc_type, message, frame_ix, cls, method, file, line) from (trace_id, trace)."""
     rows = traces.select("trace_id", F.posexplode(F.split("trace", "\r?\n")).alias("n", "raw"))
-    at = r"^\s*at\s+([\w.$]+)\.([\w$<>]+)\(([^:)]+):?(\d+)?\)"
-    text = F.trim("raw")
+    text = F.trim(F.translate("raw", "\t", " "))
+    # A frame is "at ", a qualified method, and a place in brackets: a file, and often a line after a colon.
+    place = F.substring_index(F.substring_index(text, "(", -1), ")", 1)
+    called = F.substring_index(F.substring_index(F.substring(text, 4, 1 << 20), "(", 1), "/", -1)
+    method = F.substring_index(called, ".", -1)
+    rows = rows.withColumns({"text": text, "place": place, "method": method, "cls": F.substring(called, F.lit(1), F.length(called) - F.length(method) - 1)})
+    rows = rows.withColumn("is_frame", text.startswith("at ") & F.contains(text, F.lit("(")) & (F.col("cls") != "") & (F.col("place") != ""))
+    text = F.col("text")
     by = Window.partitionBy("trace_id").orderBy("n")
-    rows = rows.withColumn("is_frame", F.col("raw").rlike(at)).where((text != "") & ~text.startswith("..."))
-    headed = text.rlike(r"^(?:Caused by:\s+)?[\w.$]+?(?::\s?.*)?$")
+    rows = rows.where((text != "") & ~text.startswith("..."))
+    # A head is an exception's type, and often a message after a colon.
+    deeper = text.startswith("Caused by:")
+    body = F.when(deeper, F.ltrim(F.substring(text, 11, 1 << 20))).otherwise(text)
+    kind = F.substring_index(body, ":", 1)
+    headed = (kind != "") & ~F.contains(kind, F.lit(" "))
+    message = F.ltrim(F.substring(body, F.length(kind) + 2, F.length(body)))
+    rows = rows.withColumns({"kind": kind, "message": message})
     first = ~F.col("is_frame") & headed & (F.coalesce(F.sum(F.when(~F.col("is_frame") & headed, 1)).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) == 0)
-    rows = rows.withColumn("header", first | (~F.col("is_frame") & headed & text.startswith("Caused by:")))
+    rows = rows.withColumn("header", first | (~F.col("is_frame") & headed & deeper))
     so_far = by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumns({"cause_ix": F.sum(F.col("header").cast("int")).over(so_far) - 1, "head": F.last(F.when(F.col("header"), text), ignorenulls=True).over(so_far)}).where("is_frame and cause_ix >= 0")
+    head = F.last(F.when(F.col("header"), F.struct("kind", "message")), ignorenulls=True).over(so_far)
+    rows = rows.withColumns({"cause_ix": F.sum(F.col("header").cast("int")).over(so_far) - 1, "head": head}).where("is_frame and cause_ix >= 0")
     ix = F.row_number().over(Window.partitionBy("trace_id", "cause_ix").orderBy("n")) - 1
-    part = lambda k: F.regexp_extract("raw", at, k)
-    head = r"^(?:Caused by:\s+)?([\w.$]+?)(?::\s?(.*))?$"
-    return rows.select("trace_id", F.col("cause_ix").cast("int").alias("cause_ix"), F.regexp_extract("head", head, 1).alias("exc_type"), F.regexp_extract("head", head, 2).alias("message"), ix.alias("frame_ix"), part(1).alias("cls"), part(2).alias("method"), part(3).alias("file"), F.coalesce(part(4).try_cast("int"), F.lit(-1)).alias("line"))
+    line = F.coalesce(F.when(F.contains("place", F.lit(":")), F.substring_index("place", ":", -1)).try_cast("int"), F.lit(-1))
+    return rows.select("trace_id", F.col("cause_ix").cast("int").alias("cause_ix"), F.col("head.kind").alias("exc_type"), "head.message", ix.alias("frame_ix"), "cls", "method", F.substring_index("place", ":", 1).alias("file"), line.alias("line"))
 
 
 def root_causes(all_frames: DataFrame, package: str) -> DataFrame:

@@ -24,13 +24,15 @@ def recent_matrix(rows: DataFrame, time: str = "ts", late: str = "10 minutes") -
 
 
 def capped_values(rows: DataFrame, most: int = 6, most_throws: int = 2) -> DataFrame:
-    """The first few captured calls of each method and test, returns and throws under caps of their own, across batches."""
+    """The first few captured calls of each method and test, returns and throws under caps of their own, across batches; rows
+    (method, test, args, result, throws, ord) of a batch go in order of ord."""
     import pandas as pd
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def cap(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         returns, throws = state.get if state.exists else (0, 0)
-        for pdf in batches:
+        whole = pd.concat(list(batches)).sort_values("ord", kind="stable")
+        for pdf in [whole]:
             thrown = pdf["throws"].astype(bool)
             keep = ((~thrown).cumsum() + returns <= most) & ~thrown | (thrown.cumsum() + throws <= most_throws) & thrown
             returns, throws = min(most, returns + int((~thrown).sum())), min(most_throws, throws + int(thrown.sum()))
