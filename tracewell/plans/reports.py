@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import Target, class_and_method, last_dotted, owner, parameters, simple
-from ..functions.predicates import readable_source
+from ..functions.predicates import readable_source, trimmed_helper
 from ..operators import chains as ch
 from ..operators import impact as im
 from ..operators import knowledge as kg
@@ -72,8 +72,15 @@ def sibling_bodies(siblings: DataFrame, lines: DataFrame, whole: int = 30, first
     return tx.fragment(lines, wanted).join(wanted.select("key", "long"), "key").select("key", F.when(F.col("long"), F.concat("text", F.lit("\n    // ..."))).otherwise(F.col("text")).alias("text"))
 
 
-def slice_report(graph: Graph, target: Target, *, max_chains: int = 5000, cluster_cap: int = 10, coverage: int = 90, consumer_cap: int = 5, rank_by_hubs: bool = False, budget: int = 20_000) -> dict:
-    """Chains, clusters (capped), consumers and a budgeted Markdown text for one target."""
+#: Parts of a slice's text by mode.
+MODES = {"budgeted": ["target", "statistics", "consumers", "members", "long_tail"], "full": ["target", "statistics", "consumers", "members", "long_tail"], "bare": ["target", "consumers"], "spec": ["target", "siblings", "consumers", "members"]}
+
+
+def slice_report(graph: Graph, target: Target, *, max_chains: int = 5000, cluster_cap: int = 10, coverage: int = 90, consumer_cap: int = 5, rank_by_hubs: bool = False, budget: int = 20_000, mode: str = "budgeted") -> dict:
+    """Chains, clusters (capped), consumers and a Markdown text for one target: within a budget, `full` without one, `bare` with
+    target and consumers alone, or `spec` with the siblings that specify it, helpers left out. `dropped` lists what gave way."""
+    if mode not in MODES:
+        raise ValueError(f"no such mode: {mode}; one of {', '.join(MODES)}")
     node = locate(graph.methods, target)
     names = graph.methods.select(F.col("id").alias("node"), "fqn")
     found = paths(graph, target, max_chains).cache()
@@ -84,12 +91,19 @@ def slice_report(graph: Graph, target: Target, *, max_chains: int = 5000, cluste
         clusters = ch.hub_order(clusters, scores)
     consumers = ch.consumers(clusters.where("selected")).limit(consumer_cap)
     parts = {"target": f"# {node['fqn']}\n{node['signature']}", "statistics": sinks.markdown_table(ch.statistics(found)), "consumers": "## Consumers\n" + sinks.markdown_table(consumers), "members": "## Clusters\n" + sinks.markdown_table(clusters.where("selected").select("entry", "consumer", "n", "tests", "depth")), "long_tail": "## Long tail\n" + sinks.markdown_table(clusters.where("not selected").groupBy("consumer").agg(F.count("*").alias("clusters"), F.sum("n").alias("chains")).orderBy("consumer"))}
+    context = local_context(graph, node)
+    if mode == "spec":
+        shown = context["siblings"].where(~trimmed_helper(F.concat_ws(" ", F.array_join("modifiers", " "), "signature")))
+        parts["siblings"] = "## Siblings\n" + sinks.markdown_table(shown.select("fqn", "signature").orderBy("fqn", "signature"))
+    parts = {k: v for k, v in parts.items() if k in MODES[mode]}
+    if mode != "budgeted":
+        return {"chains": found, "clusters": clusters, "consumers": consumers, "context": context, "dropped": [], "markdown": "\n\n".join(parts.values())}
     table = found.sparkSession.createDataFrame([("doc", k, v) for k, v in parts.items()], "doc string, part string, text string")
     fit = ch.fit_budget(table, budget).first()
     if fit["tier"] is None:
         raise ValueError("the smallest document is over the budget")
     kept = [v for k, v in parts.items() if k not in fit["dropped"]]
-    return {"chains": found, "clusters": clusters, "consumers": consumers, "context": local_context(graph, node), "markdown": "\n\n".join(kept)}
+    return {"chains": found, "clusters": clusters, "consumers": consumers, "context": context, "dropped": [k for k in fit["dropped"] if k in parts], "markdown": "\n\n".join(kept)}
 
 
 def impact_report(diff: DataFrame, spans: DataFrame, coverage: DataFrame, killers: DataFrame, regions: DataFrame, total_tests: int | None = None) -> dict:
@@ -175,3 +189,79 @@ def chop_report(files: DataFrame, calls: DataFrame, target: str, max_methods: in
     bridge = dp.touched(edges, own)
     shown = dp.view(edges, layers=checked(layers) if layers else None)
     return {"methods": near, "statements": statements, "edges": shown, "touched": bridge, "cytoscape": sinks.cytoscape(statements.select(node("ordinal").alias("id"), "kind", F.col("text").alias("label")), shown)}
+
+
+def graph_statements(graph: Graph) -> DataFrame:
+    """(method_id, line, id, label, name, code, ord) of a graph's calls, returns and branches, in order of line and id."""
+    calls = graph.call_sites.select("method_id", "line", "id", F.lit("CALL").alias("label"), F.col("callee").alias("name"), "code")
+    other = graph.statements.select("method_id", "line", "id", F.when(F.col("kind") == "RETURN", "RETURN").otherwise("OTHER").alias("label"), F.lit(None).cast("string").alias("name"), "code")
+    return calls.union(other).withColumn("ord", F.struct("line", "id"))
+
+
+def crash_from_graph(graph: Graph, cases: DataFrame, package: str) -> dict:
+    """crash_report() with spans, statements, guards and data flow of a graph."""
+    spans = graph.methods.select("fqn", "id", "file", "line_start", "line_end")
+    back = lambda kind: graph.of_kind(kind).select(F.col("dst").alias("node"), F.col("src").alias("back"))
+    return crash_report(cases, package, spans, graph_statements(graph), back("CDG"), back("DDG"))
+
+
+def named_calls(files: DataFrame) -> DataFrame:
+    """(caller, callee, virtual) between methods of sources (file, content), by the callee's simple name."""
+    from ..sources import java
+
+    methods = java.methods_table(files).select(F.col("fqn").alias("callee"), last_dotted("fqn").alias("name")).distinct()
+    sites = java.expressions_table(files).where("kind = 'CALLSITE'").select(F.col("method").alias("caller"), "name").distinct()
+    return sites.join(methods, "name").select("caller", "callee", F.lit(False).alias("virtual")).distinct()
+
+
+#: Sections of a bundle, in order.
+SECTIONS = ["target", "direct tests", "focus", "consumer", "target values", "consumer values", "medoids", "snippets", "goldens", "co-covered"]
+
+
+def bundle_sections(target: str, stub: str, calls: DataFrame, methods: DataFrame, values: DataFrame, coverage: DataFrame, failures: DataFrame, chains: DataFrame | None = None) -> DataFrame:
+    """(section, text, kept, dropped) of all that a bundle about a target shows, capped."""
+    from ..operators import pool as pl
+
+    spark = values.sparkSession
+    covering = im.covering(coverage, target)
+    line = lambda df, section, order, text: df.select(F.lit(section).alias("section"), order.cast("string").alias("ord"), text.alias("line"))
+    found = pl.consumer(calls, methods, coverage, target)
+    first = found.first()
+    direct = pl.callers_of(calls, methods, target).where("is_test")
+    out = [
+        line(spark.createDataFrame([(target, stub)], "t string, s string"), "target", F.lit(0), F.concat(F.lit("`"), "t", F.lit("`: `"), "s", F.lit("`"))),
+        line(direct, "direct tests", F.col("fqn"), F.concat(F.lit("- "), "fqn")),
+        line(pl.focus_tests(calls, methods, covering, target), "focus", F.concat_ws(" ", "why", "test"), F.concat(F.lit("- "), "test", F.lit(" ("), "why", F.lit(")"))),
+        line(found, "consumer", F.lit(0), F.format_string("- %s shares %s tests, %s of all of both", "method", "shared", "jaccard")),
+        line(kg.co_coverage(coverage, target), "co-covered", F.lpad((F.lit(1000) - F.col("jaccard") * 1000).cast("int").cast("string"), 5, "0"), F.format_string("- %s (%s)", "method", "jaccard")),
+        line(kg.golden_outputs(failures), "goldens", F.col("test"), F.concat(F.lit("- "), "test", F.lit(": "), "excerpt")),
+    ]
+    for method, section in ((target, "target values"), (first["method"] if first else None, "consumer values")):
+        if method:
+            shown = pl.value_lines(values, method, section)
+            out.append(shown.select("section", F.lpad(F.col("ord").cast("string"), 20, "0").alias("ord"), "line"))
+    if chains is not None:
+        clusters = ch.clusters(chains)
+        out.append(line(pl.medoids(chains, clusters), "medoids", F.lpad(F.col("rank").cast("string"), 5, "0"), F.concat(F.lit("- "), "path")))
+        out.append(line(pl.chain_edges(chains, target), "snippets", F.lpad(F.col("dist").cast("string"), 5, "0"), F.format_string("- %s calls %s", "caller", "callee")))
+    rows = out[0]
+    for o in out[1:]:
+        rows = rows.union(o)
+    return pl.capped_sections(rows)
+
+
+def bundle(target: str, stub: str, *tables: DataFrame, chains: DataFrame | None = None) -> str:
+    """The bundle of bundle_sections() as one text."""
+    from ..operators import pool as pl
+
+    return pl.bundle(bundle_sections(target, stub, *tables, chains=chains), SECTIONS, f"What is known about {target}", stub)
+
+
+def evaluate(runs: DataFrame, baseline: str) -> dict:
+    """Arms of an evaluation: rates with intervals, lifts over a baseline, and a text."""
+    from ..operators import stats
+
+    summary = stats.by_arm(runs).join(stats.bootstrap(runs), "arm")
+    lifts = stats.lifts(summary, baseline)
+    shown = summary.select("arm", "n", F.round("pass_at_one", 3).alias("rate"), F.round("low", 3).alias("low"), F.round("high", 3).alias("high"), "cycles_median")
+    return {"summary": summary, "lifts": lifts, "markdown": f"# Arms\n\n{sinks.markdown_table(shown.orderBy('arm'))}\n\n# Against {baseline}\n\n{sinks.markdown_table(lifts.orderBy('arm'))}\n"}
