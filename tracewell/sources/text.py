@@ -24,7 +24,7 @@ def lines(files: DataFrame) -> DataFrame:
 
 def read_sources(spark: SparkSession, path: str, glob: str = "*.java") -> DataFrame:
     """(file, content) below a folder; file is relative to it."""
-    root = F.lit(path.rstrip("/") + "/")
+    root = "/" + path.removeprefix("file:").strip("/") + "/" if "://" not in path or path.startswith("file:") else path.rstrip("/") + "/"
     rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path, wholetext=True)
     return staged(rows.select(F.substring_index(F.col("_metadata.file_path"), root, -1).alias("path"), F.col("value").alias("content"))).withColumnRenamed("path", "file")
 
