@@ -1,16 +1,24 @@
 """Personal data by weak supervision, with DataFrame functions alone.
 
-Base spans come from fixed patterns and checks. Beyond them, candidate spans (long digit runs and hexadecimal strings that
-touch no base span) get votes from three labelers: a regex labeler for strict shapes, a gazetteer labeler for known
-prefixes and cue words, a context labeler for what stands around. Expectation-maximisation over the counts of vote
-patterns estimates how reliable each labeler is; its posteriors train a naive Bayes span classifier over votes and shape,
-which decides. Counts are grouped by pattern and shape, so what reaches the driver has a fixed size.
+Base spans come from fixed patterns and checks. Beyond them, candidate spans that touch no base span get votes from three
+labelers: a regex labeler for strict shapes, a gazetteer labeler for known prefixes and cue words, a context labeler for what
+stands around. Candidates are, of any length,
+
+* hexadecimal runs of 32 or more, and mixed runs of letters, digits, "_" and "-" of 20 or more with upper case, lower case
+  and digits, as keys and tokens are ("secret");
+* digit runs of 9 or more, digits in three to six parts between blanks, dots or hyphens as account, social security and
+  telephone numbers are written, and account numbers that start with two letters and two digits ("number").
+
+Expectation-maximisation over the counts of vote patterns estimates how reliable each labeler is; its posteriors train a
+naive Bayes span classifier over votes and shape, which decides. Counts are grouped by pattern and shape, so what reaches
+the driver has a fixed size. Names and addresses are no candidates.
 
 Matches are leftmost and do not overlap within a kind. Patterns use possessive repeats and look back only where that
-cannot change a match, so very long runs neither recurse nor take square time.
+cannot change a match, so very long runs neither recurse nor take square time; matches are gathered in slices.
 
-Cases: null text counts as empty and has no spans; a null doc_id is kept; repeated rows are judged each; an empty table
-gives an empty result; further columns are ignored by spans() and kept by redact().
+Cases: null text counts as empty and has no spans; a text of any length is read whole; spans that start together are listed
+in the order of KINDS; a null doc_id is kept; repeated rows are judged each; an empty table gives an empty result; further
+columns are ignored by spans() and kept by redact().
 """
 
 from __future__ import annotations
@@ -31,29 +39,51 @@ IP = r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 IP_PARTS = r"^0*(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})(\.0*(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})){3}$"
-CANDIDATE = r"(?<![0-9A-Za-z])(?:[0-9A-Fa-f]{32,128}|[0-9]{9,40})(?![0-9A-Za-z])"
+#: Candidates (fixed values), the first that fits.
+SHAPES = [
+    r"[0-9A-Fa-f]{32,}+(?![0-9A-Za-z])", r"[A-Z]{2}[0-9]{2}(?:\x20?[0-9A-Z]{4}){2,7}(?:\x20?[0-9A-Z]{1,3})?(?![0-9A-Za-z])",
+    r"[0-9]{9,}+(?![0-9A-Za-z])", r"[0-9]{2,5}(?:[\x20.-][0-9]{2,5}){2,5}(?![0-9A-Za-z])", r"[A-Za-z0-9_-]{20,}+",
+]
+CANDIDATE = rf"(?<![0-9A-Za-z_-])(?:{'|'.join(SHAPES)})"
+#: Start of a text's check for any candidate.
+ANY = r"[0-9A-Fa-f]{9}|[0-9][\x20.-][0-9]{2}|[A-Z]{2}[0-9]{2}|[A-Za-z0-9_-]{20}"
 #: Cue words and issuer prefixes (fixed values).
-CUES = r"(?i)(token|secret|key|passw|auth|card|visa|account|phone|tel|call|iban|id)\W*$"
+CUES = r"(?i)(token|secret|key|passw|auth|card|visa|account|phone|tel|call|iban|ssn|social|id)\W*$"
 ISSUERS = r"^(4|5[1-5]|2[2-7]|3[47]|6)"
+KEY_STARTS = r"^(sk|pk|rk|gh[pousr]|xox[abprs]|AKIA|ASIA|AIza|glpat|eyJ)[-_A-Za-z0-9]"
 AROUND = 24
+#: Matches gathered at a time.
+SLICE = 256
+SPAN = "array<struct<start:int,rank:int,end:int,kind:string,value:string,before:string,after:string>>"
 
 
 def find(text: Column, pattern: str, kind: str, valid=None) -> Column:
-    """The matches that are valid as array<struct<start, rank, end, kind, value>>, in code points, end exclusive. Lengths of
-    what stands between matches and of the matches add up to places; only valid ones are gathered."""
-    pairs = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda gap, hit: F.struct(F.length(gap).alias("gap"), hit.alias("hit")))
-    empty = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,value:string>>")
+    """The matches that are valid as array<struct<start, rank, end, kind, value, before, after>>, in code points, end exclusive,
+    with the last characters of what stands between a match and the one before, and the first ones of what follows. Lengths of
+    what stands between matches and of the matches add up to places; only valid ones are gathered, slice by slice."""
+    gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    following = F.slice(gaps, 2, F.greatest(F.size(gaps), F.lit(1)))
+    pairs = F.filter(F.arrays_zip(gaps.alias("gap"), hits.alias("hit"), following.alias("next")), lambda x: x["hit"].isNotNull())
+    empty = F.array().cast(SPAN)
 
     def step(acc, x):
-        start = acc["at"] + x["gap"]
+        start = acc["at"] + F.length(x["gap"])
         end = start + F.length(x["hit"])
-        span = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), x["hit"].alias("value"))
-        out = F.concat(acc["out"], F.array(span))
+        around = (F.right(x["gap"], F.lit(AROUND)).alias("before"), F.left(F.coalesce(x["next"], F.lit("")), F.lit(2)).alias("after"))
+        span = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), x["hit"].alias("value"), *around)
+        out = F.concat(acc["out"], F.array(span).cast(SPAN))
         if valid is not None:
             out = F.when(valid(x["hit"]), out).otherwise(acc["out"])
-        return F.when(x["hit"].isNull(), acc).otherwise(F.struct(end.alias("at"), out.alias("out")))
+        return F.struct(end.alias("at"), out.alias("out"))
 
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+    def gathered(acc, some):
+        own = F.aggregate(some, F.struct(acc["at"].alias("at"), empty.alias("out")), step)
+        return F.struct(own["at"].alias("at"), F.concat(acc["parts"], F.array(own["out"])).alias("parts"))
+
+    few = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+    slices = F.transform(F.sequence(F.lit(0), F.floor(F.size(pairs) / SLICE).cast("int")), lambda i: F.slice(pairs, i * SLICE + 1, F.lit(SLICE)))
+    many = F.aggregate(slices, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("parts")), gathered, lambda acc: F.flatten(acc["parts"]))
+    return F.when(F.size(pairs) <= SLICE, few).otherwise(many)
 
 
 def luhn(digits: Column) -> Column:
@@ -70,9 +100,18 @@ def _digits(x: Column) -> Column:
     return F.regexp_replace(x, "[^0-9]", "")
 
 
+def account(value: Column) -> Column:
+    """Whether an account number with country letters has the right check digits (remainder 1 by 97)."""
+    bare = F.upper(F.regexp_replace(value, r"\x20", ""))
+    turned = F.concat(F.substring(bare, F.lit(5), F.length(bare)), F.left(bare, F.lit(4)))
+    code = lambda c: F.when(c.rlike("[0-9]"), c.try_cast("int")).otherwise(F.ascii(c) - 55)
+    rest = F.aggregate(F.filter(F.split(turned, ""), lambda c: c != ""), F.lit(0), lambda acc, c: (acc * F.when(code(c) > 9, 100).otherwise(10) + code(c)) % 97)
+    return rest == 1
+
+
 def base(text: Column) -> Column:
     """Base spans by start, then kind."""
-    none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,value:string>>")
+    none = F.array().cast(SPAN)
     email = F.when(F.contains(text, F.lit("@")), find(text, EMAIL, "email")).otherwise(none)
     ip = find(text, IP, "ip", lambda v: v.rlike(IP_PARTS))
     card = find(text, CARD, "card", lambda v: F.when(F.length(v).between(14, 37) & F.length(_digits(v)).between(14, 19), luhn(_digits(v))).otherwise(False))
@@ -82,28 +121,33 @@ def base(text: Column) -> Column:
 
 def candidates(text: Column, taken: Column) -> Column:
     """Candidate spans that touch no base span, with the text before and after each."""
-    found = F.filter(find(text, CANDIDATE, "number"), lambda c: ~F.exists(taken, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+    mixed = lambda v: ~v.rlike(r"^[A-Za-z0-9_-]{20,}+$") | v.rlike(r"^[0-9A-Fa-f]{32,}+$|^[0-9]+$") | (v.rlike("[0-9]") & v.rlike("[A-Z]") & v.rlike("[a-z]"))
+    found = F.when(text.rlike(ANY), find(text, CANDIDATE, "number", mixed)).otherwise(F.array().cast(SPAN))
+    return F.filter(found, lambda c: ~F.exists(taken, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
 
-    def look(c):
-        before = F.substring(text, F.greatest(c["start"] - AROUND, F.lit(0)) + 1, F.least(c["start"], F.lit(AROUND)))
-        return F.struct(c["start"].alias("start"), c["end"].alias("end"), c["value"].alias("value"), before.alias("before"), F.substring(text, c["end"] + 1, F.lit(2)).alias("after"))
 
-    return F.transform(found, look)
+def form(value: Column) -> Column:
+    """0 for a digit run, 1 for parted digits, 2 for an account number, 3 for hexadecimal, 4 for a mixed key."""
+    return F.when(value.rlike("^[0-9]+$"), 0).when(value.rlike(r"^[0-9][0-9\x20.-]*$"), 1).when(value.rlike(r"^[A-Z]{2}[0-9]{2}[0-9A-Z\x20]+$") & (F.length(value) < 43), 2).when(value.rlike("^[0-9A-Fa-f]+$"), 3).otherwise(4)
 
 
 def features(c: Column) -> Column:
     """Votes of the three labelers and the shape of a candidate, each a small number."""
-    value, before = c["value"], c["before"]
-    number = value.rlike("^[0-9]+$")
-    mixed = value.rlike("[0-9]") & value.rlike("[A-Fa-f]")
-    shape = F.when(number, F.length(value).between(14, 19) & luhn(value)).otherwise(mixed & F.length(value).isin(32, 40, 64, 128))
-    known = before.rlike(CUES) | F.when(number, value.rlike(ISSUERS) & F.length(value).isin(15, 16)).otherwise(False)
-    context = before.rlike("[=:#]\\s*[\"']?$") | before.rlike("[\"'(<]$") & c["after"].rlike("^[\"')>]")
+    value, before, after = c["value"], c["before"], c["after"]
+    kind = form(value)
+    varied = F.size(F.array_distinct(F.split(value, ""))) > 13
+    shape = (
+        F.when(kind == 0, F.length(value).between(14, 19) & luhn(value)).when(kind == 1, value.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$|^[0-9]{3}([\x20.-])[0-9]{3}\1[0-9]{4}$"))
+        .when(kind == 2, account(value)).when(kind == 3, value.rlike("[0-9]") & value.rlike("[A-Fa-f]") & F.length(value).isin(32, 40, 64, 128)).otherwise(varied)
+    )
+    prefix = F.when(kind == 0, value.rlike(ISSUERS) & F.length(value).isin(15, 16)).when(kind == 4, value.rlike(KEY_STARTS)).otherwise(False)
+    known = before.rlike(CUES) | prefix
+    context = before.rlike("[=:#]\\s*[\"']?$") | before.rlike("[\"'(<]$") & after.rlike("^[\"')>]")
     size = F.when(F.length(value) < 14, 0).when(F.length(value) < 20, 1).when(F.length(value) < 40, 2).otherwise(3)
-    return F.struct(shape.cast("int").alias("v0"), known.cast("int").alias("v1"), context.cast("int").alias("v2"), number.cast("int").alias("number"), size.alias("size"), c["after"].rlike("^[0-9A-Za-z]").cast("int").alias("glued"))
+    return F.struct(shape.cast("int").alias("v0"), known.cast("int").alias("v1"), context.cast("int").alias("v2"), kind.alias("form"), size.alias("size"))
 
 
-NAMES = ["v0", "v1", "v2", "number", "size", "glued"]
+NAMES = ["v0", "v1", "v2", "form", "size"]
 
 
 def expectation_maximisation(counts: dict[tuple[int, int, int], float], rounds: int = 50) -> tuple[float, list[tuple[float, float]], dict]:
@@ -125,9 +169,9 @@ def expectation_maximisation(counts: dict[tuple[int, int, int], float], rounds:
 def train(docs: DataFrame) -> dict:
     """The span classifier: log-odds of each value of each feature, from counts by vote pattern and shape."""
     text = F.col("text")
-    found = docs.select(text_or_empty().alias("text")).where(text.rlike("[0-9A-Fa-f]{9}")).withColumn("taken", base(text))
+    found = docs.select(text_or_empty().alias("text")).where(text.rlike(ANY)).withColumn("taken", base(text))
     seen = found.select(F.explode(candidates(text, F.col("taken"))).alias("c")).select(features(F.col("c")).alias("f"))
-    rows = [r.asDict() for r in seen.groupBy(*[F.col("f")[n].alias(n) for n in NAMES]).count().collect()]  # 8 vote patterns by 16 shapes at most
+    rows = [r.asDict() for r in seen.groupBy(*[F.col("f")[n].alias(n) for n in NAMES]).count().collect()]  # 8 vote patterns by 20 shapes at most
     votes: dict[tuple[int, int, int], float] = {}
     for r in rows:
         votes[r["v0"], r["v1"], r["v2"]] = votes.get((r["v0"], r["v1"], r["v2"]), 0) + r["count"]
@@ -153,13 +197,16 @@ def _score(model: dict, f: Column) -> Column:
 
 
 def _with_spans(rows: DataFrame, model: dict) -> DataFrame:
-    """Adds `base` and `spans`, arrays of struct<start, rank, end, kind, value>, to rows with `body`."""
+    """Adds `base` and `spans`, arrays of the structs of find(), to rows with `body`."""
     text = F.col("body")
-    rows = rows.withColumn("base", base(text)).withColumn("more", F.transform(candidates(text, F.col("base")), lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["value"].alias("value"), features(c).alias("f"))))
-    added = F.transform(
-        F.filter("more", lambda m: _score(model, m["f"]) >= 0),
-        lambda m: F.struct(m["start"].alias("start"), F.when(m["f"]["number"] == 1, 5).otherwise(4).alias("rank"), m["end"].alias("end"), F.when(m["f"]["number"] == 1, "number").otherwise("secret").alias("kind"), m["value"].alias("value")),
-    )
+    rows = rows.withColumn("base", base(text)).withColumn("more", F.transform(candidates(text, F.col("base")), lambda c: F.struct(c.alias("c"), features(c).alias("f"))))
+
+    def named(m):
+        number = m["f"]["form"] < 3
+        rank, kind = F.when(number, 5).otherwise(4), F.when(number, "number").otherwise("secret")
+        return m["c"].withField("rank", rank).withField("kind", kind)
+
+    added = F.transform(F.filter("more", lambda m: _score(model, m["f"]) >= 0), named)
     return rows.withColumn("spans", F.array_sort(F.concat("base", added)))
 
 
@@ -169,7 +216,7 @@ def listed(spans: str) -> Column:
 
 
 def spans(docs: DataFrame) -> DataFrame:
-    """doc_id, base and spans (arrays of struct<start, rank, end, kind, value>) for every document."""
+    """doc_id, base and spans (arrays of the structs of find()) for every document."""
     configure(docs.sparkSession)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("body"))
     return _with_spans(plain, train(docs)).select("doc_id", "base", "spans")
