@@ -440,6 +440,59 @@ def test_private_data(spark, docs, none):
     assert private_data.spans(none).count() == 0 and private_data.redact(none).count() == 0
 
 
+def brute_candidates(text):
+    """(start, end, features) of each candidate, by their definition."""
+    hexes, keys = r"[0-9A-Fa-f]{32,}(?![0-9A-Za-z])", r"[A-Za-z0-9_-]{20,}"
+    account_no = r"[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])"
+    parted = r"[0-9]{2,5}(?:[ .-][0-9]{2,5}){2,5}(?![0-9A-Za-z])"
+    pattern = rf"(?<![0-9A-Za-z_-])(?:{hexes}|{account_no}|[0-9]{{9,}}(?![0-9A-Za-z])|{parted}|{keys})"
+    taken = [tuple(map(int, s.split(":")[1:])) for s in brute_spans(text)]
+    last, out = 0, []
+    found = list(re.finditer(pattern, text))
+
+    def luhn(d):
+        return sum(x - 9 * (x > 9) for x in (int(c) * (1 + i % 2) for i, c in enumerate(reversed(d)))) % 10 == 0
+
+    def digits_97(v):
+        bare = v.replace(" ", "").upper()
+        return int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97 == 1
+
+    for k, m in enumerate(found):
+        v, before, after = m[0], text[last : m.start()][-24:], text[m.end() : found[k + 1].start() if k + 1 < len(found) else len(text)][:2]
+        last = m.end()
+        if re.fullmatch(keys, v) and not re.fullmatch(r"[0-9A-Fa-f]{32,}|[0-9]+", v) and not all(re.search(x, v) for x in ("[0-9]", "[A-Z]", "[a-z]")):
+            continue
+        if any(s < m.end() and m.start() < e for s, e in taken):
+            continue
+        form = 0 if v.isdigit() else 1 if re.fullmatch(r"[0-9][0-9 .-]*", v) else 2 if re.fullmatch(r"[A-Z]{2}[0-9]{2}[0-9A-Z ]+", v) and len(v) < 43 else 3 if re.fullmatch(r"[0-9A-Fa-f]+", v) else 4
+        shape = [lambda: 14 <= len(v) <= 19 and luhn(v), lambda: bool(re.fullmatch(r"\d{3}-\d\d-\d{4}|\d{3}([ .-])\d{3}\1\d{4}", v)), lambda: digits_97(v), lambda: bool(re.search("[0-9]", v) and re.search("[A-Fa-f]", v)) and len(v) in (32, 40, 64, 128), lambda: len(set(v)) > 13][form]()
+        prefix = form == 0 and bool(re.match(private_data.ISSUERS, v)) and len(v) in (15, 16) or form == 4 and bool(re.match(private_data.KEY_STARTS, v))
+        context = bool(re.search(r"[=:#]\s*[\"']?$", before) or re.search(r"[\"'(<]$", before) and re.search(r"^[\"')>]", after))
+        size = 0 if len(v) < 14 else 1 if len(v) < 20 else 2 if len(v) < 40 else 3
+        out.append((m.start(), m.end(), {"v0": int(shape), "v1": int(bool(re.search(private_data.CUES, before)) or prefix), "v2": int(context), "form": form, "size": size}))
+    return out
+
+
+SECRETS = ["DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "DE00370400440532013000", "123-45-6789", "555.123.4567", "2024-01-15", "sk-Abc123Def456Ghi789Jkl", "aB3" * 9, "lower_case_only_words_here_1", "f" * 31 + "7", "04dbebab91ab85687d33eeaaf9ac699e1188f962", "0a" * 200, "1" * 50]
+
+
+def test_added_spans_equal_brute_force(spark):
+    rng = random.Random(16)
+    around = ["", "key: ", "SSN ", "iban=", "(", "see ", "id # ", "tel: ", "x"]
+    rows = [(i, " ".join(rng.choice(around) + rng.choice([*SECRETS, *PARTS, words(rng, 3)]) + rng.choice(["", ")", ",", "é"]) for _ in range(rng.randint(0, 8)))) for i in range(300)]
+    rows += [(900, "a@b.co " * 700), (901, ("123-45-6789 x " * 400)), (902, "z" * 30000 + " key=" + "aB3" * 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    model = private_data.train(df)
+    got = {r["doc_id"]: r["spans"] for r in private_data.spans(df).select("doc_id", private_data.listed("spans").alias("spans")).collect()}
+    added = 0
+    for i, t in rows:
+        own = [(s, 4 + (f["form"] < 3), e, "number" if f["form"] < 3 else "secret") for s, e, f in brute_candidates(t) if model["bias"] + sum(model["weights"][n, f[n]] for n in private_data.NAMES) >= -1e-12]
+        base = [(int(s), private_data.KINDS.index(k), int(e), k) for k, s, e in (x.split(":") for x in brute_spans(t))]
+        assert got[i] == ",".join(f"{k}:{s}:{e}" for s, _, e, k in sorted(base + own)), t
+        added += len(own)
+    assert added > 100
+
+
 def test_em_finds_the_reliable_labelers():
     counts = {(1, 1, 1): 400, (1, 1, 0): 100, (0, 0, 1): 60, (0, 0, 0): 440, (1, 0, 0): 10, (0, 1, 1): 10}
     prior, rates, posterior = private_data.expectation_maximisation(counts)
