@@ -17,6 +17,8 @@ BATCH_ROWS = 500
 SUBS = 64
 #: Folders made for local applications that name none.
 _local: dict[str, str] = {}
+#: Paths of written tables, by application.
+_written: dict[str, set[str]] = {}
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -46,9 +48,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
+    _written.setdefault(spark.sparkContext.applicationId, set()).add(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete all tables that this application's operators have written and not deleted; call it once results are taken."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in _written.pop(spark.sparkContext.applicationId, ()):
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(conf).delete(folder, True)
+
+
 def drop_materialized(spark: SparkSession, *tables: DataFrame) -> None:
     """Delete tables made by materialize() once nothing lazy reads them any more."""
     conf = spark.sparkContext._jsc.hadoopConfiguration()
