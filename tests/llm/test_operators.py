@@ -735,6 +735,41 @@ def test_verbatim_templated_rows(spark):
     assert {r["doc_id"]: {tuple(r)[1:]} for r in got} == brute_removed(rows)
 
 
+# -- very long texts ------------------------------------------------------------------------------
+
+
+def test_texts_of_megabytes(spark):
+    rng = random.Random(30)
+    big = words(rng, 220_000).split()
+    near = list(big)
+    for j in rng.sample(range(len(near)), 300):
+        near[j] = "other"
+    big, near = " ".join(big), " ".join(near) + " mail a@b.co"
+    assert len(big) > 1_000_000
+    df = spark.createDataFrame([(1, big), (2, near), (3, "small")], "doc_id long, text string").repartition(3)
+    assert {(r["doc_id"], r["class_id"]) for r in near_dups.classes(df).collect()} == {(1, 1), (2, 1), (3, 3)}
+    pieces = packing.pack(df, BYTE, 1024).toPandas()
+    want = {i: len(ids(BYTE, t)) for i, t in ((1, big), (2, near), (3, "small"))}
+    assert pieces.groupby("doc_id")["length"].sum().to_dict() == want and pieces["length"].max() == 1024
+    read = {r["doc_id"]: zlib.crc32(bytes(r["ids"])) for r in token_files.read(token_files.write(df, WORD)).collect()}
+    assert read[1] == zlib.crc32(np.array(ids(WORD, big), "<u4").tobytes())
+    gone = {r["doc_id"]: (r["n_bytes"], r["n_removed"]) for r in verbatim.remove(df).collect()}
+    assert gone[1][1] == 0 and 0.8 * gone[2][0] < gone[2][1] < gone[2][0]
+    spans = {r["doc_id"]: r["s"] for r in private_data.spans(df).select("doc_id", private_data.listed("base").alias("s")).collect()}
+    assert spans == {1: "", 2: f"email:{len(near) - 6}:{len(near)}", 3: ""}
+    item = " ".join(big.split()[-40:])
+    hits = decontaminate.overlaps(df, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in hits} >= {(1, 7)} and all(r["doc_start"] > 200_000 for r in hits)
+    pages = df.select(F.col("doc_id").alias("page_id"), F.lit("http://a/").alias("url"), F.col("text").alias("html"))
+    back = {r["page_id"]: len(r["payload"]) for r in archives.read(archives.write(archives.classify(pages))).collect()}
+    assert back == {1: len(big), 2: len(near), 3: 5}
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 4)], "doc_id long, quality int")
+    assert quality.score(df, labels).where("score between 0 and 1").count() == 3
+    url = "http://h.com/" + "x/" * 500_000
+    judged = url_rules.judge(spark.createDataFrame([(1, url)], "page_id long, url string"), spark.createDataFrame([], "url string, bad boolean"), [("block", "com", "/x/")]).first()
+    assert judged["verdict"] == "block" and len(judged["path"]) == len(url) - 12
+
+
 # -- shared ---------------------------------------------------------------------------------------
 
 

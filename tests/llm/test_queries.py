@@ -101,6 +101,23 @@ def test_pipeline_equals_brute_force(spark):
     assert packed.sequence_id.nunique() <= -(-sum(want.values()) // 1024) * 1.02 + 1
 
 
+def test_stages_take_odd_rows(spark):
+    """Nulls in any column, empty texts, repeated rows and ids, and an empty table."""
+    import corpus_pipeline
+
+    plain = spark.read.parquet(f"{SF}/documents.parquet")
+    some = [tuple(r) for r in plain.orderBy("doc_id").limit(30).collect()]
+    text = some[3][1]
+    odd = [(None, text, "en", "s", 3), (1000, None, None, None, None), (1001, "", "en", None, 0), (1002, text, "en", "s", len(text)), (1002, text, "en", "s", len(text)), (1002, "other " * 50, "en", "s", 300), (None, None, None, None, None)]
+    now = spark.createDataFrame(some + odd, plain.schema)
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        empty = stage(spark, now.limit(0), SF)
+        out = stage(spark, now, SF)
+        assert empty.count() == 0 and out.count() > 0
+        if k < len(corpus_pipeline.STAGES) - 1:
+            assert out.columns == plain.columns and out.count() <= now.count()
+
+
 def test_run_gives_the_last_stage(spark):
     import corpus_pipeline
 
