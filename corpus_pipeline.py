@@ -1,6 +1,10 @@
 """The corpus pipeline: quality, near-duplicates, benchmark passages, personal data, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last keep the columns of documents.
+
+Cases, for every stage: null text counts as empty and stays null where the row stays; empty and very long texts are read whole;
+a null doc_id is kept, and never names a class of near-duplicates; of rows that repeat a kept doc_id and text one stays after
+the near-duplicate stage; ties at a threshold are accepted as scores and linked as copies; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -8,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tracewell.llm import decontaminate, near_dups, packing, private_data, quality
-from tracewell.llm.common import materialize, table
+from tracewell.llm.common import drop_materialized, materialize, table
 from tracewell.llm.tokens import default_path
 
 
@@ -48,11 +52,14 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    docs, written = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = materialize(docs, "stage")
+            if written is not None:
+                drop_materialized(spark, written)
+            written = docs
     return docs
 
 
