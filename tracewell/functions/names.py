@@ -97,7 +97,8 @@ def parameters(signature) -> Column:
 
 def readable_signature(fqn, signature) -> Column:
     """method(simple parameter types)."""
-    return F.concat(last_dotted(fqn), F.lit("("), F.array_join(F.transform(parameters(signature), lambda p: F.element_at(F.split(p, r"[.$]"), -1)), ", "), F.lit(")"))
+    return F.concat(last_dotted(fqn), F.lit("("),
+        F.array_join(F.transform(parameters(signature), lambda p: F.element_at(F.split(p, r"[.$]"), -1)), ", "), F.lit(")"))
 
 
 def first_sentence(doc, width: int = 220) -> Column:

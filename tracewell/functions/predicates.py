@@ -24,7 +24,8 @@ def annotated_tests(methods: DataFrame, ast: DataFrame, annotations: DataFrame,
     """Methods with is_test from their own flag or, failing that, a test annotation among their children."""
     wanted = annotations.where(simple(F.coalesce("full_name", "name")).isin(names) | F.col("name").isin(names)).select(F.col("id").alias("dst"))
     marked = ast.join(wanted, "dst", "left_semi").select(F.col("src").alias("id"), F.lit(True).alias("marked")).distinct()
-    return methods.join(marked, "id", "left").withColumn("is_test", F.coalesce(F.col("is_test") | F.col("marked"), F.col("is_test"), F.col("marked"), F.lit(False))).drop("marked")
+    return methods.join(marked, "id", "left").withColumn("is_test",
+        F.coalesce(F.col("is_test") | F.col("marked"), F.col("is_test"), F.col("marked"), F.lit(False))).drop("marked")
 
 
 def export_test_annotation(name) -> Column:
@@ -40,14 +41,16 @@ def promote_test_folders(methods: DataFrame, on: bool) -> DataFrame:
 def is_entry(is_test="is_test", file="file", fqn="fqn") -> Column:
     """An entry point: flagged, in a test folder, in a class named as tests are, or a method named test..."""
     cls = simple(owner(fqn))
-    return F.coalesce(F.col(is_test), F.lit(False)) | F.coalesce(F.col(file).contains("/src/test/"), F.lit(False)) | cls.rlike("(Test|Tests|IT)$") | last_dotted(fqn).startswith("test")
+    return F.coalesce(F.col(is_test), F.lit(False)) | F.coalesce(F.col(file).contains("/src/test/"),
+        F.lit(False)) | cls.rlike("(Test|Tests|IT)$") | last_dotted(fqn).startswith("test")
 
 
 def test_code(methods: DataFrame) -> DataFrame:
     """Adds is_test_code: flagged, in the marked test folder, or in a class that has such a sibling."""
     in_folder = F.coalesce(F.col("file").contains("/__t__/"), F.lit(False))
     classes = methods.where(in_folder).select(owner("fqn").alias("cls")).distinct().withColumn("sibling", F.lit(True))
-    return methods.withColumn("cls", owner("fqn")).join(classes, "cls", "left").withColumn("is_test_code", F.coalesce(F.col("is_test"), F.lit(False)) | in_folder | F.coalesce("sibling", F.lit(False))).drop("cls", "sibling")
+    return methods.withColumn("cls", owner("fqn")).join(classes, "cls", "left").withColumn("is_test_code",
+        F.coalesce(F.col("is_test"), F.lit(False)) | in_folder | F.coalesce("sibling", F.lit(False))).drop("cls", "sibling")
 
 
 def assertion_like(name, variant: str = "slice") -> Column:

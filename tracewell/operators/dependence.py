@@ -45,7 +45,8 @@ def control_flow(statements: DataFrame) -> DataFrame:
             return entries
 
         link(blocks.get((-1, "body"), []), [])
-        return pd.DataFrame({"method": pd.Series([rows[0]["method"]] * len(out), dtype=object), "src": [a for a, _ in sorted(out)], "dst": [b for _, b in sorted(out)]})
+        return pd.DataFrame({"method": pd.Series([rows[0]["method"]] * len(out), dtype=object), "src": [a for a, _ in sorted(out)],
+            "dst": [b for _, b in sorted(out)]})
 
     return statements.groupBy("method").applyInPandas(build, "method string, src int, dst int")
 
@@ -93,7 +94,8 @@ def control_dependence(cfg: DataFrame) -> DataFrame:
                         if at != a:
                             out.add((a, at))
                         at = nearest[at]
-        return pd.DataFrame({"method": pd.Series([pdf["method"].iloc[0]] * len(out), dtype=object), "src": [a for a, _ in sorted(out)], "dst": [b for _, b in sorted(out)]})
+        return pd.DataFrame({"method": pd.Series([pdf["method"].iloc[0]] * len(out), dtype=object),
+            "src": [a for a, _ in sorted(out)], "dst": [b for _, b in sorted(out)]})
 
     return cfg.groupBy("method").applyInPandas(build, "method string, src int, dst int")
 
@@ -104,7 +106,8 @@ def data_dependence(exprs: DataFrame) -> DataFrame:
     rows = exprs.where(F.col("kind").isin("PARAM", "LOCAL_DEF", "LOCAL_USE"))
     by = Window.partitionBy("method", "name").orderBy("line", "col", F.col("kind") == "LOCAL_USE", "stmt_ordinal").rowsBetween(Window.unboundedPreceding, -1)
     source = F.last(F.when(F.col("kind") != "LOCAL_USE", F.col("stmt_ordinal")), ignorenulls=True).over(by)
-    return rows.withColumn("src", source).where("kind = 'LOCAL_USE' and src is not null").select("method", "name", "src", F.col("stmt_ordinal").alias("dst")).distinct()
+    return rows.withColumn("src", source).where("kind = 'LOCAL_USE' and src is not null").select("method", "name", "src",
+        F.col("stmt_ordinal").alias("dst")).distinct()
 
 
 def compose(pdg: DataFrame, calls: DataFrame, sites: DataFrame, params: DataFrame, returns: DataFrame) -> DataFrame:
@@ -116,8 +119,12 @@ def compose(pdg: DataFrame, calls: DataFrame, sites: DataFrame, params: DataFram
     bound = round_robin(distinct, sites.select(F.col("method").alias("caller"), "callee_name", "node"), ["caller", "callee_name"], ["callee"], ["node"])
     kind = F.when(F.col("virtual"), "VIRTUAL").otherwise("EXACT")
     cg = bound.select(F.lit("CG").alias("layer"), F.col("node").alias("src"), F.concat(F.lit("m:"), "callee").alias("dst"), kind.alias("resolution"))
-    arg = bound.join(params.select(F.col("method").alias("callee"), F.col("node").alias("to")), "callee").select(F.lit("ARG_PASS").alias("layer"), F.col("node").alias("src"), F.col("to").alias("dst"), kind.alias("resolution"))
-    ret = bound.join(returns.select(F.col("method").alias("callee"), F.col("node").alias("out")), "callee").select(F.lit("RETURN_BIND").alias("layer"), F.col("out").alias("src"), F.col("node").alias("dst"), kind.alias("resolution"))
+    arg = bound.join(params.select(F.col("method").alias("callee"), F.col("node").alias("to")),
+        "callee").select(F.lit("ARG_PASS").alias("layer"), F.col("node").alias("src"), F.col("to").alias("dst"),
+        kind.alias("resolution"))
+    ret = bound.join(returns.select(F.col("method").alias("callee"), F.col("node").alias("out")),
+        "callee").select(F.lit("RETURN_BIND").alias("layer"), F.col("out").alias("src"), F.col("node").alias("dst"),
+        kind.alias("resolution"))
     own = pdg.select("layer", "src", "dst", F.lit("EXACT").alias("resolution"))
     return own.unionByName(cg).unionByName(arg).unionByName(ret)
 

@@ -54,7 +54,8 @@ def blind_spots(changed: DataFrame, coverage: DataFrame, regions_: DataFrame, ti
     """(kind, subject): changed methods that no test runs, regions that no test notices, tests that notice but don't run."""
     methods = changed.select("method").distinct()
     bare = methods.join(coverage.select("method").distinct(), "method", "left_anti").select(F.lit("uncovered").alias("kind"), F.col("method").alias("subject"))
-    weak = regions_.join(methods, "method", "left_semi").where("killers = 0").select(F.lit("unverified").alias("kind"), F.concat_ws(": ", "method", "label").alias("subject"))
+    weak = regions_.join(methods, "method", "left_semi").where("killers = 0").select(F.lit("unverified").alias("kind"),
+        F.concat_ws(": ", "method", "label").alias("subject"))
     odd = tiers_.where("tier = 0").select(F.lit("mismatch").alias("kind"), F.col("test").alias("subject"))
     return bare.union(weak).union(odd)
 

@@ -24,7 +24,8 @@ def counts(coverage: DataFrame, failing: DataFrame, passing: DataFrame) -> DataF
     return cov.join(red, "test", "left").join(green, "test", "left").groupBy("method").agg(F.count("_f").alias("ef"), F.count("_p").alias("ep"))
 
 
-def suspects(coverage: DataFrame, failing: DataFrame, passing: DataFrame, reachable: DataFrame | None = None, most: int = 3, least_passing: int = 5, gap: float = 0.05) -> DataFrame:
+def suspects(coverage: DataFrame, failing: DataFrame, passing: DataFrame, reachable: DataFrame | None = None, most: int = 3,
+    least_passing: int = 5, gap: float = 0.05) -> DataFrame:
     """(method, score, ef, reachable, rank, mode, flat): methods that failing tests run, reachable ones first, then by
     score. With fewer than least_passing passing tests the score is ef alone."""
     n_failing = failing.select(canonical_test("test").alias("t")).distinct().count()
@@ -35,24 +36,31 @@ def suspects(coverage: DataFrame, failing: DataFrame, passing: DataFrame, reacha
     if reachable is None:
         rows = rows.withColumn("reachable", F.lit(True))
     else:
-        rows = rows.join(reachable.select("method").distinct().withColumn("_r", F.lit(True)), "method", "left").withColumn("reachable", F.coalesce("_r", F.lit(False))).drop("_r")
+        rows = rows.join(reachable.select("method").distinct().withColumn("_r", F.lit(True)), "method",
+            "left").withColumn("reachable", F.coalesce("_r", F.lit(False))).drop("_r")
     # Sorting and cutting come before numbering, so the window sees `most` + 1 rows.
     top = rows.orderBy(F.desc("reachable"), F.desc("score"), "method").limit(max(most, 2))
     by = Window.orderBy(F.desc("reachable"), F.desc("score"), "method")
-    first_two = F.abs(F.max(F.when(F.col("rank") == 1, F.col("score"))).over(Window.partitionBy()) - F.max(F.when(F.col("rank") == 2, F.col("score"))).over(Window.partitionBy())) < gap
-    return top.withColumn("rank", F.row_number().over(by)).withColumns({"mode": F.lit("CONTRAST" if contrast else "FREQUENCY"), "flat": F.coalesce(first_two, F.lit(False))}).where(F.col("rank") <= most)
+    first_two = F.abs(F.max(F.when(F.col("rank") == 1,
+        F.col("score"))).over(Window.partitionBy()) - F.max(F.when(F.col("rank") == 2,
+        F.col("score"))).over(Window.partitionBy())) < gap
+    return top.withColumn("rank", F.row_number().over(by)).withColumns({"mode": F.lit("CONTRAST" if contrast else "FREQUENCY"),
+        "flat": F.coalesce(first_two, F.lit(False))}).where(F.col("rank") <= most)
 
 
 def boundary_suspects(boundary: DataFrame, calls: DataFrame, production: DataFrame, most: int = 3) -> DataFrame:
     """(method, score, direct, rank) without a matrix: boundary methods (test, method) by their number of tests, then their
     direct callees among production methods, each with its caller's score."""
-    own = boundary.groupBy("method").agg(F.count_distinct("test").cast("double").alias("score")).withColumns({"direct": F.lit(True), "via": F.lit(None).cast("string")})
+    own = boundary.groupBy("method").agg(F.count_distinct("test").cast("double").alias("score")).withColumns({"direct": F.lit(True),
+        "via": F.lit(None).cast("string")})
     by = Window.orderBy(F.desc("score"), "method")
     # Beyond the first `most` boundary methods none is shown, and where they are fewer all callees' callers are among them.
     ranked = own.orderBy(F.desc("score"), "method").limit(most).withColumn("place", F.row_number().over(by))
-    callee = calls.select("caller", F.col("callee").alias("method")).distinct().join(production.select("method").distinct(), "method", "left_semi").join(own.select("method"), "method", "left_anti")
+    callee = calls.select("caller", F.col("callee").alias("method")).distinct().join(production.select("method").distinct(),
+        "method", "left_semi").join(own.select("method"), "method", "left_anti")
     callee = callee.join(ranked.select(F.col("method").alias("caller"), "score", "place"), "caller")
-    callee = first_per_key(callee, ["method"], ["place", "caller"]).select("method", "score", F.lit(False).alias("direct"), F.col("caller").alias("via"), "place")
+    callee = first_per_key(callee, ["method"], ["place", "caller"]).select("method", "score", F.lit(False).alias("direct"),
+        F.col("caller").alias("via"), "place")
     both = ranked.select("method", "score", "direct", "via", "place").unionByName(callee)
     order = [F.desc("direct"), "place", "method"]
     return both.orderBy(*order).limit(most).withColumn("rank", F.row_number().over(Window.orderBy(*order))).drop("place")
@@ -60,12 +68,14 @@ def boundary_suspects(boundary: DataFrame, calls: DataFrame, production: DataFra
 
 def aggregate_boundary(boundary: DataFrame) -> DataFrame:
     """(method, tests, label) from (test, method, label): supporting tests; actual-side wins over prior-call."""
-    return boundary.groupBy("method").agg(F.count_distinct("test").alias("tests"), F.when(F.max((F.col("label") == "actual-side").cast("int")) == 1, "actual-side").otherwise("prior-call").alias("label"))
+    return boundary.groupBy("method").agg(F.count_distinct("test").alias("tests"),
+        F.when(F.max((F.col("label") == "actual-side").cast("int")) == 1, "actual-side").otherwise("prior-call").alias("label"))
 
 
 def resolve_methods(frames: DataFrame, spans: DataFrame) -> DataFrame:
     """Frames with the overload (id) whose range holds their line, else the first."""
-    met = frames.join(spans.select(F.col("fqn"), F.col("id").alias("method_id"), "line_start", "line_end", F.col("file").alias("path")), F.concat_ws(".", "cls", "method") == F.col("fqn"))
+    met = frames.join(spans.select(F.col("fqn"), F.col("id").alias("method_id"), "line_start", "line_end",
+        F.col("file").alias("path")), F.concat_ws(".", "cls", "method") == F.col("fqn"))
     outside = (~F.col("line").between(F.col("line_start"), F.col("line_end"))).cast("int")
     return first_per_key(met, ["trace_id", "cause_ix", "frame_ix"], [outside, "line_start", "method_id"])
 
@@ -94,7 +104,8 @@ def walk(reverse: DataFrame, seeds: DataFrame, depth: int = 2) -> DataFrame:
     arcs = reverse.select(F.col("node").alias("_n"), F.col("back")).distinct()
     level, out = seeds.select("key", "node").distinct(), None
     for d in range(1, depth + 1):
-        level = level.join(arcs, level["node"] == arcs["_n"]).select("key", F.col("back").alias("node")).distinct().join(seeds.select("key", "node").distinct(), ["key", "node"], "left_anti")
+        level = level.join(arcs, level["node"] == arcs["_n"]).select("key",
+            F.col("back").alias("node")).distinct().join(seeds.select("key", "node").distinct(), ["key", "node"], "left_anti")
         own = level.withColumn("depth", F.lit(d))
         out = own if out is None else out.union(own)
     return out.groupBy("key", "node").agg(F.min("depth").alias("depth"))
@@ -122,8 +133,10 @@ def boundary(failing: DataFrame, statements: DataFrame, data_flow: DataFrame, ta
     near = walk(data_flow, seeds).select(F.col("key").alias("test"), F.col("node").alias("id"))
     own = statements.join(targets.select("id"), "id", "left_semi")
     inside = failing.select("test", "method_id", F.col("line").alias("fail_line"))
-    actual = near.join(own, "id").join(inside, ["test", "method_id"]).select("test", F.col("name").alias("method"), F.lit("actual-side").alias("label"), "code", "line", F.lit(0).alias("p"), "ord")
-    prior = inside.join(own, "method_id").where("line >= 0 and line <= fail_line").select("test", F.col("name").alias("method"), F.lit("prior-call").alias("label"), "code", "line", F.lit(1).alias("p"), "ord")
+    actual = near.join(own, "id").join(inside, ["test", "method_id"]).select("test", F.col("name").alias("method"),
+        F.lit("actual-side").alias("label"), "code", "line", F.lit(0).alias("p"), "ord")
+    prior = inside.join(own, "method_id").where("line >= 0 and line <= fail_line").select("test", F.col("name").alias("method"),
+        F.lit("prior-call").alias("label"), "code", "line", F.lit(1).alias("p"), "ord")
     return first_per_key(actual.unionByName(prior), ["test", "method"], ["p", F.desc("line"), "ord"]).drop("p", "ord")
 
 
@@ -134,9 +147,12 @@ def value_shaping(statements: DataFrame, related: DataFrame, guards: DataFrame,
     strong = (F.col("label") == "RETURN") | F.ltrim("code").startswith("return") | ((F.col("label") == "CALL") & F.coalesce("_rel", F.lit(False)))
     by = Window.partitionBy("method_id")
     rows = rows.withColumns({"strong": strong, "any": F.max(strong.cast("int")).over(by)})
-    picked = first_per_key(rows.where(F.col("strong") | (F.col("any") == 0)), ["method_id"], ["ord"], 3).select("method_id", "id", "line", "code", F.lit("value").alias("role"))
-    back = walk(guards, picked.select(F.col("method_id").alias("key"), F.col("id").alias("node")), 1).select(F.col("key").alias("method_id"), F.col("node").alias("id"))
-    guarding = first_per_key(back.join(statements.drop("method_id"), "id"), ["method_id"], ["ord"], 2).select("method_id", "id", "line", "code", F.lit("guard").alias("role"))
+    picked = first_per_key(rows.where(F.col("strong") | (F.col("any") == 0)), ["method_id"], ["ord"], 3).select("method_id", "id",
+        "line", "code", F.lit("value").alias("role"))
+    back = walk(guards, picked.select(F.col("method_id").alias("key"), F.col("id").alias("node")),
+        1).select(F.col("key").alias("method_id"), F.col("node").alias("id"))
+    guarding = first_per_key(back.join(statements.drop("method_id"), "id"), ["method_id"], ["ord"], 2).select("method_id", "id",
+        "line", "code", F.lit("guard").alias("role"))
     return first_per_key(picked.union(guarding), ["method_id"], ["role", "line", "id"], most)
 
 
@@ -150,6 +166,8 @@ def failures_by_class(failures: DataFrame) -> DataFrame:
 def kinds_of_red(cases: DataFrame, roots: DataFrame, test_names: DataFrame, package: str) -> DataFrame:
     """(test, kind): assertion if the deepest cause's first project frame is test code, exception if it is production code,
     n-a without one."""
-    first = first_per_key(roots.where(F.col("cls").startswith(package)), ["trace_id"], ["frame_ix"]).select(F.col("trace_id").alias("test"), F.concat_ws(".", "cls", "method").alias("fqn"))
-    known = first.join(test_names.select("fqn", F.lit(True).alias("_t")).distinct(), "fqn", "left").select("test", F.when(F.col("_t"), "assertion").otherwise("exception").alias("kind"))
+    first = first_per_key(roots.where(F.col("cls").startswith(package)), ["trace_id"],
+        ["frame_ix"]).select(F.col("trace_id").alias("test"), F.concat_ws(".", "cls", "method").alias("fqn"))
+    known = first.join(test_names.select("fqn", F.lit(True).alias("_t")).distinct(), "fqn", "left").select("test",
+        F.when(F.col("_t"), "assertion").otherwise("exception").alias("kind"))
     return cases.where("not ok").select("test").join(known, "test", "left").select("test", F.coalesce("kind", F.lit("n-a")).alias("kind"))

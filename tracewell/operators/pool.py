@@ -42,7 +42,8 @@ def chain_edges(chains: DataFrame, target: str, most: int = 16) -> DataFrame:
     flows in. The test's own step, steps out of the target, recursion, virtual steps and hops off the path don't count; `more`
     says how many edges there are beyond these."""
     flat = chains.select("depth", F.posexplode("steps").alias("i", "s")).where("i > 0")
-    flat = flat.select(F.col("s.caller").cast("string").alias("caller"), F.col("s.callee").cast("string").alias("callee"), F.col("s.virtual").alias("virtual"), (F.col("depth") - 1 - F.col("i")).alias("dist"))
+    flat = flat.select(F.col("s.caller").cast("string").alias("caller"), F.col("s.callee").cast("string").alias("callee"),
+        F.col("s.virtual").alias("virtual"), (F.col("depth") - 1 - F.col("i")).alias("dist"))
     real = flat.where(~F.col("virtual") & (F.col("caller") != target) & (F.col("caller") != F.col("callee")) & ~off_path("caller") & ~off_path("callee"))
     edges = real.groupBy("caller", "callee").agg(F.min("dist").alias("dist"))
     more = max(0, edges.count() - most)
@@ -76,7 +77,8 @@ def consumer(calls: DataFrame, methods: DataFrame, coverage: DataFrame, target:
 
 def focus_tests(calls: DataFrame, methods: DataFrame, covering: DataFrame, target: str, most: int = 10) -> DataFrame:
     """(test, why): tests that run the target and call it, then some whose name holds its class or method."""
-    direct = callers_of(calls, methods, target).where("is_test").select(F.col("fqn").alias("test")).join(covering.select("test").distinct(), "test", "left_semi")
+    direct = callers_of(calls, methods,
+        target).where("is_test").select(F.col("fqn").alias("test")).join(covering.select("test").distinct(), "test", "left_semi")
     owner, _, method = target.rpartition(".")
     words = [w.lower() for w in (owner.replace("$", ".").rpartition(".")[2], method) if w]
     hit = F.lit(False)
@@ -96,7 +98,8 @@ def capped_sections(lines: DataFrame, caps: dict[str, int] | None = None) -> Dat
     limits = CAPS if caps is None else caps
     cap = F.create_map(*[F.lit(x) for kv in limits.items() for x in kv])[F.col("section")] if limits else F.lit(None).cast("int")
     ranked = lines.withColumns({"_n": F.row_number().over(Window.partitionBy("section").orderBy("ord", "line")), "_cap": cap})
-    kept = ranked.where("_cap is null or _n <= _cap").groupBy("section").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "line"))), lambda x: x["line"]), "\n").alias("text"), F.count("*").alias("kept"))
+    kept = ranked.where("_cap is null or _n <= _cap").groupBy("section").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n",
+        "line"))), lambda x: x["line"]), "\n").alias("text"), F.count("*").alias("kept"))
     total = lines.groupBy("section").agg(F.count("*").alias("all"))
     return kept.join(total, "section").select("section", "text", "kept", (F.col("all") - F.col("kept")).alias("dropped"))
 
@@ -126,7 +129,8 @@ def with_examples(document: DataFrame, values: DataFrame, target: str) -> DataFr
     top = document.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
     if own.isEmpty():
         return document.select("n", "text")
-    head = document.sparkSession.createDataFrame([(top + 1, ""), (top + 2, "## Observed calls (of the present code: hints, no oracle)"), (top + 3, "")], "n long, text string")
+    head = document.sparkSession.createDataFrame([(top + 1, ""),
+        (top + 2, "## Observed calls (of the present code: hints, no oracle)"), (top + 3, "")], "n long, text string")
     call = F.concat(F.lit(f"- `{name}("), F.array_join("args", ", "), F.lit(") => "), "result", F.lit("`"))
     rows = own.select((F.row_number().over(Window.partitionBy("method").orderBy("ord")) + top + 3).cast("long").alias("n"), call.alias("text"))
     return document.select(F.col("n").cast("long").alias("n"), "text").union(head).union(rows)
@@ -140,7 +144,8 @@ def ladder_plan(parts: DataFrame, chains: DataFrame, budget: int) -> DataFrame:
     """(doc, dropped, chains, tokens) by the older ladder: parts (doc, part, text) of LADDER go in its order while the document is
     over budget, then the last chains (doc, rank, text), but never the first. Null tokens: even that is over budget."""
     sizes = parts.groupBy("doc", "part").agg(F.sum(token_estimate("text")).cast("long").alias("tokens"))
-    wide = sizes.groupBy("doc").agg(F.sum("tokens").alias("parts"), *[F.coalesce(F.sum(F.when(F.col("part") == p, F.col("tokens"))), F.lit(0)).alias(p) for p in LADDER])
+    wide = sizes.groupBy("doc").agg(F.sum("tokens").alias("parts"),
+        *[F.coalesce(F.sum(F.when(F.col("part") == p, F.col("tokens"))), F.lit(0)).alias(p) for p in LADDER])
     by = Window.partitionBy("doc").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = chains.select("doc", "rank", token_estimate("text").cast("long").alias("t")).withColumn("upto", F.sum("t").over(by))
     whole = ranked.groupBy("doc").agg(F.max("upto").alias("chain_tokens"), F.count("*").alias("n"))
@@ -156,4 +161,6 @@ def ladder_plan(parts: DataFrame, chains: DataFrame, budget: int) -> DataFrame:
     some = some.groupBy("doc").agg(F.count("*").alias("kept"), F.max(F.col("base") + F.col("upto")).alias("cut"))
     rows = rows.join(some, "doc", "left")
     tokens = F.when(F.col("over"), F.coalesce("cut", "x.base")).otherwise(F.col("x.base") + F.col("chain_tokens"))
-    return rows.select("doc", F.slice(F.lit(LADDER), 1, F.col("x.k")).alias("dropped"), F.when(F.col("over"), F.coalesce("kept", F.lit(0))).otherwise(F.col("n")).alias("chains"), F.when(tokens <= budget, tokens).alias("tokens"))
+    return rows.select("doc", F.slice(F.lit(LADDER), 1, F.col("x.k")).alias("dropped"),
+        F.when(F.col("over"), F.coalesce("kept", F.lit(0))).otherwise(F.col("n")).alias("chains"),
+        F.when(tokens <= budget, tokens).alias("tokens"))

@@ -20,7 +20,9 @@ def distinct_first(df: DataFrame, keys: list[str], value: str, order: list, n: i
 
 def quotas(df: DataFrame, keys: list[str], is_other: Column, order: list, most: int, most_other: int) -> DataFrame:
     """Separate caps for two sorts of rows of a key."""
-    return df.withColumns({"_o": is_other}).withColumn("_n", F.row_number().over(Window.partitionBy(*keys, "_o").orderBy(*order))).where(F.col("_n") <= F.when(F.col("_o"), most_other).otherwise(most)).drop("_o", "_n")
+    return df.withColumns({"_o": is_other}).withColumn("_n",
+        F.row_number().over(Window.partitionBy(*keys, "_o").orderBy(*order))).where(F.col("_n") <= F.when(F.col("_o"),
+        most_other).otherwise(most)).drop("_o", "_n")
 
 
 def islands(df: DataFrame, keys: list[str], value: str, order: list) -> DataFrame:
@@ -28,12 +30,14 @@ def islands(df: DataFrame, keys: list[str], value: str, order: list) -> DataFram
     by = Window.partitionBy(*keys).orderBy(*order)
     changed = F.coalesce((~F.col(value).eqNullSafe(F.lag(value).over(by))).cast("int"), F.lit(1))
     first = F.row_number().over(by) == 1
-    return df.withColumn("_c", F.when(first, 1).otherwise(changed)).withColumn("island", F.sum("_c").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("_c")
+    return df.withColumn("_c", F.when(first, 1).otherwise(changed)).withColumn("island",
+        F.sum("_c").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("_c")
 
 
 def collapse(df: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
     """One row for each run of equal values: (keys, island, value, first, last, n)."""
-    return islands(df, keys, value, [order]).groupBy(*keys, "island").agg(F.first(value).alias(value), F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("n"))
+    return islands(df, keys, value, [order]).groupBy(*keys, "island").agg(F.first(value).alias(value), F.min(order).alias("first"),
+        F.max(order).alias("last"), F.count("*").alias("n"))
 
 
 def runs_of(df: DataFrame, keys: list[str], hit: str, order: str, least: int = 5) -> DataFrame:
@@ -43,7 +47,8 @@ def runs_of(df: DataFrame, keys: list[str], hit: str, order: str, least: int = 5
 
 def numbered_references(df: DataFrame, prefix: Column, order: list) -> DataFrame:
     """Adds `ref`: T1, T2, M1 ... by kind of prefix."""
-    return df.withColumn("_p", prefix).withColumn("ref", F.concat("_p", F.row_number().over(Window.partitionBy("_p").orderBy(*order)).cast("string"))).drop("_p")
+    return df.withColumn("_p", prefix).withColumn("ref", F.concat("_p",
+        F.row_number().over(Window.partitionBy("_p").orderBy(*order)).cast("string"))).drop("_p")
 
 
 def nearest_by(df: DataFrame, keys: list[str], distance: Column, tie: list[str]) -> DataFrame:
@@ -55,8 +60,11 @@ def nearest_by(df: DataFrame, keys: list[str], distance: Column, tie: list[str])
 def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, value: str, name: str, tie: list[str] | None = None) -> DataFrame:
     """Adds the right side's last value at or before each left row, by key: both sides in one window, no join of pairs."""
     extra = [c for c in left.columns if c not in (*keys, at)]
-    a = left.select(*keys, at, F.lit(1).alias("_side"), F.struct(*extra).alias("_l"), F.lit(None).cast(right.schema[value].dataType).alias("_v"), *[F.lit(None).cast(right.schema[t].dataType).alias(f"_t_{t}") for t in tie or []])
-    b = right.select(*keys, at, F.lit(0).alias("_side"), F.lit(None).cast(a.schema["_l"].dataType).alias("_l"), F.col(value).alias("_v"), *[F.col(t).alias(f"_t_{t}") for t in tie or []])
+    a = left.select(*keys, at, F.lit(1).alias("_side"), F.struct(*extra).alias("_l"),
+        F.lit(None).cast(right.schema[value].dataType).alias("_v"),
+        *[F.lit(None).cast(right.schema[t].dataType).alias(f"_t_{t}") for t in tie or []])
+    b = right.select(*keys, at, F.lit(0).alias("_side"), F.lit(None).cast(a.schema["_l"].dataType).alias("_l"),
+        F.col(value).alias("_v"), *[F.col(t).alias(f"_t_{t}") for t in tie or []])
     by = Window.partitionBy(*keys).orderBy(at, "_side", *[f"_t_{t}" for t in tie or []]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return a.unionByName(b).withColumn(name, F.last("_v", ignorenulls=True).over(by)).where("_side = 1").select(*keys, at, "_l.*", name)
 
@@ -118,7 +126,9 @@ def in_any_range(points: DataFrame, spans: DataFrame, at: str, low: str, high: s
 def longest_prefix(rows: DataFrame, prefixes: DataFrame, text: str, prefix: str) -> DataFrame:
     """The longest prefix that fits each text. A text looks up each of its own beginnings, so the join is on equality."""
     lengths = [r[0] for r in prefixes.select(F.length(prefix)).distinct().collect()]
-    own = rows.select(text).distinct().withColumn("_n", F.explode(F.array(*map(F.lit, lengths or [0])))).where(F.col("_n") <= F.length(text)).withColumn(prefix, F.substring(F.col(text), F.lit(1), F.col("_n")))
+    own = rows.select(text).distinct().withColumn("_n",
+        F.explode(F.array(*map(F.lit, lengths or [0])))).where(F.col("_n") <= F.length(text)).withColumn(prefix,
+        F.substring(F.col(text), F.lit(1), F.col("_n")))
     best = own.join(prefixes, prefix).groupBy(text).agg(F.max_by(F.struct(*prefixes.columns), "_n").alias("_x"))
     return rows.join(best, text, "left").select(*rows.columns, "_x.*")
 

@@ -12,8 +12,10 @@ from .knowledge import median_of
 
 def by_arm(runs: DataFrame) -> DataFrame:
     """(arm, n, pass_at_one, cycles_median, convergence) from (arm, target, seed, passed, cycles)."""
-    out = runs.groupBy("arm").agg(F.count("*").alias("n"), F.avg(F.col("passed").cast("double")).alias("pass_at_one"), F.avg((F.col("passed") & F.col("cycles").isNotNull()).cast("double")).alias("convergence"))
-    return out.join(median_of(runs.where("passed"), ["arm"], "cycles", "cycles_median"), "arm", "left").select("arm", "n", "pass_at_one", "cycles_median", "convergence")
+    out = runs.groupBy("arm").agg(F.count("*").alias("n"), F.avg(F.col("passed").cast("double")).alias("pass_at_one"),
+        F.avg((F.col("passed") & F.col("cycles").isNotNull()).cast("double")).alias("convergence"))
+    return out.join(median_of(runs.where("passed"), ["arm"], "cycles", "cycles_median"), "arm", "left").select("arm", "n",
+        "pass_at_one", "cycles_median", "convergence")
 
 
 def bootstrap(runs: DataFrame, resamples: int = 1000, level: float = 0.95, seed: int = 0) -> DataFrame:
@@ -48,7 +50,11 @@ def binomial_two_sided(k: int, n: int) -> float:
 
 def paired(runs: DataFrame, a: str, b: str) -> DataFrame:
     """Outcomes of two arms side by side by (target, seed); a missing partner is an error."""
-    rows = runs.where(F.col("arm").isin(a, b)).groupBy("target", "seed").agg(F.max(F.when(F.col("arm") == a, F.col("passed").cast("int"))).alias("a"), F.max(F.when(F.col("arm") == b, F.col("passed").cast("int"))).alias("b"), F.max(F.when(F.col("arm") == a, F.col("cycles"))).alias("ca"), F.max(F.when(F.col("arm") == b, F.col("cycles"))).alias("cb"))
+    rows = runs.where(F.col("arm").isin(a, b)).groupBy("target",
+        "seed").agg(F.max(F.when(F.col("arm") == a, F.col("passed").cast("int"))).alias("a"),
+        F.max(F.when(F.col("arm") == b, F.col("passed").cast("int"))).alias("b"),
+        F.max(F.when(F.col("arm") == a, F.col("cycles"))).alias("ca"),
+        F.max(F.when(F.col("arm") == b, F.col("cycles"))).alias("cb"))
     if rows.where("a is null or b is null").limit(1).count():
         raise ValueError("paired arms must have the same runs")
     return rows
@@ -56,7 +62,9 @@ def paired(runs: DataFrame, a: str, b: str) -> DataFrame:
 
 def discordance(pairs: DataFrame) -> DataFrame:
     """One row: b and c, the pairs that only one side passes, n and the difference of pass rates."""
-    return pairs.agg(F.count(F.when((F.col("a") == 1) & (F.col("b") == 0), 1)).alias("b_count"), F.count(F.when((F.col("a") == 0) & (F.col("b") == 1), 1)).alias("c_count"), F.count("*").alias("n"), F.coalesce(F.avg((F.col("a") - F.col("b")).cast("double")), F.lit(0.0)).alias("effect"))
+    return pairs.agg(F.count(F.when((F.col("a") == 1) & (F.col("b") == 0), 1)).alias("b_count"),
+        F.count(F.when((F.col("a") == 0) & (F.col("b") == 1), 1)).alias("c_count"), F.count("*").alias("n"),
+        F.coalesce(F.avg((F.col("a") - F.col("b")).cast("double")), F.lit(0.0)).alias("effect"))
 
 
 def mcnemar(pairs: DataFrame) -> tuple[float, float]:
@@ -70,7 +78,8 @@ def signed_rank(pairs: DataFrame) -> float:
     """Two-sided p of the signed-rank test on cycles, zero differences split between both sides, by the normal
     approximation with a correction for ties. Ranks come from counts by size of difference, so pairs stay distributed."""
     diffs = pairs.select((F.col("ca") - F.col("cb")).alias("d")).where("d is not null")
-    counts = diffs.groupBy(F.abs("d").alias("size")).agg(F.count(F.when(F.col("d") > 0, 1)).alias("up"), F.count(F.when(F.col("d") < 0, 1)).alias("down"), F.count("*").alias("n")).orderBy("size").collect()
+    counts = diffs.groupBy(F.abs("d").alias("size")).agg(F.count(F.when(F.col("d") > 0, 1)).alias("up"),
+        F.count(F.when(F.col("d") < 0, 1)).alias("down"), F.count("*").alias("n")).orderBy("size").collect()
     n = sum(r["n"] for r in counts)
     if not n or all(r["size"] == 0 for r in counts):
         return 1.0
@@ -100,4 +109,7 @@ def lifts(summary: DataFrame, baseline: str, least: float = 0.05) -> DataFrame:
 def additive(summary: DataFrame, both: str, parts: list[str]) -> DataFrame:
     """One row: whether an arm is at least as good as the best of its parts; false if any is missing."""
     value = lambda arm: F.max(F.when(F.col("arm") == arm, F.col("pass_at_one")))
-    return summary.agg(F.coalesce(value(both) >= F.greatest(*[value(p) for p in parts]) if len(parts) > 1 else value(both) >= value(parts[0]), F.lit(False)).alias("additive"), F.count(F.when(F.col("arm").isin(both, *parts), 1)).alias("_n")).select((F.col("additive") & (F.col("_n") == 1 + len(parts))).alias("additive"))
+    return summary.agg(F.coalesce(value(both) >= F.greatest(*[value(p) for p in parts]) if len(parts) > 1 else value(both) >= value(parts[0]),
+        F.lit(False)).alias("additive"),
+        F.count(F.when(F.col("arm").isin(both, *parts),
+        1)).alias("_n")).select((F.col("additive") & (F.col("_n") == 1 + len(parts))).alias("additive"))

@@ -46,7 +46,9 @@ class TooMany(ValueError):
     """A traversal that met more nodes than allowed."""
 
 
-def bfs(edges: DataFrame, seeds: DataFrame, *, src: str = "src", dst: str = "dst", key: str | None = None, order: list[str] | None = None, stop: DataFrame | None = None, blocked: Column | None = None, max_depth: int | None = None, max_nodes: int | None = None, fail: bool = False) -> DataFrame:
+def bfs(edges: DataFrame, seeds: DataFrame, *, src: str = "src", dst: str = "dst", key: str | None = None,
+    order: list[str] | None = None, stop: DataFrame | None = None, blocked: Column | None = None, max_depth: int | None = None,
+    max_nodes: int | None = None, fail: bool = False) -> DataFrame:
     """(node, depth, parent, seq) of breadth-first search from seeds (node) along src → dst.
 
     `key` separates searches: seeds and results carry it, and each runs on its own. `stop` has nodes (node) that are
@@ -108,11 +110,15 @@ def reverse_chains(calls: DataFrame, target: str, tests: DataFrame, max_depth: i
     all_paths = paths
     deepest = inner.agg(F.max("depth")).first()[0] or 0
     for depth in range(1, deepest + 1):
-        here = inner.where(F.col("depth") == depth).select(F.col("node").alias("caller"), F.col("parent").alias("callee"), "seq").join(by_edge, ["caller", "callee"])
-        paths = checkpoint(here.join(paths.select(F.col("node").alias("callee"), "steps"), "callee").select(F.col("caller").alias("node"), "seq", F.concat(F.array(step), "steps").alias("steps")))
+        here = inner.where(F.col("depth") == depth).select(F.col("node").alias("caller"), F.col("parent").alias("callee"),
+            "seq").join(by_edge, ["caller", "callee"])
+        paths = checkpoint(here.join(paths.select(F.col("node").alias("callee"), "steps"),
+            "callee").select(F.col("caller").alias("node"), "seq", F.concat(F.array(step), "steps").alias("steps")))
         all_paths = all_paths.unionByName(paths)
-    entry = calls.select("caller", "callee", "virtual").distinct().join(tests.select(F.col("node").alias("caller")).distinct(), "caller", "left_semi").where(F.col("caller") != F.col("callee"))
-    found = entry.join(all_paths.select(F.col("node").alias("callee"), "seq", "steps"), "callee").select(F.col("caller").alias("test"), "seq", F.col("virtual"), F.concat(F.array(step), "steps").alias("steps"))
+    entry = calls.select("caller", "callee", "virtual").distinct().join(tests.select(F.col("node").alias("caller")).distinct(),
+        "caller", "left_semi").where(F.col("caller") != F.col("callee"))
+    found = entry.join(all_paths.select(F.col("node").alias("callee"), "seq", "steps"),
+        "callee").select(F.col("caller").alias("test"), "seq", F.col("virtual"), F.concat(F.array(step), "steps").alias("steps"))
     found = found.withColumns({"depth": F.size("steps"), "virtual_steps": F.size(F.filter("steps", lambda s: s["virtual"]))})
     order = ["depth", "virtual_steps", "seq", "test", "virtual"]
     if most is None:
@@ -129,7 +135,9 @@ def entry_depths(calls: DataFrame, target, tests: DataFrame, max_depth: int | No
     tree = bfs(calls, seed.select("node"), src="callee", dst="caller", stop=tests, max_depth=max_depth)
     inner = tree.join(tests.select("node").distinct(), "node", "left_anti").union(tree.where("depth = 0")).distinct()
     edge = calls.select(F.col("caller").alias("test"), F.col("callee").alias("entry")).distinct().where("test != entry")
-    return edge.join(tests.select(F.col("node").alias("test")).distinct(), "test", "left_semi").join(inner.select(F.col("node").alias("entry"), (F.col("depth") + 1).alias("depth")), "entry").select("test", "entry", "depth")
+    return edge.join(tests.select(F.col("node").alias("test")).distinct(), "test",
+        "left_semi").join(inner.select(F.col("node").alias("entry"), (F.col("depth") + 1).alias("depth")), "entry").select("test",
+        "entry", "depth")
 
 
 def reachable_callers(calls: DataFrame, target, max_depth: int | None = None, max_methods: int = 500) -> DataFrame:
@@ -155,7 +163,9 @@ def reach_with_paths(edges: DataFrame, seeds: DataFrame, hops: int = 3, src: str
     level = out
     arcs = edges.select(F.col(src).alias("_from"), F.col(dst).alias("_to")).distinct()
     for depth in range(1, hops + 1):
-        level = level.join(arcs, level["node"] == arcs["_from"]).groupBy(F.col("_to").alias("node")).agg(F.min(F.concat("path", F.array("_to"))).alias("path")).select("node", F.lit(depth).alias("depth"), "path")
+        level = level.join(arcs,
+            level["node"] == arcs["_from"]).groupBy(F.col("_to").alias("node")).agg(F.min(F.concat("path",
+            F.array("_to"))).alias("path")).select("node", F.lit(depth).alias("depth"), "path")
         level = level.join(out.select("node"), "node", "left_anti")
         out = out.union(level)
     return out
@@ -187,7 +197,8 @@ def simple_paths(spark, edges: DataFrame, start: DataFrame, end: DataFrame, max_
     live = start.select(F.col("node").alias("at"), F.array("node").alias("path"))
     done = live.join(end.select(F.col("node").alias("at")), "at", "left_semi").select("path")
     for _ in range(max_depth):
-        live = checkpoint(live.join(arcs, live["at"] == arcs["src"]).where(~F.array_contains("path", F.col("dst"))).select(F.col("dst").alias("at"), F.concat("path", F.array("dst")).alias("path")))
+        live = checkpoint(live.join(arcs, live["at"] == arcs["src"]).where(~F.array_contains("path",
+            F.col("dst"))).select(F.col("dst").alias("at"), F.concat("path", F.array("dst")).alias("path")))
         if live.isEmpty():
             break
         done = done.union(live.join(end.select(F.col("node").alias("at")), "at", "left_semi").select("path"))
@@ -201,7 +212,8 @@ def katz(edges: DataFrame, nodes: DataFrame, alpha: float = 0.01, tolerance: flo
     x = checkpoint(nodes.select("node").distinct().withColumn("score", F.lit(1.0)))
     for _ in range(rounds):
         gained = arcs.join(x, arcs["src"] == x["node"]).groupBy(F.col("dst").alias("node")).agg(F.sum("score").alias("s"))
-        new = x.select("node", F.col("score").alias("old")).join(gained, "node", "left").select("node", (1 + alpha * F.coalesce("s", F.lit(0.0))).alias("score"), "old")
+        new = x.select("node", F.col("score").alias("old")).join(gained, "node", "left").select("node",
+            (1 + alpha * F.coalesce("s", F.lit(0.0))).alias("score"), "old")
         new = checkpoint(new)
         moved = new.agg(F.max(F.abs(F.col("score") - F.col("old")))).first()[0] or 0.0
         x = new.select("node", "score")
@@ -224,7 +236,9 @@ def owner_graph(edges: DataFrame, owners: DataFrame) -> DataFrame:
 
 def callers(calls: DataFrame, target: DataFrame, tests: DataFrame) -> DataFrame:
     """(caller, is_test) of the target's direct callers."""
-    return calls.join(target.select(F.col("node").alias("callee")), "callee", "left_semi").select("caller").distinct().join(tests.select(F.col("node").alias("caller"), F.lit(True).alias("t")).distinct(), "caller", "left").select("caller", F.coalesce("t", F.lit(False)).alias("is_test"))
+    return calls.join(target.select(F.col("node").alias("callee")), "callee",
+        "left_semi").select("caller").distinct().join(tests.select(F.col("node").alias("caller"),
+        F.lit(True).alias("t")).distinct(), "caller", "left").select("caller", F.coalesce("t", F.lit(False)).alias("is_test"))
 
 
 def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:

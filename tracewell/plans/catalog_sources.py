@@ -39,13 +39,15 @@ def _written(rows: DataFrame, name: str, root: str | None = None) -> str:
 
 def _regions(spark, sf):
     one = d.mutants(spark, sf).groupBy("method", "line").agg(F.count(F.when(F.col("detected"), 1)).cast("int").alias("killers"))
-    return one.select("method", F.concat(F.lit("line "), F.col("line").cast("string")).alias("label"), F.col("line").alias("line_lo"), F.col("line").alias("line_hi"), "killers")
+    return one.select("method", F.concat(F.lit("line "), F.col("line").cast("string")).alias("label"),
+        F.col("line").alias("line_lo"), F.col("line").alias("line_hi"), "killers")
 
 
 def _facts(spark, sf) -> str:
     """Spans, coverage, killers and regions as written documents; their folder."""
     folder = shared_path(spark, "facts")
-    spans = table(spark, sf, "part").select(p.method_name().alias("fqn"), p.source_file().alias("file"), F.col("p_size").alias("line_start"), (F.col("p_size") + 9).alias("line_end"))
+    spans = table(spark, sf, "part").select(p.method_name().alias("fqn"), p.source_file().alias("file"),
+        F.col("p_size").alias("line_start"), (F.col("p_size") + 9).alias("line_end"))
     kills = d.mutants(spark, sf).where("detected").select("method", "test")
     sinks.write_facts(folder, spans, d.coverage(spark, sf), kills, _regions(spark, sf))
     return folder
@@ -98,7 +100,9 @@ def methods_that_ran(spark, sf):
     """Blocks of fifty parts of a brand are methods; those with an executed line ran."""
     block = F.floor(F.col("p_partkey") / 50).cast("long")
     spans = table(spark, sf, "part").select(p.brand().alias("b"), block.alias("k")).distinct()
-    spans = spans.select(F.concat(F.lit("pkg."), "b", F.lit(".block"), F.col("k").cast("string")).alias("fqn"), F.concat(F.lit("src/pkg/"), "b", F.lit("/F.java")).alias("file"), (F.col("k") * 50).alias("line_start"), (F.col("k") * 50 + 49).alias("line_end"))
+    spans = spans.select(F.concat(F.lit("pkg."), "b", F.lit(".block"), F.col("k").cast("string")).alias("fqn"),
+        F.concat(F.lit("src/pkg/"), "b", F.lit("/F.java")).alias("file"), (F.col("k") * 50).alias("line_start"),
+        (F.col("k") * 50 + 49).alias("line_end"))
     return reports.coverage_from_execution(_execution(spark, sf), spans).select("method").distinct()
 
 
@@ -117,8 +121,10 @@ def mutants_reported(spark, sf):
 @query("SELECT 'C' || o_custkey || '.t' || o_orderkey AS test, 'org.E' AS type, 'was ' || o_orderpriority AS message FROM orders WHERE o_orderstatus = 'F'")
 def failures_reported(spark, sf):
     """Orders as test cases: failed, passed, or skipped while pending."""
-    inner = F.when(F.col("o_orderstatus") == "F", F.concat(F.lit('<failure type="org.E" message="was '), "o_orderpriority", F.lit('">trace</failure>'))).when(F.col("o_orderstatus") == "P", "<skipped>x</skipped>").otherwise("")
-    row = F.concat(F.format_string('<testcase classname="C%s" name="t%s">', F.col("o_custkey").cast("string"), F.col("o_orderkey").cast("string")), inner, F.lit("</testcase>"))
+    inner = F.when(F.col("o_orderstatus") == "F", F.concat(F.lit('<failure type="org.E" message="was '), "o_orderpriority",
+        F.lit('">trace</failure>'))).when(F.col("o_orderstatus") == "P", "<skipped>x</skipped>").otherwise("")
+    row = F.concat(F.format_string('<testcase classname="C%s" name="t%s">', F.col("o_custkey").cast("string"),
+        F.col("o_orderkey").cast("string")), inner, F.lit("</testcase>"))
     return reports.failures(reports.test_cases(spark, _written(table(spark, sf, "orders").select(row.alias("value")), "junit", "testsuite")))
 
 
@@ -134,7 +140,8 @@ def matrix_of_a_probe(spark, sf):
 
 
 @query("""WITH o AS (SELECT o_orderkey AS k, o_orderkey % 4 AS v FROM orders), f AS (
-SELECT k, 0 AS cause_ix, 'a.Outer' AS exc_type, 'it: failed' AS message, 0 AS frame_ix, 'p.C$In' AS cls, '<init>' AS method, 'C.java' AS file, CAST(k % 1000 AS BIGINT) AS line FROM o
+SELECT k, 0 AS cause_ix, 'a.Outer' AS exc_type, 'it: failed' AS message, 0 AS frame_ix, 'p.C$In' AS cls, '<init>' AS method,
+  'C.java' AS file, CAST(k % 1000 AS BIGINT) AS line FROM o
 UNION ALL SELECT k, 0, 'a.Outer', 'it: failed', 1, 'java.lang.Thread', 'run', 'Thread.java', 7 FROM o WHERE v = 1
 UNION ALL SELECT k, 1, 'b.Deep', '', 0, 'q.R', 'go', 'Native Method', -1 FROM o WHERE v >= 2
 UNION ALL SELECT k, 1, 'b.Deep', '', 1, 'q.R', 'lambda$0', 'R.java', 9 FROM o WHERE v = 3)
@@ -148,10 +155,13 @@ def frames_of_traces(spark, sf):
         .when(key % 4 == 3, "Caused by: b.Deep\n\tat q.R.go(Native Method)\n    at q.R.lambda$0(R.java:9)\n").otherwise("")
     )
     found = text.frames(table(spark, sf, "orders").select(key.cast("string").alias("trace_id"), F.concat(head, rest).alias("trace")))
-    return found.select("trace_id", F.col("cause_ix").cast("long").alias("cause_ix"), "exc_type", "message", F.col("frame_ix").cast("long").alias("frame_ix"), "cls", "method", "file", F.col("line").cast("long").alias("line"))
+    return found.select("trace_id", F.col("cause_ix").cast("long").alias("cause_ix"), "exc_type", "message",
+        F.col("frame_ix").cast("long").alias("frame_ix"), "cls", "method", "file", F.col("line").cast("long").alias("line"))
 
 
-@query("""WITH s AS (SELECT DISTINCT l_orderkey AS t, l_linenumber AS n, l_suppkey AS s, CASE WHEN l_suppkey % 4 = 0 THEN 0 WHEN l_suppkey % 4 = 1 THEN 1 WHEN l_suppkey % 4 = 2 THEN 2 ELSE 3 END AS p FROM lineitem), b AS (SELECT *, min(p) OVER (PARTITION BY t) AS best FROM s)
+@query("""WITH s AS (SELECT DISTINCT l_orderkey AS t, l_linenumber AS n, l_suppkey AS s,
+  CASE WHEN l_suppkey % 4 = 0 THEN 0 WHEN l_suppkey % 4 = 1 THEN 1 WHEN l_suppkey % 4 = 2 THEN 2 ELSE 3 END AS p
+  FROM lineitem), b AS (SELECT *, min(p) OVER (PARTITION BY t) AS best FROM s)
 SELECT t, n AS ord, s FROM b WHERE p = best QUALIFY row_number() OVER (PARTITION BY t ORDER BY n, s) <= 3""")
 def seeds_of_crashes(spark, sf):
     """Statements of a frame: exact calls of the deeper method first, then calls of its name, then throws, then any."""
@@ -165,8 +175,12 @@ def seeds_of_crashes(spark, sf):
     return localize.crash_seeds(rows).select(F.col("trace_id").alias("t"), F.col("ord.n").alias("ord"), F.col("ord.s").alias("s"))
 
 
-@query("""WITH a AS (SELECT DISTINCT trim(t, ' ') AS t FROM (SELECT unnest(string_split(text, chr(10))) AS t FROM benchmark) WHERE length(trim(t, ' ')) > 25), e AS (SELECT DISTINCT trim(t, ' ') AS t FROM (SELECT unnest(string_split(text, chr(10))) AS t FROM conversations)),
-o AS (SELECT doc_id, trim(t, ' ') AS t FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS t FROM documents UNION ALL SELECT -1, unnest(string_split(text, chr(10))) FROM benchmark)) SELECT DISTINCT CAST(doc_id AS VARCHAR) AS file, o.t AS text FROM o WHERE o.t IN (SELECT t FROM a) AND o.t NOT IN (SELECT t FROM e)""")
+@query("""WITH a AS (SELECT DISTINCT trim(t, ' ') AS t FROM (SELECT unnest(string_split(text, chr(10))) AS t FROM benchmark)
+  WHERE length(trim(t, ' ')) > 25), e AS (SELECT DISTINCT trim(t, ' ') AS t FROM (SELECT unnest(string_split(text, chr(10))) AS t
+  FROM conversations)),
+o AS (SELECT doc_id, trim(t, ' ') AS t FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS t FROM documents UNION ALL
+  SELECT -1, unnest(string_split(text, chr(10))) FROM benchmark)) SELECT DISTINCT CAST(doc_id AS VARCHAR) AS file, o.t AS text FROM o
+  WHERE o.t IN (SELECT t FROM a) AND o.t NOT IN (SELECT t FROM e)""")
 def leaked_lines(spark, sf):
     """Distinctive lines of benchmark items found in documents; item texts themselves are among what is searched."""
     lines = lambda df, key: df.select(key.cast("string").alias("file"), F.explode(F.split("text", "\n", -1)).alias("text"))
@@ -210,10 +224,13 @@ def methods_of_sources(spark, sf):
 
 @query("SELECT 'pkg.C' || p_partkey AS fqn, 'CLASS' AS kind, 2 AS line_start, 18 AS line_end FROM part")
 def types_of_sources(spark, sf):
-    return java.types_table(_java(spark, sf)).select("fqn", "kind", F.col("line_start").cast("long").alias("line_start"), F.col("line_end").cast("long").alias("line_end"))
+    return java.types_table(_java(spark, sf)).select("fqn", "kind", F.col("line_start").cast("long").alias("line_start"),
+        F.col("line_end").cast("long").alias("line_end"))
 
 
-@query("""WITH s(ordinal, kind, parent, branch, line) AS (VALUES (0, 'DECL', -1, 'body', 5), (1, 'IF', -1, 'body', 6), (2, 'EXPR', 1, 'then', 7), (3, 'TRY', -1, 'body', 9), (4, 'EXPR', 3, 'then', 9), (5, 'CATCH', -1, 'body', 9), (6, 'EXPR', 5, 'then', 9), (7, 'RETURN', -1, 'body', 10))
+@query("""WITH s(ordinal, kind, parent, branch, line) AS (VALUES (0, 'DECL', -1, 'body', 5), (1, 'IF', -1, 'body', 6), (2,
+  'EXPR', 1, 'then', 7), (3, 'TRY', -1, 'body', 9), (4, 'EXPR', 3, 'then', 9), (5, 'CATCH', -1, 'body', 9), (6,
+  'EXPR', 5, 'then', 9), (7, 'RETURN', -1, 'body', 10))
 SELECT 'pkg.C' || p_partkey || '.m' AS method, ordinal, kind, parent, branch, line FROM part, s UNION ALL SELECT 'pkg.C' || p_partkey || '.t', o, 'EXPR', -1, 'body', 15 + o - 0 - 0 FROM part, (VALUES (0), (1)) v(o)""".replace("15 + o - 0 - 0", "15 + o"))
 def statements_of_sources(spark, sf):
     found = java.statements_table(_java(spark, sf))
@@ -221,13 +238,15 @@ def statements_of_sources(spark, sf):
     return found.select("method", long("ordinal", "ordinal"), "kind", long("parent", "parent"), "branch", long("line_start", "line"))
 
 
-@query("""WITH k(kind, n) AS (VALUES ('PARAM', 2), ('LOCAL_DEF', 1), ('LOCAL_USE', 6), ('CALLSITE', 4), ('BRANCH_PREDICATE', 1), ('RETURN_VALUE', 1), ('LITERAL', 1)) SELECT 'pkg.C' || p_partkey || '.m' AS method, kind, n FROM part, k""")
+@query("""WITH k(kind, n) AS (VALUES ('PARAM', 2), ('LOCAL_DEF', 1), ('LOCAL_USE', 6), ('CALLSITE', 4), ('BRANCH_PREDICATE', 1),
+  ('RETURN_VALUE', 1), ('LITERAL', 1)) SELECT 'pkg.C' || p_partkey || '.m' AS method, kind, n FROM part, k""")
 def expressions_of_sources(spark, sf):
     found = java.expressions_table(_java(spark, sf)).where(F.col("method").endswith(".m"))
     return found.groupBy("method", "kind").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT 'pkg.C' || p_partkey || '.t' AS test, 'EQUALS' AS kind, CAST(p_size AS VARCHAR) AS expected, 'm(' || p_partkey || ' + 1, "s")' AS expr, CAST(NULL AS VARCHAR) AS type FROM part
+@query("""SELECT 'pkg.C' || p_partkey || '.t' AS test, 'EQUALS' AS kind,
+  CAST(p_size AS VARCHAR) AS expected, 'm(' || p_partkey || ' + 1, "s")' AS expr, CAST(NULL AS VARCHAR) AS type FROM part
 UNION ALL SELECT 'pkg.C' || p_partkey || '.t', 'EXCEPTION', NULL, NULL, 'Bad' FROM part""")
 def oracles_of_sources(spark, sf):
     return java.oracles_table(_java(spark, sf)).where(F.col("test").endswith(".t")).select("test", "kind", "expected", "expr", "type")
@@ -243,15 +262,18 @@ def catches_in_sources(spark, sf):
     return java.catches_table(_java(spark, sf), "check")
 
 
-@query("""SELECT 'pkg.C' || p_partkey || '.t' AS method, 15 AS line, 0 AS arg_index, 'RESOLVED' AS kind, CAST(p_partkey + 1 AS VARCHAR) AS value FROM part UNION ALL SELECT 'pkg.C' || p_partkey || '.t', 15, 1, 'RESOLVED', '"s"' FROM part
-UNION ALL SELECT 'pkg.C' || p_partkey || '.t', 16, 0, 'RESOLVED', '0' FROM part UNION ALL SELECT 'pkg.C' || p_partkey || '.t', 16, 1, 'RESOLVED', 'null' FROM part""")
+@query("""SELECT 'pkg.C' || p_partkey || '.t' AS method, 15 AS line, 0 AS arg_index, 'RESOLVED' AS kind,
+  CAST(p_partkey + 1 AS VARCHAR) AS value FROM part UNION ALL SELECT 'pkg.C' || p_partkey || '.t', 15, 1, 'RESOLVED', '"s"' FROM part
+UNION ALL SELECT 'pkg.C' || p_partkey || '.t', 16, 0, 'RESOLVED', '0' FROM part UNION ALL
+  SELECT 'pkg.C' || p_partkey || '.t', 16, 1, 'RESOLVED', 'null' FROM part""")
 def arguments_in_sources(spark, sf):
     """Constants that reach the calls of a method, sums folded."""
     found = java.arguments_table(_java(spark, sf), "m")
     return found.select("method", F.col("line").cast("long").alias("line"), F.col("arg_index").cast("long").alias("arg_index"), "kind", "value")
 
 
-@query("""SELECT 'C' || p_partkey AS key, '    int x = ' || p_size || ';' || chr(10) || '    if (a > x) {' || chr(10) || '      x = helper(a);' AS code FROM part""")
+@query("""SELECT 'C' || p_partkey AS key,
+  '    int x = ' || p_size || ';' || chr(10) || '    if (a > x) {' || chr(10) || '      x = helper(a);' AS code FROM part""")
 def snippets_of_sources(spark, sf):
     """The call in line 7 with what defines and encloses it."""
     files = _java(spark, sf)
@@ -272,7 +294,9 @@ def _graph(spark, sf):
     return ingest.ingest(p.vertices(spark, sf), p.edges(spark, sf))
 
 
-@query(f"""WITH {METHODS}, t AS (SELECT min(k) AS k FROM pm), o AS (SELECT split_part(fqn, '.m', 1) AS cls FROM pm WHERE k = (SELECT k FROM t)) SELECT fqn FROM pm WHERE split_part(fqn, '.m', 1) = (SELECT cls FROM o) AND k <> (SELECT k FROM t) AND size > 0""")
+@query(f"""WITH {METHODS}, t AS (SELECT min(k) AS k FROM pm), o AS (SELECT split_part(fqn, '.m', 1) AS cls FROM pm
+  WHERE k = (SELECT k FROM t)) SELECT fqn FROM pm WHERE split_part(fqn, '.m', 1) = (SELECT cls FROM o) AND k <> (SELECT k
+  FROM t) AND size > 0""")
 def siblings_of_a_target(spark, sf):
     """The target is located by name; its siblings are the other methods of its class."""
     first = table(spark, sf, "part").orderBy("p_partkey").select(p.brand().alias("b"), "p_partkey").first()
@@ -281,38 +305,50 @@ def siblings_of_a_target(spark, sf):
     return plans.local_context(g, node)["siblings"].select("fqn")
 
 
-@query(f"""WITH {METHODS} SELECT 'CALLS' AS kind, count(DISTINCT (a.fqn, b.fqn)) AS n FROM pc JOIN pm a ON a.k = l_partkey JOIN pm b ON b.k = l_suppkey UNION ALL SELECT 'OVERRIDES', count(*) FROM pm a JOIN pm b ON b.k = a.k - 1 WHERE a.size = 7
+@query(f"""WITH {METHODS} SELECT 'CALLS' AS kind, count(DISTINCT (a.fqn, b.fqn)) AS n FROM pc JOIN pm a ON a.k = l_partkey
+  JOIN pm b ON b.k = l_suppkey UNION ALL SELECT 'OVERRIDES', count(*) FROM pm a JOIN pm b ON b.k = a.k - 1 WHERE a.size = 7
 UNION ALL SELECT 'AST_CONTAINS', (SELECT count(*) FROM pc JOIN pm ON k = l_partkey) + (SELECT count(*) FROM orders JOIN pm ON k = o_custkey)""")
 def multigraph_edges(spark, sf):
     return _graph(spark, sf).multigraph().select("kind", "src", "dst").distinct().groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@query("""WITH n AS (SELECT 'p' || p_partkey AS id, CASE WHEN p_size <= 5 THEN 'T' ELSE substr(p_type, 1, 1) END AS l FROM part) SELECT id, l || row_number() OVER (PARTITION BY l ORDER BY id) AS ref FROM n""")
+@query("""WITH n AS (SELECT 'p' || p_partkey AS id, CASE WHEN p_size <= 5 THEN 'T' ELSE substr(p_type, 1, 1) END AS l FROM part)
+  SELECT id, l || row_number() OVER (PARTITION BY l ORDER BY id) AS ref FROM n""")
 def typed_entities(spark, sf):
     """Parts as entities with typed references; small ones are tests."""
-    nodes = table(spark, sf, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_type").alias("kind"), (F.col("p_size") <= 5).alias("is_test"), F.lit(False).alias("is_target"))
+    nodes = table(spark, sf, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"),
+        F.col("p_type").alias("kind"), (F.col("p_size") <= 5).alias("is_test"), F.lit(False).alias("is_target"))
     edges = spark.createDataFrame([], "src string, dst string, kind string")
     return sinks.rag_slice(nodes, edges, d.event_chains(spark, sf))[0].select("id", "ref")
 
 
-@query("""SELECT '{"data":{"id":"s' || s_suppkey || '","kind":"METHOD"}}' AS json FROM supplier UNION ALL SELECT '{"data":{"source":"c' || c_custkey || '","target":"n' || c_nationkey || '","layer":"DDG"}}' FROM customer""")
+@query("""SELECT '{"data":{"id":"s' || s_suppkey || '","kind":"METHOD"}}' AS json FROM supplier UNION ALL
+  SELECT '{"data":{"source":"c' || c_custkey || '","target":"n' || c_nationkey || '","layer":"DDG"}}' FROM customer""")
 def viewer_elements(spark, sf):
     key = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"))
     nodes = table(spark, sf, "supplier").select(key("s", "s_suppkey").alias("id"), F.lit("METHOD").alias("kind"))
-    return sinks.cytoscape(nodes, table(spark, sf, "customer").select(key("c", "c_custkey").alias("src"), key("n", "c_nationkey").alias("dst"), F.lit("DDG").alias("layer")))
+    return sinks.cytoscape(nodes, table(spark, sf, "customer").select(key("c", "c_custkey").alias("src"),
+        key("n", "c_nationkey").alias("dst"), F.lit("DDG").alias("layer")))
 
 
-@query("""WITH u AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'view'), c AS (SELECT CASE WHEN event_type = 'error' THEN 'throws:E' ELSE 'other:' || event_type END AS class FROM events)
-SELECT 'Test' AS type, count(*) AS n FROM u UNION ALL SELECT 'Method', 1 + (SELECT count(DISTINCT event_type) FROM events WHERE event_type <> 'view') UNION ALL SELECT 'BehaviorClass', count(DISTINCT class) FROM c UNION ALL SELECT 'InputProfile', 1
+@query("""WITH u AS (SELECT DISTINCT user_id FROM events
+  WHERE event_type = 'view'), c AS (SELECT CASE WHEN event_type = 'error' THEN 'throws:E' ELSE 'other:' || event_type END AS class
+  FROM events)
+SELECT 'Test' AS type, count(*) AS n FROM u UNION ALL SELECT 'Method', 1 + (SELECT count(DISTINCT event_type) FROM events
+  WHERE event_type <> 'view') UNION ALL SELECT 'BehaviorClass', count(DISTINCT class) FROM c UNION ALL SELECT 'InputProfile', 1
 UNION ALL SELECT 'FailureMode', count(DISTINCT user_id % 3) FROM events WHERE event_type = 'error'""")
 def knowledge_of_a_target(spark, sf):
     """Views stand for the target: its tests, behaviour classes, inputs, failure modes and methods covered beside it."""
     events = table(spark, sf, "events")
     user = F.concat(F.lit("U.u"), F.col("user_id").cast("string"))
     bad = F.col("event_type") == "error"
-    values = events.select(F.lit("view").alias("method"), user.alias("test"), F.array((F.col("user_id") % 10).cast("string"), F.lit("2"), "props").alias("args"), F.when(bad, "throws E: no").otherwise(F.col("event_type")).alias("result"), bad.alias("throws"), F.col("event_id").alias("ord"))
+    values = events.select(F.lit("view").alias("method"), user.alias("test"),
+        F.array((F.col("user_id") % 10).cast("string"), F.lit("2"), "props").alias("args"),
+        F.when(bad, "throws E: no").otherwise(F.col("event_type")).alias("result"), bad.alias("throws"),
+        F.col("event_id").alias("ord"))
     coverage = events.select(F.col("event_type").alias("method"), user.alias("test")).distinct()
-    fails = events.where(bad).select(user.alias("test"), F.concat(F.lit("org.E"), (F.col("user_id") % 3).cast("string")).alias("type"), F.lit("m").alias("message")).distinct()
+    fails = events.where(bad).select(user.alias("test"), F.concat(F.lit("org.E"),
+        (F.col("user_id") % 3).cast("string")).alias("type"), F.lit("m").alias("message")).distinct()
     covering = coverage.where("method = 'view'").select("test")
     nodes, _ = knowledge.build("view", values, coverage, fails, covering, knowledge.exemplars(covering), "no (place) (here)")
     return nodes.groupBy("type").agg(F.count("*").alias("n"))
@@ -321,7 +357,9 @@ def knowledge_of_a_target(spark, sf):
 # -- statistics --------------------------------------------------------------------------------------------------------
 
 
-@query("""WITH c AS (SELECT count(*) FILTER (WHERE quality = 1 AND toxic = 0) AS b, count(*) FILTER (WHERE quality = 0 AND toxic = 1) AS c FROM labels WHERE doc_id < 40), k AS (SELECT b + c AS n, least(b, c) AS k FROM c)
+@query("""WITH c AS (SELECT count(*) FILTER (WHERE quality = 1 AND toxic = 0) AS b,
+  count(*) FILTER (WHERE quality = 0 AND toxic = 1) AS c FROM labels WHERE doc_id < 40), k AS (SELECT b + c AS n, least(b, c) AS k
+  FROM c)
 SELECT round(least(1.0, 2 * (SELECT sum(exp(lgamma(n + 1.0) - lgamma(i + 1.0) - lgamma(n - i + 1.0) - n * ln(2.0))) FROM generate_series(0, (SELECT k FROM k)) g(i))), 6) AS p FROM k""".replace(" WHERE doc_id < 40", ""))
 def paired_test_p(spark, sf):
     """The exact two-sided p of quality against toxicity as paired outcomes."""
@@ -338,7 +376,9 @@ def bootstrap_holds_the_rate(spark, sf):
     return stats.bootstrap(runs).join(rate, "arm").select("arm", F.col("rate").between(F.col("low") - 1e-9, F.col("high") + 1e-9).alias("inside"))
 
 
-@query("""WITH s AS (SELECT source, avg(CAST(quality AS DOUBLE)) AS p FROM documents JOIN labels USING (doc_id) GROUP BY 1) SELECT (SELECT p FROM s WHERE source = 'src0') >= greatest((SELECT p FROM s WHERE source = 'src1'), (SELECT p FROM s WHERE source = 'src2')) AS additive""")
+@query("""WITH s AS (SELECT source, avg(CAST(quality AS DOUBLE)) AS p FROM documents JOIN labels USING (doc_id) GROUP BY 1)
+  SELECT (SELECT p FROM s WHERE source = 'src0') >= greatest((SELECT p FROM s WHERE source = 'src1'), (SELECT p FROM s
+  WHERE source = 'src2')) AS additive""")
 def arm_at_least_its_parts(spark, sf):
     both = table(spark, sf, "documents").select("doc_id", F.col("source").alias("arm")).join(table(spark, sf, "labels"), "doc_id")
     return stats.additive(both.groupBy("arm").agg(F.avg(F.col("quality").cast("double")).alias("pass_at_one")), "src0", ["src1", "src2"])
@@ -351,7 +391,8 @@ def _drained(stream: DataFrame, name: str) -> DataFrame:
     """All that a stream gives over what lies there, written and read."""
     spark = stream.sparkSession
     folder = shared_path(spark, name)
-    stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation",
+        f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
@@ -362,11 +403,16 @@ def matrix_as_a_stream(spark, sf):
     return _drained(capture.matrix_stream(spark, _written(table(spark, sf, "lineitem").select(row.alias("value")), "probe")), "matrix")
 
 
-@query("""SELECT event_type AS method, CAST(user_id AS VARCHAR) AS test, CAST(event_id AS VARCHAR) AS args, event_type = 'error' AS throws FROM events QUALIFY row_number() OVER (PARTITION BY event_type, user_id ORDER BY event_id) <= CASE WHEN event_type = 'error' THEN 2 ELSE 6 END""")
+@query("""SELECT event_type AS method, CAST(user_id AS VARCHAR) AS test,
+  CAST(event_id AS VARCHAR) AS args, event_type = 'error' AS throws FROM events
+  QUALIFY row_number() OVER (PARTITION BY event_type, user_id
+  ORDER BY event_id) <= CASE WHEN event_type = 'error' THEN 2 ELSE 6 END""")
 def values_capped_as_a_stream(spark, sf):
     """The first calls of each method and test, fewer of those that threw; one file, so one batch in order."""
     path = shared_path(spark, "values")
-    rows = table(spark, sf, "events").select(F.col("event_type").alias("method"), F.col("user_id").cast("string").alias("test"), F.col("event_id").cast("string").alias("args"), F.lit("r").alias("result"), (F.col("event_type") == "error").alias("throws"), F.col("event_id").alias("ord"))
+    rows = table(spark, sf, "events").select(F.col("event_type").alias("method"), F.col("user_id").cast("string").alias("test"),
+        F.col("event_id").cast("string").alias("args"), F.lit("r").alias("result"),
+        (F.col("event_type") == "error").alias("throws"), F.col("event_id").alias("ord"))
     rows.write.parquet(path)
     stream = spark.readStream.schema(rows.schema).parquet(path)
     return _drained(capture.capped_values(stream), "capped").select("method", "test", "args", "throws")

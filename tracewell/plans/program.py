@@ -53,7 +53,8 @@ def vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
 def call_rows(items: DataFrame) -> DataFrame:
     """Line items as calls, each kind of line once: (l_partkey, l_suppkey, l_linenumber, call_id)."""
     once = items.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").distinct()
-    return once.withColumn("call_id", F.concat_ws("_", F.concat(F.lit("c"), F.col("l_orderkey").cast(TEXT)), *[F.col(c).cast(TEXT) for c in ("l_linenumber", "l_partkey", "l_suppkey")]))
+    return once.withColumn("call_id", F.concat_ws("_", F.concat(F.lit("c"), F.col("l_orderkey").cast(TEXT)),
+        *[F.col(c).cast(TEXT) for c in ("l_linenumber", "l_partkey", "l_suppkey")]))
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,4 +71,5 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The same in SQL: raw identifiers and names of methods.
 METHODS = """pm AS (SELECT p_partkey AS k, p_size AS size, 'pkg.' || translate(p_brand, '# ', '__') || '.m' || p_partkey AS fqn,
   CASE WHEN p_size % 5 = 0 THEN 'src/__t__/java/pkg/' ELSE 'src/main/java/pkg/' END || translate(p_brand, '# ', '__') || '.java' AS file FROM part),
-pc AS (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey, 'c' || l_orderkey || '_' || l_linenumber || '_' || l_partkey || '_' || l_suppkey AS id FROM lineitem)"""
+pc AS (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+  'c' || l_orderkey || '_' || l_linenumber || '_' || l_partkey || '_' || l_suppkey AS id FROM lineitem)"""

@@ -61,22 +61,26 @@ def local_context(graph: Graph, node: dict) -> dict[str, DataFrame]:
     fields = graph.fields.where(F.col("owner") == cls).join(touched, "id")
     used = graph.of_kind("REF_TYPE").where(F.col("src").isin(node["id"], "t:" + cls)).select(F.col("dst").alias("id")).distinct()
     types = graph.types.join(used, "id", "left_semi")
-    members = graph.methods.withColumn("cls", owner("fqn")).join(types.select(F.col("fqn").alias("cls")), "cls", "left_semi").groupBy("cls").agg(F.array_sort(F.collect_list("signature")).alias("signatures"))
+    members = graph.methods.withColumn("cls", owner("fqn")).join(types.select(F.col("fqn").alias("cls")), "cls",
+        "left_semi").groupBy("cls").agg(F.array_sort(F.collect_list("signature")).alias("signatures"))
     return {"siblings": siblings, "fields": fields, "types": types, "signatures": members}
 
 
 def sibling_bodies(siblings: DataFrame, lines: DataFrame, whole: int = 30, first: int = 10) -> DataFrame:
     """(key, text): members of up to `whole` lines in full, of longer ones the first lines and a mark."""
     long = (F.col("line_end") - F.col("line_start") + 1) > whole
-    wanted = siblings.select(F.col("fqn").alias("key"), "file", "line_start", F.when(long, F.col("line_start") + first - 1).otherwise(F.col("line_end")).alias("line_end"), long.alias("long"))
-    return tx.fragment(lines, wanted).join(wanted.select("key", "long"), "key").select("key", F.when(F.col("long"), F.concat("text", F.lit("\n    // ..."))).otherwise(F.col("text")).alias("text"))
+    wanted = siblings.select(F.col("fqn").alias("key"), "file", "line_start",
+        F.when(long, F.col("line_start") + first - 1).otherwise(F.col("line_end")).alias("line_end"), long.alias("long"))
+    return tx.fragment(lines, wanted).join(wanted.select("key", "long"), "key").select("key",
+        F.when(F.col("long"), F.concat("text", F.lit("\n    // ..."))).otherwise(F.col("text")).alias("text"))
 
 
 #: Parts of a slice's text by mode.
 MODES = {"budgeted": ["target", "statistics", "consumers", "members", "long_tail"], "full": ["target", "statistics", "consumers", "members", "long_tail"], "bare": ["target", "consumers"], "spec": ["target", "siblings", "consumers", "members"]}
 
 
-def slice_report(graph: Graph, target: Target, *, max_chains: int = 5000, cluster_cap: int = 10, coverage: int = 90, consumer_cap: int = 5, rank_by_hubs: bool = False, budget: int = 20_000, mode: str = "budgeted") -> dict:
+def slice_report(graph: Graph, target: Target, *, max_chains: int = 5000, cluster_cap: int = 10, coverage: int = 90,
+    consumer_cap: int = 5, rank_by_hubs: bool = False, budget: int = 20_000, mode: str = "budgeted") -> dict:
     """Chains, clusters (capped), consumers and a Markdown text for one target: within a budget, `full` without one, `bare` with
     target and consumers alone, or `spec` with the siblings that specify it, helpers left out. `dropped` lists what gave way."""
     if mode not in MODES:
@@ -90,7 +94,11 @@ def slice_report(graph: Graph, target: Target, *, max_chains: int = 5000, cluste
         scores = best_by_name(katz(edges, names.select("node")), names)
         clusters = ch.hub_order(clusters, scores)
     consumers = ch.consumers(clusters.where("selected")).limit(consumer_cap)
-    parts = {"target": f"# {node['fqn']}\n{node['signature']}", "statistics": sinks.markdown_table(ch.statistics(found)), "consumers": "## Consumers\n" + sinks.markdown_table(consumers), "members": "## Clusters\n" + sinks.markdown_table(clusters.where("selected").select("entry", "consumer", "n", "tests", "depth")), "long_tail": "## Long tail\n" + sinks.markdown_table(clusters.where("not selected").groupBy("consumer").agg(F.count("*").alias("clusters"), F.sum("n").alias("chains")).orderBy("consumer"))}
+    parts = {"target": f"# {node['fqn']}\n{node['signature']}", "statistics": sinks.markdown_table(ch.statistics(found)),
+        "consumers": "## Consumers\n" + sinks.markdown_table(consumers),
+        "members": "## Clusters\n" + sinks.markdown_table(clusters.where("selected").select("entry", "consumer", "n", "tests",
+        "depth")), "long_tail": "## Long tail\n" + sinks.markdown_table(clusters.where("not selected").groupBy("consumer").agg(F.count("*").alias("clusters"),
+        F.sum("n").alias("chains")).orderBy("consumer"))}
     context = local_context(graph, node)
     if mode == "spec":
         shown = context["siblings"].where(~trimmed_helper(F.concat_ws(" ", F.array_join("modifiers", " "), "signature")))
@@ -103,7 +111,8 @@ def slice_report(graph: Graph, target: Target, *, max_chains: int = 5000, cluste
     if fit["tier"] is None:
         raise ValueError("the smallest document is over the budget")
     kept = [v for k, v in parts.items() if k not in fit["dropped"]]
-    return {"chains": found, "clusters": clusters, "consumers": consumers, "context": context, "dropped": [k for k in fit["dropped"] if k in parts], "markdown": "\n\n".join(kept)}
+    return {"chains": found, "clusters": clusters, "consumers": consumers, "context": context,
+        "dropped": [k for k in fit["dropped"] if k in parts], "markdown": "\n\n".join(kept)}
 
 
 def impact_report(diff: DataFrame, spans: DataFrame, coverage: DataFrame, killers: DataFrame, regions: DataFrame, total_tests: int | None = None) -> dict:
@@ -119,7 +128,8 @@ def impact_report(diff: DataFrame, spans: DataFrame, coverage: DataFrame, killer
     return {"changed": changed, "tiers": tiers, "regions": rated, "blind_spots": blind, "markdown": text}
 
 
-def crash_report(cases: DataFrame, package: str, spans: DataFrame, statements: DataFrame, guards: DataFrame, data_flow: DataFrame, frames: int = 6, most_lines: int = 45) -> dict:
+def crash_report(cases: DataFrame, package: str, spans: DataFrame, statements: DataFrame, guards: DataFrame, data_flow: DataFrame,
+    frames: int = 6, most_lines: int = 45) -> dict:
     """The corridor of each exception: its project frames, seed statements, what guards them and where their data comes from.
     `statements` has (method_id, line, id, label, name, code, ord), `guards` and `data_flow` (node, back)."""
     traces = cases.where("not ok and trace is not null").select(F.col("test").alias("trace_id"), "trace")
@@ -131,7 +141,8 @@ def crash_report(cases: DataFrame, package: str, spans: DataFrame, statements: D
     from pyspark.sql.window import Window
 
     by = Window.partitionBy("trace_id").orderBy("frame_ix")
-    top = top.withColumns({"deeper_cls": F.lag("cls").over(by), "deeper_method": F.lag("method").over(by), "exc": F.when(F.row_number().over(by) == 1, last_dotted("exc_type"))})
+    top = top.withColumns({"deeper_cls": F.lag("cls").over(by), "deeper_method": F.lag("method").over(by),
+        "exc": F.when(F.row_number().over(by) == 1, last_dotted("exc_type"))})
     resolved = lo.resolve_methods(top, spans)
     seeds = lo.crash_seeds(lo.statements_at(resolved, statements)).select("trace_id", "frame_ix", "id", "line", "code", "ord")
     key = F.concat_ws("#", "trace_id", F.col("frame_ix").cast("string"))
@@ -145,7 +156,8 @@ def crash_report(cases: DataFrame, package: str, spans: DataFrame, statements: D
     return {"frames": top, "corridor": corridor, "markdown": "# Crash slice\n\n" + "\n".join(f"- {r['key']} {r['role']}: `{r['entry']}`" for r in rows)}
 
 
-def suspects_report(boundary: DataFrame, coverage: DataFrame | None, failing: DataFrame, passing: DataFrame, calls: DataFrame, production: DataFrame, hops: int = 3, most: int = 3) -> dict:
+def suspects_report(boundary: DataFrame, coverage: DataFrame | None, failing: DataFrame, passing: DataFrame, calls: DataFrame,
+    production: DataFrame, hops: int = 3, most: int = 3) -> dict:
     """Ranked suspects behind failing assertions; without a matrix the boundary alone."""
     from ..operators.traverse import reach_with_paths
 
@@ -154,7 +166,9 @@ def suspects_report(boundary: DataFrame, coverage: DataFrame | None, failing: Da
     else:
         reach = reach_with_paths(calls, boundary.select(F.col("method").alias("node")), hops).select(F.col("node").alias("method"), "path")
         ranked = lo.suspects(coverage, failing, passing, reach, most).join(reach, "method", "left")
-    return {"suspects": ranked, "boundary": lo.aggregate_boundary(boundary), "by_class": lo.failures_by_class(failing), "markdown": "# Suspects\n\n" + sinks.markdown_table(ranked.orderBy("rank").withColumn("method", class_and_method("method")))}
+    return {"suspects": ranked, "boundary": lo.aggregate_boundary(boundary), "by_class": lo.failures_by_class(failing),
+        "markdown": "# Suspects\n\n" + sinks.markdown_table(ranked.orderBy("rank").withColumn("method",
+        class_and_method("method")))}
 
 
 def pool(target: str, values: DataFrame, coverage: DataFrame, failures: DataFrame, folder: str, pattern: str) -> None:
@@ -173,7 +187,8 @@ def chop_report(files: DataFrame, calls: DataFrame, target: str, max_methods: in
     from ..operators.traverse import reachable_callers
     from ..sources import java
 
-    near = reachable_callers(calls, calls.sparkSession.createDataFrame([(target,)], "node string"), max_methods=max_methods).select(F.col("node").alias("method"))
+    near = reachable_callers(calls, calls.sparkSession.createDataFrame([(target,)], "node string"),
+        max_methods=max_methods).select(F.col("node").alias("method"))
     inside = lambda df: df.join(near, "method", "left_semi")
     statements, exprs = inside(java.statements_table(files)).cache(), inside(java.expressions_table(files)).cache()
     flow = dp.control_flow(statements).cache()
@@ -183,18 +198,22 @@ def chop_report(files: DataFrame, calls: DataFrame, target: str, max_methods: in
     sites = exprs.where("kind = 'CALLSITE'").select("method", F.col("name").alias("callee_name"), node("stmt_ordinal").alias("node")).distinct()
     params = exprs.where("kind = 'PARAM'").select("method", node("stmt_ordinal").alias("node")).distinct()
     returns = exprs.where("kind = 'RETURN_VALUE'").select("method", node("stmt_ordinal").alias("node")).distinct()
-    known = calls.join(near.select(F.col("method").alias("caller")), "caller", "left_semi").join(near.select(F.col("method").alias("callee")), "callee", "left_semi")
+    known = calls.join(near.select(F.col("method").alias("caller")), "caller",
+        "left_semi").join(near.select(F.col("method").alias("callee")), "callee", "left_semi")
     edges = dp.compose(pdg, known, sites, params, returns).cache()
     own = statements.where(F.col("method") == target).select(node("ordinal").alias("stmt"), node("ordinal").alias("node"))
     bridge = dp.touched(edges, own)
     shown = dp.view(edges, layers=checked(layers) if layers else None)
-    return {"methods": near, "statements": statements, "edges": shown, "touched": bridge, "cytoscape": sinks.cytoscape(statements.select(node("ordinal").alias("id"), "kind", F.col("text").alias("label")), shown)}
+    return {"methods": near, "statements": statements, "edges": shown, "touched": bridge,
+        "cytoscape": sinks.cytoscape(statements.select(node("ordinal").alias("id"), "kind", F.col("text").alias("label")), shown)}
 
 
 def graph_statements(graph: Graph) -> DataFrame:
     """(method_id, line, id, label, name, code, ord) of a graph's calls, returns and branches, in order of line and id."""
     calls = graph.call_sites.select("method_id", "line", "id", F.lit("CALL").alias("label"), F.col("callee").alias("name"), "code")
-    other = graph.statements.select("method_id", "line", "id", F.when(F.col("kind") == "RETURN", "RETURN").otherwise("OTHER").alias("label"), F.lit(None).cast("string").alias("name"), "code")
+    other = graph.statements.select("method_id", "line", "id",
+        F.when(F.col("kind") == "RETURN", "RETURN").otherwise("OTHER").alias("label"), F.lit(None).cast("string").alias("name"),
+        "code")
     return calls.union(other).withColumn("ord", F.struct("line", "id"))
 
 
@@ -218,7 +237,8 @@ def named_calls(files: DataFrame) -> DataFrame:
 SECTIONS = ["target", "direct tests", "focus", "consumer", "target values", "consumer values", "medoids", "snippets", "goldens", "co-covered"]
 
 
-def bundle_sections(target: str, stub: str, calls: DataFrame, methods: DataFrame, values: DataFrame, coverage: DataFrame, failures: DataFrame, chains: DataFrame | None = None) -> DataFrame:
+def bundle_sections(target: str, stub: str, calls: DataFrame, methods: DataFrame, values: DataFrame, coverage: DataFrame,
+    failures: DataFrame, chains: DataFrame | None = None) -> DataFrame:
     """(section, text, kept, dropped) of all that a bundle about a target shows, capped."""
     from ..operators import pool as pl
 
@@ -243,7 +263,8 @@ def bundle_sections(target: str, stub: str, calls: DataFrame, methods: DataFrame
     if chains is not None:
         clusters = ch.clusters(chains)
         out.append(line(pl.medoids(chains, clusters), "medoids", F.lpad(F.col("rank").cast("string"), 5, "0"), F.concat(F.lit("- "), "path")))
-        out.append(line(pl.chain_edges(chains, target), "snippets", F.lpad(F.col("dist").cast("string"), 5, "0"), F.format_string("- %s calls %s", "caller", "callee")))
+        out.append(line(pl.chain_edges(chains, target), "snippets", F.lpad(F.col("dist").cast("string"), 5, "0"),
+            F.format_string("- %s calls %s", "caller", "callee")))
     rows = out[0]
     for o in out[1:]:
         rows = rows.union(o)
@@ -263,5 +284,7 @@ def evaluate(runs: DataFrame, baseline: str) -> dict:
 
     summary = stats.by_arm(runs).join(stats.bootstrap(runs), "arm")
     lifts = stats.lifts(summary, baseline)
-    shown = summary.select("arm", "n", F.round("pass_at_one", 3).alias("rate"), F.round("low", 3).alias("low"), F.round("high", 3).alias("high"), "cycles_median")
-    return {"summary": summary, "lifts": lifts, "markdown": f"# Arms\n\n{sinks.markdown_table(shown.orderBy('arm'))}\n\n# Against {baseline}\n\n{sinks.markdown_table(lifts.orderBy('arm'))}\n"}
+    shown = summary.select("arm", "n", F.round("pass_at_one", 3).alias("rate"), F.round("low", 3).alias("low"),
+        F.round("high", 3).alias("high"), "cycles_median")
+    return {"summary": summary, "lifts": lifts,
+        "markdown": f"# Arms\n\n{sinks.markdown_table(shown.orderBy('arm'))}\n\n# Against {baseline}\n\n{sinks.markdown_table(lifts.orderBy('arm'))}\n"}

@@ -12,7 +12,9 @@ from pyspark.sql.window import Window
 
 def _map(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """A document of one object, or, in a folder that ends in .jsonl, an object a line."""
-    return spark.read.text(path, wholetext=not path.rstrip("/").endswith(".jsonl")).select(F.explode(F.from_json("value", f"map<string,{kind}>", {"mode": "FAILFAST"})).alias("method", "x"))
+    return spark.read.text(path,
+        wholetext=not path.rstrip("/").endswith(".jsonl")).select(F.explode(F.from_json("value", f"map<string,{kind}>",
+        {"mode": "FAILFAST"})).alias("method", "x"))
 
 
 def coverage(spark: SparkSession, path: str) -> DataFrame:
@@ -23,13 +25,15 @@ def coverage(spark: SparkSession, path: str) -> DataFrame:
 def mutation(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(killers, regions) from {method: {killers, regions}}."""
     rows = _map(spark, path, "struct<killers:array<string>,regions:array<struct<label:string,lines:array<int>,killers:int>>>")
-    regions = rows.select("method", F.inline("x.regions")).select("method", "label", F.array_min("lines").alias("line_lo"), F.array_max("lines").alias("line_hi"), "killers")
+    regions = rows.select("method", F.inline("x.regions")).select("method", "label", F.array_min("lines").alias("line_lo"),
+        F.array_max("lines").alias("line_hi"), "killers")
     return rows.select("method", F.explode("x.killers").alias("test")).distinct(), regions
 
 
 def spans(spark: SparkSession, path: str) -> DataFrame:
     """(fqn, file, line_start, line_end) from {method: {file, start, end}}."""
-    return _map(spark, path, "struct<file:string,start:int,end:int>").select(F.col("method").alias("fqn"), "x.file", F.col("x.start").alias("line_start"), F.col("x.end").alias("line_end"))
+    return _map(spark, path, "struct<file:string,start:int,end:int>").select(F.col("method").alias("fqn"), "x.file",
+        F.col("x.start").alias("line_start"), F.col("x.end").alias("line_end"))
 
 
 def capture_matrix(spark: SparkSession, paths, attribution: str = "outer", executed: DataFrame | None = None) -> DataFrame:
@@ -42,11 +46,14 @@ def capture_matrix(spark: SparkSession, paths, attribution: str = "outer", execu
 
 def parse_values(lines: DataFrame) -> DataFrame:
     """(method, test, args, result, throws, ord) from lines (value, ord) with two or three parts before the result."""
-    cut = lines.where(F.contains("value", F.lit("\t=> "))).select("ord", F.substring_index("value", "\t=> ", 1).alias("head"), F.expr("substring(value, instr(value, '\t=> ') + 4)").alias("result"))
+    cut = lines.where(F.contains("value", F.lit("\t=> "))).select("ord", F.substring_index("value", "\t=> ", 1).alias("head"),
+        F.expr("substring(value, instr(value, '\t=> ') + 4)").alias("result"))
     cut = cut.withColumn("parts", F.split("head", "\t", -1)).where("size(parts) in (2, 3)")
     args = F.element_at("parts", -1)
     test = F.when((F.size("parts") == 3) & (F.col("parts")[1] != "-"), F.col("parts")[1])
-    return cut.select(F.col("parts")[0].alias("method"), test.alias("test"), F.when(args == "", F.array().cast("array<string>")).otherwise(F.transform(F.split(args, r" \| "), lambda a: F.trim(a))).alias("args"), "result", F.col("result").startswith("throws ").alias("throws"), "ord")
+    return cut.select(F.col("parts")[0].alias("method"), test.alias("test"),
+        F.when(args == "", F.array().cast("array<string>")).otherwise(F.transform(F.split(args, r" \| "),
+        lambda a: F.trim(a))).alias("args"), "result", F.col("result").startswith("throws ").alias("throws"), "ord")
 
 
 def captured_values(spark: SparkSession, paths, limit: int = 5) -> DataFrame:
@@ -57,13 +64,15 @@ def captured_values(spark: SparkSession, paths, limit: int = 5) -> DataFrame:
 
 def first_distinct(values: DataFrame, limit: int) -> DataFrame:
     """The first `limit` distinct calls of each method."""
-    once = values.groupBy("method", "args", "result").agg(F.min_by(F.struct("test", "throws", "ord"), "ord").alias("x")).select("method", "x.test", "args", "result", "x.throws", "x.ord")
+    once = values.groupBy("method", "args", "result").agg(F.min_by(F.struct("test", "throws", "ord"),
+        "ord").alias("x")).select("method", "x.test", "args", "result", "x.throws", "x.ord")
     return once.withColumn("n", F.row_number().over(Window.partitionBy("method").orderBy("ord"))).where(F.col("n") <= limit).drop("n")
 
 
 def chain_sidecar(spark: SparkSession, path: str) -> DataFrame:
     """(chain_id, test, steps) from a chains document."""
-    doc = spark.read.schema("chains array<struct<test:string,steps:array<struct<caller:string,callee:string,virtual:boolean>>>>").option("multiLine", True).json(path)
+    doc = spark.read.schema("chains array<struct<test:string,steps:array<struct<caller:string,callee:string,virtual:boolean>>>>").option("multiLine",
+        True).json(path)
     return doc.select(F.posexplode("chains").alias("chain_id", "c")).select(F.col("chain_id").cast("long").alias("chain_id"), "c.test", "c.steps")
 
 
@@ -90,7 +99,8 @@ class Config:
     def scan(cls, types: DataFrame, target: str) -> "Config":
         """From a table of types (fqn, file): main before test, shortest path first."""
         name = target.partition("#")[0]
-        row = types.where((F.col("fqn") == name) | F.col("fqn").endswith("." + name)).orderBy(F.contains("file", F.lit("/test/")), F.length("file"), "file").first()
+        row = types.where((F.col("fqn") == name) | F.col("fqn").endswith("." + name)).orderBy(F.contains("file", F.lit("/test/")),
+            F.length("file"), "file").first()
         if row is None:
             raise ValueError(f"no source for {target}")
         return cls(target=target, package=row["fqn"].rpartition(".")[0], extra={"file": row["file"]})

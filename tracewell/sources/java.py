@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame
 KEYWORDS = {"if", "for", "while", "switch", "catch", "return", "new", "else", "do", "try", "throw", "synchronized", "assert", "case", "super", "this"}
 #: Calls that pass their only argument through (fixed values).
 WRAPPERS = {"String.valueOf", "Integer.valueOf", "Long.valueOf", "Integer.parseInt", "Long.parseLong", "Double.parseDouble", "Boolean.parseBoolean", "Objects.requireNonNull", "Optional.of"}
-KINDS = [("return", "RETURN"), ("throw", "THROW"), ("if", "IF"), ("else", "ELSE"), ("for", "FOR"), ("while", "WHILE"), ("do", "DO"), ("switch", "SWITCH"), ("try", "TRY"), ("catch", "CATCH"), ("break", "BREAK"), ("continue", "CONTINUE")]
+KINDS = [("return", "RETURN"), ("throw", "THROW"), ("if", "IF"), ("else", "ELSE"), ("for", "FOR"), ("while", "WHILE"), ("do", "DO"),
+    ("switch", "SWITCH"), ("try", "TRY"), ("catch", "CATCH"), ("break", "BREAK"), ("continue", "CONTINUE")]
 DEPTH, BRANCHES = 15, 3
 
 
@@ -77,7 +78,8 @@ def scan_methods(text: str) -> list[dict]:
     mask = masked(text)
     types = scan_types(text, mask)
     out = []
-    for m in re.finditer(r"(?<![\w.])(?P<head>(?:@\w+(?:\([^)]*\))?\s+|\b(?:public|protected|private|static|final|abstract|synchronized|default)\s+)*)(?:<[^>{}]*>\s*)?(?P<type>\w[\w.$<>\[\], ?]*?)\s+(?P<name>\w+)\s*\((?P<params>[^(){}]*)\)\s*(?:throws[\w\s.,]+)?\{", mask):
+    for m in re.finditer(r"(?<![\w.])(?P<head>(?:@\w+(?:\([^)]*\))?\s+|\b(?:public|protected|private|static|final|abstract|synchronized|default)\s+)*)(?:<[^>{}]*>\s*)?(?P<type>\w[\w.$<>\[\], ?]*?)\s+(?P<name>\w+)\s*\((?P<params>[^(){}]*)\)\s*(?:throws[\w\s.,]+)?\{",
+        mask):
         if m["name"] in KEYWORDS or m["type"].strip().split()[-1] in KEYWORDS:
             continue
         owner = max((t for t in types if t[2] < m.start() and m.end() <= t[3]), key=lambda t: t[2], default=None)
@@ -181,7 +183,10 @@ def calls(text: str, mask: str, start: int, end: int) -> list[dict]:
             continue
         open_ = start + m.end() - 1
         close = closing(mask, open_, "()")
-        out.append({"name": m["name"], "scope": re.sub(r"\s", "", text[start + m.start("scope") : start + m.end("scope")]).rstrip("."), "new": bool(m["new"]), "args": split_top(text[open_ + 1 : close], mask[open_ + 1 : close]), "start": start + m.start("name"), "end": close + 1})
+        out.append({"name": m["name"], "scope": re.sub(r"\s", "",
+            text[start + m.start("scope") : start + m.end("scope")]).rstrip("."), "new": bool(m["new"]),
+            "args": split_top(text[open_ + 1 : close], mask[open_ + 1 : close]), "start": start + m.start("name"),
+            "end": close + 1})
     return out
 
 
@@ -232,7 +237,8 @@ def resolve(expr: str, text: str, mask: str, method: dict, chain: list[tuple[str
         return ("UNRESOLVED", "BRANCH_EXPLOSION") if len(flat) > BRANCHES else ("BRANCH_UNION", " | ".join(flat))
     for ops in ("+-", "*/%"):
         for k in range(len(em) - 1, 0, -1):
-            if em[k] in ops and em[k - 1] not in "+-*/%=<>!&|(,eE" and all(em[:k].count(a) == em[:k].count(b) for a, b in ("()", "[]", "{}")) and em[k : k + 2] not in ("++", "--") and em[:k].strip():
+            if em[k] in ops and em[k - 1] not in "+-*/%=<>!&|(,eE" and all(em[:k].count(a) == em[:k].count(b) for a,
+                b in ("()", "[]", "{}")) and em[k : k + 2] not in ("++", "--") and em[:k].strip():
                 (lk, lv), (rk, rv) = deeper(e[:k]), deeper(e[k + 1 :])
                 if lk == rk == "RESOLVED" and (out := fold(lv, em[k], rv)) is not None:
                     return "RESOLVED", out
@@ -261,7 +267,8 @@ def resolve(expr: str, text: str, mask: str, method: dict, chain: list[tuple[str
         return "UNRESOLVED", "NOT_FOUND"
     if re.match(r"new\b[^({\[]*\(", em) or re.match(r"new\b.*\{", em, re.S) or e.startswith("{"):
         open_ = next(k for k, c in enumerate(em) if c in "({")
-        inner = split_top(e[open_ + 1 : closing(em, open_, em[open_] + {"(": ")", "{": "}"}[em[open_]])], em[open_ + 1 : closing(em, open_, em[open_] + {"(": ")", "{": "}"}[em[open_]])])
+        inner = split_top(e[open_ + 1 : closing(em, open_, em[open_] + {"(": ")", "{": "}"}[em[open_]])],
+            em[open_ + 1 : closing(em, open_, em[open_] + {"(": ")", "{": "}"}[em[open_]])])
         return "DERIVED", ("ARRAY_LITERAL" if em[open_] == "{" else "OBJECT_CREATION") + f"({', '.join(deeper(x)[1] for x in inner)})"
     if call := re.fullmatch(r"((?:[\w$]+\.)*\w+)\s*\((.*)\)", e, re.S):
         args = split_top(call[2], masked(call[2]))
@@ -396,12 +403,15 @@ def methods_table(files: DataFrame) -> DataFrame:
     """Methods with lines, documentation and whether they are annotated as tests."""
     schema = "fqn string, signature string, file string, line_start int, line_end int, javadoc string, is_test boolean, is_static boolean, text string"
     tests = {"Test", "ParameterizedTest", "RepeatedTest", "TestFactory", "TestTemplate"}
-    return _table(files, schema, lambda file, text, mask, ms: [(m["fqn"], m["signature"], file, m["line_start"], m["line_end"], m["doc"], bool(tests & set(m["annotations"])), m["static"], text[m["start"] : m["end"] + 1]) for m in ms])
+    return _table(files, schema, lambda file, text, mask,
+        ms: [(m["fqn"], m["signature"], file, m["line_start"], m["line_end"], m["doc"], bool(tests & set(m["annotations"])),
+        m["static"], text[m["start"] : m["end"] + 1]) for m in ms])
 
 
 def types_table(files: DataFrame) -> DataFrame:
     schema = "fqn string, kind string, file string, line_start int, line_end int, enum_constants array<string>"
-    return _table(files, schema, lambda file, text, mask, ms: [(n, k, file, text.count("\n", 0, s) + 1, text.count("\n", 0, e) + 1, c) for n, k, s, e, c in scan_types(text, mask)])
+    return _table(files, schema, lambda file, text, mask,
+        ms: [(n, k, file, text.count("\n", 0, s) + 1, text.count("\n", 0, e) + 1, c) for n, k, s, e, c in scan_types(text, mask)])
 
 
 def statements_table(files: DataFrame) -> DataFrame:
@@ -410,7 +420,8 @@ def statements_table(files: DataFrame) -> DataFrame:
 
     def rows(file, text, mask, ms):
         line = lambda k: text.count("\n", 0, k) + 1
-        return [(m["fqn"], s["ordinal"], s["kind"], s["parent"], s["branch"], line(s["start"]), line(max(s["start"], s["end"] - 1)), text[s["start"] : s["end"]].strip()) for m in ms for s in statements(text, mask, m["open"] + 1, m["end"])]
+        return [(m["fqn"], s["ordinal"], s["kind"], s["parent"], s["branch"], line(s["start"]), line(max(s["start"], s["end"] - 1)),
+            text[s["start"] : s["end"]].strip()) for m in ms for s in statements(text, mask, m["open"] + 1, m["end"])]
 
     return _table(files, schema, rows)
 
@@ -435,8 +446,10 @@ def expressions_table(files: DataFrame) -> DataFrame:
                 for w in re.finditer(r"(?<![\w.\"])([A-Za-z_]\w*)\b(?!\s*\()", code):
                     if w[1] in names and not (w[1] == defined and d and w.start() == d.start(1)):
                         out.append((m["fqn"], s["ordinal"], "LOCAL_USE", w[1], w[1], *place(begin + w.start())))
-                out += [(m["fqn"], s["ordinal"], "CALLSITE", c["name"], text[c["start"] : c["end"]], *place(c["start"])) for c in calls(text, mask, begin, s["end"])]
-                out += [(m["fqn"], s["ordinal"], "LITERAL", None, text[begin + w.start() : begin + w.end()], *place(begin + w.start())) for w in re.finditer(r'"[^"\n]*"|\b\d[\w.]*\b', code)]
+                out += [(m["fqn"], s["ordinal"], "CALLSITE", c["name"], text[c["start"] : c["end"]],
+                    *place(c["start"])) for c in calls(text, mask, begin, s["end"])]
+                out += [(m["fqn"], s["ordinal"], "LITERAL", None, text[begin + w.start() : begin + w.end()],
+                    *place(begin + w.start())) for w in re.finditer(r'"[^"\n]*"|\b\d[\w.]*\b', code)]
                 out += [(m["fqn"], s["ordinal"], "FIELD_REF", w[1], w[0], *place(begin + w.start())) for w in re.finditer(r"\bthis\.(\w+)\b(?!\s*\()", code)]
                 if s["kind"] in ("IF", "FOR", "WHILE", "FOREACH", "SWITCH"):
                     out.append((m["fqn"], s["ordinal"], "BRANCH_PREDICATE", None, text[begin : s["end"]].strip(), *place(begin)))
@@ -452,12 +465,15 @@ def oracles_table(files: DataFrame) -> DataFrame:
     from ..schema import ORACLE_PRIORITY
 
     schema = "test string, kind string, expected string, expr string, type string, match_kind string, message string, flag boolean, priority int"
-    return _table(files, schema, lambda file, text, mask, ms: [(m["fqn"], o["kind"], o["expected"], o["expr"], o["type"], o["match_kind"], o["message"], o["flag"], ORACLE_PRIORITY.index(o["kind"])) for m in ms for o in oracles(text, mask, m)])
+    return _table(files, schema, lambda file, text, mask,
+        ms: [(m["fqn"], o["kind"], o["expected"], o["expr"], o["type"], o["match_kind"], o["message"], o["flag"],
+        ORACLE_PRIORITY.index(o["kind"])) for m in ms for o in oracles(text, mask, m)])
 
 
 def usages_table(files: DataFrame, callee: str) -> DataFrame:
     """(consumer, kind, field) of the results of calls of a name."""
-    return _table(files, "consumer string, kind string, field string", lambda file, text, mask, ms: [(m["fqn"], k, f) for m in ms for k, f in usages(text, mask, m, callee)])
+    return _table(files, "consumer string, kind string, field string", lambda file, text, mask,
+        ms: [(m["fqn"], k, f) for m in ms for k, f in usages(text, mask, m, callee)])
 
 
 def catches_table(files: DataFrame, callee: str) -> DataFrame:
@@ -478,7 +494,8 @@ def arguments_table(files: DataFrame, callee: str) -> DataFrame:
             chain = [(text, mask, c) for c in ms if c is not m and any(x["name"] == m["name"] for x in calls(text, mask, c["open"], c["end"]))][:1]
             for c in calls(text, mask, m["open"], m["end"]):
                 if c["name"] == callee:
-                    out += [(m["fqn"], text.count("\n", 0, c["start"]) + 1, i, a, origin(a, m["params"], locals_, loops), *resolve(a, text, mask, m, chain, c["start"])) for i, a in enumerate(c["args"])]
+                    out += [(m["fqn"], text.count("\n", 0, c["start"]) + 1, i, a, origin(a, m["params"], locals_, loops),
+                        *resolve(a, text, mask, m, chain, c["start"])) for i, a in enumerate(c["args"])]
         return out
 
     return _table(files, schema, rows)
@@ -584,6 +601,7 @@ def bodies_table(files: DataFrame, callee: str) -> DataFrame:
     """(method, consumer_body, test_region) of methods that call a name."""
 
     def rows(file, text, mask, ms):
-        return [(m["fqn"], consumer_body(text, m["name"], callee), test_region(text, m["name"])) for m in ms if any(c["name"] == callee for c in calls(text, mask, m["open"], m["end"]))]
+        return [(m["fqn"], consumer_body(text, m["name"], callee),
+            test_region(text, m["name"])) for m in ms if any(c["name"] == callee for c in calls(text, mask, m["open"], m["end"]))]
 
     return _table(files, "method string, consumer_body string, test_region string", rows)

@@ -14,9 +14,12 @@ CASE = "_classname string, _name string, failure array<struct<_VALUE:string,_typ
 
 def execution(spark: SparkSession, path) -> DataFrame:
     """(package, file, line, mi, ci, mb, cb, report) of every line of a coverage report."""
-    rows = spark.read.schema(EXECUTION).option("rowTag", "package").xml(path).select(F.translate("_name", "/", ".").alias("package"), F.explode("sourcefile").alias("s"), F.input_file_name().alias("report"))
+    rows = spark.read.schema(EXECUTION).option("rowTag", "package").xml(path).select(F.translate("_name", "/",
+        ".").alias("package"), F.explode("sourcefile").alias("s"), F.input_file_name().alias("report"))
     rows = rows.select("package", F.col("s._name").alias("name"), F.explode("s.line").alias("l"), "report")
-    return rows.select("package", F.concat(F.translate("package", ".", "/"), F.lit("/"), F.col("name")).alias("file"), F.col("l._nr").alias("line"), *[F.coalesce(F.col(f"l._{c}"), F.lit(0)).alias(c) for c in ("mi", "ci", "mb", "cb")], "report")
+    return rows.select("package", F.concat(F.translate("package", ".", "/"), F.lit("/"), F.col("name")).alias("file"),
+        F.col("l._nr").alias("line"), *[F.coalesce(F.col(f"l._{c}"), F.lit(0)).alias(c) for c in ("mi", "ci", "mb", "cb")],
+        "report")
 
 
 def executed(lines: DataFrame) -> DataFrame:
@@ -45,19 +48,23 @@ def coverage_from_execution(lines: DataFrame, spans: DataFrame) -> DataFrame:
 def mutants(spark: SparkSession, path) -> DataFrame:
     """(method, line, detected, test) of every mutant."""
     rows = spark.read.schema(MUTANT).option("rowTag", "mutation").xml(path)
-    return rows.select(F.concat_ws(".", "mutatedClass", "mutatedMethod").alias("method"), F.col("lineNumber").alias("line"), (F.lower("_detected") == "true").alias("detected"), F.regexp_replace(F.coalesce("killingTest", F.lit("")), r"\(.*\)$|\[.*$", "").alias("test"))
+    return rows.select(F.concat_ws(".", "mutatedClass", "mutatedMethod").alias("method"), F.col("lineNumber").alias("line"),
+        (F.lower("_detected") == "true").alias("detected"), F.regexp_replace(F.coalesce("killingTest", F.lit("")), r"\(.*\)$|\[.*$",
+        "").alias("test"))
 
 
 def test_cases(spark: SparkSession, path) -> DataFrame:
     """(test, ok, exc_type, message, trace) of every case that ran; of several failures the first text counts."""
     rows = spark.read.schema(CASE).option("rowTag", "testcase").xml(path).where("skipped is null")
     bad = F.coalesce(F.col("failure")[0], F.col("error")[0])
-    return rows.select(F.concat_ws(".", "_classname", "_name").alias("test"), bad.isNull().alias("ok"), bad["_type"].alias("exc_type"), bad["_message"].alias("message"), bad["_VALUE"].alias("trace"))
+    return rows.select(F.concat_ws(".", "_classname", "_name").alias("test"), bad.isNull().alias("ok"),
+        bad["_type"].alias("exc_type"), bad["_message"].alias("message"), bad["_VALUE"].alias("trace"))
 
 
 def failures(cases: DataFrame, width: int = 300) -> DataFrame:
     """(test, type, message) of failed cases, messages cut, in order."""
-    return cases.where("not ok").select("test", F.col("exc_type").alias("type"), F.substring(F.coalesce("message", F.lit("")), 1, width).alias("message")).orderBy("test")
+    return cases.where("not ok").select("test", F.col("exc_type").alias("type"),
+        F.substring(F.coalesce("message", F.lit("")), 1, width).alias("message")).orderBy("test")
 
 
 def slashed_class(column: str):

@@ -26,7 +26,8 @@ def read_sources(spark: SparkSession, path: str, glob: str = "*.java") -> DataFr
     """(file, content) below a folder; file is relative to it."""
     root = "/" + path.removeprefix("file:").strip("/") + "/" if "://" not in path or path.startswith("file:") else path.rstrip("/") + "/"
     rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path, wholetext=True)
-    return staged(rows.select(F.substring_index(F.col("_metadata.file_path"), root, -1).alias("path"), F.col("value").alias("content"))).withColumnRenamed("path", "file")
+    return staged(rows.select(F.substring_index(F.col("_metadata.file_path"), root, -1).alias("path"),
+        F.col("value").alias("content"))).withColumnRenamed("path", "file")
 
 
 def fragment(source_lines: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -76,7 +77,8 @@ def deleted_lines(diff: DataFrame) -> DataFrame:
     order = Window.partitionBy(*keys).orderBy("n") if keys else Window.orderBy("n")
     so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = diff.withColumns({"name": new_name("value"), "start": old_start("value")})
-    rows = rows.withColumns({"file": F.last("name", ignorenulls=True).over(so_far), "hunk": F.sum(F.when(F.col("start").isNotNull() | F.col("name").isNotNull(), 1).otherwise(0)).over(so_far)})
+    rows = rows.withColumns({"file": F.last("name", ignorenulls=True).over(so_far),
+        "hunk": F.sum(F.when(F.col("start").isNotNull() | F.col("name").isNotNull(), 1).otherwise(0)).over(so_far)})
     v = F.col("value")
     gone = v.startswith("-") & ~v.startswith("---")
     added = v.startswith("+") & ~v.startswith("+++")
@@ -84,7 +86,8 @@ def deleted_lines(diff: DataFrame) -> DataFrame:
     rows = rows.withColumns({"gone": body & gone, "moves": body & (gone | (~added & ~v.startswith("\\") & ~v.startswith("---")))})
     inside = Window.partitionBy(*keys, "hunk").orderBy("n")
     before = F.coalesce(F.sum(F.col("moves").cast("int")).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = rows.withColumns({"anchor": F.first("start", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)), "before": before})
+    rows = rows.withColumns({"anchor": F.first("start", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding,
+        Window.currentRow)), "before": before})
     hunks = rows.where("file is not null and anchor is not null")
     lines_gone = hunks.where("gone").select(*keys, "file", (F.col("anchor") + F.col("before")).alias("line"))
     pure = hunks.groupBy(*keys, "file", "hunk").agg(F.max("anchor").alias("line"), F.max("gone").alias("any")).where("not any").select(*keys, "file", "line")
@@ -121,14 +124,16 @@ def frames(traces: DataFrame) -> DataFrame:
     headed = (kind != "") & ~F.contains(kind, F.lit(" "))
     message = F.ltrim(F.substring(body, F.length(kind) + 2, F.length(body)))
     rows = rows.withColumns({"kind": kind, "message": message})
-    first = ~F.col("is_frame") & headed & (F.coalesce(F.sum(F.when(~F.col("is_frame") & headed, 1)).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) == 0)
+    first = ~F.col("is_frame") & headed & (F.coalesce(F.sum(F.when(~F.col("is_frame") & headed,
+        1)).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) == 0)
     rows = rows.withColumn("header", first | (~F.col("is_frame") & headed & deeper))
     so_far = by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     head = F.last(F.when(F.col("header"), F.struct("kind", "message")), ignorenulls=True).over(so_far)
     rows = rows.withColumns({"cause_ix": F.sum(F.col("header").cast("int")).over(so_far) - 1, "head": head}).where("is_frame and cause_ix >= 0")
     ix = F.row_number().over(Window.partitionBy("trace_id", "cause_ix").orderBy("n")) - 1
     line = F.coalesce(F.when(F.contains("place", F.lit(":")), F.substring_index("place", ":", -1)).try_cast("int"), F.lit(-1))
-    return rows.select("trace_id", F.col("cause_ix").cast("int").alias("cause_ix"), F.col("head.kind").alias("exc_type"), "head.message", ix.alias("frame_ix"), "cls", "method", F.substring_index("place", ":", 1).alias("file"), line.alias("line"))
+    return rows.select("trace_id", F.col("cause_ix").cast("int").alias("cause_ix"), F.col("head.kind").alias("exc_type"),
+        "head.message", ix.alias("frame_ix"), "cls", "method", F.substring_index("place", ":", 1).alias("file"), line.alias("line"))
 
 
 def root_causes(all_frames: DataFrame, package: str) -> DataFrame:
@@ -159,7 +164,9 @@ def strip_sections(document: DataFrame, drop: str) -> DataFrame:
     opened = F.last(F.when(F.col("hit"), F.struct("part", "level")), ignorenulls=True).over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     heads = heads.withColumn("open", opened)
     shut = heads.select(F.col("part").alias("p2"), F.col("level").alias("l2"))
-    ended = heads.join(shut, (F.col("p2") > F.col("open.part")) & (F.col("p2") <= F.col("part")) & (F.col("l2") <= F.col("open.level")), "left").groupBy("part").agg(F.first("open").alias("open"), F.count("p2").alias("n_shut"))
+    ended = heads.join(shut,
+        (F.col("p2") > F.col("open.part")) & (F.col("p2") <= F.col("part")) & (F.col("l2") <= F.col("open.level")),
+        "left").groupBy("part").agg(F.first("open").alias("open"), F.count("p2").alias("n_shut"))
     gone = ended.where("open is not null and n_shut = 0").select("part")
     kept = rows.join(gone, "part", "left_anti")
     blank = F.trim("text") == ""
