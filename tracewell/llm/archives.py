@@ -41,12 +41,14 @@ def classify(pages: DataFrame, least: int = 1000) -> DataFrame:
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     facts = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), payload.alias("html"))
     facts = facts.withColumns({"bytes": F.octet_length("html").cast("long"), "digest": F.sha1("html")})
-    several = facts.where(F.col("bytes") >= least).groupBy("digest").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).where("n > 1 and response is not null")
+    several = facts.where(F.col("bytes") >= least).groupBy("digest").agg(F.max("page_id").alias("response"),
+        F.count("*").alias("n")).where("n > 1 and response is not null")
     several = materialize(several.select("digest", "response", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")), "digests")
     salted = facts.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
     joined = salted.join(several, ["digest", "salt"], "left")
     refers = F.when(F.col("response").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response")), F.col("response"))
-    return joined.select("page_id", "url", "html", "bytes", "digest", F.when(refers.isNotNull(), "revisit").otherwise("response").alias("record_type"), refers.alias("refers_to"))
+    return joined.select("page_id", "url", "html", "bytes", "digest",
+        F.when(refers.isNotNull(), "revisit").otherwise("response").alias("record_type"), refers.alias("refers_to"))
 
 
 def page_name(page_id) -> str:
@@ -57,7 +59,8 @@ def page_name(page_id) -> str:
 def described(bundle: str) -> bytes:
     """The record that starts a bundle."""
     block = b"software: seekable Zstandard bundles\r\nformat: WARC File Format 1.1\r\n"
-    fields = [("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:bundle:{bundle}>"), ("WARC-Date", DATE), ("Content-Type", "application/warc-fields"), ("Content-Length", str(len(block)))]
+    fields = [("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:bundle:{bundle}>"), ("WARC-Date", DATE),
+        ("Content-Type", "application/warc-fields"), ("Content-Length", str(len(block)))]
     return "\r\n".join([VERSION, *(f"{k}: {v}" for k, v in fields)]).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -66,7 +69,9 @@ def record(name: str, url: str, html: bytes, n: int, digest: str, kind: str, ref
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {n}\r\n\r\n".encode()
     block = head if kind == "revisit" else head + html
     target = url.replace("\r", "%0D").replace("\n", "%0A")
-    fields = [("WARC-Type", kind), ("WARC-Record-ID", f"<{name}>"), ("WARC-Date", DATE), ("WARC-Target-URI", target), ("WARC-Payload-Digest", f"sha1:{digest}"), ("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))]
+    fields = [("WARC-Type", kind), ("WARC-Record-ID", f"<{name}>"), ("WARC-Date", DATE), ("WARC-Target-URI", target),
+        ("WARC-Payload-Digest", f"sha1:{digest}"), ("Content-Type", "application/http; msgtype=response"),
+        ("Content-Length", str(len(block)))]
     if kind == "revisit":
         fields[4:4] = [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", f"<{page_name(refers_to)}>")]
     return "\r\n".join([VERSION, *(f"{k}: {v}" for k, v in fields)]).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + block + b"\r\n\r\n"
@@ -221,11 +226,14 @@ def read(index: DataFrame) -> DataFrame:
                     if fields["WARC-Type"] == "response" and (len(payload), hashlib.sha1(payload).hexdigest()) != (n, stated):
                         raise ValueError(f"damaged record {fields['WARC-Record-ID']}")
                     ref = fields.get("WARC-Refers-To")
-                    out.append((number(fields["WARC-Record-ID"]), fields["WARC-Target-URI"], payload if fields["WARC-Type"] == "response" else None, n, stated, fields["WARC-Type"], number(ref) if ref else None))
+                    out.append((number(fields["WARC-Record-ID"]), fields["WARC-Target-URI"],
+                        payload if fields["WARC-Type"] == "response" else None, n, stated, fields["WARC-Type"],
+                        number(ref) if ref else None))
                 if len(out) != row["records"]:
                     raise ValueError(f"frame {row['frame']} of {row['bundle']} has {len(out)} records, not {row['records']}")
                 columns = list(zip(*out))
                 kinds = (pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["page_id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)],
+                    names=["page_id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
     return frames.mapInArrow(records, "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long")

@@ -53,7 +53,8 @@ class Seeds:
         self.tables = []
         for k, mask in enumerate(self.masks):
             whole = k >= len(MASKS)
-            found = [(self.hash(w, mask)[:1] if whole else self.hash(w, mask), i) for i, (_, w) in enumerate(self.words) if (len(w) == len(mask) if whole else len(w) > mask[-1])]
+            found = [(self.hash(w, mask)[:1] if whole else self.hash(w, mask), i) for i,
+                (_, w) in enumerate(self.words) if (len(w) == len(mask) if whole else len(w) > mask[-1])]
             h = np.concatenate([x for x, _ in found]) if found else np.zeros(0, "uint64")
             item = np.repeat([i for _, i in found], [len(x) for x, _ in found]).astype("int64") if found else np.zeros(0, "int64")
             at = np.concatenate([np.arange(len(x)) for x, _ in found]) if found else np.zeros(0, "int64")
@@ -206,8 +207,10 @@ def _joined(plain: DataFrame, items: DataFrame, least: int, similarity: float) -
     own = materialize(seeds_of(keyed, lengths, True), "seeds")
     docs = plain.withColumn("th", F.xxhash64("text"))
     theirs = seeds_of(docs, lengths, False, _seed_table(own))
-    met = materialize(theirs.withColumnRenamed("th", "doc_th").join(own.withColumnRenamed("th", "item_th"), "seed").select("doc_th", "item_th").distinct(), "met")
-    pairs = met.join(keyed.select(F.col("th").alias("item_th"), "item_id", F.col("text").alias("item")), "item_th").select(F.col("doc_th").alias("th"), "item_id", "item")
+    met = materialize(theirs.withColumnRenamed("th", "doc_th").join(own.withColumnRenamed("th", "item_th"), "seed").select("doc_th",
+        "item_th").distinct(), "met")
+    pairs = met.join(keyed.select(F.col("th").alias("item_th"), "item_id", F.col("text").alias("item")),
+        "item_th").select(F.col("doc_th").alias("th"), "item_id", "item")
 
     def verify(batches) -> Iterator:
         for batch in batches:

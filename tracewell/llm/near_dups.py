@@ -61,7 +61,8 @@ def document_frequencies(docs: DataFrame) -> SharedBytes:
             for at, v in [(-1, np.array([n], "uint32")), *((i // SLICE, total[i : i + SLICE]) for i in range(0, BUCKETS, SLICE))]:
                 if v.any():
                     wide = v.astype("uint64")
-                    yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([sub], pa.int32()), pa.array([packed(wide)], pa.binary())], names=["at", "sub", "v"])
+                    yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([sub], pa.int32()),
+                        pa.array([packed(wide)], pa.binary())], names=["at", "sub", "v"])
 
     parts = docs.select(text_or_empty().alias("text")).mapInArrow(counts, "at int, sub int, v binary")
     sums = materialize(sum_vectors(parts, "<u8", small=True), "frequencies")
@@ -114,7 +115,8 @@ def sketch(docs: DataFrame, table: SharedBytes, bands: int, rows: int) -> DataFr
                     for j in range(rows):
                         key = mix(key * np.uint64(0x9E3779B97F4A7C15) + s[:, j])
                 own.append(key.view("int64") if len(e) else key[:0].view("int64"))
-            columns = [batch.column(0), *(pa.array([x[i] for x in prints], pa.int64()) for i in (0, 1)), pa.array(sizes, pa.int32()), pa.array(own, pa.list_(pa.int64()))]
+            columns = [batch.column(0), *(pa.array([x[i] for x in prints], pa.int64()) for i in (0, 1)),
+                pa.array(sizes, pa.int32()), pa.array(own, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "f1", "f2", "n", "keys"])
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
@@ -152,7 +154,8 @@ def profiles(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     e, tf = elements(shingles(words))
                     rows.append((node, e.tobytes(), tf.tobytes()))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary()))], names=["node", "e", "tf"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c,
+                    k in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary()))], names=["node", "e", "tf"])
 
     bodies = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).join(wanted.hint("merge"), "doc_id")
     return bodies.select("node", "f1", "f2", "text").mapInArrow(make, "node long, e binary, tf binary")
@@ -212,9 +215,11 @@ def block_links(members: DataFrame, bodies: DataFrame, settled: DataFrame, table
     mixed = held.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
     blocks = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("size") * EACH / BLOCK_BYTES)).cast("int")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = held.join(mixed, "key").withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = held.join(mixed, "key").withColumn("blocks", blocks).withColumn("own", own).withColumn("other",
+        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = dealt.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "component", "node").join(bodies, "node")
-    cells = cells.select("key", "lo", "hi", "own", "component", "node", "e", "tf").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node")
+    cells = cells.select("key", "lo", "hi", "own", "component", "node", "e", "tf").repartition("key", "lo",
+        "hi").sortWithinPartitions("key", "lo", "hi", "node")
 
     def compare(batches) -> Iterator:
         name, rows = None, []
@@ -278,7 +283,8 @@ def classes(docs: DataFrame, threshold: float = 0.8, bands: int = 12, rows: int
     spark = configure(docs.sparkSession)
     table = document_frequencies(docs)
     sketches = materialize(sketch(docs, table, bands, rows), "sketches")
-    merged = sketches.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    merged = sketches.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"), F.first("n").alias("n"),
+        F.first("keys").alias("keys"))
     texts = materialize(merged.withColumn("node", F.monotonically_increasing_id()), "texts")
     members = candidates(texts)
     wanted = materialize(members.select("node").distinct().join(texts.select("node", F.col("rep").alias("doc_id"), "f1", "f2"), "node"), "wanted")

@@ -3,23 +3,34 @@
 ASCII = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 OP4 = f"""
-WITH RECURSIVE u AS (SELECT page_id, url, translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's'), {ASCII}) AS host, regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path,
+WITH RECURSIVE u AS (SELECT page_id, url, translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's'),
+  {ASCII}) AS host, regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path,
   regexp_extract(coalesce(url, ''), '://[^?#]*\\?([^#]*)', 1, 's') AS qs FROM pages),
-t AS (SELECT DISTINCT url, unnest(list_concat(list_transform(string_split(host, '.'), lambda x: 'h:' || x), list_transform(string_split(path, '/'), lambda x: 'p:' || translate(x, {ASCII})), list_transform(string_split(qs, '&'), lambda x: 'q:' || string_split(x, '=')[1]))) AS tok FROM u WHERE url IS NOT NULL),
+t AS (SELECT DISTINCT url, unnest(list_concat(list_transform(string_split(host, '.'), lambda x: 'h:' || x),
+  list_transform(string_split(path, '/'), lambda x: 'p:' || translate(x,
+  {ASCII})), list_transform(string_split(qs, '&'), lambda x: 'q:' || string_split(x, '=')[1]))) AS tok FROM u WHERE url IS NOT NULL),
 tok AS (SELECT url, tok FROM t WHERE length(tok) > 2),
 bag AS (SELECT url, list_sort(list(tok)) AS ts FROM tok GROUP BY url),
-train AS (SELECT row_number() OVER () AS id, bag.ts, l.quality = 0 AS bad FROM labels l JOIN pages p ON p.page_id = l.doc_id JOIN bag ON bag.url = p.url WHERE l.quality IS NOT NULL),
-rate AS (SELECT count(*) FILTER (WHERE bad) AS bad, count(*) AS n, greatest(3, CAST(ceil(0.0005 * count(*) FILTER (WHERE bad)) AS BIGINT)) AS least FROM train),
+train AS (SELECT row_number() OVER () AS id, bag.ts, l.quality = 0 AS bad FROM labels l JOIN pages p ON p.page_id = l.doc_id
+  JOIN bag ON bag.url = p.url WHERE l.quality IS NOT NULL),
+rate AS (SELECT count(*) FILTER (WHERE bad) AS bad, count(*) AS n, greatest(3,
+  CAST(ceil(0.0005 * count(*) FILTER (WHERE bad)) AS BIGINT)) AS least FROM train),
 s(id, ts, chosen, last) AS (SELECT id, ts, CAST([] AS VARCHAR[]), 0 FROM train WHERE bad UNION ALL
   SELECT id, ts, list_append(chosen, ts[j]), j FROM (SELECT id, ts, chosen, unnest(generate_series(last + 1, len(ts))) AS j FROM s)),
 sets AS (SELECT chosen, count(*) AS bad FROM s WHERE len(chosen) > 0 GROUP BY chosen HAVING count(*) >= (SELECT least FROM rate)),
-held AS (SELECT chosen, any_value(sets.bad) AS k, CAST(count(*) AS DOUBLE) AS n FROM sets JOIN train ON list_has_all(train.ts, sets.chosen) GROUP BY chosen),
+held AS (SELECT chosen, any_value(sets.bad) AS k, CAST(count(*) AS DOUBLE) AS n FROM sets
+  JOIN train ON list_has_all(train.ts, sets.chosen) GROUP BY chosen),
 rules AS (SELECT chosen, k / n AS conf FROM held WHERE k / n >= 0.5
-  AND round((k / n + 1.96 * 1.96 / (2 * n) - 1.96 * sqrt(k / n * (1 - k / n) / n + 1.96 * 1.96 / (4 * n * n))) / (1 + 1.96 * 1.96 / n), 12) > (SELECT round(bad / CAST(n AS DOUBLE), 12) FROM rate)),
+  AND round((k / n + 1.96 * 1.96 / (2 * n) - 1.96 * sqrt(k / n * (1 - k / n) / n + 1.96 * 1.96 / (4 * n * n))) / (1 + 1.96 * 1.96 / n),
+  12) > (SELECT round(bad / CAST(n AS DOUBLE), 12) FROM rate)),
 f AS (SELECT bag.url, max(conf) AS conf FROM bag JOIN rules ON list_has_all(bag.ts, rules.chosen) GROUP BY bag.url),
-g(verdict, h, p) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
-b AS (SELECT host, path, max_by(h || p, length(h || p)) AS rule, max_by(verdict, length(h || p)) AS verdict FROM (SELECT DISTINCT host, path FROM u) x JOIN g ON (x.host = g.h OR ends_with(x.host, '.' || g.h)) AND starts_with(x.path, g.p) GROUP BY host, path)
-SELECT u.page_id, u.host, u.path, b.rule, coalesce(b.verdict, CASE WHEN f.conf IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict, CASE WHEN b.rule IS NULL THEN f.conf END AS confidence
+g(verdict, h, p) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow',
+  'com', '/fr/'), ('block', 'com', '/de/')),
+b AS (SELECT host, path, max_by(h || p, length(h || p)) AS rule, max_by(verdict, length(h || p)) AS verdict
+  FROM (SELECT DISTINCT host, path FROM u) x JOIN g ON (x.host = g.h OR ends_with(x.host, '.' || g.h)) AND starts_with(x.path, g.p)
+  GROUP BY host, path)
+SELECT u.page_id, u.host, u.path, b.rule, coalesce(b.verdict,
+  CASE WHEN f.conf IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict, CASE WHEN b.rule IS NULL THEN f.conf END AS confidence
 FROM u LEFT JOIN b ON b.host = u.host AND b.path = u.path LEFT JOIN f ON f.url = u.url
 """
 
@@ -35,8 +46,10 @@ FROM r LEFT JOIN m ON r.digest = m.digest AND r.n >= 1000
 
 OP9 = """
 WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
-u AS (SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
-l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+u AS (SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e,
+  lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
 r(vec_id, c) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.vec_id, l.b FROM r JOIN l ON l.a = r.c),
 c AS (SELECT vec_id, min(c) AS component_id FROM r GROUP BY vec_id), n AS (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY a)
 SELECT c.vec_id, coalesce(n.n_links, 0) AS n_links, c.component_id, c.vec_id = c.component_id AS kept FROM c LEFT JOIN n ON n.vec_id = c.vec_id
@@ -51,8 +64,11 @@ i AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY
 k AS (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM i),
 r AS (SELECT doc_id, run, min(p) AS a, max(p) + 50 AS b FROM k GROUP BY doc_id, run),
 q AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM r),
-c AS (SELECT q.doc_id, string_agg(substr(hx, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head, max(b) AS b, sum(b - a) AS n_removed, count(*) AS n_spans FROM q JOIN d ON d.doc_id = q.doc_id GROUP BY q.doc_id)
-SELECT d.doc_id, d.n AS n_bytes, CAST(coalesce(c.n_removed, 0) AS BIGINT) AS n_removed, coalesce(c.n_spans, 0) AS n_spans, sha256(unhex(coalesce(c.head, '') || substr(d.hx, 2 * coalesce(c.b, 0) + 1))) AS kept_sha256
+c AS (SELECT q.doc_id, string_agg(substr(hx, 2 * before + 1, 2 * (a - before)), ''
+  ORDER BY a) AS head, max(b) AS b, sum(b - a) AS n_removed, count(*) AS n_spans FROM q JOIN d ON d.doc_id = q.doc_id
+  GROUP BY q.doc_id)
+SELECT d.doc_id, d.n AS n_bytes, CAST(coalesce(c.n_removed, 0) AS BIGINT) AS n_removed, coalesce(c.n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(c.head, '') || substr(d.hx, 2 * coalesce(c.b, 0) + 1))) AS kept_sha256
 FROM d LEFT JOIN c ON c.doc_id = d.doc_id
 """
 

@@ -222,7 +222,9 @@ def deal(pieces: DataFrame, solution: Solution) -> DataFrame:
         first += times
     table = {n: tuple(np.array(x, dtype="int64") for x in zip(*rows)) for n, rows in slots.items()}
     counts = pieces.groupBy("part", "length").count()
-    base = counts.select("part", "length", F.coalesce(F.sum("count").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    base = counts.select("part", "length",
+        F.coalesce(F.sum("count").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)),
+        F.lit(0)).alias("base"))
     names = [c for c in pieces.columns if c not in ("part", "place")]
     ranked = pieces.join(base, ["part", "length"]).select(*names, (F.col("base") + F.col("place")).alias("rank"))
 

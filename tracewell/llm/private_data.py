@@ -70,7 +70,8 @@ def find(text: Column, pattern: str, kind: str, valid=None) -> Column:
         start = acc["at"] + F.length(x["gap"])
         end = start + F.length(x["hit"])
         around = (F.right(x["gap"], F.lit(AROUND)).alias("before"), F.left(F.coalesce(x["next"], F.lit("")), F.lit(2)).alias("after"))
-        span = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), x["hit"].alias("value"), *around)
+        span = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"),
+            x["hit"].alias("value"), *around)
         out = F.concat(acc["out"], F.array(span).cast(SPAN))
         if valid is not None:
             out = F.when(valid(x["hit"]), out).otherwise(acc["out"])
@@ -128,7 +129,9 @@ def candidates(text: Column, taken: Column) -> Column:
 
 def form(value: Column) -> Column:
     """0 for a digit run, 1 for parted digits, 2 for an account number, 3 for hexadecimal, 4 for a mixed key."""
-    return F.when(value.rlike("^[0-9]+$"), 0).when(value.rlike(r"^[0-9][0-9\x20.-]*$"), 1).when(value.rlike(r"^[A-Z]{2}[0-9]{2}[0-9A-Z\x20]+$") & (F.length(value) < 43), 2).when(value.rlike("^[0-9A-Fa-f]+$"), 3).otherwise(4)
+    return F.when(value.rlike("^[0-9]+$"), 0).when(value.rlike(r"^[0-9][0-9\x20.-]*$"),
+        1).when(value.rlike(r"^[A-Z]{2}[0-9]{2}[0-9A-Z\x20]+$") & (F.length(value) < 43), 2).when(value.rlike("^[0-9A-Fa-f]+$"),
+        3).otherwise(4)
 
 
 def features(c: Column) -> Column:
@@ -158,7 +161,8 @@ def expectation_maximisation(counts: dict[tuple[int, int, int], float], rounds:
         yes = sum(n * posterior[v] for v, n in counts.items()) + 1
         no = sum(n * (1 - posterior[v]) for v, n in counts.items()) + 1
         prior = yes / (yes + no)
-        rates = [((sum(n * posterior[v] for v, n in counts.items() if v[i]) + 0.5) / yes, (sum(n * (1 - posterior[v]) for v, n in counts.items() if v[i]) + 0.5) / no) for i in range(3)]
+        rates = [((sum(n * posterior[v] for v, n in counts.items() if v[i]) + 0.5) / yes,
+            (sum(n * (1 - posterior[v]) for v, n in counts.items() if v[i]) + 0.5) / no) for i in range(3)]
         rates = [(min(max(a, 0.01), 0.99), min(max(b, 0.01), 0.99)) for a, b in rates]
         for v in counts:
             odds = math.log(prior / (1 - prior)) + sum(math.log(a / b) if x else math.log((1 - a) / (1 - b)) for x, (a, b) in zip(v, rates))
@@ -199,7 +203,8 @@ def _score(model: dict, f: Column) -> Column:
 def _with_spans(rows: DataFrame, model: dict) -> DataFrame:
     """Adds `base` and `spans`, arrays of the structs of find(), to rows with `body`."""
     text = F.col("body")
-    rows = rows.withColumn("base", base(text)).withColumn("more", F.transform(candidates(text, F.col("base")), lambda c: F.struct(c.alias("c"), features(c).alias("f"))))
+    rows = rows.withColumn("base", base(text)).withColumn("more",
+        F.transform(candidates(text, F.col("base")), lambda c: F.struct(c.alias("c"), features(c).alias("f"))))
 
     def named(m):
         number = m["f"]["form"] < 3
@@ -231,10 +236,14 @@ def redact(docs: DataFrame) -> DataFrame:
 
     def step(acc, s):
         gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        return F.when(s["start"] < acc["at"], F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))).otherwise(F.struct(s["end"].alias("at"), F.concat(acc["out"], F.array(gap, F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))).alias("out")))
+        return F.when(s["start"] < acc["at"], F.struct(F.greatest(acc["at"], s["end"]).alias("at"),
+            acc["out"].alias("out"))).otherwise(F.struct(s["end"].alias("at"),
+            F.concat(acc["out"], F.array(gap, F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))).alias("out")))
 
-    done = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")), step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
+    done = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")), step,
+        lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
     any_ = F.size("spans") > 0
     cleaned = rows.withColumn("clean", F.when(any_, done).otherwise(F.col("row.text")))
-    new = {"text": F.col("clean"), "n_chars": F.when(any_, F.length("clean").cast("long")).otherwise(F.col("row.n_chars") if "n_chars" in docs.columns else F.lit(None))}
+    new = {"text": F.col("clean"), "n_chars": F.when(any_,
+        F.length("clean").cast("long")).otherwise(F.col("row.n_chars") if "n_chars" in docs.columns else F.lit(None))}
     return cleaned.select(*[(new[c] if c in new else F.col("row").getField(c)).alias(c) for c in docs.columns])

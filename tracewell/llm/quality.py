@@ -108,7 +108,8 @@ def _rows_of(matrix):
 
     sub = TaskContext.get().partitionId() % SUBS
     n = len(matrix)
-    return pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array([sub] * n, pa.int32()), pa.array([r.tobytes() for r in matrix], pa.binary())], names=["at", "sub", "v"])
+    return pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array([sub] * n, pa.int32()),
+        pa.array([r.tobytes() for r in matrix], pa.binary())], names=["at", "sub", "v"])
 
 
 PART = "at int, sub int, v binary"

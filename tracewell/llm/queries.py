@@ -49,7 +49,9 @@ def op6_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in all documents."""
     found = private_data.spans(table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", *map(count, private_data.KINDS[:4]), F.sha2(private_data.listed("base").cast("binary"), 256).alias("base_sha256"), private_data.listed("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"))
+    return found.select("doc_id", *map(count, private_data.KINDS[:4]),
+        F.sha2(private_data.listed("base").cast("binary"), 256).alias("base_sha256"), private_data.listed("spans").alias("spans"),
+        F.size("spans").cast("long").alias("n_spans"))
 
 
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

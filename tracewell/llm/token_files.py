@@ -157,7 +157,8 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 2, length: int = 1024,
                 writer.add(doc_id, encoder.encode(text.as_py()) + end)
         if writer:
             writer.close()
-            yield pa.RecordBatch.from_pylist([{"part": part, "path": uri, "documents": writer.documents, "tokens": writer.tokens}], schema=pa.schema([("part", pa.int32()), ("path", pa.string()), ("documents", pa.int64()), ("tokens", pa.int64())]))
+            yield pa.RecordBatch.from_pylist([{"part": part, "path": uri, "documents": writer.documents, "tokens": writer.tokens}],
+                schema=pa.schema([("part", pa.int32()), ("path", pa.string()), ("documents", pa.int64()), ("tokens", pa.int64())]))
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), F.monotonically_increasing_id().alias("at"))
     parts = max(1, plain.rdd.getNumPartitions())
@@ -180,7 +181,8 @@ def read(manifest: DataFrame) -> DataFrame:
                     for at in range(0, places.num_rows, 200):
                         some = places.slice(at, 200)
                         ids = [reader.tokens(s, n) for s, n in zip(some.column(1).to_pylist(), some.column(2).to_pylist())]
-                        yield pa.RecordBatch.from_arrays([some.column(0), pa.compute.add(some.column(1), row["base"]), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())], names=["doc_id", "start", "ids"])
+                        yield pa.RecordBatch.from_arrays([some.column(0), pa.compute.add(some.column(1), row["base"]),
+                            pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())], names=["doc_id", "start", "ids"])
 
     n = max(1, min(manifest.count(), 100_000))
     return starts.repartitionByRange(n, "part").mapInArrow(documents, "doc_id long, start long, ids binary")

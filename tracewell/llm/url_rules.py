@@ -96,10 +96,12 @@ def mine(labelled: DataFrame, least: int = 3, share: float = 0.0005, confidence:
     support = max(least, math.ceil(share * bad))
     baskets = known.where("bad > 0").select(F.explode(F.array_repeat("tokens", F.col("bad").cast("int"))).alias("items"))
     sets = FPGrowth(itemsCol="items", minSupport=min(1.0, (support - 0.5) / bad)).fit(baskets).freqItemsets
-    sets = materialize(sets.where(F.col("freq") >= support).select(F.array_sort("items").alias("antecedent"), F.col("freq").alias("bad")).withColumn("rule_id", F.array_join("antecedent", " ")), "item-sets")
+    sets = materialize(sets.where(F.col("freq") >= support).select(F.array_sort("items").alias("antecedent"),
+        F.col("freq").alias("bad")).withColumn("rule_id", F.array_join("antecedent", " ")), "item-sets")
     counts = known.select("n", F.explode("tokens").alias("token")).groupBy("token").agg(F.sum("n").alias("n"))
     index = materialize(keyed(sets, counts), "item-index")
-    held = matches(known.select("tokens", F.col("n").alias("times")), index.select("token", "rule_id", "antecedent")).groupBy("rule_id").agg(F.sum("times").alias("n"))
+    held = matches(known.select("tokens", F.col("n").alias("times")),
+        index.select("token", "rule_id", "antecedent")).groupBy("rule_id").agg(F.sum("times").alias("n"))
     rules = index.join(held, "rule_id").withColumn("confidence", F.col("bad") / F.col("n"))
     fit = (F.col("confidence") >= confidence) & (F.round(lower_bound(F.col("bad"), F.col("n"), z), 12) > F.round(F.lit(bad / total), 12))
     done = materialize(rules.where(fit).select("rule_id", "antecedent", "token", "bad", "n", "confidence"), "rules")
@@ -119,4 +121,5 @@ def judge(pages: DataFrame, labelled: DataFrame, rules: list[tuple[str, str, str
     rows = pages.select("page_id", "url", host().alias("host"), path().alias("path")).withColumn("fit", given_rule(rules, F.col("host"), F.col("path")))
     hits = materialize(fired(rows.where("fit is null").select("url"), mine(labelled, **options)), "fired")
     verdict = F.coalesce("fit.verdict", F.when(F.col("confidence").isNotNull(), "block").otherwise("allow"))
-    return rows.join(hits, "url", "left").select("page_id", "host", "path", F.col("fit.rule").alias("rule"), verdict.alias("verdict"), F.when(F.col("fit").isNull(), F.col("confidence")).alias("confidence"))
+    return rows.join(hits, "url", "left").select("page_id", "host", "path", F.col("fit.rule").alias("rule"),
+        verdict.alias("verdict"), F.when(F.col("fit").isNull(), F.col("confidence")).alias("confidence"))

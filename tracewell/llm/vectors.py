@@ -106,7 +106,8 @@ def keyed_vectors(distinct: DataFrame, bits: int, tables: int, seed: int, width:
                 with np.errstate(over="ignore"):
                     hashed = mix(mix(k + tab[None, :]) ^ group[:, None]).view("int64")
                 columns = [pa.array([x[1] for x in own], pa.int64()), pa.array([x[2] for x in own], pa.int64())]
-                columns += [pa.array([x[3].astype(width).tobytes() for x in own], pa.binary()), pa.array([x.tobytes() for x in k.astype(code)], pa.binary()), pa.array(list(hashed), pa.list_(pa.int64()))]
+                columns += [pa.array([x[3].astype(width).tobytes() for x in own], pa.binary()),
+                    pa.array([x.tobytes() for x in k.astype(code)], pa.binary()), pa.array(list(hashed), pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in KEYED.split(", ")])
 
     return distinct.select("label", "id", "copies", "v").mapInArrow(keys, KEYED)
@@ -114,7 +115,8 @@ def keyed_vectors(distinct: DataFrame, bits: int, tables: int, seed: int, width:
 
 def shared_keys(narrow: DataFrame) -> DataFrame:
     """(key, tab, blocks) of keys that several of rows (id, tab, key) share; of keys with equal members the first table's."""
-    members = narrow.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("s1"), F.bit_xor(F.xxhash64(F.lit(7), "id")).alias("s2"), F.min("tab").alias("tab"))
+    members = narrow.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("s1"),
+        F.bit_xor(F.xxhash64(F.lit(7), "id")).alias("s2"), F.min("tab").alias("tab"))
     once = members.where("n > 1").groupBy("n", "s1", "s2").agg(F.min(F.struct("tab", "key")).alias("x"))
     return once.select("x.key", "x.tab", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
 
@@ -142,7 +144,8 @@ def compared(cells: DataFrame, cosine: float, width: str, bits: int) -> DataFram
             gained = (np.bincount(a, copies[b], len(rows)) + np.bincount(b, copies[a], len(rows))).astype("int64")
             label = grouped(len(rows), a, b)
             some = np.nonzero(gained)[0]
-            return pa.RecordBatch.from_arrays([pa.array(ids[some], pa.int64()), pa.array(gained[some], pa.int64()), pa.array(ids[label[some]], pa.int64())], names=["id", "gained", "other"])
+            return pa.RecordBatch.from_arrays([pa.array(ids[some], pa.int64()), pa.array(gained[some], pa.int64()),
+                pa.array(ids[label[some]], pa.int64())], names=["id", "gained", "other"])
 
         name, held = None, []
         for batch in batches:
@@ -165,10 +168,12 @@ def link(vectors: DataFrame, cosine: float = 0.98, recall: float = 0.9995, seed:
     kind, width = ("float", "<f4") if narrow_type else ("double", "<f8")
     v = F.transform("embedding", lambda x: x.cast(kind))
     number = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    usable = F.col("label").isNotNull() & F.col("vec_id").isNotNull() & F.coalesce(number, F.lit(False)) & F.coalesce(F.exists("embedding", lambda x: x != 0), F.lit(False))
+    usable = F.col("label").isNotNull() & F.col("vec_id").isNotNull() & F.coalesce(number,
+        F.lit(False)) & F.coalesce(F.exists("embedding", lambda x: x != 0), F.lit(False))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), v.alias("v"), usable.alias("usable"))
     usable_rows = rows.where("usable").select("vec_id", "label", "v", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(7), "v").alias("h2"))
-    distinct = materialize(usable_rows.groupBy("label", "h1", "h2").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), F.first("v").alias("v")), "vectors")
+    distinct = materialize(usable_rows.groupBy("label", "h1", "h2").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"),
+        F.first("v").alias("v")), "vectors")
     bits, tables = plan(distinct.count(), cosine, recall)
     keyed = materialize(keyed_vectors(distinct, bits, tables, seed, width), "keyed")
     narrow = keyed.select("id", F.posexplode("keys").alias("tab", "key"))
@@ -181,7 +186,8 @@ def link(vectors: DataFrame, cosine: float = 0.98, recall: float = 0.9995, seed:
     gained = found.groupBy("id").agg(F.sum("gained").alias("gained"))
     parts = components(found.select(F.col("id").alias("a"), F.col("other").alias("b")))
     facts = distinct.join(gained, "id", "left").join(parts.withColumnRenamed("node", "id"), "id", "left")
-    facts = materialize(facts.select("label", "h1", "h2", (F.coalesce("gained", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id")), "facts")
+    facts = materialize(facts.select("label", "h1", "h2", (F.coalesce("gained", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+        F.coalesce("component", "id").alias("component_id")), "facts")
     drop_materialized(spark, distinct, keyed, shared, found)
     linked = usable_rows.select("vec_id", "label", "h1", "h2").join(facts, ["label", "h1", "h2"]).select("vec_id", "n_links", "component_id")
     apart = rows.where("not usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
