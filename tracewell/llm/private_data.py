@@ -4,7 +4,7 @@ Base spans come from fixed patterns and checks. Beyond them, candidate spans tha
 labelers: a regex labeler for strict shapes, a gazetteer labeler for known prefixes and cue words, a context labeler for what
 stands around. Candidates are, of any length,
 
-* hexadecimal runs of 32 or more, and mixed runs of letters, digits, "_" and "-" of 20 or more with upper case, lower case
+* hexadecimal runs of 32 or more with a digit, and mixed runs of letters, digits, "_" and "-" of 20 or more with upper case, lower case
   and digits, as keys and tokens are ("secret");
 * digit runs of 9 or more, digits in three to six parts between blanks, dots or hyphens as account, social security and
   telephone numbers are written, and account numbers that start with two letters and two digits ("number").
@@ -44,9 +44,7 @@ SHAPES = [
     r"[0-9A-Fa-f]{32,}+(?![0-9A-Za-z])", r"[A-Z]{2}[0-9]{2}(?:\x20?[0-9A-Z]{4}){2,7}(?:\x20?[0-9A-Z]{1,3})?(?![0-9A-Za-z])",
     r"[0-9]{9,}+(?![0-9A-Za-z])", r"[0-9]{2,5}(?:[\x20.-][0-9]{2,5}){2,5}(?![0-9A-Za-z])", r"[A-Za-z0-9_-]{20,}+",
 ]
-CANDIDATE = rf"(?<![0-9A-Za-z_-])(?:{'|'.join(SHAPES)})"
-#: Start of a text's check for any candidate.
-ANY = r"[0-9A-Fa-f]{9}|[0-9][\x20.-][0-9]{2}|[A-Z]{2}[0-9]{2}|[A-Za-z0-9_-]{20}"
+CANDIDATE = rf"(?<![0-9A-Za-z_-])(?=[A-Za-z_-]*+[0-9])(?:{'|'.join(SHAPES)})"
 #: Cue words and issuer prefixes (fixed values).
 CUES = r"(?i)(token|secret|key|passw|auth|card|visa|account|phone|tel|call|iban|ssn|social|id)\W*$"
 ISSUERS = r"^(4|5[1-5]|2[2-7]|3[47]|6)"
@@ -123,7 +121,7 @@ def base(text: Column) -> Column:
 def candidates(text: Column, taken: Column) -> Column:
     """Candidate spans that touch no base span, with the text before and after each."""
     mixed = lambda v: ~v.rlike(r"^[A-Za-z0-9_-]{20,}+$") | v.rlike(r"^[0-9A-Fa-f]{32,}+$|^[0-9]+$") | (v.rlike("[0-9]") & v.rlike("[A-Z]") & v.rlike("[a-z]"))
-    found = F.when(text.rlike(ANY), find(text, CANDIDATE, "number", mixed)).otherwise(F.array().cast(SPAN))
+    found = F.when(text.rlike(CANDIDATE), find(text, CANDIDATE, "number", mixed)).otherwise(F.array().cast(SPAN))
     return F.filter(found, lambda c: ~F.exists(taken, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
 
 
@@ -173,7 +171,7 @@ def expectation_maximisation(counts: dict[tuple[int, int, int], float], rounds:
 def train(docs: DataFrame) -> dict:
     """The span classifier: log-odds of each value of each feature, from counts by vote pattern and shape."""
     text = F.col("text")
-    found = docs.select(text_or_empty().alias("text")).where(text.rlike(ANY)).withColumn("taken", base(text))
+    found = docs.select(text_or_empty().alias("text")).where(text.rlike(CANDIDATE)).withColumn("taken", base(text))
     seen = found.select(F.explode(candidates(text, F.col("taken"))).alias("c")).select(features(F.col("c")).alias("f"))
     rows = [r.asDict() for r in seen.groupBy(*[F.col("f")[n].alias(n) for n in NAMES]).count().collect()]  # 8 vote patterns by 20 shapes at most
     votes: dict[tuple[int, int, int], float] = {}
