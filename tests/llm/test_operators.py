@@ -445,7 +445,7 @@ def brute_candidates(text):
     hexes, keys = r"[0-9A-Fa-f]{32,}(?![0-9A-Za-z])", r"[A-Za-z0-9_-]{20,}"
     account_no = r"[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])"
     parted = r"[0-9]{2,5}(?:[ .-][0-9]{2,5}){2,5}(?![0-9A-Za-z])"
-    pattern = rf"(?<![0-9A-Za-z_-])(?:{hexes}|{account_no}|[0-9]{{9,}}(?![0-9A-Za-z])|{parted}|{keys})"
+    pattern = rf"(?<![0-9A-Za-z_-])(?=[A-Za-z_-]*[0-9])(?:{hexes}|{account_no}|[0-9]{{9,}}(?![0-9A-Za-z])|{parted}|{keys})"
     taken = [tuple(map(int, s.split(":")[1:])) for s in brute_spans(text)]
     last, out = 0, []
     found = list(re.finditer(pattern, text))
