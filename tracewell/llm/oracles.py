@@ -72,4 +72,20 @@ SELECT d.doc_id, d.n AS n_bytes, CAST(coalesce(c.n_removed, 0) AS BIGINT) AS n_r
 FROM d LEFT JOIN c ON c.doc_id = d.doc_id
 """
 
-ORACLE_SQL = {"op4_url_rules": OP4, "op5_warc_bundles": OP5, "op9_embedding_near_dedup": OP9, "op10_suffix_array_dedup": OP10}
+TERMS = f"regexp_extract_all(translate(coalesce(text, ''), {ASCII}), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+OP11 = f"""
+WITH q AS (SELECT DISTINCT item_id, unnest(list_distinct({TERMS})) AS term FROM benchmark),
+d AS (SELECT doc_id, {TERMS} AS ts FROM documents), n AS (SELECT doc_id, len(ts) AS n FROM d WHERE len(ts) > 0),
+c AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM n),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(ts) AS term FROM d)
+  WHERE term IN (SELECT term FROM q) GROUP BY doc_id, term),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, c GROUP BY term, docs),
+s AS (SELECT item_id, tf.doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * docs) // terms)))) AS BIGINT) AS score
+  FROM q JOIN tf ON tf.term = q.term JOIN w ON w.term = q.term JOIN n ON n.doc_id = tf.doc_id, c GROUP BY item_id, tf.doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 50
+"""
+
+ORACLE_SQL = {"op4_url_rules": OP4, "op5_warc_bundles": OP5, "op9_embedding_near_dedup": OP9, "op10_suffix_array_dedup": OP10,
+    "op11_ranked_lexical_search": OP11}

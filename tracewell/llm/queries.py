@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archives, bpe, decontaminate, near_dups, packing, private_data, quality, token_files, url_rules, vectors, verbatim
+from . import archives, bpe, decontaminate, lexical, near_dups, packing, private_data, quality, token_files, url_rules, vectors, verbatim
 from .common import table
 from .oracles import ORACLE_SQL
 from .tokens import default_path
@@ -75,6 +75,11 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verbatim.remove(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents for each benchmark item."""
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), most=50)
+
+
 def op12_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded to token ids and decoded again."""
     return bpe.digests(table(spark, sf_dir, "documents"), default_path("byte_bpe_50k.json"))
@@ -91,5 +96,6 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
+    "op11_ranked_lexical_search": op11_ranked_lexical_search,
     "op12_bpe_round_trip": op12_bpe_round_trip,
 }
