@@ -14,7 +14,7 @@ SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
 
 
-@pytest.mark.parametrize("name", ["op4_url_rules", "op5_warc_bundles", "op9_embedding_near_dedup", "op10_suffix_array_dedup", "op11_ranked_lexical_search"])
+@pytest.mark.parametrize("name", ["op4_url_rules", "op5_warc_bundles", "op9_embedding_near_dedup", "op10_suffix_array_dedup", "op11_ranked_lexical_search", "op13_filter_interaction_audit"])
 def test_queries_equal_sql(spark, name):
     from tracewell.llm import queries
 
@@ -31,7 +31,7 @@ def test_queries_equal_sql(spark, name):
 def test_every_operator_has_one_query(spark):
     from tracewell.llm import queries
 
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == [*range(1, 13)]
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == [*range(1, 14)]
     assert {n for n in queries.ORACLE_SQL} <= set(queries.QUERIES)
 
 

@@ -87,5 +87,31 @@ SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC
 FROM s WHERE score > 0 QUALIFY rank <= 50
 """
 
+OP13 = """
+WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+  regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first FROM documents),
+k AS (SELECT doc_id, max(CAST(quality = 1 AS INTEGER)) AS good, max(CAST(toxic = 1 AS INTEGER)) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, CAST(len(words) < 50 AS INTEGER)
+  + 2 * CAST(100 * len(list_distinct(words)) < 65 * len(words) AS INTEGER)
+  + 4 * CAST(100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 5 * length(text) AS INTEGER)
+  + 8 * CAST(regexp_matches(text, '[#$%&*|]') AS INTEGER) + 16 * CAST(coalesce(t.doc_id > first, false) AS INTEGER) AS mask
+  FROM t LEFT JOIN k ON k.doc_id = t.doc_id),
+c AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY part, mask),
+f(f, b) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+o AS (SELECT a.f || b.f || c.f || d.f || e.f AS filter_order, [a.b, b.b, c.b, d.b, e.b] AS bits FROM f a, f b, f c, f d, f e
+  WHERE a.b + b.b + c.b + d.b + e.b = 31 AND len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+s AS (SELECT filter_order, CAST(k AS INTEGER) AS step, CAST(coalesce(list_sum(bits[1:k - 1]), 0) AS INTEGER) AS before, bits[k] AS own
+  FROM (SELECT *, unnest(range(1, 6)) AS k FROM o)),
+r AS (SELECT part, filter_order, step, own, CAST(coalesce(sum(n) FILTER (WHERE mask & (before + own) = 0), 0) AS BIGINT) AS kept,
+  CAST(coalesce(sum(n) FILTER (WHERE mask & before = 0 AND mask & own <> 0), 0) AS BIGINT) AS removed,
+  CAST(coalesce(sum(n) FILTER (WHERE mask & before <> 0 AND mask & own <> 0), 0) AS BIGINT) AS redundant,
+  CAST(coalesce(sum(n) FILTER (WHERE mask = own), 0) AS BIGINT) AS unique_fails,
+  CAST(coalesce(sum(good) FILTER (WHERE mask & before = 0 AND mask & own <> 0), 0) AS BIGINT) AS good_lost,
+  CAST(coalesce(sum(toxic) FILTER (WHERE mask & before = 0 AND mask & own <> 0), 0) AS BIGINT) AS toxic_lost
+  FROM c, s GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM r
+"""
+
 ORACLE_SQL = {"op4_url_rules": OP4, "op5_warc_bundles": OP5, "op9_embedding_near_dedup": OP9, "op10_suffix_array_dedup": OP10,
-    "op11_ranked_lexical_search": OP11}
+    "op11_ranked_lexical_search": OP11, "op13_filter_interaction_audit": OP13}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archives, bpe, decontaminate, lexical, near_dups, packing, private_data, quality, token_files, url_rules, vectors, verbatim
+from . import archives, audit, bpe, decontaminate, lexical, near_dups, packing, private_data, quality, token_files, url_rules, vectors, verbatim
 from .common import table
 from .oracles import ORACLE_SQL
 from .tokens import default_path
@@ -85,6 +85,11 @@ def op12_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), default_path("byte_bpe_50k.json"))
 
 
+def op13_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove in every order, by source."""
+    return audit.audit(spark, f"{sf_dir}/documents.parquet", table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_quality_classifier": op2_quality_classifier,
@@ -98,4 +103,5 @@ QUERIES = {
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
     "op11_ranked_lexical_search": op11_ranked_lexical_search,
     "op12_bpe_round_trip": op12_bpe_round_trip,
+    "op13_filter_interaction_audit": op13_filter_interaction_audit,
 }
