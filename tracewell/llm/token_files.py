@@ -1,10 +1,9 @@
 """Token files: equal-length id sequences and masks as fixed-size lists in Arrow's random-access file format.
 
 Documents are dealt out by ranges of doc_id, so the files in order hold all documents in ascending order. Each file has
-record batches of `rows` sequences of `length` ids (unsigned 16-bit if the vocabulary allows) with a mask of as many bytes,
-1 for real ids; only the last sequence of a file is padded. Masks are a dictionary column: the file holds one for each number
-of real ids, and a sequence names its own, so they take next to no room. A second file gives each document's place. Readers map
-the file and take any sequence with its mask, or any document, as views, without decoding or copying others.
+record batches of `rows` sequences of `length` ids (unsigned 16-bit if the vocabulary allows) and masks of as many booleans,
+which Arrow keeps as bits, true for real ids; only the last sequence of a file is padded. A second file gives each document's
+place. Readers map the file and take any sequence with its mask, or any document, as views, without decoding or copying others.
 
 Ranges end inside a doc_id too, by the place of a row in the input, so rows without one, or with the same one, spread over
 as many files as they need.
@@ -38,9 +37,7 @@ class ShardWriter:
         self.fs.create_dir(self.path.rpartition("/")[0], recursive=True)
         self.length, self.rows, self.kind = length, rows, np.dtype("<u4" if wide else "<u2")
         ids = pa.list_(pa.uint32() if wide else pa.uint16(), length)
-        self.schema = pa.schema([("ids", ids), ("mask", pa.dictionary(pa.int32(), pa.list_(pa.uint8(), length)))])
-        masks = np.arange(length)[None, :] < np.arange(length + 1)[:, None]
-        self.masks = pa.FixedSizeListArray.from_arrays(pa.array(masks.astype("uint8").ravel()), length)
+        self.schema = pa.schema([("ids", ids), ("mask", pa.list_(pa.bool_(), length))])
         self.index_schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
         self.out = self.fs.open_output_stream(self.path)
         self.writer = pa.ipc.new_file(self.out, self.schema)
@@ -77,8 +74,8 @@ class ShardWriter:
             n = -(-len(own) // self.length)
             padded = np.zeros(n * self.length, self.kind)
             padded[: len(own)] = own
-            real = np.minimum(self.length, len(own) - self.length * np.arange(n)).astype("int32")
-            columns = [pa.FixedSizeListArray.from_arrays(pa.array(padded), self.length), pa.DictionaryArray.from_arrays(pa.array(real), self.masks)]
+            mask = np.arange(n * self.length) < len(own)
+            columns = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (padded, mask)]
             self.writer.write_batch(pa.RecordBatch.from_arrays(columns, schema=self.schema))
         self.held, self.n_held = [rest], len(rest)
 
@@ -111,28 +108,29 @@ class ShardReader:
         self.rows = self.file.get_batch(0).num_rows if self.batches else 0
 
     def batch(self, k: int):
-        """(ids, all masks, which mask each sequence has) of a batch, as views; ids and masks have a row each."""
+        """(ids, mask) of a batch as views: ids with a row for each sequence, mask as one Arrow array of booleans."""
         ids, mask = self.file.get_batch(k).columns
-        view = lambda c: c.flatten().to_numpy(zero_copy_only=True).reshape(-1, self.length)
-        return view(ids), view(mask.dictionary), mask.indices.to_numpy(zero_copy_only=True)
+        return ids.flatten().to_numpy(zero_copy_only=True).reshape(-1, self.length), mask.flatten()
+
+    def schema_of_mask(self) -> str:
+        """How masks are kept."""
+        return str(self.file.schema.field("mask").type)
 
     def sequence(self, k: int):
-        """The k-th sequence and its mask."""
-        ids, masks, which = self.batch(k // self.rows)
-        return ids[k % self.rows], masks[which[k % self.rows]]
+        """The k-th sequence and its mask, which stays in Arrow's bits."""
+        ids, mask = self.batch(k // self.rows)
+        return ids[k % self.rows], mask.slice(k % self.rows * self.length, self.length)
 
     def tokens(self, start: int, n: int):
-        """Ids start to start + n of the shard; their masks must call all of them real."""
+        """Ids start to start + n of the shard; their mask must call all of them real."""
         import numpy as np
 
         size, out = self.rows * self.length, []
         while n > 0:
-            ids, masks, which = self.batch(start // size)
+            ids, mask = self.batch(start // size)
             at = start % size
             own = ids.reshape(-1)[at : at + n]
-            first, last = at // self.length, (at + len(own) - 1) // self.length
-            inner = which[first:last] == self.length
-            if not len(own) or not inner.all() or not masks[which[last]][(at + len(own) - 1) % self.length]:
+            if not len(own) or mask.slice(at, len(own)).true_count < len(own):
                 raise ValueError(f"ids {start} to {start + n} are not all in the file")
             out.append(own)
             start, n = start + len(own), n - len(own)

@@ -9,8 +9,12 @@ conclude "block" are pruned by
 * chance: the lower end of the score interval (`z` standard errors) of that share lies above the share of bad urls among
   all labelled ones, so that a combination seen three times needs more than one seen a thousand times.
 
-Rules have any number of tokens. They match through an inverted index from a rule's rarest token to the rule: a url looks
-up its tokens and is held against the other tokens of the rules it meets. Given host and path rules go first: the longest
+Tokens that the very same labelled urls hold are merged into one item before mining: it stands for each of them, so a url
+holds the item if it has any of its tokens. A url of thirty tokens of its own is one item, not 2^30 rules. Of the rules that pass,
+those that a rule over fewer items with at least their confidence makes idle are dropped; verdicts and best confidences stay.
+
+Rules have any number of items. They match through an inverted index from a rule's rarest item to the rule: a url looks
+up its items and is held against the other items of the rules it meets. Given host and path rules go first: the longest
 that fits decides.
 
 Cases: a null url, or one without "://", has an empty host and path and no tokens, so no rule fits it and it is allowed;
@@ -82,9 +86,33 @@ def matches(urls: DataFrame, index: DataFrame) -> DataFrame:
     return looked.join(F.broadcast(index) if small else index, "token").where(F.size(F.array_except("antecedent", "tokens")) == 0).drop("token")
 
 
-def mine(labelled: DataFrame, least: int = 3, share: float = 0.0005, confidence: float = 0.5, z: float = 1.96) -> DataFrame:
-    """(rule_id, antecedent, token, bad, n, confidence) of rules that conclude "block", from rows (url, bad); `token` is
-    the one to look a rule up by."""
+def merged(known: DataFrame) -> DataFrame:
+    """(token, item): tokens of rows (tokens, n) by the least of those that the same rows hold, told apart by two hashes."""
+    held = known.withColumn("row", F.array_join("tokens", " ")).select(F.explode("tokens").alias("token"), F.xxhash64("row").alias("h1"), F.xxhash64(F.lit(7), "row").alias("h2"))
+    marks = held.groupBy("token").agg(F.count("*").alias("rows"), F.bit_xor("h1").alias("h1"), F.bit_xor("h2").alias("h2"))
+    named = marks.groupBy("rows", "h1", "h2").agg(F.min("token").alias("item"))
+    return marks.join(named, ["rows", "h1", "h2"]).select("token", "item")
+
+
+def as_items(rows: DataFrame, items: DataFrame, *keys: str) -> DataFrame:
+    """Rows (keys, tokens) with distinct items for their tokens, by the keys; tokens without an item go."""
+    flat = rows.select(*keys, F.explode("tokens").alias("token")).join(items, "token")
+    return flat.groupBy(*keys).agg(F.array_sort(F.collect_set("item")).alias("tokens"))  # a url's at most
+
+
+def active(rules: DataFrame) -> DataFrame:
+    """Rules that no rule over fewer items with at least their confidence makes idle, found through the rarest item of the others."""
+    own = rules.select(F.col("rule_id").alias("idle"), F.col("antecedent").alias("tokens"), F.col("confidence").alias("low"))
+    met = matches(own, rules.select("token", "antecedent", "confidence"))
+    return rules.join(met.where((F.size("antecedent") < F.size("tokens")) & (F.col("confidence") >= F.col("low"))).select(F.col("idle").alias("rule_id")).distinct(), "rule_id", "left_anti")
+
+
+RULES = "rule_id string, antecedent array<string>, token string, bad long, n long, confidence double"
+
+
+def mine(labelled: DataFrame, least: int = 3, share: float = 0.0005, confidence: float = 0.5, z: float = 1.96) -> tuple[DataFrame, DataFrame]:
+    """Rules (rule_id, antecedent, token, bad, n, confidence) that conclude "block", from rows (url, bad), over items; and
+    (token, item). `token` is the item to look a rule up by."""
     from pyspark.ml.fpm import FPGrowth
 
     spark = labelled.sparkSession
@@ -92,26 +120,30 @@ def mine(labelled: DataFrame, least: int = 3, share: float = 0.0005, confidence:
     known = materialize(known.groupBy("tokens").agg(F.count("*").alias("n"), F.count(F.when(F.col("bad"), 1)).alias("bad")), "labelled-urls")
     total, bad = known.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("bad"), F.lit(0))).first()
     if not bad:
-        return spark.createDataFrame([], "rule_id string, antecedent array<string>, token string, bad long, n long, confidence double")
+        return spark.createDataFrame([], RULES), spark.createDataFrame([], "token string, item string")
+    items = materialize(merged(known), "merged-tokens")
+    known = known.withColumn("row", F.struct(F.xxhash64("tokens"), F.xxhash64(F.lit(7), "tokens"), "n", "bad"))
+    rows = materialize(as_items(known, items, "row").select("tokens", "row.n", "row.bad"), "labelled-items")
     support = max(least, math.ceil(share * bad))
-    baskets = known.where("bad > 0").select(F.explode(F.array_repeat("tokens", F.col("bad").cast("int"))).alias("items"))
+    baskets = rows.where("bad > 0").select(F.explode(F.array_repeat("tokens", F.col("bad").cast("int"))).alias("items"))
     sets = FPGrowth(itemsCol="items", minSupport=min(1.0, (support - 0.5) / bad)).fit(baskets).freqItemsets
     sets = materialize(sets.where(F.col("freq") >= support).select(F.array_sort("items").alias("antecedent"),
         F.col("freq").alias("bad")).withColumn("rule_id", F.array_join("antecedent", " ")), "item-sets")
-    counts = known.select("n", F.explode("tokens").alias("token")).groupBy("token").agg(F.sum("n").alias("n"))
+    counts = rows.select("n", F.explode("tokens").alias("token")).groupBy("token").agg(F.sum("n").alias("n"))
     index = materialize(keyed(sets, counts), "item-index")
-    held = matches(known.select("tokens", F.col("n").alias("times")),
+    held = matches(rows.select("tokens", F.col("n").alias("times")),
         index.select("token", "rule_id", "antecedent")).groupBy("rule_id").agg(F.sum("times").alias("n"))
     rules = index.join(held, "rule_id").withColumn("confidence", F.col("bad") / F.col("n"))
     fit = (F.col("confidence") >= confidence) & (F.round(lower_bound(F.col("bad"), F.col("n"), z), 12) > F.round(F.lit(bad / total), 12))
-    done = materialize(rules.where(fit).select("rule_id", "antecedent", "token", "bad", "n", "confidence"), "rules")
-    drop_materialized(spark, known, sets, index)
-    return done
+    passed = materialize(rules.where(fit).select("rule_id", "antecedent", "token", "bad", "n", "confidence"), "passed-rules")
+    done = materialize(active(passed), "rules")
+    drop_materialized(spark, rows, sets, index, passed)
+    return done, items
 
 
-def fired(urls: DataFrame, rules: DataFrame) -> DataFrame:
+def fired(urls: DataFrame, rules: DataFrame, items: DataFrame) -> DataFrame:
     """(url, confidence) of the distinct urls for which a mined rule fires; confidence is the best rule's."""
-    own = urls.where("url is not null").distinct().select("url", tokens().alias("tokens"))
+    own = as_items(urls.where("url is not null").distinct().select("url", tokens().alias("tokens")), items, "url")
     return matches(own, rules.select("token", "antecedent", "confidence")).groupBy("url").agg(F.max("confidence").alias("confidence"))
 
 
@@ -119,7 +151,7 @@ def judge(pages: DataFrame, labelled: DataFrame, rules: list[tuple[str, str, str
     """page_id, host, path, rule, verdict and the firing rules' best confidence for every page."""
     configure(pages.sparkSession)
     rows = pages.select("page_id", "url", host().alias("host"), path().alias("path")).withColumn("fit", given_rule(rules, F.col("host"), F.col("path")))
-    hits = materialize(fired(rows.where("fit is null").select("url"), mine(labelled, **options)), "fired")
+    hits = materialize(fired(rows.where("fit is null").select("url"), *mine(labelled, **options)), "fired")
     verdict = F.coalesce("fit.verdict", F.when(F.col("confidence").isNotNull(), "block").otherwise("allow"))
     return rows.join(hits, "url", "left").select("page_id", "host", "path", F.col("fit.rule").alias("rule"),
         verdict.alias("verdict"), F.when(F.col("fit").isNull(), F.col("confidence")).alias("confidence"))
