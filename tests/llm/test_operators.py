@@ -229,6 +229,10 @@ def test_near_duplicates(spark, docs, none):
     left = [r["doc_id"] for r in kept.where("doc_id is not null").collect()]
     assert len(left) == len(set(left)) and 0 in left and 3 not in left and kept.where("doc_id is null").count() == 1
     assert near_dups.classes(none).count() == 0 and near_dups.keep(none).count() == 0
+    a, b = words(random.Random(5), 90), words(random.Random(6), 90)
+    again = spark.createDataFrame([(1, b), (5, a), (5, b), (5, a + "."), (7, a), (5, a), (9, words(random.Random(7), 90))], "doc_id long, text string")
+    left = near_dups.keep(again).collect()
+    assert sorted(r["doc_id"] for r in left) == [1, 5, 9] and {r["text"].rstrip(".") for r in left if r["doc_id"] < 9} == {a, b}
 
 
 def test_blocks_split_large_groups(spark, monkeypatch):
@@ -365,11 +369,52 @@ def test_chance_makes_no_rules(spark):
     urls = [f"http://h{rng.randrange(40)}.com/p{rng.randrange(20)}" for _ in range(3000)]
     rows = [(u, rng.random() < 0.15) for u in urls] + [(f"http://farm.com/x{i}", i % 5 > 0) for i in range(20)]
     labelled = spark.createDataFrame(rows, "url string, bad boolean")
-    found = url_rules.mine(labelled, confidence=0.0, z=4.0).collect()
+    found = url_rules.mine(labelled, confidence=0.0, z=4.0)[0].collect()
     assert {tuple(r["antecedent"]) for r in found} >= {("h:farm",)} and all("h:farm" in r["antecedent"] for r in found)
     assert [(r["bad"], r["n"]) for r in found if r["rule_id"] == "h:farm"] == [(16, 20)]
 
 
+def test_tokens_of_the_same_urls_are_one_item(spark):
+    """A bad url of thirty tokens is one rule at most, and urls with any of them are blocked as by the 2^30 single rules."""
+    odd = "http://bad.example/?" + "&".join(f"k{i}=1" for i in range(30))
+    rows = [(odd, True)] * 3 + [(f"http://fine.org/p{i}", i % 7 == 0) for i in range(60)]
+    labelled = spark.createDataFrame(rows, "url string, bad boolean")
+    rules, items = url_rules.mine(labelled)
+    assert rules.count() == 1 and items.where("item = 'h:bad'").count() == 32
+    asked = [odd, "http://else.com/?k7=2", "http://else.com/k7", "http://fine.org/p1", "http://bad.net/", None]
+    got = {r["url"] for r in url_rules.fired(spark.createDataFrame([(u,) for u in asked], "url string"), rules, items).collect()}
+    assert got == {odd, "http://else.com/?k7=2", "http://bad.net/"}
+
+
+def test_verdicts_equal_all_subsets(spark):
+    """Against mining every subset of tokens by definition, with the best confidence of all that fire."""
+    from itertools import combinations
+
+    rng = random.Random(31)
+    url = lambda: "http://" + rng.choice("abc") + ".x/" + "/".join(rng.choice("pqrs") for _ in range(rng.randint(0, 3))) + "?" + "&".join(rng.sample(["k", "l", "m", "n"], rng.randint(0, 3)))
+    rows = [(u, hash_bad) for u in (url() for _ in range(300)) for hash_bad in [("/q" in u and "k" in u) or rng.random() < 0.1]]
+    asked = sorted({url() for _ in range(200)})
+
+    def held(u):
+        h, rest = u[7:].split("/", 1)
+        path, query = rest.split("?")
+        return {f"h:{x}" for x in h.split(".")} | {f"p:{x}" for x in path.split("/") if x} | {f"q:{x}" for x in query.split("&") if x}
+
+    bags, total, bad = [(held(u), b) for u, b in rows], len(rows), sum(b for _, b in rows)
+    best: dict = {}
+    for chosen in {c for h, b in bags if b for k in range(1, len(h) + 1) for c in combinations(sorted(h), k)}:
+        hits, n = sum(b for h, b in bags if h >= set(chosen)), sum(h >= set(chosen) for h, _ in bags)
+        p, z = hits / n, 1.96
+        low = (p + z * z / (2 * n) - z * np.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+        if hits >= 3 and p >= 0.5 and round(low, 12) > round(bad / total, 12):
+            best[chosen] = p
+    want = {u: max(c for k, c in best.items() if held(u) >= set(k)) for u in asked if any(held(u) >= set(k) for k in best)}
+    rules, items = url_rules.mine(spark.createDataFrame(rows, "url string, bad boolean"))
+    got = url_rules.fired(spark.createDataFrame([(u,) for u in asked], "url string"), rules, items)
+    assert {r["url"]: r["confidence"] for r in got.collect()} == want and 0 < len(want) < len(asked)
+    assert rules.count() < len(best)
+
+
 # -- 5: archives ----------------------------------------------------------------------------------
 
 
@@ -418,7 +463,7 @@ def brute_spans(text):
     return [f"{kind}:{s}:{e}" for s, _, e, kind in sorted(found)]
 
 
-PARTS = ["a@b.co", "x_y@z", "a@b.c_d@e.f", "a@b.com.d@e.f.g", "1.2.3.4", "1.2.3.4.5.6.7.8", "256.1.1.1", "001.02.3.0004", "4111 1111 1111 1111", "4111-1111-1111-1111", "4111111111111111", "79927398713", "+1 (017) 555-7713", "+4 9", "+12345678901234567", "+1--2()3.4567890 1.2.3.4", "é😀", " ", ",", "a", "7", "-", ".", "@", "+", "token = \"04dbebab91ab85687d33eeaaf9ac699e1188f962\"", "9807915762804490 4845168114407329"]
+PARTS = ["a@b.co", "\x01", "x_y@z", "a@b.c_d@e.f", "a@b.com.d@e.f.g", "1.2.3.4", "1.2.3.4.5.6.7.8", "256.1.1.1", "001.02.3.0004", "4111 1111 1111 1111", "4111-1111-1111-1111", "4111111111111111", "79927398713", "+1 (017) 555-7713", "+4 9", "+12345678901234567", "+1--2()3.4567890 1.2.3.4", "é😀", " ", ",", "a", "7", "-", ".", "@", "+", "token = \"04dbebab91ab85687d33eeaaf9ac699e1188f962\"", "9807915762804490 4845168114407329"]
 
 
 def test_private_data(spark, docs, none):
@@ -445,7 +490,7 @@ def brute_candidates(text):
     hexes, keys = r"[0-9A-Fa-f]{32,}(?![0-9A-Za-z])", r"[A-Za-z0-9_-]{20,}"
     account_no = r"[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])"
     parted = r"[0-9]{2,5}(?:[ .-][0-9]{2,5}){2,5}(?![0-9A-Za-z])"
-    pattern = rf"(?<![0-9A-Za-z_-])(?=[A-Za-z_-]*[0-9])(?:{hexes}|{account_no}|[0-9]{{9,}}(?![0-9A-Za-z])|{parted}|{keys})"
+    pattern = rf"(?<![0-9A-Za-z_-])(?:{hexes}|{account_no}|[0-9]{{9,}}(?![0-9A-Za-z])|{parted}|{keys})"
     taken = [tuple(map(int, s.split(":")[1:])) for s in brute_spans(text)]
     last, out = 0, []
     found = list(re.finditer(pattern, text))
@@ -482,7 +527,7 @@ def test_added_spans_equal_brute_force(spark):
     rows = [(i, " ".join(rng.choice(around) + rng.choice([*SECRETS, *PARTS, words(rng, 3)]) + rng.choice(["", ")", ",", "é"]) for _ in range(rng.randint(0, 8)))) for i in range(300)]
     rows += [(900, "a@b.co " * 700), (901, ("123-45-6789 x " * 400)), (902, "z" * 30000 + " key=" + "aB3" * 9)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    model = private_data.train(df)
+    model = private_data.train(private_data._found(df.withColumn("body", F.coalesce("text", F.lit("")))))
     got = {r["doc_id"]: r["spans"] for r in private_data.spans(df).select("doc_id", private_data.listed("spans").alias("spans")).collect()}
     added = 0
     for i, t in rows:
@@ -561,10 +606,60 @@ def test_large_benchmarks_are_joined(spark, docs, monkeypatch):
     df = docs.select("doc_id", "text", "lang", "part").union(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "'x'", "1L")).withColumnRenamed("part", "th")
     key = ["doc_id", "item_id", "doc_start", "doc_end", "item_start", "item_end", "equal_words"]
     small, kept = sorted(map(str, decontaminate.overlaps(df, bench).select(key).collect())), decontaminate.clean(df, bench).count()
-    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 100)
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 600)
     assert sorted(map(str, decontaminate.overlaps(df, bench).select(key).collect())) == small and len(small) >= 60
     left = decontaminate.clean(df, bench)
     assert left.columns == df.columns and left.count() == kept < df.count()
+    # Passages that occur twice, exactly and changed: the first one is reported either way.
+    passage = words(rng, 30).split()
+    changed = [w if j not in (9, 20) else "other" for j, w in enumerate(passage)]
+    twice = [(i, " ".join([*words(rng, rng.randint(0, 9)).split(), *x, *words(rng, 7).split(), *y, *words(rng, 3).split()])) for i, (x, y) in enumerate([(passage, passage), (changed, passage), (passage, changed), (changed, changed)] * 5)]
+    df, bench = spark.createDataFrame(twice, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(passage)), (2, " ".join(passage + passage[:13]))], "item_id long, text string")
+    joined = sorted(map(str, decontaminate.overlaps(df, bench).collect()))
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 1_000_000)
+    rows = decontaminate.overlaps(df, bench).collect()
+    assert sorted(map(str, rows)) == joined and len(rows) == 40
+    for r in rows:
+        if r["item_id"] == 1 and r["doc_id"] % 4 == 0:
+            assert r["doc_start"] == twice[r["doc_id"]][1].split().index(passage[0]) and r["equal_words"] == 30
+
+
+def test_a_long_text_without_blanks_is_joined(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 1000)
+    bench = spark.createDataFrame([(1, "x" * 5000)], "item_id long, text string")
+    asked = []
+    monkeypatch.setattr(decontaminate, "_joined", lambda *a: asked.append(a) or spark.createDataFrame([], decontaminate.OVERLAP))
+    decontaminate.overlaps(bench.withColumnRenamed("item_id", "doc_id"), bench)
+    assert asked
+
+
+def test_overlaps_by_definition(spark):
+    """Truth without the module's alignment: a mask's looked-at words agree somewhere on a diagonal, and a stretch of it of the
+    least length or more has the similarity."""
+    rng = random.Random(23)
+    vocabulary = [f"w{i}" for i in range(40)]
+    text = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [(i, text(rng.choice((4, 13, 16, 24)))) for i in range(10)]
+    docs_ = []
+    for i in range(60):
+        own = list(items[i % 10][1])
+        for _ in range(rng.randrange(4)):
+            own[rng.randrange(len(own))] = "other"
+        docs_.append((i, text(rng.randrange(12)) + own[rng.randrange(2) :] + text(rng.randrange(12))))
+    want = set()
+    for i, d in docs_:
+        for j, b in items:
+            masks = decontaminate.MASKS if len(b) >= max(map(len, decontaminate.MASKS)) else (*decontaminate.MASKS, "1" * len(b))
+            for diagonal in range(-len(b) + 1, len(d)):
+                same = [0 <= k + diagonal < len(d) and b[k] == d[k + diagonal] for k in range(len(b))]
+                inside = [k for k in range(len(b)) if 0 <= k + diagonal < len(d)]
+                seeds = (all(same[p + k] for k, c in enumerate(m) if c == "1") for m in masks for p in range(len(b) - len(m) + 1))
+                need = min(13, len(b))
+                if any(seeds) and any(sum(same[x : y + 1]) * 5 >= (y + 1 - x) * 4 for x in inside for y in inside if y + 1 - x >= need):
+                    want.add((i, j))
+    bench = spark.createDataFrame([(i, " ".join(b)) for i, b in items], "item_id long, text string")
+    got = decontaminate.overlaps(spark.createDataFrame([(i, " ".join(d)) for i, d in docs_], "doc_id long, text string"), bench)
+    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == want and len(want) >= 20
 
 
 def test_overlaps_equal_brute_force(spark):
@@ -611,15 +706,24 @@ def test_token_files(docs, none):
         start += len(want)
     reader = token_files.ShardReader(manifest.orderBy("part").first()["path"])
     seq, mask = reader.sequence(0)
-    assert len(seq) == len(mask) == 64 and seq.dtype == np.uint16 and mask.dtype == np.uint8 and mask[:5].all()
-    assert not seq.flags.owndata and not mask.flags.owndata
+    assert len(seq) == len(mask) == 64 and seq.dtype == np.uint16 and mask.slice(0, 5).true_count == 5
+    assert not seq.flags.owndata and mask.buffers()[1].size >= 8  # bits of the file, not a copy
     last = reader.sequence(sum(reader.file.get_batch(k).num_rows for k in range(reader.batches)) - 1)[1]
-    assert last.sum() == (manifest.orderBy("part").first()["tokens"] - 1) % 64 + 1
+    assert last.true_count == (manifest.orderBy("part").first()["tokens"] - 1) % 64 + 1
     with pytest.raises(ValueError):
         reader.tokens(manifest.orderBy("part").first()["tokens"], 1)
     assert token_files.read(token_files.write(none, WORD)).count() == 0
 
 
+def test_a_small_file_is_small(spark):
+    from tracewell.llm.common import filesystem
+
+    manifest = token_files.write(spark.createDataFrame([(1, "short")], "doc_id long, text string"), WORD)
+    fs, path = filesystem(manifest.first()["path"])
+    reader = token_files.ShardReader(manifest.first()["path"])
+    assert fs.get_file_info(path).size < 20_000 and reader.schema_of_mask() == "fixed_size_list<item: bool>[1024]"
+
+
 def test_one_doc_id_fills_many_files(spark):
     df = spark.createDataFrame([(7, f"text {i}") for i in range(400)] + [(None, "x")] * 200, "doc_id long, text string").repartition(6)
     manifest = token_files.write(df, WORD)

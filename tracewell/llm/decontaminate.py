@@ -7,13 +7,13 @@ it is long enough and enough of its words are equal. Where it isn't, as in short
 stretch of the least length or more on the same diagonal is held to the same similarity. Items shorter than the masks are
 sought whole, whatever their length.
 
-A benchmark of up to BLOCK_WORDS words is broadcast, and documents are streamed past it without a shuffle. A larger one is
+A benchmark of up to BLOCK_BYTES bytes is broadcast, and documents are streamed past it without a shuffle. A larger one is
 joined: seeds of documents that pass a bit table of fixed size meet the benchmark's seeds by hash, and each (text, item)
 that met is verified once, with the very same rules. Both ways give the same rows.
 
 Cases: null and empty texts hit nothing, on either side; a text of any length is read whole; a null doc_id or item_id is
 reported as such; repeated documents are reported each, repeated benchmark rows once; of overlaps with one item the one
-with most equal words is reported, on ties any; an empty table on either side gives an empty result; further columns are
+with most equal words is reported, of several the first in the document, then in the item; an empty table on either side gives an empty result; further columns are
 ignored by overlaps() and kept by clean().
 """
 
@@ -28,8 +28,8 @@ from .common import SharedBytes, configure, materialize, text_or_empty
 
 #: Masks (fixed values): 1 looks at a word, 0 ignores it.
 MASKS = ("110111", "11010011", "1100101011", "111000100011")
-#: Words of a benchmark up to which it is broadcast.
-BLOCK_WORDS = 1_000_000
+#: Bytes of a benchmark's texts up to which it is broadcast, however they fall into words.
+BLOCK_BYTES = 8_000_000
 #: Bits of the table of seeds in a broadcast, and of the one that documents pass before a join, as powers of two.
 TABLE_BITS, JOIN_BITS = 22, 28
 WIDEST = max(map(len, MASKS))
@@ -99,12 +99,14 @@ class Seeds:
         from .shingles import word_hashes
 
         words = word_hashes(text)
-        best: dict[int, tuple] = {}
+        best: dict[int, tuple[tuple, tuple]] = {}
         for item, diagonal in self.hits(words):
             item_id, own = self.words[item]
-            if (found := aligned(own, words, diagonal, least, similarity)) and (item not in best or found[4] > best[item][5]):
-                best[item] = (item_id, *found)
-        return list(best.values())
+            if found := aligned(own, words, diagonal, least, similarity):
+                order = (-found[4], found[0], found[2])
+                if item not in best or order < best[item][0]:
+                    best[item] = order, (item_id, *found)
+        return [found for _, found in best.values()]
 
 
 def aligned(own, words, diagonal: int, least: int, similarity: float) -> tuple | None:
@@ -150,9 +152,9 @@ def _batch(found: list):
 
 
 def _items(benchmark: DataFrame) -> tuple[DataFrame, int]:
-    """Distinct items with words, and how many words they have."""
+    """Distinct items, and how many bytes their texts have."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_or_empty().alias("text")).distinct()
-    return items, items.agg(F.sum(F.size(F.split("text", "\\s+")).cast("long"))).first()[0] or 0
+    return items, items.agg(F.sum(F.octet_length("text").cast("long") + 16)).first()[0] or 0  # with room for an item_id
 
 
 def seeds_of(texts: DataFrame, lengths: list[int], whole: bool, table: SharedBytes | None = None) -> DataFrame:
@@ -237,9 +239,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = 13, similarity:
     spark = configure(docs.sparkSession)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     items, total = _items(benchmark)
-    if total > BLOCK_WORDS:
+    if total > BLOCK_BYTES:
         return _joined(plain, items, least, similarity)
-    shared = spark.sparkContext.broadcast([tuple(r) for r in items.collect()])  # BLOCK_WORDS words at most
+    shared = spark.sparkContext.broadcast([tuple(r) for r in items.collect()])  # BLOCK_BYTES at most
 
     def rows(batches) -> Iterator:
         seeds = _seeds(shared)
@@ -255,7 +257,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, least: int = 13, similarity: fl
     """The documents without a verified overlap, with all their columns."""
     spark = configure(docs.sparkSession)
     items, total = _items(benchmark)
-    if total > BLOCK_WORDS:
+    if total > BLOCK_BYTES:
         # Documents are told apart by a hash of their text, which is what an overlap depends on.
         name = "text_hash"
         while name in docs.columns:
@@ -265,7 +267,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, least: int = 13, similarity: fl
         dirty = materialize(_joined(plain, items, least, similarity).select(F.col("doc_id").alias(name)).distinct(), "contaminated")
         return keyed.join(dirty, name, "left_anti").select(docs.columns)
     at = docs.columns.index("text")
-    shared = spark.sparkContext.broadcast([tuple(r) for r in items.collect()])  # BLOCK_WORDS words at most
+    shared = spark.sparkContext.broadcast([tuple(r) for r in items.collect()])  # BLOCK_BYTES at most
 
     def rows(batches) -> Iterator:
         import pyarrow as pa

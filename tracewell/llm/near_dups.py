@@ -17,7 +17,7 @@ A pair at the threshold shares a key with a probability of 1 - (1 - 0.8^4)^12 =
 Cases: null text counts as empty; texts without words are equal to each other; a text of any length is one set of shingles
 that one task holds; a null doc_id stays its own class unless its text is a copy, and never names a class that has other
 members; a similarity at the threshold links; repeated rows are copies, and rows that repeat a doc_id with another text are
-texts of their own; an empty table gives an empty result; further columns are ignored by classes() and kept by keep().
+texts of their own, judged by text in keep(); an empty table gives an empty result; further columns are ignored by classes() and kept by keep().
 """
 
 from __future__ import annotations
@@ -93,7 +93,7 @@ def fingerprint(words) -> tuple[int, int]:
 
 
 def sketch(docs: DataFrame, table: SharedBytes, bands: int, rows: int) -> DataFrame:
-    """doc_id, the fingerprint of the words (f1, f2), the number of distinct shingles and the band keys."""
+    """doc_id, a hash of the text, the fingerprint of the words (f1, f2), the number of distinct shingles and the band keys."""
 
     def keys(batches) -> Iterator:
         import numpy as np
@@ -115,12 +115,12 @@ def sketch(docs: DataFrame, table: SharedBytes, bands: int, rows: int) -> DataFr
                     for j in range(rows):
                         key = mix(key * np.uint64(0x9E3779B97F4A7C15) + s[:, j])
                 own.append(key.view("int64") if len(e) else key[:0].view("int64"))
-            columns = [batch.column(0), *(pa.array([x[i] for x in prints], pa.int64()) for i in (0, 1)),
+            columns = [batch.column(0), batch.column(2), *(pa.array([x[i] for x in prints], pa.int64()) for i in (0, 1)),
                 pa.array(sizes, pa.int32()), pa.array(own, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "f1", "f2", "n", "keys"])
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "th", "f1", "f2", "n", "keys"])
 
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return plain.mapInArrow(keys, "doc_id long, f1 long, f2 long, n int, keys array<long>")
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), F.xxhash64(text_or_empty()).alias("th"))
+    return plain.mapInArrow(keys, "doc_id long, th long, f1 long, f2 long, n int, keys array<long>")
 
 
 def candidates(texts: DataFrame) -> DataFrame:
@@ -278,8 +278,9 @@ def _forest(rows: list, name, table: SharedBytes, threshold: float) -> list:
     return out
 
 
-def classes(docs: DataFrame, threshold: float = 0.8, bands: int = 12, rows: int = 4) -> DataFrame:
-    """One row for each document: doc_id, class_id, kept (the class is named by it), n_copies (documents with its words)."""
+def labelled(docs: DataFrame, threshold: float = 0.8, bands: int = 12, rows: int = 4) -> DataFrame:
+    """One row for each document: doc_id, th (a hash of its text), class (a number that tells classes apart), class_id (the
+    least doc_id of the class), n_copies (documents with its words)."""
     spark = configure(docs.sparkSession)
     table = document_frequencies(docs)
     sketches = materialize(sketch(docs, table, bands, rows), "sketches")
@@ -295,19 +296,26 @@ def classes(docs: DataFrame, threshold: float = 0.8, bands: int = 12, rows: int
     named = materialize(components(near.union(rest)), "named")
     names = named.join(texts.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("class_id"))
     label = texts.select("f1", "f2", "node", "rep", "n_copies").join(named, "node", "left").join(names, "component", "left")
-    label = materialize(label.select("f1", "f2", "n_copies", F.coalesce("class_id", "rep").alias("class_id")), "labels")
+    label = materialize(label.select("f1", "f2", "n_copies", F.coalesce("component", "node").alias("class"), F.coalesce("class_id", "rep").alias("class_id")), "labels")
     drop_materialized(spark, texts, members, wanted, bodies, near, settled, rest, named)
-    found = sketches.select("doc_id", "f1", "f2").join(label, ["f1", "f2"])
-    return found.select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"), "n_copies")
+    return sketches.select("doc_id", "th", "f1", "f2").join(label, ["f1", "f2"]).select("doc_id", "th", "class", "class_id", "n_copies")
+
+
+def classes(docs: DataFrame, **options) -> DataFrame:
+    """One row for each document: doc_id, class_id, kept (the class is named by it), n_copies (documents with its words)."""
+    return labelled(docs, **options).select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"), "n_copies")
 
 
 def keep(docs: DataFrame, **options) -> DataFrame:
-    """One document of each class, with all columns. Rows without a doc_id stay, as no class is named by them; of rows
-    that repeat a kept doc_id and text one stays."""
-    found = materialize(classes(docs, **options), "classes")
-    kept = found.where("kept and doc_id is not null").select("doc_id")
-    several = kept.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
-    named = docs.join(kept.distinct().hint("merge"), "doc_id", "left_semi")
-    if several:
-        named = named.dropDuplicates(["doc_id", "text"])
+    """One document of each class, with all columns: the one with the least doc_id, of several texts with that doc_id one. Rows
+    without a doc_id stay, as no class is named by them; of rows that repeat a kept doc_id and text one stays."""
+    found = labelled(docs, **options).where("doc_id = class_id")
+    kept = materialize(found.groupBy("class").agg(F.min(F.struct("doc_id", "th")).alias("x"), F.count("*").alias("rows")).select("x.doc_id", "x.th", "rows"), "kept")
+    name = "text_hash"
+    while name in docs.columns:
+        name += "_"
+    keyed = docs.withColumn(name, F.xxhash64(text_or_empty()))
+    named = keyed.join(kept.select("doc_id", F.col("th").alias(name)).hint("merge"), ["doc_id", name], "left_semi")
+    if not kept.where("rows > 1").isEmpty():
+        named = named.dropDuplicates(["doc_id", name])
     return named.select(docs.columns).union(docs.where("doc_id is null").select(docs.columns))

@@ -4,7 +4,7 @@ Base spans come from fixed patterns and checks. Beyond them, candidate spans tha
 labelers: a regex labeler for strict shapes, a gazetteer labeler for known prefixes and cue words, a context labeler for what
 stands around. Candidates are, of any length,
 
-* hexadecimal runs of 32 or more with a digit, and mixed runs of letters, digits, "_" and "-" of 20 or more with upper case, lower case
+* hexadecimal runs of 32 or more, and mixed runs of letters, digits, "_" and "-" of 20 or more with upper case, lower case
   and digits, as keys and tokens are ("secret");
 * digit runs of 9 or more, digits in three to six parts between blanks, dots or hyphens as account, social security and
   telephone numbers are written, and account numbers that start with two letters and two digits ("number").
@@ -14,7 +14,9 @@ naive Bayes span classifier over votes and shape, which decides. Counts are grou
 the driver has a fixed size. Names and addresses are no candidates.
 
 Matches are leftmost and do not overlap within a kind. Patterns use possessive repeats and look back only where that
-cannot change a match, so very long runs neither recurse nor take square time; matches are gathered in slices.
+cannot change a match, so very long runs neither recurse nor take square time; matches are gathered in slices. Each pattern runs
+over a text once, putting marks that the text doesn't hold around its matches. Base spans and candidates are written once; training
+and scoring both read them.
 
 Cases: null text counts as empty and has no spans; a text of any length is read whole; spans that start together are listed
 in the order of KINDS; a null doc_id is kept; repeated rows are judged each; an empty table gives an empty result; further
@@ -28,7 +30,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import configure, text_or_empty
+from .common import configure, materialize, text_or_empty
 
 #: Kinds in the order in which spans that start together are listed (fixed values); the last ones are the method's.
 KINDS = ["email", "ip", "card", "phone", "secret", "number"]
@@ -44,12 +46,16 @@ SHAPES = [
     r"[0-9A-Fa-f]{32,}+(?![0-9A-Za-z])", r"[A-Z]{2}[0-9]{2}(?:\x20?[0-9A-Z]{4}){2,7}(?:\x20?[0-9A-Z]{1,3})?(?![0-9A-Za-z])",
     r"[0-9]{9,}+(?![0-9A-Za-z])", r"[0-9]{2,5}(?:[\x20.-][0-9]{2,5}){2,5}(?![0-9A-Za-z])", r"[A-Za-z0-9_-]{20,}+",
 ]
-CANDIDATE = rf"(?<![0-9A-Za-z_-])(?=[A-Za-z_-]*+[0-9])(?:{'|'.join(SHAPES)})"
+CANDIDATE = rf"(?<![0-9A-Za-z_-])(?:{'|'.join(SHAPES)})"
+#: What every candidate holds.
+ANY = r"[0-9A-Fa-f]{9}|[0-9][\x20.-][0-9]{2}|[A-Z]{2}[0-9]{2}|[A-Za-z0-9_-]{20}"
 #: Cue words and issuer prefixes (fixed values).
 CUES = r"(?i)(token|secret|key|passw|auth|card|visa|account|phone|tel|call|iban|ssn|social|id)\W*$"
 ISSUERS = r"^(4|5[1-5]|2[2-7]|3[47]|6)"
 KEY_STARTS = r"^(sk|pk|rk|gh[pousr]|xox[abprs]|AKIA|ASIA|AIza|glpat|eyJ)[-_A-Za-z0-9]"
 AROUND = 24
+#: Put around matches; where a text holds it, its hash stands between two.
+MARK = "\x01"
 #: Matches gathered at a time.
 SLICE = 256
 SPAN = "array<struct<start:int,rank:int,end:int,kind:string,value:string,before:string,after:string>>"
@@ -59,9 +65,15 @@ def find(text: Column, pattern: str, kind: str, valid=None) -> Column:
     """The matches that are valid as array<struct<start, rank, end, kind, value, before, after>>, in code points, end exclusive,
     with the last characters of what stands between a match and the one before, and the first ones of what follows. Lengths of
     what stands between matches and of the matches add up to places; only valid ones are gathered, slice by slice."""
-    gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    following = F.slice(gaps, 2, F.greatest(F.size(gaps), F.lit(1)))
-    pairs = F.filter(F.arrays_zip(gaps.alias("gap"), hits.alias("hit"), following.alias("next")), lambda x: x["hit"].isNotNull())
+    mark = F.when(~F.contains(text, F.lit(MARK)), F.lit(MARK)).otherwise(F.concat(F.lit(MARK), F.md5(text.cast("binary")), F.lit(MARK)))
+    parts = F.split(F.regexp_replace(text, F.lit(pattern), F.concat(mark, F.lit("$0"), mark)), mark, -1)
+
+    def paired(parts: Column) -> Column:
+        """Gaps stand at even places, matches at odd ones."""
+        pair = lambda i: F.struct(F.get(parts, 2 * i).alias("gap"), F.get(parts, 2 * i + 1).alias("hit"), F.get(parts, 2 * i + 2).alias("next"))
+        return F.transform(F.sequence(F.lit(0), F.floor(F.size(parts) / 2).cast("int") - 1), pair)
+
+    pairs_of = lambda parts: F.when(F.size(parts) > 2, paired(parts)).otherwise(F.array().cast("array<struct<gap:string,hit:string,next:string>>"))
     empty = F.array().cast(SPAN)
 
     def step(acc, x):
@@ -79,10 +91,18 @@ def find(text: Column, pattern: str, kind: str, valid=None) -> Column:
         own = F.aggregate(some, F.struct(acc["at"].alias("at"), empty.alias("out")), step)
         return F.struct(own["at"].alias("at"), F.concat(acc["parts"], F.array(own["out"])).alias("parts"))
 
-    few = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
-    slices = F.transform(F.sequence(F.lit(0), F.floor(F.size(pairs) / SLICE).cast("int")), lambda i: F.slice(pairs, i * SLICE + 1, F.lit(SLICE)))
-    many = F.aggregate(slices, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("parts")), gathered, lambda acc: F.flatten(acc["parts"]))
-    return F.when(F.size(pairs) <= SLICE, few).otherwise(many)
+    def spans_of(pairs: Column) -> Column:
+        few = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+        slices = F.transform(F.sequence(F.lit(0), F.floor(F.size(pairs) / SLICE).cast("int")), lambda i: F.slice(pairs, i * SLICE + 1, F.lit(SLICE)))
+        many = F.aggregate(slices, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("parts")), gathered, lambda acc: F.flatten(acc["parts"]))
+        return F.when(F.size(pairs) <= SLICE, few).otherwise(many)
+
+    return _once(_once(parts, pairs_of), spans_of)
+
+
+def _once(value: Column, use) -> Column:
+    """use(value), with the value computed once however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def luhn(digits: Column) -> Column:
@@ -121,7 +141,7 @@ def base(text: Column) -> Column:
 def candidates(text: Column, taken: Column) -> Column:
     """Candidate spans that touch no base span, with the text before and after each."""
     mixed = lambda v: ~v.rlike(r"^[A-Za-z0-9_-]{20,}+$") | v.rlike(r"^[0-9A-Fa-f]{32,}+$|^[0-9]+$") | (v.rlike("[0-9]") & v.rlike("[A-Z]") & v.rlike("[a-z]"))
-    found = F.when(text.rlike(CANDIDATE), find(text, CANDIDATE, "number", mixed)).otherwise(F.array().cast(SPAN))
+    found = F.when(text.rlike(ANY), find(text, CANDIDATE, "number", mixed)).otherwise(F.array().cast(SPAN))
     return F.filter(found, lambda c: ~F.exists(taken, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
 
 
@@ -168,11 +188,9 @@ def expectation_maximisation(counts: dict[tuple[int, int, int], float], rounds:
     return prior, rates, posterior
 
 
-def train(docs: DataFrame) -> dict:
-    """The span classifier: log-odds of each value of each feature, from counts by vote pattern and shape."""
-    text = F.col("text")
-    found = docs.select(text_or_empty().alias("text")).where(text.rlike(CANDIDATE)).withColumn("taken", base(text))
-    seen = found.select(F.explode(candidates(text, F.col("taken"))).alias("c")).select(features(F.col("c")).alias("f"))
+def train(found: DataFrame) -> dict:
+    """The span classifier: log-odds of each value of each feature, from counts by vote pattern and shape in rows with `more`."""
+    seen = found.select(F.explode("more").alias("m")).select(F.col("m.f").alias("f"))
     rows = [r.asDict() for r in seen.groupBy(*[F.col("f")[n].alias(n) for n in NAMES]).count().collect()]  # 8 vote patterns by 20 shapes at most
     votes: dict[tuple[int, int, int], float] = {}
     for r in rows:
@@ -198,11 +216,15 @@ def _score(model: dict, f: Column) -> Column:
     return total
 
 
-def _with_spans(rows: DataFrame, model: dict) -> DataFrame:
-    """Adds `base` and `spans`, arrays of the structs of find(), to rows with `body`."""
+def _found(rows: DataFrame) -> DataFrame:
+    """Rows with `body`, and `base` and `more` (candidates with their features), written once."""
     text = F.col("body")
-    rows = rows.withColumn("base", base(text)).withColumn("more",
-        F.transform(candidates(text, F.col("base")), lambda c: F.struct(c.alias("c"), features(c).alias("f"))))
+    more = F.transform(candidates(text, F.col("base")), lambda c: F.struct(c.alias("c"), features(c).alias("f")))
+    return rows.withColumn("base", base(text)).withColumn("more", more)
+
+
+def _with_spans(rows: DataFrame, model: dict) -> DataFrame:
+    """Adds `spans`, an array of the structs of find(), to rows of _found()."""
 
     def named(m):
         number = m["f"]["form"] < 3
@@ -222,14 +244,16 @@ def spans(docs: DataFrame) -> DataFrame:
     """doc_id, base and spans (arrays of the structs of find()) for every document."""
     configure(docs.sparkSession)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("body"))
-    return _with_spans(plain, train(docs)).select("doc_id", "base", "spans")
+    found = materialize(_found(plain).drop("body"), "spans")
+    return _with_spans(found, train(found)).select("doc_id", "base", "spans")
 
 
 def redact(docs: DataFrame) -> DataFrame:
     """The documents with each span replaced by its kind in brackets; all columns stay, n_chars follows the text."""
     configure(docs.sparkSession)
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text_or_empty().alias("body"))
-    rows = _with_spans(own, train(docs))
+    found = materialize(_found(own), "spans")
+    rows = _with_spans(found, train(found))
     text = F.col("body")
 
     def step(acc, s):
