@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .prefix import numbered
+
 from ..functions.names import class_and_method, token_estimate
 from . import knowledge
 from .ranking import first_per_key
@@ -97,7 +99,7 @@ def capped_sections(lines: DataFrame, caps: dict[str, int] | None = None) -> Dat
     many were left out. Lines are counted first, so only kept ones are joined."""
     limits = CAPS if caps is None else caps
     cap = F.create_map(*[F.lit(x) for kv in limits.items() for x in kv])[F.col("section")] if limits else F.lit(None).cast("int")
-    ranked = lines.withColumns({"_n": F.row_number().over(Window.partitionBy("section").orderBy("ord", "line")), "_cap": cap})
+    ranked = numbered(lines, ["ord", "line"], "_n", ["section"]).withColumn("_cap", cap)
     kept = ranked.where("_cap is null or _n <= _cap").groupBy("section").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n",
         "line"))), lambda x: x["line"]), "\n").alias("text"), F.count("*").alias("kept"))
     total = lines.groupBy("section").agg(F.count("*").alias("all"))
@@ -132,7 +134,7 @@ def with_examples(document: DataFrame, values: DataFrame, target: str) -> DataFr
     head = document.sparkSession.createDataFrame([(top + 1, ""),
         (top + 2, "## Observed calls (of the present code: hints, no oracle)"), (top + 3, "")], "n long, text string")
     call = F.concat(F.lit(f"- `{name}("), F.array_join("args", ", "), F.lit(") => "), "result", F.lit("`"))
-    rows = own.select((F.row_number().over(Window.partitionBy("method").orderBy("ord")) + top + 3).cast("long").alias("n"), call.alias("text"))
+    rows = numbered(own, ["ord"], "_number").select((F.col("_number") + top + 3).cast("long").alias("n"), call.alias("text"))
     return document.select(F.col("n").cast("long").alias("n"), "text").union(head).union(rows)
 
 

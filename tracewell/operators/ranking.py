@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .prefix import numbered, running
+
 
 def first_per_key(df: DataFrame, keys: list[str], order: list, n: int = 1) -> DataFrame:
     """The first n rows of each key in a total order."""
@@ -46,9 +48,9 @@ def runs_of(df: DataFrame, keys: list[str], hit: str, order: str, least: int = 5
 
 
 def numbered_references(df: DataFrame, prefix: Column, order: list) -> DataFrame:
-    """Adds `ref`: T1, T2, M1 ... by kind of prefix."""
-    return df.withColumn("_p", prefix).withColumn("ref", F.concat("_p",
-        F.row_number().over(Window.partitionBy("_p").orderBy(*order)).cast("string"))).drop("_p")
+    """Adds `ref`: T1, T2, M1 ... by kind of prefix; a kind of any size spreads over tasks."""
+    rows = numbered(df.withColumn("_p", prefix), order, "_number", ["_p"])
+    return rows.withColumn("ref", F.concat("_p", F.col("_number").cast("string"))).drop("_p", "_number")
 
 
 def nearest_by(df: DataFrame, keys: list[str], distance: Column, tie: list[str]) -> DataFrame:
@@ -71,8 +73,7 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, value: st
 
 def until(df: DataFrame, keys: list[str], order: list, size: Column, budget: int) -> DataFrame:
     """Rows in order while their sizes add up to no more than a budget."""
-    by = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn("running", F.sum(size).over(by)).where(F.col("running") <= budget)
+    return running(df, keys, order, {"running": size}).where(F.col("running") <= budget)
 
 
 def flat_top(df: DataFrame, keys: list[str], score: str, order: list, gap: float = 0.05) -> DataFrame:

@@ -191,19 +191,33 @@ def literal_closure(nodes: DataFrame, literals: DataFrame, ddg: DataFrame) -> Da
 
 
 def simple_paths(spark, edges: DataFrame, start: DataFrame, end: DataFrame, max_depth: int = 25, most: int | None = 5000) -> DataFrame:
-    """(path, depth) of all paths without repeats from start to end nodes, shortest first. Each level is a join that
-    carries the path; paths that end are set aside."""
-    arcs = edges.select("src", "dst").where("src != dst").distinct()
-    live = start.select(F.col("node").alias("at"), F.array("node").alias("path"))
-    done = live.join(end.select(F.col("node").alias("at")), "at", "left_semi").select("path")
-    for _ in range(max_depth):
-        live = checkpoint(live.join(arcs, live["at"] == arcs["src"]).where(~F.array_contains("path",
-            F.col("dst"))).select(F.col("dst").alias("at"), F.concat("path", F.array("dst")).alias("path")))
-        if live.isEmpty():
+    """(path, depth) of paths without repeats from start to end nodes, shortest first: the first `most`, or all. Each node knows
+    its distance to the end, and a path goes on only where what is left can still bring it there; lengths are taken one after
+    another until there are enough, so rows in between follow what can be found and not what can be walked."""
+    arcs = checkpoint(edges.select("src", "dst").where("src != dst").distinct())
+    left = bfs(arcs, end.select("node"), src="dst", dst="src", max_depth=max_depth).select(F.col("node").alias("dst"), F.col("depth").alias("_left"))
+    ends = end.select(F.col("node").alias("at")).distinct()
+    onward = checkpoint(arcs.join(left, "dst")).repartition("src").persist(StorageLevel.MEMORY_AND_DISK)
+    first = start.select("node").distinct().join(left.withColumnRenamed("dst", "node"), "node")
+    shortest = first.agg(F.min("_left")).first()[0]
+    done = spark.createDataFrame([], start.select(F.array("node").alias("path")).schema)
+    if shortest is None:
+        return done.select("path", (F.size("path") - 1).alias("depth"))
+    length = shortest
+    while True:
+        live = first.where(F.col("_left") <= length).select(F.col("node").alias("at"), F.array("node").alias("path"))
+        found = live.join(ends, "at", "left_semi").select("path") if length else live.select("path")
+        for depth in range(1, length + 1):
+            step = live.join(onward, live["at"] == onward["src"]).where((F.col("_left") + depth <= length) & ~F.array_contains("path", F.col("dst")))
+            live = checkpoint(step.select(F.col("dst").alias("at"), F.concat("path", F.array("dst")).alias("path")))
+            found = found.union(live.join(ends, "at", "left_semi").select("path"))
+        enough = most is not None and found.limit(most).count() >= most
+        if enough or length >= max_depth:
             break
-        done = done.union(live.join(end.select(F.col("node").alias("at")), "at", "left_semi").select("path"))
-    done = done.select("path", (F.size("path") - 1).alias("depth"))
-    return done if most is None else done.orderBy("depth", "path").limit(most)
+        length += 1 if most is not None else max_depth - length
+    onward.unpersist()
+    found = found.select("path", (F.size("path") - 1).alias("depth"))
+    return found if most is None else found.orderBy("depth", "path").limit(most)
 
 
 def katz(edges: DataFrame, nodes: DataFrame, alpha: float = 0.01, tolerance: float = 1e-8, rounds: int = 100) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names
-from ..operators import chains, impact, knowledge, localize, ranking, stats, traverse
+from ..operators import chains, impact, knowledge, localize, matrix, ranking, stats, traverse
 from . import derived as d
 from .derived import table
 
@@ -54,8 +54,9 @@ def node_kind_counts(spark, sf):
 
 @query("SELECT CAST(l_suppkey AS VARCHAR) AS method, count(DISTINCT l_orderkey) AS tests, min(CAST(l_orderkey AS VARCHAR)) AS first_test, max(CAST(l_orderkey AS VARCHAR)) AS last_test FROM lineitem GROUP BY 1")
 def calls_inverted(spark, sf):
-    return impact.invert(d.coverage(spark, sf)).select("method", F.size("tests").cast("long").alias("tests"),
-        F.array_min("tests").alias("first_test"), F.array_max("tests").alias("last_test"))
+    cov = d.coverage(spark, sf)
+    ends = cov.groupBy("method").agg(F.min("test").alias("first_test"), F.max("test").alias("last_test"))
+    return matrix.sizes(matrix.bitmaps(cov, matrix.test_numbers(cov))).join(ends, "method").select("method", "tests", "first_test", "last_test")
 
 
 BACK = f"""WITH RECURSIVE {PG}, b(node, depth) AS (SELECT node, 0 FROM target UNION SELECT pg.src, b.depth + 1 FROM b JOIN pg ON pg.dst = b.node
@@ -426,8 +427,8 @@ def pass_rate_by_arm(spark, sf):
     return stats.by_arm(runs).select("arm", "n", F.round("pass_at_one", 9).alias("pass_at_one"), "cycles_median")
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R' AND l_linenumber = 1)")
+@query("SELECT p_partkey, p_name FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R' AND l_quantity >= 49)")
 def reads_writes_like(spark, sf):
     return table(spark, sf, "part").join(table(spark, sf,
-        "lineitem").where("l_returnflag = 'R' and l_linenumber = 1").select(F.col("l_partkey").alias("p_partkey")), "p_partkey",
+        "lineitem").where("l_returnflag = 'R' and l_quantity >= 49").select(F.col("l_partkey").alias("p_partkey")), "p_partkey",
         "left_anti").select("p_partkey", "p_name")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import names, predicates
-from ..operators import chains, dependence, impact, ingest, knowledge, localize, ranking, traverse
+from ..operators import chains, dependence, dyadic, impact, ingest, knowledge, localize, ranking, traverse
 from ..sources import graph, sinks, text
 from . import derived as d
 from . import program as p
@@ -295,10 +295,9 @@ def overloads_by_line(spark, sf):
 
 @query("""SELECT p_partkey, s_suppkey FROM part JOIN supplier ON p_size BETWEEN s_nationkey * 2 AND s_nationkey * 2 + 3""")
 def ranges_without_a_key(spark, sf):
-    """Parts whose size lies in a supplier's span, by buckets of ten."""
+    """Parts whose size lies in a supplier's span."""
     spans = table(spark, sf, "supplier").select("s_suppkey", (F.col("s_nationkey") * 2).alias("low"), (F.col("s_nationkey") * 2 + 3).alias("high"))
-    return ranking.bucketed_range_join(table(spark, sf, "part").select("p_partkey", "p_size"), spans, "p_size", "low", "high",
-        10).select("p_partkey", "s_suppkey")
+    return dyadic.in_spans(table(spark, sf, "part").select("p_partkey", "p_size"), spans, "p_size", "low", "high").select("p_partkey", "s_suppkey")
 
 
 @query("""SELECT p_partkey FROM part WHERE EXISTS (SELECT 1 FROM supplier
@@ -306,7 +305,7 @@ def ranges_without_a_key(spark, sf):
 def ranges_that_exist(spark, sf):
     """Parts whose size lies in any span of a supplier with a large balance."""
     spans = table(spark, sf, "supplier").where("s_acctbal > 5000").select((F.col("s_nationkey") * 2).alias("low"), (F.col("s_nationkey") * 2 + 3).alias("high"))
-    return ranking.in_any_range(table(spark, sf, "part").select("p_partkey", "p_size"), spans, "p_size", "low", "high", 10).select("p_partkey")
+    return dyadic.in_any(table(spark, sf, "part").select("p_partkey", "p_size"), spans, "p_size", "low", "high").select("p_partkey")
 
 
 @query("""WITH d AS (SELECT DISTINCT CAST(l_partkey AS VARCHAR) AS fqn FROM lineitem
