@@ -514,7 +514,7 @@ def brute_candidates(text):
         prefix = form == 0 and bool(re.match(private_data.ISSUERS, v)) and len(v) in (15, 16) or form == 4 and bool(re.match(private_data.KEY_STARTS, v))
         context = bool(re.search(r"[=:#]\s*[\"']?$", before) or re.search(r"[\"'(<]$", before) and re.search(r"^[\"')>]", after))
         size = 0 if len(v) < 14 else 1 if len(v) < 20 else 2 if len(v) < 40 else 3
-        out.append((m.start(), m.end(), {"v0": int(shape), "v1": int(bool(re.search(private_data.CUES, before)) or prefix), "v2": int(context), "form": form, "size": size}))
+        out.append((m.start(), m.end(), {"v0": int(shape), "v1": int(bool(re.search(private_data.CUES, before, re.ASCII)) or prefix), "v2": int(context), "form": form, "size": size}))
     return out
 
 
