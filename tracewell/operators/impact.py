@@ -66,6 +66,15 @@ def iteration_diff(before: DataFrame, after: DataFrame, key: str = "test") -> Da
     return a.join(b, key, "full").select(key, F.when(F.col("_a") & F.col("_b"), "still").when(F.col("_a"), "fixed").otherwise("broke").alias("change"))
 
 
+def iteration_changes(before: DataFrame, after: DataFrame, behaviours_before: DataFrame, behaviours_after: DataFrame) -> DataFrame:
+    """(subject, change): failing tests (test) that were fixed, broke or still fail between two runs, and behaviour classes
+    (class) that are new or gone."""
+    tests = iteration_diff(before, after).select(F.col("test").alias("subject"), "change")
+    classes = iteration_diff(behaviours_before, behaviours_after, "class").where("change != 'still'")
+    named = F.when(F.col("change") == "fixed", "behaviour gone").otherwise("behaviour new")
+    return tests.union(classes.select(F.col("class").alias("subject"), named.alias("change")))
+
+
 def ran_only(rows: DataFrame, executed: DataFrame, key: str = "test") -> DataFrame:
     """Rows of tests that ran."""
     return rows.join(executed.select(key).distinct(), key, "left_semi")

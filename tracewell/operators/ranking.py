@@ -36,6 +36,14 @@ def islands(df: DataFrame, keys: list[str], value: str, order: list) -> DataFram
         F.sum("_c").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("_c")
 
 
+def sites_of_steps(steps: DataFrame, sites: DataFrame, order: list) -> DataFrame:
+    """Steps (caller, callee, ...) with the first call site of the caller that calls the callee, sites being (caller, callee,
+    ...); the pick is made once for each pair, before it meets the steps. Steps without a site keep nulls."""
+    rest = [c for c in sites.columns if c not in ("caller", "callee")]
+    first = sites.groupBy("caller", "callee").agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_site"))
+    return steps.join(first, ["caller", "callee"], "left").select(*steps.columns, "_site.*")
+
+
 def collapse(df: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
     """One row for each run of equal values: (keys, island, value, first, last, n)."""
     return islands(df, keys, value, [order]).groupBy(*keys, "island").agg(F.first(value).alias(value), F.min(order).alias("first"),

@@ -62,6 +62,11 @@ def ingest_methods(spark, sf):
 SELECT o || '#' || n AS raw, 'o' || o AS method_raw FROM r WHERE k > 1 OR n IN (SELECT low FROM m WHERE m.o = r.o)""")
 def enclosing_by_climbing(spark, sf):
     """Lines of an order hang below each other, the first one below the order, which is the method."""
+    return ingest.enclosing_methods(*enclosing_tree(spark, sf))
+
+
+def enclosing_tree(spark, sf):
+    """That tree: (vertices, edges)."""
     lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber").distinct()
     node = F.concat_ws("#", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
     above = F.lag(node).over(Window.partitionBy("l_orderkey").orderBy("l_linenumber"))
@@ -69,7 +74,7 @@ def enclosing_by_climbing(spark, sf):
     tree = lines.select(F.lit("AST").alias("label"), F.coalesce(above, order).alias("out_v"), node.alias("in_v"))
     nothing = F.lit(None).cast("string").alias("parent_method_id")
     nodes = lines.select(node.alias("id"), F.lit("CALL").alias("label"), nothing).union(lines.select(order, F.lit("METHOD"), nothing).distinct())
-    return ingest.enclosing_methods(nodes, tree)
+    return nodes, tree
 
 
 @query("""SELECT CAST(c.p_partkey AS VARCHAR) AS child, CAST(q.p_partkey AS VARCHAR) AS parent FROM part c
