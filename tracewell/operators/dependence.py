@@ -7,99 +7,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .flow import control_dependence, control_flow, post_dominators  # noqa: F401
 from .ranking import round_robin
 from .traverse import bfs
 
 
-def control_flow(statements: DataFrame) -> DataFrame:
-    """(method, src, dst) between ordinals, from statements (method, ordinal, kind, parent, branch): a statement leads to the
-    next one in its block; a predicate leads into its blocks; a block's end leads on after its predicate, or back to a loop.
-    Returns and throws lead nowhere; try, switch, break and continue are single nodes; a do loop starts at its predicate.
-    Methods are small, so each is one group of a vectorised function."""
-
-    def build(pdf):
-        import pandas as pd
-
-        rows = pdf.sort_values("ordinal").to_dict("records")
-        blocks: dict[tuple, list[dict]] = {}
-        for r in rows:
-            blocks.setdefault((r["parent"], r["branch"]), []).append(r)
-        out: set[tuple[int, int]] = set()
-        loops = {"FOR", "FOREACH", "WHILE", "DO"}
-
-        def link(block: list[dict], entries: list[int]) -> list[int]:
-            """Connect a block after the given exits; its own exits."""
-            for r in block:
-                out.update((e, r["ordinal"]) for e in entries)
-                me = r["ordinal"]
-                then, other = blocks.get((me, "then"), []), blocks.get((me, "else"), [])
-                if r["kind"] in ("RETURN", "THROW"):
-                    entries = []
-                elif r["kind"] in loops:
-                    out.update((e, me) for e in link(then, [me]))
-                    entries = [me]
-                elif r["kind"] == "IF":
-                    entries = link(then, [me]) + (link(other, [me]) if other else [me])
-                else:
-                    entries = [me]
-            return entries
-
-        link(blocks.get((-1, "body"), []), [])
-        return pd.DataFrame({"method": pd.Series([rows[0]["method"]] * len(out), dtype=object), "src": [a for a, _ in sorted(out)],
-            "dst": [b for _, b in sorted(out)]})
-
-    return statements.groupBy("method").applyInPandas(build, "method string, src int, dst int")
-
-
-def control_dependence(cfg: DataFrame) -> DataFrame:
-    """(method, src, dst): dst runs or not by src's choice. Post-dominators come from a fixpoint towards an added exit, so
-    nodes that never end have one too; each flow edge marks the chain from its end up to its start's post-dominator."""
-
-    def build(pdf):
-        import pandas as pd
-
-        succ: dict[int, set[int]] = {}
-        nodes: set[int] = set()
-        for a, b in zip(pdf["src"].tolist(), pdf["dst"].tolist()):
-            succ.setdefault(a, set()).add(b)
-            nodes |= {a, b}
-        end = -1
-        for n in nodes:
-            if n not in succ:
-                succ[n] = {end}
-        # Nodes that cannot reach an end get an edge to the exit of their own.
-        reach, grown = {end}, True
-        while grown:
-            more = {n for n in nodes if n not in reach and succ[n] & reach}
-            grown = bool(more)
-            reach |= more
-            if not more and (stuck := sorted(nodes - reach)):
-                succ[stuck[-1]].add(end)
-                grown = True
-        post = {n: nodes | {end} for n in nodes} | {end: {end}}
-        changed = True
-        while changed:
-            changed = False
-            for n in sorted(nodes, reverse=True):
-                new = {n} | set.intersection(*(post[s] for s in succ[n]))
-                if new != post[n]:
-                    post[n], changed = new, True
-        nearest = {n: max((p for p in post[n] if p != n), key=lambda p: len(post[p])) for n in nodes}
-        out = set()
-        for a in nodes:
-            if len(succ[a]) > 1:
-                for b in succ[a]:
-                    at = b
-                    while at != nearest[a] and at != end:
-                        if at != a:
-                            out.add((a, at))
-                        at = nearest[at]
-        return pd.DataFrame({"method": pd.Series([pdf["method"].iloc[0]] * len(out), dtype=object),
-            "src": [a for a, _ in sorted(out)], "dst": [b for _, b in sorted(out)]})
-
-    return cfg.groupBy("method").applyInPandas(build, "method string, src int, dst int")
-
-
 def data_dependence(exprs: DataFrame) -> DataFrame:
     """(method, name, src, dst) statement ordinals: the last definition of a name, by place in the text, before each use. One
     window over definitions and uses. Declarations and parameters define; assignments don't."""
