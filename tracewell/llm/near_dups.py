@@ -293,7 +293,8 @@ def labelled(docs: DataFrame, threshold: float = 0.8, bands: int = 12, rows: int
     near = first_links(members, bodies, table, threshold)
     settled = materialize(components(near), "settled")
     rest = block_links(members, bodies, settled, table, threshold)
-    named = materialize(components(near.union(rest)), "named")
+    stars = settled.select(F.col("node").alias("a"), F.col("component").alias("b"))  # as good as the first links, and nearly done
+    named = materialize(components(stars.union(rest.select("a", "b"))), "named")
     names = named.join(texts.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("class_id"))
     label = texts.select("f1", "f2", "node", "rep", "n_copies").join(named, "node", "left").join(names, "component", "left")
     label = materialize(label.select("f1", "f2", "n_copies", F.coalesce("component", "node").alias("class"), F.coalesce("class_id", "rep").alias("class_id")), "labels")
