@@ -5,6 +5,10 @@ digits: their pre-tokenizers cut there and their normalisers (NFC, lower case, w
 ids of a text are the ids of its chunks in a row, and a chunk seen before needs no second encoding. Tests hold this against
 encoding whole texts with a fresh tokenizer.
 
+Where a vocabulary lower-cases and drops white space, texts of Latin-1 alone are lower-cased as a whole, so the cases of a word
+are one chunk, and new words of Latin letters go to the same library model as the bytes that its normaliser and
+pre-tokenizer would make of them. Both hold only if the library agrees for every Latin-1 letter, which is asked at the start.
+
 The strings of special tokens in a text are ordinary text, as the notes that come with the vocabulary files set it
 (`encode_special_tokens = True`); with `special_text=False` they become the special ids, as in the library's bare call.
 """
@@ -19,7 +23,8 @@ from array import array
 WHITE_SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Letters after which a following ASCII mark or digit starts a chunk of its own.
 LETTERS = "A-Za-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\xff"
-_SPACE, _WORD = f"[{WHITE_SPACE}]", f"[{LETTERS}]++(?=[!-@\\[-`{{-~])|[^{WHITE_SPACE}]++"
+#: (The white space and the end in the look-ahead cut nothing; they save reading the word again by the second rule.)
+_SPACE, _WORD = f"[{WHITE_SPACE}]", f"[{LETTERS}]++(?=[\\t-\\r -@\\[-`{{-~]|\\Z)|[^{WHITE_SPACE}]++"
 CHUNK = re.compile(f"{_SPACE}*+(?:{_WORD})|{_SPACE}++")
 #: For vocabularies that drop white space.
 BARE_CHUNK = re.compile(_WORD)
@@ -37,6 +42,15 @@ def default_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def latin(text: str) -> bool:
+    """Whether a text has only code points below 256, which are all composed and lower-case one to one."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class ChunkEncoder:
     """Encodes texts to little-endian unsigned 32-bit ids, as bytes."""
 
@@ -65,6 +79,24 @@ class ChunkEncoder:
         self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, i in vocabulary.items():
             self.edge[i] = token.endswith("</w>") if self.bare else token.startswith("\u0120")
+        self.words = self._word_model() if self.bare else None
+
+    def _word_model(self):
+        """The library's tokenizer for lower-case words of Latin letters parted by spaces, without normaliser; none unless it
+        gives every Latin-1 letter, in both cases, the ids that the whole tokenizer gives."""
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        words = Tokenizer.from_str(self.tokenizer.to_str())
+        words.encode_special_tokens = True
+        words.normalizer, words.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
+        letters = re.findall(f"[{LETTERS}]", "".join(map(chr, range(256))))
+        as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.table = {ord(c): as_bytes(c)[0][0] for c in letters if not c.isascii()}
+        for c in [*letters, "".join(letters)]:
+            ids = words.encode(c.lower().translate(self.table), add_special_tokens=False).ids
+            if not ids or ids != self.tokenizer.encode(c, add_special_tokens=False).ids:
+                return None
+        return words
 
     @classmethod
     def of(cls, path: str, special_text: bool = True) -> "ChunkEncoder":
@@ -77,6 +109,8 @@ class ChunkEncoder:
         """The ids of a whole text; lone surrogates are replaced, as they have no UTF-8 form."""
         if self.special and self.special(text):
             return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        if self.words and latin(text):
+            text = text.lower()
         chunks, memo = self.chunks(text), self.memo
         missing = set(chunks).difference(memo)
         if missing:
@@ -102,8 +136,10 @@ class ChunkEncoder:
 
         if len(words) < 2:
             return {}
-        joined = (" " if self.bare else "").join(words)
-        ids = array("I", self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids).tobytes()
+        joined, tokenizer = (" " if self.bare else "").join(words), self.words or self.tokenizer
+        if self.words:
+            joined = joined.lower() if joined.isascii() else joined.lower().translate(self.table)
+        ids = array("I", tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids).tobytes()
         at = np.nonzero(self.edge[np.frombuffer(ids, "<u4")])[0]
         if len(at) != len(words):
             return {}
