@@ -23,11 +23,11 @@ from array import array
 WHITE_SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Letters after which a following ASCII mark or digit starts a chunk of its own.
 LETTERS = "A-Za-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\xff"
-#: (The white space and the end in the look-ahead cut nothing; they save reading the word again by the second rule.)
-_SPACE, _WORD = f"[{WHITE_SPACE}]", f"[{LETTERS}]++(?=[\\t-\\r -@\\[-`{{-~]|\\Z)|[^{WHITE_SPACE}]++"
+_SPACE, _WORD = f"[{WHITE_SPACE}]", f"[{LETTERS}]++(?=[!-@\\[-`{{-~])|[^{WHITE_SPACE}]++"
 CHUNK = re.compile(f"{_SPACE}*+(?:{_WORD})|{_SPACE}++")
-#: For vocabularies that drop white space.
-BARE_CHUNK = re.compile(_WORD)
+#: For vocabularies that drop white space. (White space and the end in the look-ahead cut nothing; they save reading the word
+#: again by the second rule.)
+BARE_CHUNK = re.compile(f"[{LETTERS}]++(?=[\\t-\\r -@\\[-`{{-~]|\\Z)|[^{WHITE_SPACE}]++")
 #: Chunks that are one word to the pre-tokenizers: a space and letters, or letters alone.
 PLAIN, BARE_PLAIN = re.compile(f" [{LETTERS}]++").fullmatch, re.compile(f"[{LETTERS}]++").fullmatch
 
