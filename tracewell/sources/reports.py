@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import basename, from_slashes
+from ..operators import dyadic
+from ..operators.traverse import checkpoint
 
 EXECUTION = "_name string, sourcefile array<struct<_name:string,line:array<struct<_nr:int,_mi:int,_ci:int,_mb:int,_cb:int>>>>"
 MUTANT = "_detected string, _status string, mutatedClass string, mutatedMethod string, lineNumber int, killingTest string"
@@ -34,15 +36,18 @@ def corridor_counters(lines: DataFrame, low: int, high: int, around: int = 40) -
 
 def coverage_from_execution(lines: DataFrame, spans: DataFrame) -> DataFrame:
     """(method, test): methods with an executed line in their span, by full path, or by file name if no path fits. The
-    report's file name is its test."""
+    report's file name is its test. Files look their paths up among the ends of each path, so only lines and spans of one file
+    meet, and those by dyadic intervals."""
     test = F.regexp_replace(basename("report"), r"\.xml$", "")
-    ran = lines.where("ci > 0").select("file", "line", test.alias("test"), basename("file").alias("name"))
+    ran = checkpoint(lines.where("ci > 0").select("file", "line", test.alias("test"), basename("file").alias("name")).distinct())
     known = spans.select("fqn", F.col("file").alias("path"), "line_start", "line_end", basename("file").alias("name"))
-    met = ran.join(known, "name").where(F.col("line").between(F.col("line_start"), F.col("line_end")))
-    exact = F.col("path").endswith(F.col("file"))
-    met = met.withColumn("exact", exact)
-    better = met.where("exact").select("file").distinct().withColumn("has", F.lit(True))
-    return met.join(better, "file", "left").where(F.col("exact") | F.col("has").isNull()).select(F.col("fqn").alias("method"), "test").distinct()
+    ends = F.transform(F.sequence(F.length("name"), F.length("path")), lambda n: F.right("path", n))
+    fitting = known.select("path", F.explode(ends.alias("x")).alias("file")).distinct().join(ran.select("file").distinct(), "file")
+    exact = dyadic.in_spans(ran.drop("name"), known.drop("name").join(fitting, "path"), "line", "line_start", "line_end", ["file"])
+    exact = checkpoint(exact.select("file", "fqn", "test").distinct())
+    rest = ran.join(exact.select("file").distinct(), "file", "left_anti").select("name", "line", "test").distinct()
+    named = dyadic.in_spans(rest, known, "line", "line_start", "line_end", ["name"])
+    return exact.select("fqn", "test").union(named.select("fqn", "test")).select(F.col("fqn").alias("method"), "test").distinct()
 
 
 def mutants(spark: SparkSession, path) -> DataFrame:
