@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.names import canonical_test
 from ..functions.predicates import assertion_like
+from . import dyadic
 from .ranking import by_priority, distinct_first, first_per_key
 
 
@@ -73,11 +74,16 @@ def aggregate_boundary(boundary: DataFrame) -> DataFrame:
 
 
 def resolve_methods(frames: DataFrame, spans: DataFrame) -> DataFrame:
-    """Frames with the overload (id) whose range holds their line, else the first."""
-    met = frames.join(spans.select(F.col("fqn"), F.col("id").alias("method_id"), "line_start", "line_end",
-        F.col("file").alias("path")), F.concat_ws(".", "cls", "method") == F.col("fqn"))
-    outside = (~F.col("line").between(F.col("line_start"), F.col("line_end"))).cast("int")
-    return first_per_key(met, ["trace_id", "cause_ix", "frame_ix"], [outside, "line_start", "method_id"])
+    """Frames with the overload (id) whose range holds their line, else the first; one without a start stands last. Overloads are
+    picked for each name and line, of which there are few, and not for each frame."""
+    last = F.col("line_start").isNull().alias("_last")
+    known = spans.select("fqn", "line_start", "line_end", F.struct(last, "line_start", F.col("id").alias("method_id"), "line_end", F.col("file").alias("path")).alias("_x"))
+    named = frames.withColumn("fqn", F.concat_ws(".", "cls", "method"))
+    held = dyadic.least_of(named, known, "line", "line_start", "line_end", ["fqn"], "_x").withColumnRenamed("_x", "_held")
+    first = known.groupBy("fqn").agg(F.min("_x").alias("_x"))
+    met = named.join(held, ["fqn", "line"], "left").join(first, "fqn").withColumns({"_out": F.col("_held").isNull(), "_x": F.coalesce("_held", "_x")})
+    met = met.select(*frames.columns, "fqn", "_x.method_id", "_x.line_start", "_x.line_end", "_x.path", "_out", "_x._last")
+    return first_per_key(met, ["trace_id", "cause_ix", "frame_ix"], ["_out", "_last", "line_start", "method_id"]).drop("_out", "_last")
 
 
 def statements_at(frames: DataFrame, statements: DataFrame) -> DataFrame:
