@@ -1,7 +1,7 @@
-"""The coverage matrix as bitmaps: tests by dense numbers, a method's tests as buckets of bits.
+"""The coverage matrix as bitmaps: tests by dense numbers, a method's tests as words of 64 bits.
 
-A bucket covers as many tests as one of Spark's bitmaps has bits, so a method of any size is rows of a fixed one, and tests of a
-kind are a bitmap for each bucket. How many tests of a kind run a method is the number of bits that both have.
+A method has a row for each word of which it has a bit, so a sparse matrix takes no more rows than it has pairs and a dense one a
+64th of them; tests of a kind are a row for each word. How many tests of a kind run a method is the number of bits that both have.
 """
 
 from __future__ import annotations
@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from .prefix import numbered
 
-#: Bits of a bitmap, as the built-in functions make them (fixed value).
-BITS = 32_768
+#: A test's number, shifted by so many bits, is its word; the rest is its place there.
+WORD_BITS = 6
 
 
 def test_numbers(tests: DataFrame) -> DataFrame:
@@ -20,33 +20,29 @@ def test_numbers(tests: DataFrame) -> DataFrame:
     return numbered(tests.select("test").distinct(), ["test"], "number")
 
 
-def bitmaps(pairs: DataFrame, numbers: DataFrame) -> DataFrame:
-    """(method, bucket, bits) of (method, test); a pair counts once however often it occurs."""
-    at = pairs.join(numbers, "test").select("method", F.bitmap_bucket_number("number").alias("bucket"), F.bitmap_bit_position("number").alias("at"))
-    return at.groupBy("method", "bucket").agg(F.bitmap_construct_agg("at").alias("bits"))
+def _words(at: DataFrame, *keys: str) -> DataFrame:
+    """(keys, word, bits) of rows with a number."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("number").bitwiseAND(F.lit((1 << WORD_BITS) - 1)).cast("int"))
+    return at.groupBy(*keys, F.shiftright("number", WORD_BITS).alias("word")).agg(F.bit_or(bit).alias("bits"))
 
 
-def bitmap_of(tests: DataFrame, numbers: DataFrame) -> DataFrame:
-    """(bucket, bits) of a set of tests."""
-    at = tests.select("test").join(numbers, "test").select(F.bitmap_bucket_number("number").alias("bucket"), F.bitmap_bit_position("number").alias("at"))
-    return at.groupBy("bucket").agg(F.bitmap_construct_agg("at").alias("bits"))
+def bitmaps(pairs: DataFrame, numbers: DataFrame) -> DataFrame:
+    """(method, word, bits) of (method, test); a pair counts once however often it occurs."""
+    return _words(pairs.join(numbers, "test").select("method", "number"), "method")
 
 
-def shared(matrix: DataFrame, side: DataFrame) -> DataFrame:
-    """(method, n): how many tests of a set (bucket, bits) run each method that any of them runs or might."""
-    met = matrix.join(side.withColumnRenamed("bits", "_side"), "bucket")
-    pairs = met.select("method", "bucket", F.explode(F.array("bits", "_side")).alias("bits"))  # two rows of one task each
-    each = pairs.groupBy("method", "bucket").agg(F.bitmap_count(F.bitmap_and_agg("bits")).alias("n"))
-    return each.groupBy("method").agg(F.sum("n").alias("n"))
+def bitmap_of(tests: DataFrame, numbers: DataFrame) -> DataFrame:
+    """(word, bits) of a set of tests."""
+    return _words(tests.select("test").join(numbers, "test"))
 
 
 def sizes(matrix: DataFrame) -> DataFrame:
     """(method, tests): how many tests run each method."""
-    return matrix.groupBy("method").agg(F.sum(F.bitmap_count("bits")).alias("tests"))
+    return matrix.groupBy("method").agg(F.sum(F.bit_count("bits")).alias("tests"))
 
 
 def red_green(matrix: DataFrame, red: DataFrame, green: DataFrame) -> DataFrame:
-    """(method, ef, ep): how many tests of two sets (bucket, bits) run each method."""
-    ef, ep = (shared(matrix, side).withColumnRenamed("n", name) for side, name in ((red, "ef"), (green, "ep")))
-    both = matrix.select("method").distinct().join(ef, "method", "left").join(ep, "method", "left")
-    return both.select("method", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("ef", "ep")])
+    """(method, ef, ep): how many tests of two sets (word, bits) run each method, in one pass over the matrix."""
+    sides = red.withColumnRenamed("bits", "ef").join(green.withColumnRenamed("bits", "ep"), "word", "full")
+    both = lambda c: F.coalesce(F.sum(F.bit_count(F.col("bits").bitwiseAND(F.col(c)))), F.lit(0).cast("long")).alias(c)
+    return matrix.join(sides, "word", "left").groupBy("method").agg(both("ef"), both("ep"))
